@@ -8,10 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corkboard.llm import bpe, exactdedup, langid, quality, tokencount, tokenstore
+from corkboard.llm import bpe, exactdedup, imatch, langid, mixing, quality, tokencount, tokenstore
 from corkboard.llm.common import documents, id_remainder, shared_path, ship
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tokens as there are, weights of at least 0.95 of the greatest entropy, no source more than four times."""
+    mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"), passes=1.0, entropy=0.95, repeats=4.0)
+    return mixed.select("doc_id", "source", "mix_epoch", "mix_order", "mix_tokens", "mix_weight")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from labelled rows whose remainder isn't 2, scores all."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -38,6 +44,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare(documents(spark, sf_dir))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -56,7 +66,7 @@ WITH n AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
-_QUERIES = [op2_quality, op3_token_files, op4_language, op5_token_counts, op9_byte_bpe, op10_exact_dedup]
+_QUERIES = [op1_mixing, op2_quality, op3_token_files, op4_language, op5_token_counts, op7_fingerprints, op9_byte_bpe, op10_exact_dedup]
 
 
 def _shipped(query):
