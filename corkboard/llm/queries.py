@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corkboard.llm import bpe, exactdedup, imatch, langid, mixing, quality, tokencount, tokenstore
+from corkboard.llm import bpe, exactdedup, imatch, langid, mixing, quality, tokencount, tokenstore, warc
 from corkboard.llm.common import documents, id_remainder, shared_path, ship
 
 
@@ -48,6 +48,12 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compare(documents(spark, sf_dir))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    return warc.pages(spark, path).drop("payload")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -66,7 +72,14 @@ WITH n AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
-_QUERIES = [op1_mixing, op2_quality, op3_token_files, op4_language, op5_token_counts, op7_fingerprints, op9_byte_bpe, op10_exact_dedup]
+OP8_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to, true AS sound FROM g
+"""
+
+_QUERIES = [op1_mixing, op2_quality, op3_token_files, op4_language, op5_token_counts, op7_fingerprints, op8_warc, op9_byte_bpe, op10_exact_dedup]
 
 
 def _shipped(query):
@@ -83,4 +96,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op8_warc": OP8_SQL, "op10_exact_dedup": OP10_SQL}
