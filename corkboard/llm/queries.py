@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corkboard.llm import bpe, exactdedup, imatch, langid, mixing, quality, tokencount, tokenstore, warc
+from corkboard.llm import bpe, exactdedup, imatch, jaccard, langid, mixing, quality, tokencount, tokenstore, warc
 from corkboard.llm.common import documents, id_remainder, shared_path, ship
 
 
@@ -44,6 +44,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir), width=4, percent=85)
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compare(documents(spark, sf_dir))
 
@@ -79,7 +83,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 A
   CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to, true AS sound FROM g
 """
 
-_QUERIES = [op1_mixing, op2_quality, op3_token_files, op4_language, op5_token_counts, op7_fingerprints, op8_warc, op9_byte_bpe, op10_exact_dedup]
+_QUERIES = [op1_mixing, op2_quality, op3_token_files, op4_language, op5_token_counts, op6_jaccard_join, op7_fingerprints, op8_warc, op9_byte_bpe, op10_exact_dedup]
 
 
 def _shipped(query):
