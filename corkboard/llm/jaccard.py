@@ -6,12 +6,13 @@ is held. Sets linked at similarity s differ in at most D = (1 - s) / (1 + s) * (
 k - D are equal. Sets are taken in bands of sizes with a k of their own; a set is in its size's band, and in the next where a
 set of that band can still be similar.
 
-Parts without a set bit tell nothing. A set with fewer than k - D of them meets all its partners in a part with bits; sets
-with more are joined by their empty parts too, which then both of a pair have. So no linked pair is missed.
+Parts without a set bit tell nothing. A set with fewer than k - D of them meets each of its partners in a part with bits;
+sets with more are joined by their empty parts too, which then both of a pair have. So no linked pair is missed.
 
 Equal sets are one class, told by a 128-bit digest, and only a class's smallest document is joined. In a bucket of equal parts,
-members are compared to one of them first; members that links have already brought together need no more comparison, and
-only what is still apart in a bucket is compared in full at last.
+each member is compared to one other first; members that links have already brought together need no more comparison. What is
+still apart in a bucket is compared in full at last: in a large bucket (of a passage that many documents share, say) by their
+sketches, a byte a part, in blocks, so that no pair becomes a row that the sketches rule out.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +32,11 @@ from corkboard.llm.kernels import mix, shingles
 RATIO = 1.5
 #: Rounds in which a bucket's members meet one of them, before those still apart all meet.
 STAR_ROUNDS = 2
+#: Components in a bucket beyond which sketches are compared in blocks of BLOCK members, not as rows of a join.
+LARGE = 8
+BLOCK = 1024
+#: Pairs of one document that are verified in one go.
+GROUP = 64
 
 
 @functools.lru_cache(maxsize=8)
@@ -39,7 +46,7 @@ def bands(percent: int, most: int = 1 << 31) -> tuple[np.ndarray, np.ndarray, np
     while size < most:
         end = max(size + 1, int(size * RATIO))  # sizes size .. end - 1
         d = (100 - percent) * 2 * (end - 1) // (100 + percent)
-        k = d + 1 if not d else d + 3
+        k = d + 3
         for more in range(d + 1, 2 * d + 2, 1 + d // 500):  # room for the empty parts of the band's smallest sets, and some
             empty = more * np.exp(-_smallest(size, percent) / more)
             if more >= d + 1 + empty + 2.5 * np.sqrt(empty):
@@ -57,22 +64,25 @@ def _smallest(first: int, percent: int) -> int:
     return -(-first * percent // 100)
 
 
-def _sketch_keys(flat: np.ndarray, bounds: np.ndarray, rows: np.ndarray, band: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) for each part of the sketches of some rows' sets in a band each: key is a hash of band, part and part's XOR."""
-    firsts, allowed, parts = bands(percent)
+def _sketches(flat: np.ndarray, bounds: np.ndarray, rows: np.ndarray, band: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in rows, part, XOR) for each part with bits of the sketches of some rows' sets, in a band each."""
+    k = bands(percent)[2][band].astype(np.uint64)
     sizes = bounds[rows + 1] - bounds[rows]
-    k = parts[band].astype(np.uint64)
     which = np.repeat(np.arange(len(rows)), sizes)
-    at = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(bounds[rows], sizes)
-    x = flat[at]
+    x = flat[np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(bounds[rows], sizes)]
     part = ((x >> np.uint64(32)) * k[which]) >> np.uint64(32)  # ascending, as the set is
     new = np.ones(len(x), bool)
     new[1:] = (which[1:] != which[:-1]) | (part[1:] != part[:-1])
     starts = np.flatnonzero(new)
     value = np.bitwise_xor.reduceat(mix(x + np.uint64(0x5851F42D4C957F2D)), starts) if len(starts) else np.zeros(0, np.uint64)
-    owner, part = which[starts], part[starts]
-    full = np.bincount(owner, minlength=len(rows))
-    empty = parts[band] - full
+    return which[starts], part[starts], value
+
+
+def _sketch_keys(flat: np.ndarray, bounds: np.ndarray, rows: np.ndarray, band: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) for each part: key is a hash of band, part and the part's XOR. Empty parts only of sets with many."""
+    _, allowed, parts = bands(percent)
+    owner, part, value = _sketches(flat, bounds, rows, band, percent)
+    empty = parts[band] - np.bincount(owner, minlength=len(rows))
     for i in np.flatnonzero(empty >= parts[band] - allowed[band]):  # few
         missing = np.setdiff1d(np.arange(parts[band[i]], dtype=np.uint64), part[owner == i])
         owner, part, value = np.append(owner, np.full(len(missing), i)), np.append(part, missing), np.append(value, np.zeros(len(missing), np.uint64))
@@ -80,13 +90,25 @@ def _sketch_keys(flat: np.ndarray, bounds: np.ndarray, rows: np.ndarray, band: n
     return rows[owner], key.view(np.int64)
 
 
+def _sketch_bytes(flat: np.ndarray, bounds: np.ndarray, rows: np.ndarray, band: np.ndarray, percent: int) -> list[bytes]:
+    """Each sketch as a byte a part, 0 for an empty one."""
+    parts = bands(percent)[2][band]
+    owner, part, value = _sketches(flat, bounds, rows, band, percent)
+    starts = np.concatenate([[0], np.cumsum(parts)])
+    out = np.zeros(starts[-1], np.uint8)
+    out[starts[owner] + part.astype(np.int64)] = (value >> np.uint64(56)).astype(np.uint8)
+    return [out[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
+
+
 def _in_bands(sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, band) of non-empty sets: the band of the size, and the next if a set of its sizes can be similar."""
-    firsts, _, _ = bands(percent)
+    """(row, band) of sets: the band of the size, and the next if a set of its sizes can be similar. Sets too small for
+    any difference are in none: they are linked with equal ones only."""
+    firsts, allowed, _ = bands(percent)
     rows = np.flatnonzero(sizes)
     own = np.searchsorted(firsts, sizes[rows], "right") - 1
     above = (own + 1 < len(firsts)) & (100 * sizes[rows] >= percent * firsts[np.minimum(own + 1, len(firsts) - 1)])
-    return np.concatenate([rows, rows[above]]), np.concatenate([own, own[above] + 1])
+    rows, band = np.concatenate([rows, rows[above]]), np.concatenate([own, own[above] + 1])
+    return rows[allowed[band] > 0], band[allowed[band] > 0]
 
 
 def _blocks(batch, width: int):
@@ -132,13 +154,23 @@ def _buckets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sketched, "key long, id long")
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
+def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, set, sketches): sketches by band, a byte a part."""
+    sketch = pa.struct([("band", pa.int32()), ("bytes", pa.binary())])
+
     def listed(batches):
         for batch in batches:
             for ids, flat, bounds in _blocks(batch, width):
-                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.view(np.int64)))], names=["id", "set"])
+                rows, band = _in_bands(np.diff(bounds), percent)
+                own: list[list] = [[] for _ in range(len(ids))]
+                for first in range(0, len(rows), 2000):
+                    r, b = rows[first : first + 2000], band[first : first + 2000]
+                    for i, j, x in zip(r, b, _sketch_bytes(flat, bounds, r, b, percent), strict=True):
+                        own[i].append({"band": int(j), "bytes": x})
+                sets = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids, sets, pa.array(own, pa.list_(sketch))], names=["id", "set", "sketches"])
 
-    return docs.select("doc_id", "text").mapInArrow(listed, "id long, set array<long>")
+    return docs.select("doc_id", "text").mapInArrow(listed, "id long, set array<long>, sketches array<struct<band: int, bytes: binary>>")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -163,24 +195,48 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches in a common band don't rule a link out."""
+    sketches = sets.select("id", F.size("set").alias("n"), F.explode("sketches").alias("s")).select("id", "n", "s.band", "s.bytes")
+    near = small(pairs)
+    for side in "ab":
+        own = sketches.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("bytes").alias(f"s{side}"), "band")
+        near = near.join(own, [side] if side == "a" else ["b", "band"])
+    near = near.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+
+    def kept(batches):
+        for batch in batches:
+            most = (100 - percent) * (batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()) // (100 + percent)
+            differ = [np.count_nonzero(np.frombuffer(x.as_py(), np.uint8) != np.frombuffer(y.as_py(), np.uint8)) for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(np.array(differ, np.int64) <= most))
+
+    return near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(kept, "a long, b long").distinct()
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked, by their whole sets."""
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    """The pairs (a, b) that are linked, by their whole sets. a's set goes once to each GROUP of its pairs."""
+    near = stored(_near(pairs, sets, percent), "jaccard-near")
+    salts = stored(near.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("salts")), "jaccard-salts")
+    salted = near.join(small(salts), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
+    right = small(stored(salted.select("a", "salt", "b"), "jaccard-salted")).join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    left = small(salts).join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").select("a", "sa", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    both = right.join(left, ["a", "salt"])
     na, nb = F.size("sa"), F.size("sb")
-    both = both.filter(100 * F.least(na, nb) >= percent * F.greatest(na, nb))
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     return both.filter(100 * common >= percent * (na + nb - common)).select("a", "b")
 
 
 def _star(members: DataFrame, center: Column) -> DataFrame:
-    """Of members (key, id, component), each with the one of its bucket with the least `center`, if of another component."""
+    """Of members (key, id, component), each with a member of another component: of those with the least `center` in one
+    of its buckets, the one that it shares most buckets with."""
     first = members.groupBy("key").agg(F.min(F.struct(center.alias("o"), "id", "component")).alias("c"))
-    return members.join(first, "key").filter(F.col("component") != F.col("c.component")).select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
+    met = members.join(first, "key").filter(F.col("component") != F.col("c.component")).groupBy("id", F.col("c.id").alias("other")).agg(F.count("*").alias("n"))
+    best = met.groupBy("id").agg(F.max(F.struct("n", (-F.col("other")).alias("other"))).alias("m"))
+    return best.select(F.least("id", -F.col("m.other")).alias("a"), F.greatest("id", -F.col("m.other")).alias("b")).distinct()
 
 
 def _still_apart(members: DataFrame) -> DataFrame:
-    """Members of buckets whose members are of more than one component, one row for each."""
+    """Members of buckets whose members are of more than one component."""
     several = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
     return members.join(several, "key", "left_semi")
 
@@ -190,6 +246,49 @@ def _relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.drop("component").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
+def _shared(parts: DataFrame) -> DataFrame:
+    """The rows of buckets of more than one document."""
+    w = Window.partitionBy("key")
+    return parts.withColumn("lo", F.min("id").over(w)).withColumn("hi", F.max("id").over(w)).filter("lo <> hi").select("key", "id")
+
+
+def _all_apart(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of a bucket that are of two components; of a large bucket, those that their sketches don't rule out."""
+    members = stored(_still_apart(members), "jaccard-apart")
+    count = members.select("key", "component").distinct().groupBy("key").agg(F.count("*").alias("n"))
+    large = stored(members.join(count.filter(F.col("n") > LARGE).select("key"), "key", "left_semi"), "jaccard-large")
+    direct = members.join(count.filter(F.col("n") <= LARGE).select("key"), "key", "left_semi")
+    other = direct.select("key", F.col("id").alias("id2"), F.col("component").alias("component2"))
+    pairs = direct.join(other, "key").filter("component <> component2 AND id < id2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    return pairs.unionByName(_blocks_apart(large, sets, percent)).distinct()
+
+
+def _blocks_apart(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of large buckets, compared block by block: a member goes to each pair of its block with another."""
+    count = stored(large.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "jaccard-blocks")
+    placed = large.join(small(count), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("p"), F.greatest("own", o).alias("q")))
+    sketches = sets.select("id", F.size("set").alias("n"), F.explode("sketches").alias("s")).select("id", "n", "s.band", "s.bytes")
+    rows = placed.join(sketches, "id").select("key", "band", "own", "id", "component", "n", "bytes", F.explode(every).alias("pair")).select("key", "band", "pair.p", "pair.q", "own", "id", "component", "n", "bytes")
+
+    def compared(group: pd.DataFrame) -> pd.DataFrame:
+        p, q = group["p"].iloc[0], group["q"].iloc[0]
+        left = group[group["own"] == p].sort_values("n", kind="stable")
+        right = left if p == q else group[group["own"] == q].sort_values("n", kind="stable")
+        x, y = (np.stack([np.frombuffer(b, np.uint8) for b in g["bytes"]]) if len(g) else np.zeros((0, 1), np.uint8) for g in (left, right))
+        ids, others, n, m = left["id"].to_numpy(), right["id"].to_numpy(), left["n"].to_numpy(), right["n"].to_numpy()
+        component, other = left["component"].to_numpy(), right["component"].to_numpy()
+        out = []
+        for i in range(len(left)):
+            near = slice(np.searchsorted(m, -(-n[i] * percent // 100), "left"), np.searchsorted(m, n[i] * 100 // percent, "right"))
+            differ = np.count_nonzero(y[near] != x[i], axis=1)
+            ok = (differ <= (100 - percent) * (n[i] + m[near]) // (100 + percent)) & (other[near] != component[i])
+            out += [(min(ids[i], o), max(ids[i], o)) for o in others[near][ok]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("key", "band", "p", "q").applyInPandas(compared, "a long, b long")
+
+
 def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs: distinct shingles of `width` words (lower-case A-Z, split at
     ASCII white space; fewer words are one shingle), and the smallest doc_id reachable by links, which are of sets with
@@ -198,36 +297,20 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     slim = stored(classes(docs, width), "jaccard-classes")
     real = slim.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     group = stored(real.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "jaccard-groups")
-    copies = stored(real.join(group.filter("n > 1"), ["n_shingles", "d1", "d2"]).filter("doc_id <> rep").select("doc_id", "rep"), "jaccard-copies")
-    single = docs.filter(F.col("doc_id").isNotNull()).join(small(copies.select("doc_id").distinct()), "doc_id", "left_anti")
-    parts = _buckets(single, width, percent)
-    members = stored(_shared(parts), "jaccard-buckets").withColumn("component", F.col("id"))
-    sets = stored(_sets(docs.join(small(stored(members.select(F.col("id").alias("doc_id")).distinct(), "jaccard-ids")), "doc_id", "left_semi"), width).dropDuplicates(["id"]), "jaccard-sets")
-    links = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    checked = None
+    copies = stored(real.join(group.filter("n > 1"), ["n_shingles", "d1", "d2"]).filter("doc_id <> rep").select("doc_id", "rep").distinct(), "jaccard-copies")
+    single = docs.filter(F.col("doc_id").isNotNull()).join(small(copies.select("doc_id")), "doc_id", "left_anti")
+    members = stored(_shared(_buckets(single, width, percent)), "jaccard-buckets")
+    ids = small(stored(members.select(F.col("id").alias("doc_id")).distinct(), "jaccard-ids"))
+    sets = stored(_sets(docs.join(ids, "doc_id", "left_semi"), width, percent).dropDuplicates(["id"]), "jaccard-sets")
+    links, apart = None, members.withColumn("component", F.col("id"))
     for k in range(STAR_ROUNDS + 1):
-        pairs = _star(members, F.xxhash64(F.lit(k), "id") if k else F.col("id")) if k < STAR_ROUNDS else _all_apart(members)
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "jaccard-pairs")
+        pairs = stored(_star(apart, F.xxhash64(F.lit(k), "id") if k else F.col("id")) if k < STAR_ROUNDS else _all_apart(apart, sets, percent), "jaccard-pairs")
         found = stored(_linked(pairs, sets, percent), "jaccard-links")
-        links = links.unionByName(found)
-        checked = pairs if checked is None else checked.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
         if k < STAR_ROUNDS:
-            members = stored(_still_apart(_relabelled(members, links)), "jaccard-apart")
-            if members.isEmpty():
+            apart = stored(_still_apart(_relabelled(members, links)), "jaccard-apart")
+            if apart.isEmpty():
                 break
     found = stored(components(links), "components")
-    return slim.join(found, slim.doc_id == found.id, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def _shared(parts: DataFrame) -> DataFrame:
-    """The rows of buckets of more than one document."""
-    w = Window.partitionBy("key")
-    return parts.withColumn("lo", F.min("id").over(w)).withColumn("hi", F.max("id").over(w)).filter("lo <> hi").select("key", "id")
-
-
-def _all_apart(members: DataFrame) -> DataFrame:
-    """All pairs of a bucket that are of two components."""
-    other = members.select("key", F.col("id").alias("id2"), F.col("component").alias("component2"))
-    return members.join(other, "key").filter("component <> component2 AND id < id2").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    mapped = slim.join(copies, "doc_id", "left").withColumn("id", F.coalesce("rep", "doc_id"))
+    return mapped.join(found, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
