@@ -95,8 +95,14 @@ def _shipped(query):
     return run
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {q.__name__: _shipped(q) for q in _QUERIES}
+    return {"pipeline": _shipped(pipeline)} | {q.__name__: _shipped(q) for q in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
