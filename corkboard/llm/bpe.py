@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 
-from corkboard.llm.pretokens import Cache, byte_letters
+from corkboard.llm.pretokens import Cache, byte_letters, spaced
 
 #: Field numbers and kinds of the public sentencepiece_model.proto.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -78,6 +78,7 @@ class ByteBpe:
         self.to_letters = {b: c for b, c in enumerate(letters)}
         self.to_bytes = {c: bytes([b]) for b, c in enumerate(letters)}
         self.cache = Cache(self._find)
+        self.spaced = Cache(self._find_spaced)
 
     def _ids(self, pieces: list[str]) -> list[list[int]]:
         raw = [p.encode() for p in pieces]
@@ -96,13 +97,28 @@ class ByteBpe:
     def encode(self, text: str) -> list[int]:
         return [i for ids in self._ids(self.pattern.findall(text)) for i in ids]
 
+    def _found(self, pieces: list[str]) -> list[tuple[int, str, bytes]]:
+        self.cache.need(pieces)
+        return [self.cache[p] for p in pieces]
+
+    def _find_spaced(self, parts: list[str]) -> list[tuple[int, str, bytes]]:
+        """As _find, of parts that follow a space, each of some pre-tokens."""
+        split = [self.pattern.findall(" " + p) for p in parts]
+        self.cache.need([x for pieces in split for x in pieces])
+        found = [[self.cache[x] for x in pieces] for pieces in split]
+        return [(sum(p[0] for p in f), ",".join([p[1] for p in f]), b"".join([p[2] for p in f])) for f in found]
+
     def parts(self, text: str) -> list[tuple[int, str, bytes]]:
-        pieces = self.pattern.findall(text)
+        """(number of ids, ids in decimal, bytes that they decode to) of successive parts of text."""
+        parts = spaced(text)
+        if parts is None:
+            return self._found(self.pattern.findall(text))
+        rest = parts[1:]
         try:
-            return [self.cache[p] for p in pieces]
+            return self._found(self.pattern.findall(parts[0])) + [self.spaced[p] for p in rest]
         except KeyError:
-            self.cache.need(pieces)
-            return [self.cache[p] for p in pieces]
+            self.spaced.need(rest)
+            return self._found(self.pattern.findall(parts[0])) + [self.spaced[p] for p in rest]
 
 
 @functools.lru_cache(maxsize=2)

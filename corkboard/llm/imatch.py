@@ -40,16 +40,18 @@ def lexicon(docs: DataFrame) -> DataFrame:
 
 
 def _hashes(rows: DataFrame, keys: list[str], words: DataFrame) -> DataFrame:
-    """keys, side, fingerprint: rows has keys and sides array<struct<side, terms>>. Rows of one key must lie in one
-    partition already, so that nothing moves but the lexicon."""
-    each = rows.select(*keys, F.explode("sides").alias("s")).select(*keys, "s.side", F.explode_outer("s.terms").alias("term"))
+    """keys, side, fingerprint, meta: rows has keys and each array<struct<side, term, meta>>. Rows of one key must lie in one
+    partition already, so that nothing moves but the lexicon. The empty term, which every text is given, is in the lexicon
+    with the slot -1: so a text without other terms of the lexicon stays, and so does what it carries as meta."""
+    spark = rows.sparkSession
+    words = words.unionByName(spark.sql("SELECT '' AS term, array(-1) AS slots"))
     near = words if words.count() > MOST_TERMS else F.broadcast(words)
-    met = each.join(near, "term", "left").select(*keys, "side", "term", F.explode_outer("slots").alias("slot"))
-    subsets = met.groupBy(*keys, "side", "slot").agg(F.substring(F.md5(F.array_join(F.sort_array(F.collect_list(F.when(F.col("slot").isNotNull(), F.col("term")))), " ")), 1, HEX).alias("hash"), F.count("slot").alias("n"))
-    # every term of the lexicon is in one subset of the first scale
-    entry = F.when(F.col("slot").isNotNull(), F.concat(F.lpad(F.hex(F.col("slot").cast("long")), 2, "0"), F.col("hash")))
-    whole = F.sum(F.when(F.col("slot") < SUBSETS, F.col("n")))
-    return subsets.groupBy(*keys, "side").agg(F.concat(F.coalesce(whole, F.lit(0)).cast("string"), F.lit(":"), F.array_join(F.sort_array(F.collect_list(entry)), "")).alias("fingerprint"))
+    each = rows.select(*keys, F.inline("each")).join(near, "term")
+    met = each.select(*keys, "side", "term", "meta", F.explode("slots").alias("slot"))
+    subsets = met.groupBy(*keys, "side", "slot").agg(F.substring(F.md5(F.array_join(F.sort_array(F.collect_list("term")), " ")), 1, HEX).alias("hash"), F.count("*").alias("n"), F.max("meta").alias("meta"))
+    entry = F.when(F.col("slot") >= 0, F.concat(F.lpad(F.hex(F.col("slot").cast("long")), 2, "0"), F.col("hash")))
+    whole = F.sum(F.when(F.col("slot").between(0, SUBSETS - 1), F.col("n")).otherwise(0))  # every term is in one subset of the first scale
+    return subsets.groupBy(*keys, "side").agg(F.concat(whole.cast("string"), F.lit(":"), F.array_join(F.sort_array(F.collect_list(entry)), "")).alias("fingerprint"), F.max("meta").alias("meta"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -96,10 +98,16 @@ def compare(docs: DataFrame) -> DataFrame:
     without lexicon terms have the fingerprint `0:`."""
     words = lexicon(docs.select("text"))
     edited = F.concat(F.expr("substr(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.expr("substr(coalesce(next, ''), 1, cast(floor(length(text) / 3) as int))"))
-    rows = _with_next(docs).withColumn("edited", edited).withColumn("n_chars", F.length("text").cast("long")).withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256))
-    sides = F.array(*[F.struct(F.lit(k).alias("side"), terms(F.col(c)).alias("terms")) for k, c in enumerate(("text", "edited"))])
-    keys = ["bucket", "place", "ghost", "doc_id", "n_chars", "edited_sha256"]
-    prints = _hashes(rows.withColumn("sides", sides), keys, words)
-    found = prints.groupBy(*keys).agg(*[F.max(F.when(F.col("side") == k, F.col("fingerprint"))).alias(c) for k, c in enumerate(("fingerprint", "edited_fingerprint"))])
-    found = found.withColumn("next_fingerprint", F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("place"))).filter(~F.col("ghost"))
+    rows = _with_next(docs).withColumn("edited", edited)
+    meta = F.struct("ghost", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
+    none = F.lit(None).cast("struct<ghost: boolean, doc_id: bigint, n_chars: bigint, edited_sha256: string>")
+
+    def sided(side: int, column: str) -> Column:
+        return F.transform(terms(F.col(column)), lambda t: F.struct(F.lit(side).alias("side"), t.alias("term"), none.alias("meta")))
+
+    sides = [sided(0, "text"), sided(1, "edited")]
+    first = F.array(F.struct(F.lit(0).alias("side"), F.lit("").alias("term"), meta.alias("meta")), F.struct(F.lit(1).alias("side"), F.lit("").alias("term"), none.alias("meta")))
+    prints = _hashes(rows.withColumn("each", F.concat(first, *sides)), ["bucket", "place"], words)
+    found = prints.groupBy("bucket", "place").agg(*[F.max(F.when(F.col("side") == k, F.col("fingerprint"))).alias(c) for k, c in enumerate(("fingerprint", "edited_fingerprint"))], F.max("meta").alias("meta"))
+    found = found.withColumn("next_fingerprint", F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("place"))).select("*", "meta.*").filter(~F.col("ghost"))
     return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
