@@ -6,6 +6,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 import struct
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 
-from corkboard.llm.pretokens import Cache, byte_letters, spaced
+from corkboard.llm.pretokens import Cache, byte_letters
 
 #: Field numbers and kinds of the public sentencepiece_model.proto.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -78,7 +79,6 @@ class ByteBpe:
         self.to_letters = {b: c for b, c in enumerate(letters)}
         self.to_bytes = {c: bytes([b]) for b, c in enumerate(letters)}
         self.cache = Cache(self._find)
-        self.spaced = Cache(self._find_spaced)
 
     def _ids(self, pieces: list[str]) -> list[list[int]]:
         raw = [p.encode() for p in pieces]
@@ -97,28 +97,11 @@ class ByteBpe:
     def encode(self, text: str) -> list[int]:
         return [i for ids in self._ids(self.pattern.findall(text)) for i in ids]
 
-    def _found(self, pieces: list[str]) -> list[tuple[int, str, bytes]]:
-        self.cache.need(pieces)
-        return [self.cache[p] for p in pieces]
-
-    def _find_spaced(self, parts: list[str]) -> list[tuple[int, str, bytes]]:
-        """As _find, of parts that follow a space, each of some pre-tokens."""
-        split = [self.pattern.findall(" " + p) for p in parts]
-        self.cache.need([x for pieces in split for x in pieces])
-        found = [[self.cache[x] for x in pieces] for pieces in split]
-        return [(sum(p[0] for p in f), ",".join([p[1] for p in f]), b"".join([p[2] for p in f])) for f in found]
-
-    def parts(self, text: str) -> list[tuple[int, str, bytes]]:
-        """(number of ids, ids in decimal, bytes that they decode to) of successive parts of text."""
-        parts = spaced(text)
-        if parts is None:
-            return self._found(self.pattern.findall(text))
-        rest = parts[1:]
-        try:
-            return self._found(self.pattern.findall(parts[0])) + [self.spaced[p] for p in rest]
-        except KeyError:
-            self.spaced.need(rest)
-            return self._found(self.pattern.findall(parts[0])) + [self.spaced[p] for p in rest]
+    def parts(self, texts: list[str]) -> list[list[tuple[int, str, bytes]]]:
+        """_find of each text's pre-tokens, in order."""
+        split = [self.pattern.findall(t) for t in texts]
+        self.cache.need(set(itertools.chain.from_iterable(split)))
+        return [[self.cache[x] for x in pieces] for pieces in split]
 
 
 @functools.lru_cache(maxsize=2)
@@ -133,7 +116,7 @@ def encode(docs: DataFrame, file: str, pattern: str, text: str = "text") -> Data
     def encoded(batches):
         bpe = byte_bpe(file, pattern)
         for batch in batches:
-            ids = [[int(i) for p in bpe.parts(t.as_py() or "") for i in p[1].split(",")] for t in batch.column(text)]
+            ids = [[int(i) for p in parts for i in p[1].split(",")] for t in batch.column(text) for parts in bpe.parts([t.as_py() or ""])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
 
     return kept.mapInArrow(encoded, StructType([*kept.schema.fields]).add("ids", ArrayType(IntegerType())))
@@ -160,11 +143,11 @@ def round_trip(docs: DataFrame, file: str, pattern: str) -> DataFrame:
         bpe = byte_bpe(file, pattern)
         for batch in batches:
             n, ids, back = [], [], []
-            for text in batch.column("text"):
-                parts = bpe.parts(text.as_py() or "")
-                n.append(sum([p[0] for p in parts]))
-                ids.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
-                back.append(hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest())
+            for first in range(0, batch.num_rows, 100):
+                for parts in bpe.parts([t or "" for t in batch.column("text").slice(first, 100).to_pylist()]):
+                    n.append(sum([p[0] for p in parts]))
+                    ids.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
+                    back.append(hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(n, np.int64)), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", F.col("text")).mapInArrow(digested, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import re
@@ -12,38 +13,32 @@ import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries that a worker keeps of pieces it has met; beyond it, it begins anew. Only speed depends on it.
-CACHE_PIECES = 200_000
+#: Entries that a worker keeps of pieces it has met. Only speed depends on it.
+CACHE_PIECES = 250_000
 
 #: Below this, all Unicode versions agree on what is a letter, a number and white space.
 _UNSURE = re.compile("[^\x00-ʯ]")
-#: White space other than space and line feed, and whatever isn't surely something else.
-_ODD = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0]|[^\x00-ʯ]")
-
-
-def spaced(text: str) -> list[str] | None:
-    """The parts of text between its spaces, if each space stands between others than white space or at an end: then a
-    pre-token begins at every space, and each part's pre-tokens are the same whatever the text around. Else None."""
-    if "  " in text or " \n" in text or "\n " in text or _ODD.search(text) is not None:
-        return None
-    return text.split(" ")
-
 
 class Cache(dict):
-    """piece -> value, found for many missing pieces at once."""
+    """piece -> value, found for many missing pieces at once. When full, what was not used since it was last full goes."""
 
     def __init__(self, find, most: int = CACHE_PIECES):
         super().__init__()
         self.find, self.most = find, most
+        self.old: dict = {}
 
     def need(self, pieces) -> None:
+        """From now until the next call, self has all of pieces."""
         missing = [p for p in dict.fromkeys(pieces) if p not in self]
-        if not missing:
-            return
         if len(self) + len(missing) > self.most:
+            self.old = dict(self)
             self.clear()
             missing = list(dict.fromkeys(pieces))
-        self.update(zip(missing, self.find(missing), strict=True))
+        known = [p for p in missing if p in self.old]
+        self.update(zip(known, map(self.old.__getitem__, known), strict=True))
+        new = [p for p in missing if p not in self.old] if known else missing
+        if new:
+            self.update(zip(new, self.find(new), strict=True))
 
 
 class HubTokenizer:
@@ -66,7 +61,6 @@ class HubTokenizer:
             raise ValueError("added tokens must be plain strings")
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.ids = Cache(self._encode)
-        self.parts = Cache(self._encode_parts)
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         """Each piece's ids as little-endian unsigned 32-bit integers."""
@@ -84,28 +78,12 @@ class HubTokenizer:
             return self.pattern.findall(text)
         return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]  # by the library's own tables
 
-    def _encode_parts(self, parts: list[str]) -> list[bytes]:
-        split = [self._split(" " + p) for p in parts]
-        self.ids.need([x for pieces in split for x in pieces])
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers; the library encodes each pre-token that isn't known."""
+        split = [self.pieces(t) for t in texts]
+        self.ids.need(set(itertools.chain.from_iterable(split)))
         return [b"".join([self.ids[x] for x in pieces]) for pieces in split]
 
-    def _joined(self, pieces: list[str]) -> bytes:
-        self.ids.need(pieces)
-        return b"".join([self.ids[x] for x in pieces])
-
-    def encode(self, text: str) -> bytes:
-        """The ids of text as little-endian unsigned 32-bit integers. The library encodes each pre-token; a part between
-        spaces is looked up whole where it was met before."""
-        parts = None if any(x in text for x in self.added) else spaced(text)
-        if parts is None:
-            return self._joined(self.pieces(text))
-        head, rest = self._joined(self._split(parts[0])), parts[1:]
-        try:
-            return head + b"".join([self.parts[x] for x in rest])
-        except KeyError:
-            self.parts.need(rest)
-            return head + b"".join([self.parts[x] for x in rest])
-
 
 @functools.lru_cache(maxsize=4)
 def hub_tokenizer(file: str) -> HubTokenizer:

@@ -32,9 +32,9 @@ def encode(docs: DataFrame, file: str, end: int = END) -> DataFrame:
     def encoded(batches):
         tokenizer, before, part = hub_tokenizer(file), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for first in range(0, batch.num_rows, 200):
-                rows = batch.slice(first, 200)
-                found = [tokenizer.encode(x.as_py()) + last for x in rows.column("text")]
+            for first in range(0, batch.num_rows, 100):
+                rows = batch.slice(first, 100)
+                found = [x + last for x in tokenizer.encode(rows.column("text").to_pylist())]
                 sizes = np.array([len(x) // 4 for x in found], np.int64)
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
                 ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<u4").astype(np.int32)))
