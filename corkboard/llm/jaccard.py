@@ -213,9 +213,9 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(kept, "a long, b long").distinct()
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked, by their whole sets. a's set goes once to each GROUP of its pairs."""
-    near = stored(_near(pairs, sets, percent), "jaccard-near")
+def _linked(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of near that are linked, by their whole sets. a's set goes once to each GROUP of its pairs."""
+    near = stored(near, "jaccard-near")
     salts = stored(near.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("salts")), "jaccard-salts")
     salted = near.join(small(salts), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
     right = small(stored(salted.select("a", "salt", "b"), "jaccard-salted")).join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
@@ -253,14 +253,14 @@ def _shared(parts: DataFrame) -> DataFrame:
 
 
 def _all_apart(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs of a bucket that are of two components; of a large bucket, those that their sketches don't rule out."""
+    """The pairs of a bucket that are of two components and that their sketches don't rule out."""
     members = stored(_still_apart(members), "jaccard-apart")
     count = members.select("key", "component").distinct().groupBy("key").agg(F.count("*").alias("n"))
     large = stored(members.join(count.filter(F.col("n") > LARGE).select("key"), "key", "left_semi"), "jaccard-large")
     direct = members.join(count.filter(F.col("n") <= LARGE).select("key"), "key", "left_semi")
     other = direct.select("key", F.col("id").alias("id2"), F.col("component").alias("component2"))
     pairs = direct.join(other, "key").filter("component <> component2 AND id < id2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
-    return pairs.unionByName(_blocks_apart(large, sets, percent)).distinct()
+    return _near(stored(pairs.distinct(), "jaccard-pairs"), sets, percent).unionByName(_blocks_apart(large, sets, percent)).distinct()
 
 
 def _blocks_apart(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -304,8 +304,11 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     sets = stored(_sets(docs.join(ids, "doc_id", "left_semi"), width, percent).dropDuplicates(["id"]), "jaccard-sets")
     links, apart = None, members.withColumn("component", F.col("id"))
     for k in range(STAR_ROUNDS + 1):
-        pairs = stored(_star(apart, F.xxhash64(F.lit(k), "id") if k else F.col("id")) if k < STAR_ROUNDS else _all_apart(apart, sets, percent), "jaccard-pairs")
-        found = stored(_linked(pairs, sets, percent), "jaccard-links")
+        if k < STAR_ROUNDS:
+            near = _near(stored(_star(apart, F.xxhash64(F.lit(k), "id") if k else F.col("id")), "jaccard-pairs"), sets, percent)
+        else:
+            near = _all_apart(apart, sets, percent)
+        found = stored(_linked(near, sets, percent), "jaccard-links")
         links = found if links is None else links.unionByName(found)
         if k < STAR_ROUNDS:
             apart = stored(_still_apart(_relabelled(members, links)), "jaccard-apart")

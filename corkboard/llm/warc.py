@@ -56,11 +56,12 @@ def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + END + block + END + END
 
 
-def records(page_id, url: str, payload: bytes, digest: str, refers_to, revisit: bool) -> list[bytes]:
-    """The records of one page: a response, in segments if long, or a revisit of the one that refers_to names."""
+def records(page_id, url: str, payload: bytes, size: int, digest: str, refers_to, revisit: bool) -> list[bytes]:
+    """The records of one page: a response, in segments if long, or a revisit, which needs no payload, of the one that
+    refers_to names. size: bytes of the payload."""
     own = f"<urn:uuid:{uuid.uuid4()}>"
     line = "".join(c for c in url if c.isprintable())
-    fields = [("WARC-Record-ID", own), ("WARC-Date", DATE), ("WARC-Target-URI", line), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-ID", "" if page_id is None else str(page_id)), ("X-Payload-Length", str(len(payload)))]
+    fields = [("WARC-Record-ID", own), ("WARC-Date", DATE), ("WARC-Target-URI", line), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-ID", "" if page_id is None else str(page_id)), ("X-Payload-Length", str(size))]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     kind = ("Content-Type", "application/http; msgtype=response")
     if revisit:
@@ -80,9 +81,9 @@ def _lines(batches):
     """Records as text without their last line end, which the sink adds."""
     for batch in batches:
         out = []
-        columns = [batch.column(c) for c in ("page_id", "url", "html", "digest", "refers_to", "revisit")]
-        for page_id, url, html, digest, refers_to, revisit in zip(*columns, strict=True):
-            found = records(page_id.as_py(), url.as_py() or "", (html.as_py() or "").encode(), digest.as_py(), refers_to.as_py(), revisit.as_py())
+        columns = [batch.column(c) for c in ("page_id", "url", "html", "size", "digest", "refers_to", "revisit")]
+        for page_id, url, html, size, digest, refers_to, revisit in zip(*columns, strict=True):
+            found = records(page_id.as_py(), url.as_py() or "", (html.as_py() or "").encode(), size.as_py(), digest.as_py(), refers_to.as_py(), revisit.as_py())
             out += [r[: -len(END)].decode() for r in found]
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
@@ -95,7 +96,7 @@ def write(pages: DataFrame, path: str) -> None:
     groups = keyed.filter(F.octet_length("html") >= LEAST_REVISIT).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
     copied = stored(groups.filter("n > 1").select("digest", "keeper"), "warc-copied")
     told = keyed.join(small(copied), "digest", "left").withColumn("revisit", F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")))
-    rows = told.select("page_id", "url", F.when(~F.col("revisit"), F.col("html")).alias("html"), "digest", F.col("keeper").alias("refers_to"), "revisit")
+    rows = told.select("page_id", "url", F.when(~F.col("revisit"), F.col("html")).alias("html"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"), "digest", F.col("keeper").alias("refers_to"), "revisit")
     rows.mapInArrow(_lines, "value string").write.option("lineSep", "\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
