@@ -63,7 +63,7 @@ class Model:
 def fit(labelled: DataFrame, most: int = MOST_LABELLED, seed: int = 3) -> Model:
     """Fit on the rows of (doc_id, text, lang) whose lang isn't null, on a sample of about `most` rows, whole texts.
     Each document's counts are scaled to at most 2,000 n-grams, so that a few long ones don't outweigh the rest."""
-    sample = bounded_sample(labelled.filter(F.col("lang").isNotNull()), F.col("doc_id"), most, seed).select("text", "lang")
+    sample = bounded_sample(labelled.filter(F.col("lang").isNotNull()), F.col("doc_id"), most, seed).select("text", "lang").repartition(8)  # bounded, so few tasks and matrices
 
     def counted(batches):
         totals: dict[str, np.ndarray] = {}
