@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 
-from corkboard.llm.pretokens import Cache, byte_letters
+from corkboard.llm.pretokens import CACHE_PIECES, Cache, byte_letters
 
 #: Field numbers and kinds of the public sentencepiece_model.proto.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -78,7 +78,7 @@ class ByteBpe:
         letters = byte_letters()
         self.to_letters = {b: c for b, c in enumerate(letters)}
         self.to_bytes = {c: bytes([b]) for b, c in enumerate(letters)}
-        self.cache = Cache(self._find)
+        self.cache = Cache(self._find, CACHE_PIECES // 2)  # its values are larger than ids alone
 
     def _ids(self, pieces: list[str]) -> list[list[int]]:
         raw = [p.encode() for p in pieces]

@@ -76,7 +76,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def row_blocks(offsets: np.ndarray, most_bytes: int = 4 << 20):
+def row_blocks(offsets: np.ndarray, most_bytes: int = 1 << 20):
     """Runs (first, end) of rows with at most most_bytes each, or a single longer row."""
     first, n = 0, len(offsets) - 1
     while first < n:
