@@ -21,9 +21,14 @@ TAG = r"(?<![\w/#])#([A-Za-z][A-Za-z0-9_/-]*)"
 INLINE_CODE = r"(`+)(.*?)\1"
 
 
+def raw_tokens(text: Column) -> Column:
+    """Lower-case tokens in order, with those that `tokens` leaves out."""
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: F.replace(F.lower(t), F.lit("’"), F.lit("'")))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case tokens in order, without stop words, short ones, numbers, ids and hexadecimal runs."""
-    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: F.regexp_replace(F.lower(t), "’", "'"))
+    found = raw_tokens(text)
 
     def kept(t: Column) -> Column:
         compact = F.regexp_replace(t, "[-_]", "")

@@ -8,7 +8,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corkboard.functions.text import STOPWORDS, TOKEN, citation, idf, tf, tokens
+from corkboard.functions.text import STOPWORDS, TOKEN, citation, idf, raw_tokens, tf, tokens
 
 
 def query_terms(query: str) -> dict[str, int]:
@@ -23,11 +23,9 @@ def query_terms(query: str) -> dict[str, int]:
 
 
 def terms(sections: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """(section_id, note_id, term, term_count) of sections (section_id, note_id, text); `only` keeps these terms before
-    anything is exploded."""
-    found = tokens(F.col("text"))
-    if only is not None:
-        found = F.filter(found, lambda t: t.isin(only))
+    """(section_id, note_id, term, term_count) of sections (section_id, note_id, text); `only`, terms by
+    query_terms, keeps these before anything is exploded and spares the other rules, which they meet."""
+    found = tokens(F.col("text")) if only is None else F.filter(raw_tokens(F.col("text")), lambda t: t.isin(only))
     return sections.select("section_id", "note_id", F.explode(found).alias("term")).groupBy("section_id", "note_id", "term").agg(F.count("*").alias("term_count"))
 
 
