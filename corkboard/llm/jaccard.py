@@ -12,7 +12,8 @@ sets with more are joined by their empty parts too, which then both of a pair ha
 Equal sets are one class, told by a 128-bit digest, and only a class's smallest document is joined. In a bucket of equal parts,
 each member is compared to one other first; members that links have already brought together need no more comparison. What is
 still apart in a bucket is compared in full at last: in a large bucket (of a passage that many documents share, say) by their
-sketches, a byte a part, in blocks, so that no pair becomes a row that the sketches rule out.
+sketches' bits, in blocks, so that no pair becomes a row that the sketches rule out. These sketches are BITS bits a shingle
+long, so that few of a set's shingles meet in a bit and the distance of bits is nearly that of the sets.
 """
 
 from __future__ import annotations
@@ -35,6 +36,10 @@ STAR_ROUNDS = 2
 #: Components in a bucket beyond which sketches are compared in blocks of BLOCK members, not as rows of a join.
 LARGE = 8
 BLOCK = 1024
+#: Bits of a compared sketch for each shingle of its band's largest set.
+BITS = 4
+#: Low bits of a bucket's key that tell its band.
+BAND_BITS = 6
 #: Pairs of one document that are verified in one go.
 GROUP = 64
 
@@ -64,9 +69,10 @@ def _smallest(first: int, percent: int) -> int:
     return -(-first * percent // 100)
 
 
-def _sketches(flat: np.ndarray, bounds: np.ndarray, rows: np.ndarray, band: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in rows, part, XOR) for each part with bits of the sketches of some rows' sets, in a band each."""
-    k = bands(percent)[2][band].astype(np.uint64)
+def _sketches(flat: np.ndarray, bounds: np.ndarray, rows: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place in rows, part, where in elements it starts, elements) for each part with elements of some rows' sets, each
+    cut in its number of parts."""
+    k = parts.astype(np.uint64)
     sizes = bounds[rows + 1] - bounds[rows]
     which = np.repeat(np.arange(len(rows)), sizes)
     x = flat[np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(bounds[rows], sizes)]
@@ -74,30 +80,34 @@ def _sketches(flat: np.ndarray, bounds: np.ndarray, rows: np.ndarray, band: np.n
     new = np.ones(len(x), bool)
     new[1:] = (which[1:] != which[:-1]) | (part[1:] != part[:-1])
     starts = np.flatnonzero(new)
-    value = np.bitwise_xor.reduceat(mix(x + np.uint64(0x5851F42D4C957F2D)), starts) if len(starts) else np.zeros(0, np.uint64)
-    return which[starts], part[starts], value
+    return which[starts], part[starts], starts, x
 
 
 def _sketch_keys(flat: np.ndarray, bounds: np.ndarray, rows: np.ndarray, band: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) for each part: key is a hash of band, part and the part's XOR. Empty parts only of sets with many."""
+    """(row, key) for each part: key is a hash of part and the part's XOR, and the band. Empty parts only of sets with many."""
     _, allowed, parts = bands(percent)
-    owner, part, value = _sketches(flat, bounds, rows, band, percent)
+    owner, part, starts, x = _sketches(flat, bounds, rows, parts[band])
+    value = np.bitwise_xor.reduceat(mix(x + np.uint64(0x5851F42D4C957F2D)), starts) if len(starts) else np.zeros(0, np.uint64)
     empty = parts[band] - np.bincount(owner, minlength=len(rows))
     for i in np.flatnonzero(empty >= parts[band] - allowed[band]):  # few
         missing = np.setdiff1d(np.arange(parts[band[i]], dtype=np.uint64), part[owner == i])
         owner, part, value = np.append(owner, np.full(len(missing), i)), np.append(part, missing), np.append(value, np.zeros(len(missing), np.uint64))
     key = mix(value ^ mix(part * np.uint64(0x9E3779B97F4A7C15) + band[owner].astype(np.uint64)))
+    key = (key >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS)) | band[owner].astype(np.uint64)
     return rows[owner], key.view(np.int64)
 
 
-def _sketch_bytes(flat: np.ndarray, bounds: np.ndarray, rows: np.ndarray, band: np.ndarray, percent: int) -> list[bytes]:
-    """Each sketch as a byte a part, 0 for an empty one."""
-    parts = bands(percent)[2][band]
-    owner, part, value = _sketches(flat, bounds, rows, band, percent)
-    starts = np.concatenate([[0], np.cumsum(parts)])
-    out = np.zeros(starts[-1], np.uint8)
-    out[starts[owner] + part.astype(np.int64)] = (value >> np.uint64(56)).astype(np.uint8)
-    return [out[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
+def _sketch_bits(flat: np.ndarray, bounds: np.ndarray, rows: np.ndarray, band: np.ndarray, percent: int) -> list[bytes]:
+    """Each set's parity sketch, of as many bits as its band has, in words of 64 bits."""
+    firsts = np.append(bands(percent)[0], 1 << 31)
+    bits = -(-firsts[band + 1] * BITS // 64) * 64
+    owner, part, starts, x = _sketches(flat, bounds, rows, bits)
+    odd = np.diff(np.append(starts, len(x))) % 2 == 1
+    ends = np.concatenate([[0], np.cumsum(bits)])
+    out = np.zeros(ends[-1], np.uint8)
+    out[ends[owner[odd]] + part[odd].astype(np.int64)] = 1
+    packed = np.packbits(out)
+    return [packed[a:b].tobytes() for a, b in zip(ends[:-1] // 8, ends[1:] // 8, strict=True)]
 
 
 def _in_bands(sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +165,7 @@ def _buckets(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(id, set, sketches): sketches by band, a byte a part."""
+    """(id, set, sketches): sketches by band, in bits."""
     sketch = pa.struct([("band", pa.int32()), ("bytes", pa.binary())])
 
     def listed(batches):
@@ -165,7 +175,7 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 own: list[list] = [[] for _ in range(len(ids))]
                 for first in range(0, len(rows), 2000):
                     r, b = rows[first : first + 2000], band[first : first + 2000]
-                    for i, j, x in zip(r, b, _sketch_bytes(flat, bounds, r, b, percent), strict=True):
+                    for i, j, x in zip(r, b, _sketch_bits(flat, bounds, r, b, percent), strict=True):
                         own[i].append({"band": int(j), "bytes": x})
                 sets = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([ids, sets, pa.array(own, pa.list_(sketch))], names=["id", "set", "sketches"])
@@ -207,7 +217,7 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def kept(batches):
         for batch in batches:
             most = (100 - percent) * (batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()) // (100 + percent)
-            differ = [np.count_nonzero(np.frombuffer(x.as_py(), np.uint8) != np.frombuffer(y.as_py(), np.uint8)) for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True)]
+            differ = [np.bitwise_count(np.frombuffer(x.as_py(), np.uint64) ^ np.frombuffer(y.as_py(), np.uint64)).sum(dtype=np.int64) for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(np.array(differ, np.int64) <= most))
 
     return near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(kept, "a long, b long").distinct()
@@ -269,24 +279,26 @@ def _blocks_apart(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     placed = large.join(small(count), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("p"), F.greatest("own", o).alias("q")))
     sketches = sets.select("id", F.size("set").alias("n"), F.explode("sketches").alias("s")).select("id", "n", "s.band", "s.bytes")
-    rows = placed.join(sketches, "id").select("key", "band", "own", "id", "component", "n", "bytes", F.explode(every).alias("pair")).select("key", "band", "pair.p", "pair.q", "own", "id", "component", "n", "bytes")
+    band = F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int")
+    rows = placed.withColumn("band", band).join(sketches, ["id", "band"]).select("key", "own", "id", "component", "n", "bytes", F.explode(every).alias("pair")).select("key", "pair.p", "pair.q", "own", "id", "component", "n", "bytes")
 
     def compared(group: pd.DataFrame) -> pd.DataFrame:
         p, q = group["p"].iloc[0], group["q"].iloc[0]
         left = group[group["own"] == p].sort_values("n", kind="stable")
         right = left if p == q else group[group["own"] == q].sort_values("n", kind="stable")
-        x, y = (np.stack([np.frombuffer(b, np.uint8) for b in g["bytes"]]) if len(g) else np.zeros((0, 1), np.uint8) for g in (left, right))
+        x, y = (np.stack([np.frombuffer(b, np.uint64) for b in g["bytes"]]) if len(g) else np.zeros((0, 1), np.uint64) for g in (left, right))
         ids, others, n, m = left["id"].to_numpy(), right["id"].to_numpy(), left["n"].to_numpy(), right["n"].to_numpy()
         component, other = left["component"].to_numpy(), right["component"].to_numpy()
-        out = []
+        out = [np.zeros((2, 0), np.int64)]
         for i in range(len(left)):
             near = slice(np.searchsorted(m, -(-n[i] * percent // 100), "left"), np.searchsorted(m, n[i] * 100 // percent, "right"))
-            differ = np.count_nonzero(y[near] != x[i], axis=1)
+            differ = np.bitwise_count(y[near] ^ x[i]).sum(axis=1, dtype=np.int64)
             ok = (differ <= (100 - percent) * (n[i] + m[near]) // (100 + percent)) & (other[near] != component[i])
-            out += [(min(ids[i], o), max(ids[i], o)) for o in others[near][ok]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            out.append(np.stack([np.minimum(others[near][ok], ids[i]), np.maximum(others[near][ok], ids[i])]))
+        a, b = np.concatenate(out, axis=1)
+        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
-    return rows.groupBy("key", "band", "p", "q").applyInPandas(compared, "a long, b long")
+    return rows.groupBy("key", "p", "q").applyInPandas(compared, "a long, b long")
 
 
 def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:

@@ -93,6 +93,44 @@ def test_jaccard(docs, empty, width, percent):
     assert jaccard.join(empty).count() == 0
 
 
+def test_jaccard_sketches():
+    """A sketch's distance never exceeds that of the sets, and is near it for sets that are nearly linked."""
+    rng = np.random.default_rng(5)
+    for size, edits in ((40, 3), (700, 60), (5000, 500), (5000, 900)):
+        base = rng.integers(0, 1 << 64, size, np.uint64)
+        other = np.concatenate([base[edits:], rng.integers(0, 1 << 64, edits, np.uint64)])
+        sets = [np.unique(base), np.unique(other)]
+        flat, bounds = np.concatenate(sets), np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])])
+        band = np.searchsorted(jaccard.bands(85)[0], [size, size], "right") - 1
+        x, y = (np.frombuffer(b, np.uint64) for b in jaccard._sketch_bits(flat, bounds, np.array([0, 1]), band, 85))
+        apart = np.bitwise_count(x ^ y).sum(dtype=np.int64)
+        assert 0.85 * 2 * edits - 3 <= apart <= 2 * edits
+
+
+def test_jaccard_blocks(spark, monkeypatch):
+    """A passage that many documents share, most of them otherwise different: compared in blocks, the same links."""
+    monkeypatch.setattr(jaccard, "LARGE", 2)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = {}
+    for g in range(20):
+        own = [f"g{g}w{i}" for i in range(40)]
+        for c in range(3):
+            words = list(own)
+            words[rng.randrange(40)] = f"x{g}c{c}"
+            texts[3 * g + c] = passage + " " + " ".join(words)
+    sets = {i: {tuple(w[j : j + 4]) for j in range(len(w) - 3)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    least = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                old, new = max(least[i], least[j]), min(least[i], least[j])
+                least = {k: new if v == old else v for k, v in least.items()}
+    found = jaccard.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in found.collect()} == least
+
+
 def test_tokens(spark, docs, empty):
     from tokenizers import Tokenizer
 
