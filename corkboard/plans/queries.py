@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corkboard.functions.text import STOPWORDS, excerpt, sanitised
-from corkboard.operators import changes, discovery, graph, search, trails
+from corkboard.operators import changes, discovery, export, graph, search, sections, trails
 from corkboard.sources import corpus
 
 QUERY, LIMIT, BUDGET, AS_OF = "tion ering onon erth ondethe inre thing", 10, 8000, "2026-01-01"
@@ -273,6 +273,66 @@ def degree_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.percentile(graph.degrees(graph.edges(corpus.linked_notes(spark, sf_dir))), "degree", 0.9)
 
 
+@query("""SELECT 100 + n_nationkey AS note_id, 0 AS ordinal, n_name AS heading, 2 AS line_start, 2 AS line_end, 'Part of [its region](../regions/' || replace(r_name, ' ', '%20') || '.md)' AS text FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 1000000 + s_suppkey, 0, s_name, 2, CASE WHEN s_suppkey % 7 = 0 THEN 3 ELSE 2 END, 'Based in [[' || n_name || '|home]]' || CASE WHEN s_suppkey % 7 = 0 THEN chr(10) || 'Once of [[Missing ' || s_suppkey || ']]' ELSE '' END FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT 1000000000 + c_custkey, 0, c_name, 2, 2, 'See [[' || n_name || ']] #segment/' || c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def note_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections with their lines; the regions' headings have no text below and so no section."""
+    return sections.sections(corpus.linked_notes(spark, sf_dir))
+
+
+@query(f"WITH {_NAMES} SELECT note_id, 1 AS line, 1 AS level, split_part(substr(text, 3), chr(10), 1) AS text FROM g")
+def heading_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.headings(corpus.linked_notes(spark, sf_dir))
+
+
+@query(f"WITH {_EDGES} SELECT source_id AS note_id, line, kind, 0 AS ordinal FROM e UNION ALL SELECT 1000000 + s_suppkey, 3, 'wikilink', 0 FROM supplier WHERE s_suppkey % 7 = 0 UNION ALL SELECT 1000000000 + c_custkey, 2, 'tag', 0 FROM customer")
+def covering_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The section that each link and tag stands in."""
+    notes = corpus.linked_notes(spark, sf_dir)
+    return sections.covering(graph.links(notes).select("note_id", "line", "kind"), sections.sections(notes))
+
+
+@query(f"""WITH {_EDGES}, {_NAMES}, d AS (SELECT me, count(*) AS degree FROM b GROUP BY me)
+SELECT note_id, path, domain, coalesce(degree, 0) AS degree, CASE WHEN domain = 'region' THEN 0 ELSE 1 END AS section_count, sha256(text) AS content_hash, CASE WHEN domain <> 'region' THEN substr(text, strpos(text, chr(10)) + 1) END AS summary FROM g LEFT JOIN d ON note_id = me""")
+def export_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = corpus.linked_notes(spark, sf_dir)
+    return export.nodes(notes, graph.edges(notes), sections.sections(notes), True)
+
+
+@query(f"""WITH {_EDGES} SELECT source_id, target_id, 0 AS mutual, 0 AS mutual_total, 0 AS shared_tags FROM e""")
+def export_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much each edge's ends share: nothing in this tree of foreign keys."""
+    notes = corpus.linked_notes(spark, sf_dir)
+    out = export.edge_context(graph.edges(notes), graph.note_tags(notes))
+    return out.select("source_id", "target_id", F.size("mutual").alias("mutual"), "mutual_total", F.size("shared_tags").alias("shared_tags"))
+
+
+_GRAPH_IN = """n AS (SELECT o_orderkey AS position, 'c' || o_custkey AS id FROM orders), k AS (SELECT id, min(position) AS position FROM n GROUP BY id),
+e AS (SELECT l_orderkey * 10 + l_linenumber AS position, 'p' || l_partkey AS id, 'c' || l_partkey AS source, 'c' || l_suppkey AS target FROM lineitem),
+w AS (SELECT *, source IN (SELECT id FROM k) AND target IN (SELECT id FROM k) AS whole FROM e), f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY position) AS r FROM w WHERE whole)"""
+
+
+def _graph_in(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as nodes and order lines as edges of a document whose ids repeat and whose ends are partly missing."""
+    orders, lines = corpus.table(spark, sf_dir, "orders"), corpus.table(spark, sf_dir, "lineitem")
+    nodes = orders.select(F.col("o_orderkey").alias("position"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("id"))
+    named = {"id": ("p", "l_partkey"), "source": ("c", "l_partkey"), "target": ("c", "l_suppkey")}
+    edges = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position"), *[F.concat(F.lit(p), F.col(c).cast("string")).alias(n) for n, (p, c) in named.items()])
+    return export.imported(nodes, edges)
+
+
+@query(f"WITH {_GRAPH_IN} SELECT position, id, source, target FROM f WHERE r = 1")
+def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph_in(spark, sf_dir)[1]
+
+
+@query(f"""WITH {_GRAPH_IN}, c AS (SELECT 'duplicate_node' AS reason, (SELECT count(*) FROM n) - (SELECT count(*) FROM k) AS n UNION ALL SELECT 'dangling_edge', count(*) FROM w WHERE NOT whole UNION ALL SELECT 'duplicate_edge', count(*) FROM f WHERE r > 1)
+SELECT * FROM c WHERE n > 0""")
+def import_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph_in(spark, sf_dir)[2]
+
+
 # ---- changes --------------------------------------------------------------------------------------------------------
 
 _DIFF = """p AS (SELECT doc_id % 10 AS k, source || '/doc_' || doc_id || '.md' AS path, text FROM documents),
