@@ -113,9 +113,10 @@ def content_digest(notes: DataFrame) -> DataFrame:
 
 
 def bridges(edges: DataFrame, notes: DataFrame) -> DataFrame:
-    """Notes with links to notes of two domains at least, either way."""
-    met = both_ways(edges).join(notes.select(F.col("note_id").alias("other"), "domain"), "other")
-    return met.groupBy(F.col("me").alias("note_id")).agg(F.count_distinct("domain").alias("domains"), F.count("*").alias("links")).filter("domains >= 2")
+    """Notes whose own links go to notes of two domains at least."""
+    out = edges.select("source_id", F.col("target_id").alias("other")).distinct()
+    met = out.join(notes.select(F.col("note_id").alias("other"), F.coalesce(F.col("domain").cast("string"), F.lit("Unclassified")).alias("domain")), "other")
+    return met.groupBy(F.col("source_id").alias("note_id")).agg(F.count_distinct("domain").alias("domains"), F.count("*").alias("links")).filter("domains >= 2")
 
 
 def percentile(df: DataFrame, column: str, share: float) -> DataFrame:

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corkboard.functions.text import raw_tokens
+from corkboard.operators.graph import both_ways
+
+# The days that notes may lie apart, and that a note must have drifted.
+PARALLEL_DAYS, DRIFT_DAYS = 14, 90
+
 
 def evidence_score(terms: Column, passages: Column, tags: Column, mutual: Column) -> Column:
     return 0.4 * F.least(terms / 6, F.lit(1.0)) + 0.3 * passages + 0.2 * tags + 0.1 * F.least(mutual / 3, F.lit(1.0))
@@ -39,3 +45,48 @@ def scored(candidates: DataFrame, notes: DataFrame) -> DataFrame:
     evidence = evidence_score(F.col("shared").cast("double"), F.lit(1.0), F.lit(0.0), F.lit(0.0))
     total = trail_score(F.lit(1.0) - F.col("score"), F.when(far, 1.0).otherwise(0.4), evidence, F.lit(0.0), F.col("score"), F.lit(0.0))
     return met.select("l", "r", kind.alias("kind"), F.round(total, 6).alias("trail_score"))
+
+
+def linked_within(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Distinct pairs (l, r) that at most three links join, either way. One side goes two steps and the other one, so that no
+    three-step neighbourhood is made; a step joins distinct rows only."""
+    near = both_ways(edges).select("me", "other").distinct()
+    starts = pairs.select(F.col("l").alias("at"), F.col("l").alias("from")).distinct()
+    ball = starts
+    for _ in range(2):
+        ball = ball.unionByName(ball.join(near, ball.at == near.me).select(F.col("other").alias("at"), "from")).distinct()
+    ends = pairs.select(F.col("r").alias("to")).distinct()
+    last = ends.join(near, F.col("to") == F.col("me")).select("to", F.col("other").alias("at")).unionByName(ends.select("to", F.col("to").alias("at")))
+    met = pairs.select("l", "r").distinct().join(ball.withColumnRenamed("from", "l"), "l")
+    return met.join(last.withColumnRenamed("to", "r"), ["r", "at"], "left_semi").select("l", "r").distinct()
+
+
+def kinds(candidates: DataFrame, notes: DataFrame, edges: DataFrame, crossings: DataFrame) -> DataFrame:
+    """(l, r, kind) of each kind that a candidate (l, r, terms, shared_tags, mutual) is of: parallel_invention,
+    unwritten_link, distant_neighbors, reinforced. Notes are (note_id, title, path, tags, domain, created_at); crossings
+    (a, b, n) tell how many links join two domains, a before b."""
+    side = notes.select(
+        "note_id", F.coalesce(F.when(F.col("domain") != "", F.col("domain")), F.lit("Unclassified")).alias("domain"), F.col("created_at").cast("date").alias("created"),
+        F.array_distinct(raw_tokens(F.concat_ws(" ", "title", "path", F.array_join("tags", " "), "domain"))).alias("label"),
+    )
+    met = candidates.select("l", "r", F.array_distinct(F.transform("terms", F.lower)).alias("terms"), "shared_tags", "mutual")
+    for end in ("l", "r"):
+        met = met.join(side.select(*[F.col(c).alias(end if c == "note_id" else f"{end}_{c}") for c in side.columns]), end)
+    met = met.join(linked_within(candidates, edges).withColumn("linked", F.lit(True)), ["l", "r"], "left")
+    a, b = F.least("l_domain", "r_domain"), F.greatest("l_domain", "r_domain")
+    met = met.withColumn("a", a).withColumn("b", b).join(crossings.select("a", "b", F.col("n").alias("crossed")), ["a", "b"], "left")
+    far, apart = F.col("l_domain") != F.col("r_domain"), F.col("linked").isNull()
+    rare = far & (F.coalesce("crossed", F.lit(0)) <= 1)
+    surprising = F.size(F.array_except("terms", F.array_union("l_label", "r_label"))) >= 2
+    count = sum((c.cast("int") for c in (apart, rare, surprising, apart & (F.size("terms") >= 3))), F.lit(0))
+    signals = sum((c.cast("int") for c in (F.size("terms") >= 2, F.size("shared_tags") > 0, F.size("mutual") > 0)), F.lit(0))
+    days = F.abs(F.date_diff("l_created", "r_created"))
+    told = {"parallel_invention": far & F.coalesce(days <= PARALLEL_DAYS, F.lit(False)) & surprising & (count >= 2), "unwritten_link": apart, "distant_neighbors": rare, "reinforced": (signals >= 2) & (count >= 2)}
+    return met.select("l", "r", F.explode(F.array_compact(F.array(*[F.when(rule, name) for name, rule in told.items()]))).alias("kind"))
+
+
+def drift(notes: DataFrame, candidates: DataFrame, least_days: int = DRIFT_DAYS) -> DataFrame:
+    """(note_id, days) of notes (created_at, modified_at) changed `least_days` after they were made, with a candidate."""
+    ends = candidates.select(F.col("l").alias("note_id")).unionByName(candidates.select(F.col("r").alias("note_id")))
+    days = F.date_diff(F.col("modified_at").cast("date"), F.col("created_at").cast("date"))
+    return notes.select("note_id", days.alias("days")).filter(F.col("days") >= least_days).join(ends, "note_id", "left_semi")

@@ -262,10 +262,13 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.join(graph.degrees(graph.edges(notes)), "note_id", "left").select("note_id", "path", "domain", F.coalesce("degree", F.lit(0)).alias("degree"), F.sha2("text", 256).alias("content_hash"))
 
 
-@query(f"WITH {_EDGES}, {_NAMES} SELECT me AS note_id, count(DISTINCT domain) AS domains, count(*) AS links FROM b JOIN g ON other = note_id GROUP BY me HAVING count(DISTINCT domain) >= 2")
+@query("""SELECT l_orderkey AS note_id, count(DISTINCT s_nationkey) AS domains, count(DISTINCT l_suppkey) AS links FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+GROUP BY l_orderkey HAVING count(DISTINCT s_nationkey) >= 2""")
 def bridge_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notes = corpus.linked_notes(spark, sf_dir)
-    return graph.bridges(graph.edges(notes), notes)
+    """Orders as notes that link to their lines' suppliers, whose nations are the domains."""
+    lines, suppliers = corpus.table(spark, sf_dir, "lineitem"), corpus.table(spark, sf_dir, "supplier")
+    e = lines.select(F.col("l_orderkey").alias("source_id"), F.col("l_suppkey").alias("target_id"))
+    return graph.bridges(e, suppliers.select(F.col("s_suppkey").alias("note_id"), F.col("s_nationkey").alias("domain")))
 
 
 @query(f"WITH {_EDGES}, d AS (SELECT count(*) AS degree FROM b GROUP BY me), s AS (SELECT degree, row_number() OVER (ORDER BY degree) - 1 AS i, count(*) OVER () AS n FROM d) SELECT degree AS value FROM s WHERE i = floor((n - 1) * 0.9)")
