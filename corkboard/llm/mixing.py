@@ -1,9 +1,10 @@
 """Mixing sources to target weights: temperature, bisected to a target, and budgeted block permutations.
 
 Weights are the sources' token shares to a power, normalised. A budget of tokens then takes whole epochs of a source, each
-document once, and of a last epoch as many blocks as fit: blocks are hash buckets of a source's documents, in an order of
-their own for each seed, and the block in which the budget ends is cut by the order of its documents. All of it is told by
-a few numbers for each source, so choosing documents moves no rows.
+document once, and of a last epoch as many blocks as fit. Blocks are hash buckets of a source's documents, a power of two of
+them; each epoch of a source has a permutation of its blocks of its own, told by arithmetic on a block's number, and a block's
+documents stay together in it. The last epoch is a prefix of its permutation; the block in which the budget ends is cut by
+the order of its documents. All of it is told by a few numbers for each source, so choosing documents moves no rows.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ from pyspark.sql import functions as F
 
 from corkboard.llm.common import small, stored
 
-#: Tokens in a block, about; and blocks of a source at most, beyond which blocks grow.
+#: Tokens in a block, about; and the blocks of a source at most (as a power of two), beyond which blocks grow.
 BLOCK_TOKENS = 1 << 18
-MOST_BLOCKS = 1 << 16
+MOST_BLOCK_BITS = 16
+#: Bits of mix_order that tell a document's place in its block, below those that tell the block's.
+PLACE_BITS = 40
 #: Halvings of the interval of exponents.
 HALVINGS = 50
 
@@ -78,12 +81,14 @@ def plan(slim: DataFrame, passes: float | None, entropy: float | None, repeats:
     often = F.col("want") / F.greatest("tokens", F.lit(1))
     wanted = wanted.withColumn("epochs", F.when(F.col("tokens") == 0, F.lit(0)).otherwise(F.floor(often + 1e-9)).cast("long"))
     wanted = wanted.withColumn("rest", F.greatest(F.lit(0.0), F.col("want") - F.col("epochs") * F.col("tokens")))
-    wanted = wanted.withColumn("blocks", F.least(F.lit(MOST_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("tokens") / BLOCK_TOKENS))).cast("long"))
-    sources = stored(wanted.select("source", "tokens", "rows", "exponent", "weight", "want", "epochs", "rest", "blocks"), "mix-plan")
-    near = small(sources).select(F.col("source").alias("_source"), "rest", "blocks")
-    placed = slim.join(near, F.col("source").eqNullSafe(F.col("_source"))).select("source", "tokens", "h", "rest", _block(seed, F.col("source")).alias("block"))
+    bits = F.ceil(F.log2(F.greatest(F.col("tokens") / BLOCK_TOKENS, F.lit(1.0))))
+    wanted = wanted.withColumn("bits", F.least(F.lit(MOST_BLOCK_BITS), bits).cast("int"))
+    sources = stored(wanted.select("source", "tokens", "rows", "exponent", "weight", "want", "epochs", "rest", "bits"), "mix-plan")
+    near = small(sources).select(F.col("source").alias("_source"), "rest", "bits", "epochs")
+    block = permuted(seed, F.col("source"), F.col("epochs"), block_of(F.col("h"), F.col("bits")), F.col("bits"))  # its place in the last epoch
+    placed = slim.join(near, F.col("source").eqNullSafe(F.col("_source"))).select("source", "tokens", "h", "rest", block.alias("block"))
     blocks = placed.groupBy("source", "block", "rest").agg(F.sum("tokens").alias("tokens"))
-    order = Window.partitionBy("source").orderBy("block")  # MOST_BLOCKS rows at most
+    order = Window.partitionBy("source").orderBy("block")  # 2**MOST_BLOCK_BITS rows at most
     ends = blocks.withColumn("through", F.sum("tokens").over(order)).filter((F.col("through") > F.col("rest")) & (F.col("through") - F.col("tokens") <= F.col("rest")))
     ends = stored(ends.select(F.col("source").alias("s"), F.col("block").alias("end_block"), (F.col("rest") - F.col("through") + F.col("tokens")).alias("left")), "mix-ends")
     last = placed.join(small(ends), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("end_block")))
@@ -100,29 +105,53 @@ def _order(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
 
 
-def _block(seed: int, source: Column) -> Column:
-    """A document's block, as the block's place in the permutation of its source's blocks: a hash, shared by no two of a
-    source but by chance (these then count as one)."""
-    return F.xxhash64(F.lit(seed), source, F.pmod(F.col("h"), F.col("blocks")))
+def block_of(h: Column, bits: Column) -> Column:
+    """The number of a document's block, of 2**bits, from its hash's high bits."""
+    return F.call_function("shiftrightunsigned", F.shiftrightunsigned(h, 1), F.lit(63) - bits)
+
+
+def permuted(seed: int, source: Column, epoch: Column, block: Column, bits: Column) -> Column:
+    """The block's place in the permutation of its source's 2**bits blocks for an epoch. Each step is one to one on numbers
+    of so many bits: times an odd number, plus another; and XOR with the number's own high bits."""
+    low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+    half = F.floor((bits + 1) / 2).cast("int") + (bits == 0).cast("int")
+    x = block
+    for k in range(3):
+        draw = F.xxhash64(F.lit(seed), F.lit(k), source, epoch)
+        x = (x * draw.bitwiseAND(low).bitwiseOR(F.lit(1)) + F.shiftrightunsigned(draw, 20).bitwiseAND(low)).bitwiseAND(low)
+        x = x.bitwiseXOR(F.call_function("shiftright", x, half))
+    return x
 
 
 def mix(docs: DataFrame, passes: float | None = None, entropy: float | None = None, repeats: float | None = None, seed: int = 1) -> DataFrame:
-    """docs, each row as often as the mix takes it, with the columns mix_epoch (0, 1, 2 ...), mix_order (the row's place in
-    that epoch of its source), mix_tokens and mix_weight added; columns of these names are replaced.
+    """docs, each row as often as the mix takes it, with the columns mix_epoch (0, 1, 2 ...), mix_block (its block's place in
+    that epoch's permutation of its source's blocks), mix_order (by which an epoch of a source is in order: by block, then
+    by place in the block), mix_tokens and mix_weight added; columns of these names are replaced.
 
     passes: the budget of tokens, as a multiple of all documents' tokens; None for the least budget at which every document
-    of the largest source, and so of every one, is taken at least once. Null sources are a source of their own. Rows without tokens go with each whole epoch, and a
-    source without any is taken once. Equal rows are taken or left together. An empty table gives none."""
-    kept = docs.drop("mix_epoch", "mix_order", "mix_tokens", "mix_weight")
-    marked = kept.withColumn("_tokens", words(F.col("text"))).withColumn("_h", _order(seed))
-    slim = stored(marked.select("source", F.col("_tokens").alias("tokens"), F.col("_h").alias("h")), "mix-rows")
+    of the largest source, and so of every one, is taken at least once. A budget that no weights can spend within `repeats`
+    passes of a source is a ValueError; where the entropy and the limit of repeats can't both be met, the limit is. Null
+    sources are a source of their own. Rows without tokens go with each whole epoch, and a source without any is taken once.
+    Equal rows are taken or left together. An empty table gives none."""
+    if repeats is not None and repeats < (1 if passes is None else passes):
+        raise ValueError("the budget takes some source more often than the limit of repeats allows, whatever the weights")
+    own = [c for c in docs.columns if c not in ("mix_epoch", "mix_block", "mix_order", "mix_tokens", "mix_weight")]
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("kept"), "source", words(F.col("text")).alias("tokens"), _order(seed).alias("h"))
+    slim = stored(marked.select("source", "tokens", "h"), "mix-rows")
     cuts = small(plan(slim, passes, entropy, repeats, seed))
-    cuts = cuts.select(F.col("source").alias("_source"), *[F.col(c).alias(f"_{c}") for c in ("weight", "epochs", "blocks", "tokens", "end_block", "end_h", "rest")])
-    cuts = cuts.withColumnRenamed("_tokens", "_total")
+    cuts = cuts.select(F.col("source").alias("_source"), "weight", "epochs", "bits", F.col("tokens").alias("total"), "end_block", "end_h", "rest")
     found = marked.join(cuts, F.col("source").eqNullSafe(F.col("_source")))
-    block = F.xxhash64(F.lit(seed), F.col("source"), F.pmod(F.col("_h"), F.col("_blocks")))
-    more = (F.col("_rest") > 0.5) & (F.col("_tokens") > 0) & (F.col("_end_block").isNull() | (block < F.col("_end_block")) | ((block == F.col("_end_block")) & (F.col("_h") <= F.coalesce("_end_h", F.lit(-(2**63)).cast("long")))))
-    whole = F.when(F.col("_total") == 0, F.lit(1)).otherwise(F.col("_epochs"))
+
+    def place(epoch: Column) -> Column:
+        return permuted(seed, F.col("source"), epoch, block_of(F.col("h"), F.col("bits")), F.col("bits"))
+
+    last = place(F.col("epochs"))
+    within = (last < F.col("end_block")) | ((last == F.col("end_block")) & (F.col("h") <= F.coalesce("end_h", F.lit(-(2**63)).cast("long"))))
+    more = (F.col("rest") > 0.5) & (F.col("tokens") > 0) & (F.col("end_block").isNull() | within)
+    whole = F.when(F.col("total") == 0, F.lit(1)).otherwise(F.col("epochs"))
     times = (whole + F.coalesce(more, F.lit(False)).cast("long")).cast("int")
     found = found.withColumn("mix_epoch", F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>"))))
-    return found.select(*kept.columns, "mix_epoch", F.xxhash64(F.lit(seed), "mix_epoch", block, "_h").alias("mix_order"), F.col("_tokens").alias("mix_tokens"), F.col("_weight").alias("mix_weight"))
+    found = found.withColumn("mix_block", place(F.col("mix_epoch").cast("long")))
+    # by h within a block, lowest first, as the last epoch is cut: what it takes is a prefix of this order
+    order = F.shiftleft(F.col("mix_block"), PLACE_BITS) + F.shiftrightunsigned(F.col("h"), 64 - PLACE_BITS).bitwiseXOR(F.lit(1 << (PLACE_BITS - 1)))
+    return found.select("kept.*", "mix_epoch", "mix_block", order.alias("mix_order"), F.col("tokens").alias("mix_tokens"), F.col("weight").alias("mix_weight"))
