@@ -1,4 +1,4 @@
-"""Language identification: multinomial naive Bayes over hashed character n-grams."""
+"""Language identification: multinomial naive Bayes over hashed character n-grams, texts scored many at a time."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from corkboard.llm.common import bounded_sample, row_blocks, utf8
+from corkboard.llm.common import bounded_sample, row_blocks
 
 BITS = 15
 GRAMS = (1, 2, 3)
@@ -27,28 +27,35 @@ def _is_letter() -> np.ndarray:
     return _letters[0]
 
 
-def code_points(data: np.ndarray) -> np.ndarray:
-    """The lower-cased code points of UTF-8 bytes, each run of others than letters as one space."""
-    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").lower().encode("utf-32-le", "replace"), np.uint32)
+def grams(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length in GRAMS: the texts' n-grams as hash buckets, and the text that each is of, ascending. Texts are
+    lower-cased and each run of others than letters is one space; none of a text without letters."""
+    lower = [t.lower() for t in texts]
+    points = np.frombuffer("".join(lower).encode("utf-32-le", "replace"), np.uint32)
+    row = np.repeat(np.arange(len(lower)), np.fromiter(map(len, lower), np.int64, len(lower)))
     letter = _is_letter()[points]
     keep = letter.copy()
-    keep[1:] |= letter[:-1]
-    return np.where(letter, points, np.uint32(32))[keep]
-
-
-def buckets(points: np.ndarray) -> np.ndarray:
-    """The hash bucket of every n-gram of code points, of each length in GRAMS."""
+    keep[1:] |= letter[:-1] & (row[1:] == row[:-1])
+    points, row = np.where(letter, points, np.uint32(32))[keep], row[keep]
     out = []
     for n in GRAMS:
-        if len(points) < n:
-            continue
-        h = np.full(len(points) - n + 1, 0x811C9DC5 + n, np.uint32)
+        size = max(0, len(points) - n + 1)
+        h = np.full(size, 0x811C9DC5 + n, np.uint32)
         for k in range(n):
-            h ^= points[k : k + len(h)]
+            h ^= points[k : k + size]
             h *= np.uint32(0x9E3779B1)
             h ^= h >> np.uint32(15)
-        out.append(h >> np.uint32(32 - BITS))
-    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+        own = row[:size] == row[n - 1 : n - 1 + size]
+        out.append(((h >> np.uint32(32 - BITS))[own], row[:size][own]))
+    return out
+
+
+def _texts(column: pa.Array):
+    """The column's texts in blocks of about a quarter of a megabyte, null as empty."""
+    texts = [t or "" for t in column.to_pylist()]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    for first, end in row_blocks(offsets, 1 << 18):
+        yield first, texts[first:end]
 
 
 @dataclass
@@ -69,11 +76,16 @@ def fit(labelled: DataFrame, most: int = MOST_LABELLED, seed: int = 3) -> Model:
         totals: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            for i, lang in enumerate(batch.column("lang").to_pylist()):
-                c = np.bincount(buckets(code_points(data[offsets[i] : offsets[i + 1]])), minlength=1 << BITS)
-                totals[lang] = totals.get(lang, 0) + c * min(1.0, 2000 / max(1, c.sum()))
-                docs[lang] = docs.get(lang, 0) + 1
+            langs = batch.column("lang").to_pylist()
+            for first, texts in _texts(batch.column("text")):
+                found, own = grams(texts), np.array(langs[first : first + len(texts)], object)
+                sizes = sum(np.bincount(rows, minlength=len(texts)) for _, rows in found)
+                weight = np.minimum(1.0, 2000 / np.maximum(1, sizes))
+                for lang in sorted(set(own)):
+                    mine = own == lang
+                    docs[lang] = docs.get(lang, 0) + int(mine.sum())
+                    for ids, rows in found:
+                        totals[lang] = totals.get(lang, 0) + np.bincount(ids, weights=weight[rows] * mine[rows], minlength=1 << BITS)
         if totals:
             yield pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.array(list(docs.values()), pa.int64()), pa.array([t.astype("<f4").tobytes() for t in totals.values()], pa.binary())], names=["lang", "docs", "counts"])
 
@@ -94,37 +106,26 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score (probability of lang_pred, 0 to 1) added, from the whole text alone. A null text, one
     without letters, and any text under a model that has learned no language, is `und` with score 0. Columns of these
     names are replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_probability, model.prior))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, np.ascontiguousarray(model.log_probability.T), model.prior))
     kept = docs.drop("lang_pred", "score")
 
     def predicted(batches):
-        languages, matrix, prior = shared.value
+        languages, columns, prior = shared.value
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
             names, scores = [], []
-            for first, end in row_blocks(offsets):
-                for i in range(first, end):
-                    points = code_points(data[offsets[i] : offsets[i + 1]])
-                    if not languages or not len(points):
-                        names.append(UNKNOWN)
-                        scores.append(0.0)
-                        continue
-                    found, times = _counted(buckets(points))
-                    logs = times @ matrix[found] + prior
-                    p = np.exp(logs - logs.max())
-                    best = int(p.argmax())
-                    names.append(languages[best])
-                    scores.append(float(p[best] / p.sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            for _, texts in _texts(batch.column("text")):
+                found = grams(texts)
+                known = np.bincount(found[0][1], minlength=len(texts)) > 0 if languages else np.zeros(len(texts), bool)
+                logs = np.tile(prior, (len(texts), 1))
+                for k, column in enumerate(columns):  # a product of the texts' sparse rows with one language's column
+                    for ids, rows in found:
+                        logs[:, k] += np.bincount(rows, weights=column[ids], minlength=len(texts))
+                if not languages:
+                    logs = np.zeros((len(texts), 1))
+                best = logs.argmax(1)
+                p = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
+                names += [languages[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)]
+                scores.append(np.where(known, p, 0.0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(np.concatenate([np.zeros(0), *scores]))], names=[*batch.schema.names, "lang_pred", "score"])
 
     return kept.mapInArrow(predicted, StructType([*kept.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()))
-
-
-def _counted(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and how often each occurs, as a sparse row."""
-    if len(found) < 1 << BITS >> 3:
-        ids, times = np.unique(found, return_counts=True)
-        return ids, times.astype(np.float32)
-    times = np.bincount(found, minlength=1 << BITS)
-    ids = np.flatnonzero(times)
-    return ids, times[ids].astype(np.float32)
