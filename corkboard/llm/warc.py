@@ -13,7 +13,6 @@ import hashlib
 import re
 import uuid
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,16 +55,21 @@ def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + END + block + END + END
 
 
-def records(page_id, url: str, payload: bytes, size: int, digest: str, refers_to, revisit: bool) -> list[bytes]:
-    """The records of one page: a response, in segments if long, or a revisit, which needs no payload, of the one that
-    refers_to names. size: bytes of the payload."""
-    own = f"<urn:uuid:{uuid.uuid4()}>"
+def record_id(page_id, row: int, digest: str, segment: int = 1) -> str:
+    """The same for a row of the pages whenever it is written, so that a repeated task writes the same archive."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {row} {digest} {segment}')}>"
+
+
+def records(page_id, row: int, url: str, payload: bytes, size: int, digest: str, keeper: dict | None, revisit: bool) -> list[bytes]:
+    """The records of one page: a response, in segments if long, or a revisit, which needs no payload, of the keeper's
+    (page_id, row) response. size: bytes of the payload."""
+    own = record_id(page_id, row, digest)
     line = "".join(c for c in url if c.isprintable())
     fields = [("WARC-Record-ID", own), ("WARC-Date", DATE), ("WARC-Target-URI", line), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-ID", "" if page_id is None else str(page_id)), ("X-Payload-Length", str(size))]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     kind = ("Content-Type", "application/http; msgtype=response")
     if revisit:
-        more = [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-ID", str(refers_to)), kind]
+        more = [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(keeper["page_id"], keeper["row"], digest)), ("X-Refers-To-Page-ID", str(keeper["page_id"])), kind]
         return [record(more + fields, http)]
     parts = _cut(http + chunked(payload), SEGMENT_BYTES)
     if len(parts) == 1:
@@ -73,7 +77,7 @@ def records(page_id, url: str, payload: bytes, size: int, digest: str, refers_to
     out = [record([("WARC-Type", "response"), kind, *fields, ("WARC-Segment-Number", "1")], parts[0])]
     for n, part in enumerate(parts[1:], 2):
         last = [("WARC-Segment-Total-Length", str(sum(map(len, parts))))] if n == len(parts) else []
-        out.append(record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", DATE), ("WARC-Target-URI", line), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", str(n)), *last], part))
+        out.append(record([("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(page_id, row, digest, n)), ("WARC-Date", DATE), ("WARC-Target-URI", line), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", str(n)), *last], part))
     return out
 
 
@@ -81,9 +85,9 @@ def _lines(batches):
     """Records as text without their last line end, which the sink adds."""
     for batch in batches:
         out = []
-        columns = [batch.column(c) for c in ("page_id", "url", "html", "size", "digest", "refers_to", "revisit")]
-        for page_id, url, html, size, digest, refers_to, revisit in zip(*columns, strict=True):
-            found = records(page_id.as_py(), url.as_py() or "", (html.as_py() or "").encode(), size.as_py(), digest.as_py(), refers_to.as_py(), revisit.as_py())
+        columns = [batch.column(c) for c in ("page_id", "row", "url", "html", "size", "digest", "keeper", "revisit")]
+        for page_id, row, url, html, size, digest, keeper, revisit in zip(*columns, strict=True):
+            found = records(page_id.as_py(), row.as_py(), url.as_py() or "", (html.as_py() or "").encode(), size.as_py(), digest.as_py(), keeper.as_py(), revisit.as_py())
             out += [r[: -len(END)].decode() for r in found]
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
@@ -92,11 +96,11 @@ def write(pages: DataFrame, path: str) -> None:
     """Archives of pages (page_id, url, html) at path. Null html counts as empty. Of rows with equal payloads of at least
     LEAST_REVISIT bytes, those with the largest page_id are responses (equal rows all are), others revisit it; null ids
     come last."""
-    keyed = pages.select("page_id", "url", "html").withColumn("digest", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")))
-    groups = keyed.filter(F.octet_length("html") >= LEAST_REVISIT).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
+    keyed = pages.select("page_id", "url", "html", F.monotonically_increasing_id().alias("row")).withColumn("digest", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")))
+    groups = keyed.filter(F.octet_length("html") >= LEAST_REVISIT).groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("keeper"), F.count("*").alias("n"))
     copied = stored(groups.filter("n > 1").select("digest", "keeper"), "warc-copied")
-    told = keyed.join(small(copied), "digest", "left").withColumn("revisit", F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")))
-    rows = told.select("page_id", "url", F.when(~F.col("revisit"), F.col("html")).alias("html"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"), "digest", F.col("keeper").alias("refers_to"), "revisit")
+    told = keyed.join(small(copied), "digest", "left").withColumn("revisit", F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper.page_id")))
+    rows = told.select("page_id", "row", "url", F.when(~F.col("revisit"), F.col("html")).alias("html"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"), "digest", "keeper", "revisit")
     rows.mapInArrow(_lines, "value string").write.option("lineSep", "\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
@@ -199,13 +203,17 @@ def reassembled(rows: DataFrame) -> DataFrame:
     return single.unionByName(joined.select(*rows.columns, "whole"))
 
 
-def _payloads(frames):
-
-
-    for frame in frames:
-        payloads = [payload_of(b) if t == "response" and w else None for b, t, w in zip(frame["block"], frame["type"], frame["whole"], strict=True)]
-        seen = [None if p is None else hashlib.sha1(p).hexdigest() for p in payloads]
-        yield pd.DataFrame({"page_id": frame["page_id"], "type": frame["type"], "told_bytes": frame["length"], "told_digest": frame["digest"].str.removeprefix("sha1:"), "refers_to": frame["refers_to"], "payload_bytes": [None if p is None else len(p) for p in payloads], "payload_digest": seen, "payload": payloads}).astype({"payload_bytes": "Int64"})
+def _payloads(batches):
+    names = ["page_id", "type", "told_bytes", "told_digest", "refers_to", "payload_bytes", "payload_digest", "payload"]
+    for batch in batches:
+        for first in range(0, batch.num_rows, 200):
+            rows = batch.slice(first, 200)
+            blocks = zip(rows.column("block"), rows.column("type").to_pylist(), rows.column("whole").to_pylist(), strict=True)
+            payloads = [payload_of(b.as_py()) if t == "response" and w else None for b, t, w in blocks]
+            told = [None if d is None else d.removeprefix("sha1:") for d in rows.column("digest").to_pylist()]
+            seen = [None if p is None else hashlib.sha1(p).hexdigest() for p in payloads]
+            found = [pa.array(told, pa.string()), rows.column("refers_to"), pa.array([None if p is None else len(p) for p in payloads], pa.int64()), pa.array(seen, pa.string()), pa.array(payloads, pa.binary())]
+            yield pa.RecordBatch.from_arrays([rows.column("page_id"), rows.column("type"), rows.column("length"), *found], names=names)
 
 
 def pages(spark: SparkSession, path: str) -> DataFrame:
@@ -213,7 +221,7 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
     payload_digest. The latter two are of the payload itself where there is one, and of a revisit what its header tells.
     sound: the segments were whole, and the payload has the length and digest that its header tells."""
     schema = "page_id string, type string, told_bytes string, told_digest string, refers_to string, payload_bytes long, payload_digest string, payload binary"
-    rows = reassembled(read(spark, path)).filter(F.col("type").isin("response", "revisit")).mapInPandas(_payloads, schema)
+    rows = reassembled(read(spark, path)).filter(F.col("type").isin("response", "revisit")).mapInArrow(_payloads, schema)
     told = F.col("told_bytes").cast("long")
     sound = (F.col("type") == "revisit") | (F.col("payload_bytes").eqNullSafe(told) & F.col("payload_digest").eqNullSafe(F.col("told_digest")))
     return rows.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("payload_bytes", told).alias("payload_bytes"), F.coalesce("payload_digest", "told_digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"), "payload", sound.alias("sound"))
