@@ -2,7 +2,7 @@
 
 A snapshot is a written table of groups of equal texts, with one filter for each bucket of digests. A new batch is grouped
 by digest first; its digests then meet the filters of their buckets. Those that a filter knows join the snapshot's exact
-groups on all 256 bits and the length; the rest are new for certain.
+groups on all 256 bits and the length, and the bytes of what joins are compared; the rest are new for certain.
 """
 
 from __future__ import annotations
@@ -10,11 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corkboard.llm.common import stored
+from corkboard.llm.common import small, stored
 from corkboard.llm.kernels import mix
 
 #: Distinct digests in a bucket, about; a filter takes nine bits or so of each.
@@ -144,8 +144,8 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("sha"), F.lit(buckets))
 
 
-def _built(group: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"bucket": group["bucket"].iloc[:1], "filter": [FuseFilter.of(group["key"].to_numpy().view(np.uint64)).to_bytes()]})
+def _built(group: pa.Table) -> pa.Table:
+    return pa.table({"bucket": group["bucket"].slice(0, 1), "filter": pa.array([FuseFilter.of(group["key"].to_numpy().view(np.uint64)).to_bytes()], pa.binary())})
 
 
 def snapshot(groups: DataFrame) -> Snapshot:
@@ -153,31 +153,49 @@ def snapshot(groups: DataFrame) -> Snapshot:
     groups = stored(groups, "dedup-groups")
     buckets = max(1, groups.count() // BUCKET_KEYS + 1)
     keys = groups.select(_bucket(buckets).alias("bucket"), _key(F.col("sha")).alias("key"))
-    filters = stored(keys.groupBy("bucket").applyInPandas(_built, "bucket long, filter binary"), "dedup-filters")
+    filters = stored(keys.groupBy("bucket").applyInArrow(_built, "bucket long, filter binary"), "dedup-filters")
     return Snapshot(groups, filters, buckets)
 
 
-def _screened(new: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-    if not len(new):
-        return pd.DataFrame({"sha": pd.Series(dtype=str)})
-    if not len(known):
-        return new.loc[[], ["sha"]]
-    return new.loc[FuseFilter.from_bytes(known["filter"].iloc[0]).might_hold(new["key"].to_numpy().view(np.uint64)), ["sha"]]
+def _screened(new: pa.Table, known: pa.Table) -> pa.Table:
+    if not len(new) or not len(known):
+        return new.select(["sha"]).slice(0, 0)
+    met = FuseFilter.from_bytes(known["filter"][0].as_py()).might_hold(new["key"].to_numpy().view(np.uint64))
+    return new.select(["sha"]).filter(pa.array(met))
 
 
 def screen(batch: DataFrame, old: Snapshot) -> tuple[DataFrame, DataFrame]:
     """Of groups of a new batch: (those whose digest the snapshot's filters know, the rest, which are new for certain)."""
-    keyed = batch.select("sha", _bucket(old.buckets).alias("bucket"), _key(F.col("sha")).alias("key"))
-    maybe = stored(keyed.groupBy("bucket").cogroup(old.filters.groupBy("bucket")).applyInPandas(_screened, "sha string").distinct(), "dedup-positives")
+    salts = batch.count() // (old.buckets * BUCKET_KEYS) + 1  # a bucket's filter goes to as many tasks as its share of the batch needs
+    keyed = batch.select("sha", _bucket(old.buckets).alias("bucket"), _key(F.col("sha")).alias("key")).withColumn("salt", F.pmod("key", F.lit(salts)))
+    filters = old.filters.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    found = keyed.groupBy("bucket", "salt").cogroup(filters.groupBy("bucket", "salt")).applyInArrow(_screened, "sha string")
+    maybe = stored(found.distinct(), "dedup-positives")
     return batch.join(maybe, "sha", "left_semi"), batch.join(maybe, "sha", "left_anti")
 
 
-def add(batch: DataFrame, old: Snapshot | None) -> DataFrame:
+def check_bytes(maybe: DataFrame, old: Snapshot, docs: DataFrame) -> None:
+    """Compares the normalised bytes of each positive's row that stays with those of its exact group in the snapshot.
+    Raises ValueError where texts of one digest and length differ: then digests can't tell these documents' groups."""
+    ids = maybe.select("sha", "size", F.col("best.doc_id").alias("a")).join(old.groups.select("sha", "size", F.col("best.doc_id").alias("b")), ["sha", "size"])
+    pairs = stored(ids.filter("a IS NOT NULL AND b IS NOT NULL").select("sha", "a", "b"), "dedup-pairs")
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "dedup-compared")
+    n = normalised(F.col("text"))
+    texts = docs.select("doc_id", "text").join(small(wanted), "doc_id", "left_semi").select("doc_id", n.alias("bytes"), F.sha2(F.encode(n, "UTF-8"), 256).alias("sha"))
+    several = pairs.select("sha", F.explode(F.array("a", "b")).alias("doc_id")).join(texts, ["sha", "doc_id"])
+    apart = several.groupBy("sha").agg(F.min("bytes").alias("x"), F.max("bytes").alias("y")).filter("x <> y").limit(1).collect()
+    if apart:
+        raise ValueError(f"texts of digest {apart[0]['sha']} differ")
+
+
+def add(batch: DataFrame, old: Snapshot | None, docs: DataFrame | None = None) -> DataFrame:
     """The groups of a snapshot and of a new batch together. Only the batch's positives and the snapshot's groups of the
-    same digest are merged; what the filters deny passes by."""
+    same digest are merged; what the filters deny passes by. docs: rows of both, for the comparison of bytes."""
     if old is None:
         return batch
     maybe, new = screen(batch, old)
+    if docs is not None:
+        check_bytes(maybe, old, docs)
     met = old.groups.join(maybe.select("sha"), "sha", "left_semi")
     others = old.groups.join(maybe.select("sha"), "sha", "left_anti")
     return _merged(met.unionByName(maybe)).unionByName(new).unionByName(others)
@@ -192,7 +210,7 @@ def dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
     total = None
     for k in range(batches):
         new = stored(grouped(rows.filter(F.col("batch") == k)), "dedup-batch")
-        total = add(new, snapshot(total) if total is not None else None)
+        total = add(new, snapshot(total) if total is not None else None, docs)
     return _decided(rows, stored(total, "dedup-total"))
 
 
