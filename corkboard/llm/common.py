@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
 
 import numpy as np
@@ -14,16 +14,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
-_own_root: list[str] = []
-
-
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _own_root:
-            _own_root.append(f"file://{tempfile.mkdtemp(prefix='corkboard-')}")
-        root = _own_root[0]
+    """The folder that driver and executors share: spark.checkpoint.dir, or one in the warehouse, which they share too."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/corkboard-scratch"
     return root.rstrip("/")
 
 
@@ -36,12 +29,41 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+_scratch: list[dict[int, tuple[DataFrame, str]]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: cuts lineage, survives lost executors, computed once."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    if _scratch:
+        _scratch[-1][id(found)] = (found, path)
+    return found
+
+
+@contextlib.contextmanager
+def scratch():
+    """What is stored within is deleted at the end, but for the tables that the yielded function is called with, which it
+    returns. So nothing that is read later may depend on another one."""
+    _scratch.append({})
+    kept: set[int] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(id(df))
+        return df
+
+    try:
+        yield keep
+    finally:
+        held = _scratch.pop()
+        for key, (df, path) in held.items():
+            if key not in kept:
+                hadoop_path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                hadoop_path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+            elif _scratch:
+                _scratch[-1][key] = (df, path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

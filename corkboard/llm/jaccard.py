@@ -11,9 +11,10 @@ sets with more are joined by their empty parts too, which then both of a pair ha
 
 Equal sets are one class, told by a 128-bit digest, and only a class's smallest document is joined. In a bucket of equal parts,
 each member is compared to one other first; members that links have already brought together need no more comparison. What is
-still apart in a bucket is compared in full at last: in a large bucket (of a passage that many documents share, say) by their
-sketches' bits, in blocks, so that no pair becomes a row that the sketches rule out. These sketches are BITS bits a shingle
-long, so that few of a set's shingles meet in a bit and the distance of bits is nearly that of the sets.
+still apart in a bucket is compared in full at last, buckets of the same members once: in a large bucket (of a passage that
+many documents share, say) by their sketches' bits, in blocks, so that no pair becomes a row that the sketches rule out. These
+sketches are BITS bits a shingle long, so that few of a set's shingles meet in a bit and the distance of bits is nearly that
+of the sets.
 """
 
 from __future__ import annotations
@@ -21,21 +22,23 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corkboard.llm.common import row_blocks, small, stored, utf8
+from corkboard.llm.common import row_blocks, scratch, small, stored, utf8
 from corkboard.llm.kernels import mix, shingles
 
 #: Sizes of a band, last to first.
 RATIO = 1.5
 #: Rounds in which a bucket's members meet one of them, before those still apart all meet.
 STAR_ROUNDS = 2
-#: Components in a bucket beyond which sketches are compared in blocks of BLOCK members, not as rows of a join.
-LARGE = 8
+#: Members of a bucket beyond which sketches are compared in blocks of BLOCK members, not as rows of a join.
+LARGE = 16
 BLOCK = 1024
+#: Documents of a block of texts with one key beyond which all but two of them need not meet the key's others to be kept.
+OFTEN = 4
+SPREAD = 1 << 10
 #: Bits of a compared sketch for each shingle of its band's largest set.
 BITS = 4
 #: Low bits of a bucket's key that tell its band.
@@ -149,8 +152,24 @@ def classes(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(digested, "doc_id long, n_shingles long, d1 long, d2 long")
 
 
+def _often(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """0, or another number for rows whose key is known to be shared: of a key that more than OFTEN rows have, those besides
+    its smallest and largest id, which are left to show the key's other documents that it is."""
+    order = np.lexsort((ids, key))
+    k, d = key[order], ids[order]
+    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(k)))
+    hot = (sizes > OFTEN) & (d[starts] != d[starts + sizes - 1])
+    free = np.repeat(hot, sizes)
+    free[starts] = False
+    free[starts + sizes - 1] = False
+    out = np.zeros(len(k), np.int32)
+    out[order] = np.where(free, 1 + mix(d.astype(np.uint64)) % np.uint64(SPREAD), 0)
+    return out
+
+
 def _buckets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(key, id) for each part of each document's sketches."""
+    """(key, id, often) for each part of each document's sketches."""
 
     def sketched(batches):
         for batch in batches:
@@ -159,9 +178,10 @@ def _buckets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 rows, band = _in_bands(np.diff(bounds), percent)
                 for first in range(0, len(rows), 2000):
                     owner, key = _sketch_keys(flat, bounds, rows[first : first + 2000], band[first : first + 2000], percent)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(names[owner])], names=["key", "id"])
+                    own = names[owner].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), pa.array(_often(key, own))], names=["key", "id", "often"])
 
-    return docs.select("doc_id", "text").mapInArrow(sketched, "key long, id long")
+    return docs.select("doc_id", "text").mapInArrow(sketched, "key long, id long, often int")
 
 
 def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -257,15 +277,23 @@ def _relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _shared(parts: DataFrame) -> DataFrame:
-    """The rows of buckets of more than one document."""
-    w = Window.partitionBy("key")
-    return parts.withColumn("lo", F.min("id").over(w)).withColumn("hi", F.max("id").over(w)).filter("lo <> hi").select("key", "id")
+    """The rows of buckets of more than one document. Those of a key that is often met are known to be, and are spread."""
+    w = Window.partitionBy("key", "often")
+    return parts.withColumn("lo", F.min("id").over(w)).withColumn("hi", F.max("id").over(w)).filter("often > 0 OR lo <> hi").select("key", "id")
+
+
+def _once(members: DataFrame) -> DataFrame:
+    """members without buckets of a band that have the same members as another one of it."""
+    told = members.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
+    first = told.groupBy(F.col("key").bitwiseAND((1 << BAND_BITS) - 1), "n", "x", "y").agg(F.min("key").alias("key"))
+    return members.join(first.select("key"), "key", "left_semi")
 
 
 def _all_apart(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs of a bucket that are of two components and that their sketches don't rule out."""
-    members = stored(_still_apart(members), "jaccard-apart")
-    count = members.select("key", "component").distinct().groupBy("key").agg(F.count("*").alias("n"))
+    """The pairs of a bucket that are of two components and that their sketches don't rule out. Only buckets of LARGE members
+    at most make pairs before that."""
+    members = stored(_once(stored(_still_apart(members), "jaccard-apart")), "jaccard-once")
+    count = members.groupBy("key").agg(F.count("*").alias("n"))
     large = stored(members.join(count.filter(F.col("n") > LARGE).select("key"), "key", "left_semi"), "jaccard-large")
     direct = members.join(count.filter(F.col("n") <= LARGE).select("key"), "key", "left_semi")
     other = direct.select("key", F.col("id").alias("id2"), F.col("component").alias("component2"))
@@ -282,23 +310,25 @@ def _blocks_apart(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     band = F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int")
     rows = placed.withColumn("band", band).join(sketches, ["id", "band"]).select("key", "own", "id", "component", "n", "bytes", F.explode(every).alias("pair")).select("key", "pair.p", "pair.q", "own", "id", "component", "n", "bytes")
 
-    def compared(group: pd.DataFrame) -> pd.DataFrame:
-        p, q = group["p"].iloc[0], group["q"].iloc[0]
-        left = group[group["own"] == p].sort_values("n", kind="stable")
-        right = left if p == q else group[group["own"] == q].sort_values("n", kind="stable")
-        x, y = (np.stack([np.frombuffer(b, np.uint64) for b in g["bytes"]]) if len(g) else np.zeros((0, 1), np.uint64) for g in (left, right))
-        ids, others, n, m = left["id"].to_numpy(), right["id"].to_numpy(), left["n"].to_numpy(), right["n"].to_numpy()
-        component, other = left["component"].to_numpy(), right["component"].to_numpy()
+    def compared(group: pa.Table) -> pa.Table:
+        p, q = group["p"][0].as_py(), group["q"][0].as_py()
+        n, own = group["n"].to_numpy(), group["own"].to_numpy()
+        order = np.argsort(n, kind="stable")
+        group, n, own = group.take(pa.array(order)), n[order].astype(np.int64), own[order]
+        ids, component = group["id"].to_numpy(), group["component"].to_numpy()
+        bits = np.frombuffer(b"".join(group["bytes"].to_pylist()), np.uint64).reshape(len(n), -1)
+        left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
+        x, m, others, other = bits[right], n[right], ids[right], component[right]
         out = [np.zeros((2, 0), np.int64)]
-        for i in range(len(left)):
+        for i in left:
             near = slice(np.searchsorted(m, -(-n[i] * percent // 100), "left"), np.searchsorted(m, n[i] * 100 // percent, "right"))
-            differ = np.bitwise_count(y[near] ^ x[i]).sum(axis=1, dtype=np.int64)
+            differ = np.bitwise_count(x[near] ^ bits[i]).sum(axis=1, dtype=np.int64)
             ok = (differ <= (100 - percent) * (n[i] + m[near]) // (100 + percent)) & (other[near] != component[i])
             out.append(np.stack([np.minimum(others[near][ok], ids[i]), np.maximum(others[near][ok], ids[i])]))
-        a, b = np.concatenate(out, axis=1)
-        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+        a, b = np.unique(np.concatenate(out, axis=1), axis=1)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("key", "p", "q").applyInPandas(compared, "a long, b long")
+    return rows.groupBy("key", "p", "q").applyInArrow(compared, "a long, b long")
 
 
 def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -306,26 +336,33 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     ASCII white space; fewer words are one shingle), and the smallest doc_id reachable by links, which are of sets with
     100 * common >= percent * all. Null and empty texts have no shingle and no links, as have rows without doc_id, whose
     component is null. Rows with one doc_id count as one document. An empty table gives none."""
-    slim = stored(classes(docs, width), "jaccard-classes")
-    real = slim.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    group = stored(real.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "jaccard-groups")
-    copies = stored(real.join(group.filter("n > 1"), ["n_shingles", "d1", "d2"]).filter("doc_id <> rep").select("doc_id", "rep").distinct(), "jaccard-copies")
+    with scratch() as keep:
+        slim = keep(stored(classes(docs, width), "jaccard-classes"))
+        real = slim.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+        group = stored(real.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "jaccard-groups")
+        copies = keep(stored(real.join(group.filter("n > 1"), ["n_shingles", "d1", "d2"]).filter("doc_id <> rep").select("doc_id", "rep").distinct(), "jaccard-copies"))
+        found = keep(stored(_classes_linked(docs, copies, width, percent), "jaccard-components"))
+    mapped = slim.join(copies, "doc_id", "left").withColumn("id", F.coalesce("rep", "doc_id"))
+    return mapped.join(found, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+
+
+def _classes_linked(docs: DataFrame, copies: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, component) of the classes' smallest documents that are linked."""
     single = docs.filter(F.col("doc_id").isNotNull()).join(small(copies.select("doc_id")), "doc_id", "left_anti")
     members = stored(_shared(_buckets(single, width, percent)), "jaccard-buckets")
     ids = small(stored(members.select(F.col("id").alias("doc_id")).distinct(), "jaccard-ids"))
     sets = stored(_sets(docs.join(ids, "doc_id", "left_semi"), width, percent).dropDuplicates(["id"]), "jaccard-sets")
     links, apart = None, members.withColumn("component", F.col("id"))
     for k in range(STAR_ROUNDS + 1):
-        if k < STAR_ROUNDS:
-            near = _near(stored(_star(apart, F.xxhash64(F.lit(k), "id") if k else F.col("id")), "jaccard-pairs"), sets, percent)
-        else:
-            near = _all_apart(apart, sets, percent)
-        found = stored(_linked(near, sets, percent), "jaccard-links")
-        links = found if links is None else links.unionByName(found)
-        if k < STAR_ROUNDS:
-            apart = stored(_still_apart(_relabelled(members, links)), "jaccard-apart")
-            if apart.isEmpty():
-                break
-    found = stored(components(links), "components")
-    mapped = slim.join(copies, "doc_id", "left").withColumn("id", F.coalesce("rep", "doc_id"))
-    return mapped.join(found, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+        with scratch() as keep:
+            if k < STAR_ROUNDS:
+                near = _near(stored(_star(apart, F.xxhash64(F.lit(k), "id") if k else F.col("id")), "jaccard-pairs"), sets, percent)
+            else:
+                near = _all_apart(apart, sets, percent)
+            found = keep(stored(_linked(near, sets, percent), "jaccard-links"))
+            links = found if links is None else links.unionByName(found)
+            if k < STAR_ROUNDS:
+                apart = keep(stored(_still_apart(_relabelled(members, links)), "jaccard-apart"))
+                if apart.isEmpty():
+                    break
+    return components(links)
