@@ -6,17 +6,14 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import itertools
 import struct
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 
-from corkboard.llm.pretokens import CACHE_PIECES, Cache, byte_letters
+from corkboard.llm.pretokens import Cache, Splitter, byte_letters, packed
 
 #: Field numbers and kinds of the public sentencepiece_model.proto.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -74,11 +71,13 @@ class ByteBpe:
 
         self.ranks = read_ranks(file)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(self.ranks))
-        self.pattern = regex.compile(pattern)
+        self.split = Splitter(pattern)
         letters = byte_letters()
-        self.to_letters = {b: c for b, c in enumerate(letters)}
-        self.to_bytes = {c: bytes([b]) for b, c in enumerate(letters)}
-        self.cache = Cache(self._find, CACHE_PIECES // 2)  # its values are larger than ids alone
+        self.to_letters = dict(enumerate(letters))
+        to_byte = {c: b for b, c in enumerate(letters)}
+        self.piece_bytes = [bytes(map(to_byte.__getitem__, p)) for p in self.model.id_to_piece(list(range(len(self.ranks))))]
+        self.names = list(map(str, range(len(self.ranks))))
+        self.cache = Cache(lambda pieces: packed(self._ids(pieces)))
 
     def _ids(self, pieces: list[str]) -> list[list[int]]:
         raw = [p.encode() for p in pieces]
@@ -86,22 +85,16 @@ class ByteBpe:
         found = self.model.encode(mapped, num_threads=1)
         return [[self.ranks[r]] if r in self.ranks else ids for r, ids in zip(raw, found, strict=True)]
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        return self.cache.joined([self.split(t) for t in texts])
+
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of ids: each piece's letters back to bytes."""
-        return b"".join(self.to_bytes[c] for c in "".join(self.model.id_to_piece(list(ids)))) if len(ids) else b""
-
-    def _find(self, pieces: list[str]) -> list[tuple[int, str, bytes]]:
-        """Of each pre-token: its number of ids, the ids in decimal joined by commas, and the bytes that they decode to."""
-        return [(len(ids), ",".join(map(str, ids)), self.decode(ids)) for ids in self._ids(pieces)]
-
-    def encode(self, text: str) -> list[int]:
-        return [i for ids in self._ids(self.pattern.findall(text)) for i in ids]
+        return b"".join(map(self.piece_bytes.__getitem__, ids))
 
-    def parts(self, texts: list[str]) -> list[list[tuple[int, str, bytes]]]:
-        """_find of each text's pre-tokens, in order."""
-        split = [self.pattern.findall(t) for t in texts]
-        self.cache.need(set(itertools.chain.from_iterable(split)))
-        return [[self.cache[x] for x in pieces] for pieces in split]
+    def decimal(self, ids: list[int]) -> str:
+        return ",".join(map(self.names.__getitem__, ids))
 
 
 @functools.lru_cache(maxsize=2)
@@ -116,8 +109,10 @@ def encode(docs: DataFrame, file: str, pattern: str, text: str = "text") -> Data
     def encoded(batches):
         bpe = byte_bpe(file, pattern)
         for batch in batches:
-            ids = [[int(i) for p in parts for i in p[1].split(",")] for t in batch.column(text) for parts in bpe.parts([t.as_py() or ""])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
+            for first in range(0, batch.num_rows, 100):
+                rows = batch.slice(first, 100)
+                ids = _id_lists(bpe.encode([t or "" for t in rows.column(text).to_pylist()]))
+                yield pa.RecordBatch.from_arrays([*rows.columns, ids], names=[*batch.schema.names, "ids"])
 
     return kept.mapInArrow(encoded, StructType([*kept.schema.fields]).add("ids", ArrayType(IntegerType())))
 
@@ -135,19 +130,32 @@ def decode(rows: DataFrame, file: str, pattern: str) -> DataFrame:
     return kept.mapInArrow(decoded, StructType([*kept.schema.fields]).add("decoded", BinaryType()))
 
 
-def round_trip(docs: DataFrame, file: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row: encoded, decoded again, told by digests. Null text
-    counts as empty: no ids, digests of nothing. Ids are joined a pre-token at a time, never all held as objects."""
+def round_trip(docs: DataFrame, file: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), and ids if asked, of each row: encoded, decoded again, told by
+    digests. Null text counts as empty: no ids, digests of nothing. Each document's own ids are decoded, by the model's
+    pieces. Rows come in the order that they have in their partition."""
 
     def digested(batches):
         bpe = byte_bpe(file, pattern)
         for batch in batches:
-            n, ids, back = [], [], []
             for first in range(0, batch.num_rows, 100):
-                for parts in bpe.parts([t or "" for t in batch.column("text").slice(first, 100).to_pylist()]):
-                    n.append(sum([p[0] for p in parts]))
-                    ids.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
-                    back.append(hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(n, np.int64)), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select("doc_id", F.col("text")).mapInArrow(digested, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                rows = batch.slice(first, 100)
+                n, told, back = [], [], []
+                encoded = bpe.encode([t or "" for t in rows.column("text").to_pylist()])
+                for found in encoded:
+                    ids = np.frombuffer(found, "<u4").tolist()
+                    n.append(len(ids))
+                    told.append(hashlib.sha256(bpe.decimal(ids).encode()).hexdigest())
+                    back.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+                columns = {"doc_id": rows.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(told, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
+                if with_ids:
+                    columns["ids"] = _id_lists(encoded)
+                yield pa.RecordBatch.from_pydict(columns)
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.select("doc_id", "text").mapInArrow(digested, schema + (", ids array<int>" if with_ids else ""))
+
+
+def _id_lists(encoded: list[bytes]) -> pa.Array:
+    bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in encoded])])
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(encoded), "<u4").astype(np.int32)))

@@ -43,7 +43,7 @@ def vocabulary(docs: DataFrame, file: str) -> DataFrame:
         tokenizer = hub_tokenizer(file)
         for batch in batches:
             pieces = batch.column("piece").to_pylist()
-            sizes = [len(e.ids) for a in range(0, len(pieces), 2000) for e in tokenizer.library.encode_batch_fast(pieces[a : a + 2000], add_special_tokens=False)]
+            sizes = list(map(len, tokenizer.piece_ids(pieces)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int32())], names=["piece", "n", "pieces"])
 
     distinct = docs.select("text").mapInArrow(counted, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
