@@ -11,41 +11,52 @@ from corkboard.llm.common import documents, id_remainder, ship, small, stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the classifier, fitted on labelled rows whose id remainder isn't 2, doesn't reject."""
+    """Keeps the documents that the classifier, fitted on labelled rows whose id remainder isn't 2, doesn't reject. Null and
+    empty texts are scored as any other, equal rows alike; rows that repeat a doc_id each by their own text. Columns named
+    as the classifier's stay the input's. An empty table gives none; without labels of both classes all rows have one score."""
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(quality.labelled(docs.filter(id_remainder("doc_id", 4) != 2), labels))
-    return quality.score(docs, model).filter("predicted = 1").select(*docs.columns)
+    others = [c for c in docs.columns if c != "text"]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("others"), "text")
+    return quality.score(packed, model).filter("predicted = 1").select("others.*", "text").select(*[f"`{c}`" for c in docs.columns])
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of texts that are equal without white space. What goes is few ids, so texts don't move
-    where these are few enough to broadcast."""
+    """Keeps one row of each group of texts that are equal without white space: the longest, then of the smallest doc_id.
+    Null and empty texts are one group. Rows without doc_id stay, as nothing tells them apart, and rows that repeat a doc_id
+    stay or go together. What goes is few ids, so texts don't move where these are few enough to broadcast."""
     ship(spark)
     return _without(docs, exactdedup.dedup(docs).filter(~F.col("kept")).select("doc_id"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near duplicates: five words, 0.8 or more alike."""
+    """Keeps the document of the smallest id of each group of near duplicates: five words, 0.8 or more alike. Null and empty
+    texts and rows without doc_id stay; rows that repeat a doc_id count as one document. An empty table gives none."""
     ship(spark)
     found = jaccard.join(docs, width=5, percent=80)
     return _without(docs, found.filter("component_id <> doc_id").select("doc_id"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once at least; documents of smaller sources again, twice at most, towards equal weights."""
+    """Every document once at least; documents of smaller sources again, twice at most, towards equal weights. Rows are in
+    the mix's order: epoch by epoch, sources' blocks of an epoch spread evenly among each other. Files are written and named
+    in this order. Null sources are one; rows without words go with each epoch. An empty table gives none."""
     ship(spark)
-    return mixing.mix(docs, entropy=0.95, repeats=2.0).select(*docs.columns)
+    mixed = mixing.mix(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", "source"), entropy=0.95, repeats=2.0)
+    spread = F.xxhash64("source", "mix_epoch", "mix_block")  # a block's documents stay together
+    return mixed.orderBy("mix_epoch", spread, "source", "mix_order").select("row.*")
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids' number and digest of each row, and of the text that they decode to."""
+    """Token ids of each row, in the order of the mix, with their number, their digest, and the digest of the text that they
+    decode to. Null and empty texts have no ids. An empty table gives none."""
     ship(spark)
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    return docs.join(small(stored(gone.distinct(), "pipeline-gone")), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(stored(gone.distinct(), "pipeline-gone")), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("mix", mix_stage), ("encode", encode_stage)]
