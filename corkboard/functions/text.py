@@ -43,11 +43,32 @@ def name_key(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(base), "[^a-z0-9]+", " "))
 
 
+def unquoted(value: Column) -> Column:
+    """Percent escapes decoded; a bad escape leaves the whole undecoded."""
+    return F.coalesce(F.try_url_decode(F.regexp_replace(value, r"\+", "%2B")), value)
+
+
+def link_target(value: Column) -> Column:
+    """What a link names: decoded, slashes forward, without a fragment."""
+    return F.regexp_replace(F.trim(F.regexp_replace(unquoted(value), r"\\", "/")), "#.*$", "")
+
+
+def normal_path(value: Column) -> Column:
+    """The path without empty and `.` parts, each `..` taken with the part before it; `..` stay where there is none, but for
+    a path from the root. An empty one is `.`."""
+    root = value.startswith("/")
+
+    def step(s: Column, p: Column) -> Column:
+        up = F.when(F.size(s) == 0, F.when(root, s).otherwise(F.array(p))).when(F.element_at(s, -1) == "..", F.concat(s, F.array(p))).otherwise(F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))))
+        return F.when((p == "") | (p == "."), s).when(p == "..", up).otherwise(F.concat(s, F.array(p)))
+
+    parts = F.aggregate(F.split(value, "/"), F.array().cast("array<string>"), step)
+    return F.when((F.size(parts) == 0) & ~root, ".").otherwise(F.array_join(parts, "/"))
+
+
 def path_key(value: Column) -> Column:
-    """A path for look-ups: percent-decoded, no fragment or .md, lower-cased. A bad escape leaves it undecoded."""
-    plain = F.regexp_replace(F.regexp_replace(value, r"\\", "/"), "#.*$", "")
-    decoded = F.coalesce(F.try_url_decode(F.regexp_replace(plain, r"\+", "%2B")), plain)
-    return F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(decoded, r"(?i)\.md$", ""), r"(^|/)\./", "$1"), "^/+", ""))
+    """A path for look-ups: percent-decoded, no fragment or .md, normalised, from the top, lower-cased."""
+    return F.lower(normal_path(F.regexp_replace(link_target(value), r"(?i)\.md$", "")))
 
 
 def valid_tag(tag: Column) -> Column:

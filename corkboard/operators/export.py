@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corkboard.functions.text import excerpt, sanitised
-from corkboard.operators.graph import both_ways, degrees
+from corkboard.operators.graph import degrees, mutual_pairs
 
 # The limits of a document.
 LISTED, SUMMARY, NODES, EDGES = 12, 280, 5_000, 12_000
@@ -24,19 +24,18 @@ def nodes(notes: DataFrame, edges: DataFrame, sections: DataFrame, excerpts: boo
 def edge_context(edges: DataFrame, tags: DataFrame, most: int = LISTED) -> DataFrame:
     """(source_id, target_id, mutual, mutual_total, shared_tags): the notes next to both ends, the `most` of smallest id
     listed, and the tags that both have. Ranked by windows before they are listed, so a hub's lists stay short."""
-    near = both_ways(edges).select("me", "other").distinct()
     ends = edges.select("source_id", "target_id").distinct()
 
-    def common(held: DataFrame, key: str) -> DataFrame:
-        a = held.select(F.col(held.columns[0]).alias("source_id"), F.col(held.columns[1]).alias(key))
-        b = held.select(F.col(held.columns[0]).alias("target_id"), F.col(held.columns[1]).alias(key))
-        met = ends.join(a, "source_id").join(b, ["target_id", key])
+    def listed(met: DataFrame, key: str) -> DataFrame:
         whole = Window.partitionBy("source_id", "target_id")
         ranked = met.withColumn("k", F.row_number().over(whole.orderBy(key))).withColumn("total", F.count("*").over(whole)).filter(F.col("k") <= most)
         return ranked.groupBy("source_id", "target_id").agg(F.sort_array(F.collect_list(key)).alias("listed"), F.max("total").alias("total"))
 
-    mutual = common(near, "c").select("source_id", "target_id", F.col("listed").alias("mutual"), F.col("total").alias("mutual_total"))
-    shared = common(tags.select("note_id", "tag").distinct(), "tag").select("source_id", "target_id", F.col("listed").alias("shared_tags"))
+    own = tags.select("note_id", "tag").distinct()
+    at = ends.withColumn("a", F.least("source_id", "target_id")).withColumn("b", F.greatest("source_id", "target_id"))
+    mutual = listed(at.join(mutual_pairs(edges), ["a", "b"]).select("source_id", "target_id", "c"), "c").select("source_id", "target_id", F.col("listed").alias("mutual"), F.col("total").alias("mutual_total"))
+    both = ends.join(own.withColumnRenamed("note_id", "source_id"), "source_id").join(own.withColumnRenamed("note_id", "target_id"), ["target_id", "tag"], "left_semi")
+    shared = listed(both.select("source_id", "target_id", "tag"), "tag").select("source_id", "target_id", F.col("listed").alias("shared_tags"))
     out = ends.join(mutual, ["source_id", "target_id"], "left").join(shared, ["source_id", "target_id"], "left")
     return out.select("source_id", "target_id", F.coalesce("mutual", F.array().cast("array<bigint>")).alias("mutual"), F.coalesce("mutual_total", F.lit(0)).alias("mutual_total"), F.coalesce("shared_tags", F.array().cast("array<string>")).alias("shared_tags"))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corkboard.functions.text import inline_tags, markdown_links, name_key, path_key, wikilinks
+from corkboard.functions.storage import small, stored
+from corkboard.functions.text import inline_tags, link_target, markdown_links, name_key, path_key, wikilinks
 
 TAG_FANOUT = 100
 NEIGHBOURS = 1000
@@ -24,20 +25,23 @@ def links(notes: DataFrame) -> DataFrame:
 
 def resolved(notes: DataFrame) -> DataFrame:
     """Each link to a note with target_id or a reason: not_found, ambiguous, path_not_found, ambiguous_path,
-    path_outside_vault. Names must be one note's; paths are tried from the linking note's folder and from the top."""
+    path_outside_vault. A target with a slash, or that begins with a dot, is a path, whatever the kind of the link: it is
+    looked up from the top and from the linking note's folder, unless from the top it leads outside. Others are names, which
+    must be one note's."""
     names = notes.select("note_id", F.explode(F.array_distinct(F.array(name_key(F.col("title")), name_key(F.col("path"))))).alias("key"))
     names = names.groupBy("key").agg(F.count_distinct("note_id").alias("n"), F.min("note_id").alias("id"))
     paths = notes.groupBy(path_key(F.col("path")).alias("key")).agg(F.min("note_id").alias("id"))
-    found = links(notes).filter("kind <> 'tag'").withColumn("is_path", (F.col("kind") == "markdown_link") | F.col("target").contains("/"))
+    found = links(notes).filter("kind <> 'tag'").withColumn("bare", link_target(F.col("target")))
+    found = found.withColumn("is_path", F.col("bare").contains("/") | F.col("bare").startswith("."))
     folder = F.regexp_extract("path", "^(.*/)[^/]*$", 1)
-    up = F.col("target").startswith("../")
-    near = F.when(up, F.concat(F.regexp_extract("path", "^(.*/)?[^/]+/[^/]*$", 1), F.expr("substr(target, 4)"))).otherwise(F.concat(folder, "target"))
-    found = found.withColumn("name", F.when(~F.col("is_path"), name_key(F.col("target")))).withColumn("near", F.when(F.col("is_path"), path_key(near))).withColumn("top", F.when(F.col("is_path") & ~up, path_key(F.col("target"))))
+    near = F.when(F.col("bare").startswith("/"), F.col("bare")).otherwise(F.concat(folder, "bare"))
+    found = found.withColumn("name", F.when(~F.col("is_path"), name_key(F.col("bare")))).withColumn("top", F.when(F.col("is_path"), path_key(F.col("bare"))))
+    found = found.withColumn("outside", (F.col("top") == "..") | F.col("top").startswith("../")).withColumn("near", F.when(F.col("is_path") & ~F.col("outside"), path_key(near)))
     found = found.join(names.select(F.col("key").alias("name"), "n", F.col("id").alias("by_name")), "name", "left")
     found = found.join(paths.select(F.col("key").alias("near"), F.col("id").alias("by_near")), "near", "left").join(paths.select(F.col("key").alias("top"), F.col("id").alias("by_top")), "top", "left")
     two = F.col("by_near").isNotNull() & F.col("by_top").isNotNull() & (F.col("by_near") != F.col("by_top"))
     by_path = F.coalesce("by_near", "by_top")
-    reason = F.when(~F.col("is_path"), F.when(F.col("n").isNull(), "not_found").when(F.col("n") > 1, "ambiguous")).otherwise(F.when(F.col("near").startswith("..") & by_path.isNull(), "path_outside_vault").when(two, "ambiguous_path").when(by_path.isNull(), "path_not_found"))
+    reason = F.when(~F.col("is_path"), F.when(F.col("n").isNull(), "not_found").when(F.col("n") > 1, "ambiguous")).otherwise(F.when(F.col("outside"), "path_outside_vault").when(two, "ambiguous_path").when(by_path.isNull(), "path_not_found"))
     return found.withColumn("reason", reason).withColumn("target_id", F.when(F.col("reason").isNull(), F.when(F.col("is_path"), by_path).otherwise(F.col("by_name")))).select("note_id", "path", "line", "kind", "target", "target_id", "reason")
 
 
@@ -51,6 +55,57 @@ def unresolved(notes: DataFrame) -> DataFrame:
     return resolved(notes).filter("reason IS NOT NULL").select("note_id", "path", "line", "kind", "target", "reason")
 
 
+def doctor(notes: DataFrame, limit: int = 100) -> DataFrame:
+    """The first unresolved links by path and line, each with the number of all."""
+    if limit < 1:
+        raise ValueError("a positive limit is needed")
+    found = stored(unresolved(notes), "unresolved")
+    return found.orderBy("path", "line", "kind", "target").limit(limit).withColumn("total", F.lit(found.count()))
+
+
+def statistics(notes: DataFrame, sections: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """One row: notes, sections, verified_edges, candidate_edges, note_tags, unresolved_links."""
+    found = stored(resolved(notes), "resolved")
+    verified = found.filter("target_id IS NOT NULL AND target_id <> note_id").select("note_id", "target_id", "kind").distinct()
+    counts = {"notes": notes, "sections": sections, "verified_edges": verified, "candidate_edges": candidates, "note_tags": note_tags(notes), "unresolved_links": found.filter("reason IS NOT NULL")}
+    row = [0 if df is None else df.count() for df in counts.values()]
+    return notes.sparkSession.createDataFrame([tuple(row)], ", ".join(f"{name} long" for name in counts))
+
+
+def resolve_note(notes: DataFrame, value: str) -> int:
+    """The id of the note of this path, in any case, or, if it has no slash, of this name. ValueError if none or several."""
+    path = value.replace("\\", "/")
+    direct = notes.filter(F.lower("path") == path.lower()).select("note_id").limit(2).collect()
+    if len(direct) == 1:
+        return direct[0][0]
+    if "/" in path:
+        raise ValueError(f"no note has the path {value}")
+    key = name_key(F.lit(value))
+    named = notes.filter((name_key(F.col("title")) == key) | (name_key(F.col("path")) == key)).select("note_id").distinct().limit(2).collect()
+    if len(named) != 1:
+        raise ValueError(f"{'several notes have' if named else 'no note has'} the name {value}")
+    return named[0][0]
+
+
+def all_edges(verified: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """(source_id, target_id, kind, is_verified, score): authored edges, and candidates (l, r, score) beside them."""
+    out = verified.select("source_id", "target_id", "kind", F.lit(True).alias("is_verified"), F.lit(1.0).alias("score"))
+    if candidates is None:
+        return out
+    return out.unionByName(candidates.select(F.col("l").alias("source_id"), F.col("r").alias("target_id"), F.lit("candidate").alias("kind"), F.lit(False).alias("is_verified"), "score"))
+
+
+def incident(edges: DataFrame, seeds: DataFrame, limit: int = 200) -> DataFrame:
+    """Edges (of all_edges) at any of seeds (note_id; few), verified first, then by score and ids, with the number of all and
+    whether the limit cut them."""
+    marks = F.broadcast(seeds.select("note_id").distinct())
+    at = [edges.join(marks.withColumnRenamed("note_id", end), end, "left_semi") for end in ("source_id", "target_id")]
+    found = stored(at[0].unionByName(at[1].join(marks.withColumnRenamed("note_id", "source_id"), "source_id", "left_anti").select(*at[0].columns)), "incident")
+    total = found.count()
+    top = found.orderBy(F.desc("is_verified"), F.desc("score"), "source_id", "target_id", "kind").limit(limit)
+    return top.withColumn("total", F.lit(total)).withColumn("truncated", F.lit(total > limit))
+
+
 def note_tags(notes: DataFrame) -> DataFrame:
     """(note_id, tag), lower-cased, each once."""
     return links(notes).filter("kind = 'tag'").select("note_id", F.lower("target").alias("tag")).distinct()
@@ -73,43 +128,95 @@ def co_tags(tags: DataFrame, note_id: int, fanout: int = TAG_FANOUT) -> DataFram
     return sized.filter(F.col("note_id") != note_id).join(own, "tag").select("tag", F.col("note_id").alias("other"), "note_count", F.round(1 / F.log2(F.col("note_count") + 1.0), 6).alias("score"))
 
 
-def connections(edges: DataFrame, notes: DataFrame, note_id: int, limit: int) -> DataFrame:
-    """Edges at a note in order of the other id, with the number of all."""
-    ends = both_ways(edges.filter((F.col("source_id") == note_id) | (F.col("target_id") == note_id))).filter(F.col("me") == note_id)
-    total = ends.withColumn("total", F.count("*").over(Window.partitionBy()))
-    top = total.orderBy("other", "direction").limit(limit)
-    return notes.select(F.col("note_id").alias("other"), F.col("path").alias("other_path")).join(F.broadcast(top), "other").select("other", "other_path", "direction", "total")
-
-
-def reached(edges: DataFrame, source: int, most_hops: int = 6) -> DataFrame:
+def connections(edges: DataFrame, notes: DataFrame, note_id: int, limit: int, tags: DataFrame | None = None) -> DataFrame:
+    """(place, other, other_path, direction, kind, verified, score, total) of a note: its edges (of all_edges), verified
+    first, then by score and ids; where these are fewer than limit and tags are given, then notes of a common tag, by the
+    tag's number of notes, the tag and the path."""
+    if limit < 1:
+        raise ValueError("a positive limit is needed")
+    spark = notes.sparkSession
+    met = incident(edges, spark.createDataFrame([(note_id,)], "note_id long"), limit)
+    out = F.col("source_id") == note_id
+    order = Window.orderBy(F.desc("is_verified"), F.desc("score"), "source_id", "target_id", "kind")  # limit rows
+    items = met.select(F.row_number().over(order).alias("place"), F.when(out, F.col("target_id")).otherwise(F.col("source_id")).alias("other"), F.when(out, "outgoing").otherwise("incoming").alias("direction"), "kind", F.col("is_verified").alias("verified"), "score", "total")
+    items = stored(items, "connections")
+    n = items.count()
+    total = items.first()["total"] if n else 0
+    paths = notes.select(F.col("note_id").alias("other"), F.col("path").alias("other_path"))
+    if tags is not None:
+        shared = stored(co_tags(tags, note_id).join(paths, "other"), "co-tags")
+        total += shared.count()
+        if n < limit:
+            first = shared.orderBy("note_count", "tag", "other_path").limit(limit - n)
+            place = F.row_number().over(Window.orderBy("note_count", "tag", "other_path")) + n
+            items = items.unionByName(first.select(place.alias("place"), "other", F.lit("supporting").alias("direction"), F.lit("co_tag").alias("kind"), F.lit(False).alias("verified"), "score", F.lit(total).alias("total")))
+    return paths.join(F.broadcast(items.withColumn("total", F.lit(total))), "other").select("place", "other", "other_path", "direction", "kind", "verified", "score", "total")
+
+
+def reached(edges: DataFrame, source: int, most_hops: int = 6, target: int | None = None) -> DataFrame:
     """(note_id, hops, via): breadth-first over edges both ways, `via` the smallest previous note; NEIGHBOURS of each note
-    at most go on, by id. The frontier is a table that joins the edges, so each hop is one join."""
+    at most go on, by id. The neighbours, and each hop's frontier and what was seen, are written, so that a hop is one join
+    however many came before; it ends when a hop meets nothing new, or the target."""
     near = both_ways(edges).select("me", "other").distinct()
-    near = near.withColumn("k", F.row_number().over(Window.partitionBy("me").orderBy("other"))).filter(F.col("k") <= NEIGHBOURS).drop("k")
-    spark = edges.sparkSession
-    seen = spark.createDataFrame([(source, 0, None)], "note_id long, hops int, via long")
-    front = seen
+    near = stored(near.withColumn("k", F.row_number().over(Window.partitionBy("me").orderBy("other"))).filter(F.col("k") <= NEIGHBOURS).drop("k"), "neighbours")
+    seen = front = stored(edges.sparkSession.createDataFrame([(source, 0, None)], "note_id long, hops int, via long"), "frontier")
     for hop in range(1, most_hops + 1):
-        new = near.join(front.select(F.col("note_id").alias("me")), "me").groupBy("other").agg(F.min("me").alias("via"))
-        new = new.select(F.col("other").alias("note_id"), F.lit(hop).alias("hops"), "via").join(seen.select("note_id"), "note_id", "left_anti")
-        front = new
-        seen = seen.unionByName(new)
+        new = near.join(small(front.select(F.col("note_id").alias("me")), 16), "me").groupBy("other").agg(F.min("me").alias("via"))
+        front = stored(new.select(F.col("other").alias("note_id"), F.lit(hop).alias("hops"), "via").join(seen.select("note_id"), "note_id", "left_anti"), "frontier")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+        if target is not None and not front.filter(F.col("note_id") == target).isEmpty():
+            break
     return seen
 
 
+def path_between(edges: DataFrame, source: int, target: int, most_hops: int = 6) -> DataFrame:
+    """(step, from_id, to_id, kind, verified, score) of a shortest path over edges (of all_edges), of equal ones that of
+    the smallest previous notes; no row if there is none of at most most_hops."""
+    if most_hops < 1:
+        raise ValueError("a positive number of hops is needed")
+    seen, steps, at = stored(reached(edges, source, most_hops, target), "seen"), [], target
+    while at != source:  # a row a hop
+        row = seen.filter(F.col("note_id") == at).first()
+        if row is None:
+            break
+        steps.append((row["hops"], row["via"], at))
+        at = row["via"]
+    told = F.broadcast(edges.sparkSession.createDataFrame(steps if at == source else [], "step int, from_id long, to_id long"))
+    best = F.max_by(F.struct("kind", "is_verified", "score"), F.struct("is_verified", "score", "kind"))
+    both = edges.select(F.col("source_id").alias("from_id"), F.col("target_id").alias("to_id"), "kind", "is_verified", "score")
+    both = both.unionByName(both.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "kind", "is_verified", "score"))
+    found = both.join(told, ["from_id", "to_id"]).groupBy("step", "from_id", "to_id").agg(best.alias("e"))
+    return found.select("step", "from_id", "to_id", "e.kind", F.col("e.is_verified").alias("verified"), "e.score")
+
+
+def mutual_pairs(edges: DataFrame) -> DataFrame:
+    """(a, b, c): for connected notes, each note that both are connected to. Neighbours are taken of the end that has fewer, and
+    looked up at the other, so that a hub's are not paired with all of its edges."""
+    near = stored(both_ways(edges).select("me", "other").distinct(), "neighbours")
+    sizes = near.groupBy("me").agg(F.count("*").alias("n"))
+    ends = edges.select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).distinct()
+    for end in "ab":
+        ends = ends.join(sizes.select(F.col("me").alias(end), F.col("n").alias(f"n{end}")), end)
+    few = F.col("na") <= F.col("nb")
+    each = ends.select("a", "b", F.when(few, F.col("a")).otherwise(F.col("b")).alias("me"), F.when(few, F.col("b")).otherwise(F.col("a")).alias("far")).join(near, "me")
+    return each.select("a", "b", "far", F.col("other").alias("c")).join(near.select(F.col("me").alias("far"), F.col("other").alias("c")), ["far", "c"], "left_semi").select("a", "b", "c")
+
+
 def mutual_neighbours(edges: DataFrame) -> DataFrame:
-    """(a, b, n): for connected notes, the notes that both are connected to."""
-    near = both_ways(edges).select("me", "other").distinct()
+    """(a, b, n): for connected notes, the number of notes that both are connected to."""
     ends = edges.select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).distinct()
-    met = ends.join(near.select(F.col("me").alias("a"), F.col("other").alias("c")), "a").join(near.select(F.col("me").alias("b"), F.col("other").alias("c")), ["b", "c"])
-    counted = met.groupBy("a", "b").agg(F.count("*").alias("n"))
+    counted = mutual_pairs(edges).groupBy("a", "b").agg(F.count("*").alias("n"))
     return ends.join(counted, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def content_digest(notes: DataFrame) -> DataFrame:
-    """One digest of all notes by group: of the sorted digests of paths and contents."""
-    each = notes.select("domain", F.concat("path", F.lit(":"), F.sha2("text", 256)).alias("x"))
-    return each.groupBy("domain").agg(F.count("*").alias("notes"), F.sha2(F.array_join(F.sort_array(F.collect_list("x")), "\n"), 256).alias("digest"))
+    """One digest of all notes by group, of two levels: of the digests, in order, of 65536 ranges of the sorted digests of
+    paths and contents. So no task holds all of a group."""
+    each = notes.select("domain", F.sha2(F.concat("path", F.lit(":"), F.sha2("text", 256)), 256).alias("x"))
+    ranges = each.groupBy("domain", F.substring("x", 1, 4).alias("range")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("x")), "\n"), 256).alias("d"))
+    return ranges.groupBy("domain").agg(F.sum("n").alias("notes"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("range", "d"))), lambda r: r.d), "\n"), 256).alias("digest"))
 
 
 def bridges(edges: DataFrame, notes: DataFrame) -> DataFrame:

@@ -37,17 +37,17 @@ def document_frequency(sections: DataFrame) -> DataFrame:
 def search(sections: DataFrame, notes: DataFrame, query: str, limit: int) -> DataFrame:
     """The sections of highest score: sum of tf * idf * times in the query over postings, of which the most frequent
     max(2000, 400 * limit) count. Ties go to what comes first among these. Canonical notes' scores are raised by a tenth
-    after the choice. Columns: rank, section_id, note_id, score, matched_terms and the notes' and sections' own."""
+    after the choice. A query without terms finds nothing. Columns: rank, section_id, note_id, score, matched_terms and the notes' and sections' own."""
     wanted = query_terms(query)
-    if limit < 1 or not wanted:
-        raise ValueError("a positive limit and a query with terms are needed")
+    if limit < 1:
+        raise ValueError("a positive limit is needed")
     n = notes.count()
-    found = terms(sections, sorted(wanted))
+    found = terms(sections, sorted(wanted)) if wanted else terms(sections.limit(0), [""])
     df = found.groupBy("term").agg(F.count_distinct("note_id").alias("df"))
     order = [F.desc("term_count"), F.col("section_id"), F.col("term")]
     cap = max(2000, 400 * limit)
     top = found.orderBy(*order).limit(cap).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # cap rows
-    times = F.create_map(*[F.lit(x) for pair in sorted(wanted.items()) for x in pair])
+    times = F.create_map(*[F.lit(x) for pair in sorted(wanted.items()) or [("", 0)] for x in pair])
     each = top.join(F.broadcast(df), "term").withColumn("s", tf(F.col("term_count")) * idf(F.lit(n), F.col("df")) * times[F.col("term")])  # as many df rows as query terms
     ranked = each.groupBy("section_id", "note_id").agg(F.sum("s").alias("raw"), F.min("place").alias("place"), F.sort_array(F.collect_set("term")).alias("matched"))
     best = ranked.orderBy(F.round("raw", 9).desc(), "place").limit(limit)
@@ -65,13 +65,25 @@ def cited(hits: DataFrame) -> DataFrame:
 
 def packet(sections: DataFrame, notes: DataFrame, query: str, limit: int, most_characters: int) -> DataFrame:
     """Search hits, twice the limit looked at, in order while a budget of characters lasts: the first always, others
-    while 80 characters at least are left; the one at the boundary is cut."""
+    while 80 characters at least are left. A passage longer than what is left is cut to end in an ellipsis, and counts as long as
+    it then is. Of 2 * limit rows."""
+    if most_characters < 1:
+        raise ValueError("a positive budget is needed")
     hits = search(sections, notes, query, 2 * limit)
-    before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)  # 2 * limit rows
-    left = hits.withColumn("left", F.lit(most_characters) - F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)))
-    kept = left.filter((F.col("left") > 0) & ((F.col("rank") == 1) | (F.col("left") >= 80)) & (F.col("rank") <= limit))
-    cut = F.length("text") > F.col("left")
-    return kept.select("rank", "section_id", "score", "relative_path", cut.alias("truncated"), F.least(F.length("text"), F.col("left")).cast("long").alias("characters"), F.sha2(F.when(cut, F.expr("substr(text, 1, left)")).otherwise(F.col("text")), 256).alias("passage_sha256"))
+    listed = hits.agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("hits"))
+
+    def step(s, h):
+        left = F.lit(most_characters) - s.used
+        cut = F.length(h.text) > left
+        short = F.concat(F.regexp_replace(F.substr(h.text, F.lit(1), F.greatest(left - 1, F.lit(0))), r"\s+$", ""), F.lit("…"))
+        passage = F.when(cut, short).otherwise(h.text)
+        end = s.ended | (left <= 0) | ((F.size(s.kept) > 0) & (left < 80)) | (F.size(s.kept) >= limit)
+        more = F.struct((s.used + F.length(passage)).alias("used"), F.lit(False).alias("ended"), F.concat(s.kept, F.array(F.struct(h.rank.alias("rank"), cut.alias("truncated"), passage.alias("passage")))).alias("kept"))
+        return F.when(end, F.struct(s.used.alias("used"), F.lit(True).alias("ended"), s.kept.alias("kept"))).otherwise(more)
+
+    start = F.struct(F.lit(0).alias("used"), F.lit(False).alias("ended"), F.array().cast("array<struct<rank: int, truncated: boolean, passage: string>>").alias("kept"))
+    kept = listed.select(F.inline(F.aggregate("hits", start, step, lambda s: s.kept)))
+    return hits.join(F.broadcast(kept), "rank").select("rank", "section_id", "note_id", "score", "relative_path", "truncated", F.length("passage").cast("long").alias("characters"), "passage")
 
 
 def resurface(sections: DataFrame, notes: DataFrame, degrees: DataFrame, query: str, limit: int, as_of: str, least_days: int = 30) -> DataFrame:

@@ -36,17 +36,6 @@ def dormant(notes: DataFrame, candidates: DataFrame, as_of: str, least_days: int
     return old.withColumn("age_bonus", F.round(0.15 * F.least(F.col("days") / 365, F.lit(1.0)), 6))
 
 
-def scored(candidates: DataFrame, notes: DataFrame) -> DataFrame:
-    """(l, r, kind, trail_score) of candidates: across domains or within one; by shared terms and cosine."""
-    domain = notes.select("note_id", "domain")
-    met = candidates.join(domain.select(F.col("note_id").alias("l"), F.col("domain").alias("dl")), "l").join(domain.select(F.col("note_id").alias("r"), F.col("domain").alias("dr")), "r")
-    far = F.col("dl") != F.col("dr")
-    kind = F.when(far & (F.col("score") >= 0.3), "parallel_invention").when(far, "distant_neighbors").otherwise("unwritten_link")
-    evidence = evidence_score(F.col("shared").cast("double"), F.lit(1.0), F.lit(0.0), F.lit(0.0))
-    total = trail_score(F.lit(1.0) - F.col("score"), F.when(far, 1.0).otherwise(0.4), evidence, F.lit(0.0), F.col("score"), F.lit(0.0))
-    return met.select("l", "r", kind.alias("kind"), F.round(total, 6).alias("trail_score"))
-
-
 def linked_within(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct pairs (l, r) that at most three links join, either way. One side goes two steps and the other one, so that no
     three-step neighbourhood is made; a step joins distinct rows only."""

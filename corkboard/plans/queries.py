@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corkboard.functions.text import STOPWORDS, excerpt, sanitised
+from corkboard.functions.text import STOPWORDS, excerpt, path_key, sanitised
 from corkboard.operators import changes, discovery, export, graph, search, sections, trails
 from corkboard.sources import corpus
 
 QUERY, LIMIT, BUDGET, AS_OF = "tion ering onon erth ondethe inre thing", 10, 8000, "2026-01-01"
 THRESHOLD = 0.16
 NOTE = 1_000_000_001  # a customer
-NATION = 103
+NATION, OTHER_NATION = 103, 117
+CLUB_MEMBER = 1_000_000_010
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -77,20 +78,40 @@ def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cited.select("rank", "note_id", "score", "matched_terms", "citation")
 
 
-@query(f"""WITH {_search_sql(2 * LIMIT)}, l AS (SELECT *, {BUDGET} - coalesce(sum(length(text)) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM hits)
-SELECT rank, section_id, score, relative_path, length(text) > rest AS truncated, CAST(least(length(text), rest) AS BIGINT) AS characters, sha256(substr(text, 1, CAST(greatest(rest, 0) AS BIGINT))) AS passage_sha256
-FROM l WHERE rest > 0 AND (rank = 1 OR rest >= 80) AND rank <= {LIMIT}""")
+_PACKET = f"""{_search_sql(2 * LIMIT)}, first AS (SELECT rank, text FROM hits),
+walk AS (SELECT CAST(1 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS kept, CAST(NULL AS VARCHAR) AS passage, false AS truncated
+UNION ALL SELECT w.rank + 1, w.used + length(p.passage), w.kept + 1, p.passage, p.truncated FROM walk w JOIN first f ON f.rank = w.rank,
+  LATERAL (SELECT length(f.text) > {BUDGET} - w.used AS truncated, CASE WHEN length(f.text) > {BUDGET} - w.used THEN regexp_replace(substr(f.text, 1, {BUDGET} - w.used - 1), '\\s+$', '') || '…' ELSE f.text END AS passage) p
+  WHERE {BUDGET} - w.used > 0 AND (w.kept = 0 OR {BUDGET} - w.used >= 80) AND w.kept < {LIMIT}),
+packet AS (SELECT h.rank, section_id, note_id, score, relative_path, truncated, CAST(length(passage) AS BIGINT) AS characters, passage FROM walk w JOIN hits h ON h.rank = w.rank - 1)"""
+
+
+@query(f"WITH RECURSIVE {_PACKET} SELECT rank, section_id, score, relative_path, truncated, characters, sha256(passage) AS passage_sha256, relative_path || ':1-1' AS citation FROM packet")
 def context_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.packet(*_sections(spark, sf_dir), QUERY, LIMIT, BUDGET)
+    """Cited passages within a budget; the one at its end is cut."""
+    packet = search.packet(*_sections(spark, sf_dir), QUERY, LIMIT, BUDGET)
+    cited = search.cited(packet.withColumn("line_start", F.lit(1)).withColumn("line_end", F.lit(1)))
+    return cited.select("rank", "section_id", "score", "relative_path", "truncated", "characters", F.sha2("passage", 256).alias("passage_sha256"), "citation")
+
+
+_DOC_LINKS = "dl AS (SELECT doc_id AS source_id, doc_id // 2 AS target_id, 'wikilink' AS kind FROM documents WHERE doc_id % 3 = 0 AND doc_id // 2 <> doc_id AND doc_id // 2 IN (SELECT doc_id FROM documents))"
 
 
-@query(f"""WITH {_search_sql(8 * LIMIT)}, a AS (SELECT note_id, relative_path, score, greatest(0, date_diff('day', updated_at, DATE '{AS_OF}')) AS age_days, max(score) OVER () AS most FROM hits),
-s AS (SELECT note_id, relative_path, age_days, round(0.65 * score / most + 0.25 * least(1.0, age_days / 730) + 0.10, 6) AS resurface_score FROM a WHERE age_days >= 30)
+@query(f"""WITH RECURSIVE {_PACKET}, {_DOC_LINKS}, near AS (SELECT * FROM dl WHERE source_id IN (SELECT note_id FROM packet) OR target_id IN (SELECT note_id FROM packet))
+SELECT source_id, target_id, kind, true AS is_verified, 1.0 AS score, count(*) OVER () AS total, count(*) OVER () > 200 AS truncated FROM near ORDER BY source_id, target_id LIMIT 200""")
+def packet_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges at a packet's notes, with the number of all."""
+    packet = search.packet(*_sections(spark, sf_dir), QUERY, LIMIT, BUDGET)
+    return graph.incident(graph.all_edges(corpus.document_links(spark, sf_dir)), packet)
+
+
+@query(f"""WITH {_search_sql(8 * LIMIT)}, {_DOC_LINKS}, ends AS (SELECT source_id AS me FROM dl UNION ALL SELECT target_id FROM dl), deg AS (SELECT me, count(*) AS degree FROM ends GROUP BY me),
+a AS (SELECT note_id, relative_path, score, coalesce(degree, 0) AS degree, greatest(0, date_diff('day', updated_at, DATE '{AS_OF}')) AS age_days, max(score) OVER () AS most FROM hits LEFT JOIN deg ON me = note_id),
+s AS (SELECT note_id, relative_path, age_days, round(0.65 * score / most + 0.25 * least(1.0, age_days / 730) + 0.10 / (1 + degree), 6) AS resurface_score FROM a WHERE age_days >= 30)
 SELECT * FROM s ORDER BY resurface_score DESC, note_id LIMIT {LIMIT}""")
 def resurface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dormant notes that answer a query; documents have no links, so no degree."""
-    none = spark.createDataFrame([], "note_id long, degree long")
-    return search.resurface(*_sections(spark, sf_dir), none, QUERY, LIMIT, AS_OF)
+    """Dormant notes that answer a query; those of few links first."""
+    return search.resurface(*_sections(spark, sf_dir), graph.degrees(corpus.document_links(spark, sf_dir)), QUERY, LIMIT, AS_OF)
 
 
 @query(f"WITH {_NOTES}, {_terms_sql('notes')} SELECT term, count(DISTINCT note_id) AS df, CAST(sum(term_count) AS BIGINT) AS n FROM terms GROUP BY term")
@@ -162,20 +183,12 @@ def discovery_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.diagnostics(search.terms(sections), notes.count())
 
 
-_TRAIL = f"""{_CANDIDATES}, t AS (SELECT l, r, shared, score, x.domain <> y.domain AS far FROM cand JOIN notes x ON l = x.note_id JOIN notes y ON r = y.note_id)"""
-
-
-@query(f"""WITH {_TRAIL} SELECT l, r, CASE WHEN far AND score >= 0.3 THEN 'parallel_invention' WHEN far THEN 'distant_neighbors' ELSE 'unwritten_link' END AS kind,
-round(greatest(0, 0.3 * (1 - score) + 0.25 * CASE WHEN far THEN 1.0 ELSE 0.4 END + 0.25 * (0.4 * least(CAST(shared AS DOUBLE) / 6, 1.0) + 0.3) + 0.1 * score), 6) AS trail_score FROM t""")
-def trail_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, notes = _vectors(spark, sf_dir)
-    return trails.scored(discovery.candidates(v, THRESHOLD), notes)
-
-
-@query(f"WITH {_CANDIDATES}, e AS (SELECT l AS note_id FROM cand UNION ALL SELECT r FROM cand) SELECT note_id, count(*) AS candidates, 0 AS degree FROM e GROUP BY note_id HAVING count(*) >= 2")
+@query(f"""WITH {_CANDIDATES}, {_DOC_LINKS}, e AS (SELECT l AS note_id FROM cand UNION ALL SELECT r FROM cand), c AS (SELECT note_id, count(*) AS candidates FROM e GROUP BY note_id HAVING count(*) >= 2),
+ends AS (SELECT source_id AS me FROM dl UNION ALL SELECT target_id FROM dl), deg AS (SELECT me, count(*) AS degree FROM ends GROUP BY me)
+SELECT note_id, candidates, coalesce(degree, 0) AS degree FROM c LEFT JOIN deg ON me = note_id WHERE coalesce(degree, 0) <= 1""")
 def island_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, notes = _vectors(spark, sf_dir)
-    return trails.islands(spark.createDataFrame([], "note_id long, degree int"), discovery.candidates(v, THRESHOLD), notes)
+    return trails.islands(graph.degrees(corpus.document_links(spark, sf_dir)), discovery.candidates(v, THRESHOLD), notes)
 
 
 @query(f"""WITH {_CANDIDATES}, d AS (SELECT note_id, date_diff('day', updated_at, DATE '{AS_OF}') AS days FROM notes)
@@ -187,13 +200,28 @@ def dormant_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- graph ----------------------------------------------------------------------------------------------------------
 
-_NAMES = """g AS (SELECT CAST(r_regionkey AS BIGINT) AS note_id, 'regions/' || r_name || '.md' AS path, 'region' AS domain, '# ' || r_name AS text FROM region
-UNION ALL SELECT 100 + n_nationkey, 'nations/' || n_name || '.md', 'nation', '# ' || n_name || chr(10) || 'Part of [its region](../regions/' || replace(r_name, ' ', '%20') || '.md)' FROM nation JOIN region ON n_regionkey = r_regionkey
-UNION ALL SELECT 1000000 + s_suppkey, 'suppliers/' || s_name || '.md', 'supplier', '# ' || s_name || chr(10) || 'Based in [[' || n_name || '|home]]' || CASE WHEN s_suppkey % 7 = 0 THEN chr(10) || 'Once of [[Missing ' || s_suppkey || ']]' ELSE '' END FROM supplier JOIN nation ON s_nationkey = n_nationkey
-UNION ALL SELECT 1000000000 + c_custkey, 'customers/' || c_name || '.md', 'customer', '# ' || c_name || chr(10) || 'See [[' || n_name || ']] #segment/' || c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
-_EDGES = """e AS (SELECT CAST(100 + n_nationkey AS BIGINT) AS source_id, CAST(n_regionkey AS BIGINT) AS target_id, 'markdown_link' AS kind, 2 AS line FROM nation
-UNION ALL SELECT 1000000 + s_suppkey, 100 + s_nationkey, 'wikilink', 2 FROM supplier UNION ALL SELECT 1000000000 + c_custkey, 100 + c_nationkey, 'wikilink', 2 FROM customer),
-b AS (SELECT source_id AS me, target_id AS other, 'out' AS direction FROM e UNION ALL SELECT target_id, source_id, 'in' FROM e)"""
+_NAMES = """placed AS (SELECT *, replace(n_name, ' ', '%20') AS n_link, replace(r_name, ' ', '%20') AS r_link FROM nation JOIN region ON n_regionkey = r_regionkey),
+g AS (SELECT CAST(r_regionkey AS BIGINT) AS note_id, 'regions/' || r_name || '.md' AS path, r_name AS title, 'region' AS domain, '# ' || r_name AS text FROM region
+UNION ALL SELECT 100 + n_nationkey, 'nations/' || n_name || '.md', n_name, 'nation', '# ' || n_name || chr(10) || 'Part of [its region](regions/' || r_link || '.md)' || CASE WHEN n_nationkey % 2 = 0 THEN ' #segment/BUILDING' ELSE '' END
+  || CASE WHEN n_nationkey % 5 = 0 THEN chr(10) || 'Also [up](../regions/' || r_link || '.md)' ELSE '' END FROM placed
+UNION ALL SELECT 1000000 + s_suppkey, 'suppliers/' || s_name || '.md', s_name, 'supplier', '# ' || s_name || chr(10) || 'Based in [[' || n_name || '|home]]' || CASE WHEN s_suppkey % 7 = 0 THEN chr(10) || 'Once of [[Missing ' || s_suppkey || ']]' ELSE '' END
+  || CASE WHEN s_suppkey % 5 = 0 THEN chr(10) || 'By name [it](' || n_link || '.md)' ELSE '' END FROM supplier JOIN placed ON s_nationkey = n_nationkey
+UNION ALL SELECT 1000000000 + c_custkey, 'customers/' || c_name || '.md', c_name, 'customer', '# ' || c_name || chr(10) || 'See [[' || n_name || ']] #segment/' || c_mktsegment
+  || CASE WHEN c_custkey % 10 = 0 THEN chr(10) || 'In [[' || r_link || ']] #club/c' || c_custkey % 7 ELSE '' END FROM customer JOIN placed ON c_nationkey = n_nationkey)"""
+#: What each link is by the rules: names and paths from the top resolve, a path that goes up out of the top doesn't.
+_LINKS = f"""{_NAMES}, lk AS (SELECT 100 + n_nationkey AS note_id, 2 AS line, 'markdown_link' AS kind, 'regions/' || r_link || '.md' AS target, CAST(n_regionkey AS BIGINT) AS target_id, NULL AS reason FROM placed
+UNION ALL SELECT 100 + n_nationkey, 3, 'markdown_link', '../regions/' || r_link || '.md', NULL, 'path_outside_vault' FROM placed WHERE n_nationkey % 5 = 0
+UNION ALL SELECT 100 + n_nationkey, 2, 'tag', 'segment/BUILDING', NULL, NULL FROM placed WHERE n_nationkey % 2 = 0
+UNION ALL SELECT 1000000 + s_suppkey, 2, 'wikilink', n_name, 100 + n_nationkey, NULL FROM supplier JOIN placed ON s_nationkey = n_nationkey
+UNION ALL SELECT 1000000 + s_suppkey, 3, 'wikilink', 'Missing ' || s_suppkey, NULL, 'not_found' FROM supplier WHERE s_suppkey % 7 = 0
+UNION ALL SELECT 1000000 + s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN 4 ELSE 3 END, 'markdown_link', n_link || '.md', 100 + n_nationkey, NULL FROM supplier JOIN placed ON s_nationkey = n_nationkey WHERE s_suppkey % 5 = 0
+UNION ALL SELECT 1000000000 + c_custkey, 2, 'wikilink', n_name, 100 + n_nationkey, NULL FROM customer JOIN placed ON c_nationkey = n_nationkey
+UNION ALL SELECT 1000000000 + c_custkey, 2, 'tag', 'segment/' || c_mktsegment, NULL, NULL FROM customer
+UNION ALL SELECT 1000000000 + c_custkey, 3, 'wikilink', r_link, n_regionkey, NULL FROM customer JOIN placed ON c_nationkey = n_nationkey WHERE c_custkey % 10 = 0
+UNION ALL SELECT 1000000000 + c_custkey, 3, 'tag', 'club/c' || c_custkey % 7, NULL, NULL FROM customer WHERE c_custkey % 10 = 0)"""
+_EDGES = f"""{_LINKS}, e AS (SELECT note_id AS source_id, target_id, kind, min(line) AS line FROM lk WHERE target_id IS NOT NULL GROUP BY ALL),
+b AS (SELECT source_id AS me, target_id AS other, 'out' AS direction FROM e UNION ALL SELECT target_id, source_id, 'in' FROM e),
+tg AS (SELECT DISTINCT note_id, lower(target) AS tag FROM lk WHERE kind = 'tag')"""
 
 
 @query(f"WITH {_EDGES} SELECT * FROM e")
@@ -202,22 +230,59 @@ def resolve_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edges(corpus.linked_notes(spark, sf_dir))
 
 
-@query("SELECT 1000000 + s_suppkey AS note_id, 'suppliers/' || s_name || '.md' AS path, 3 AS line, 'wikilink' AS kind, 'Missing ' || s_suppkey AS target, 'not_found' AS reason FROM supplier WHERE s_suppkey % 7 = 0")
+@query(f"WITH {_LINKS} SELECT note_id, path, line, kind, target, reason FROM lk JOIN g USING (note_id) WHERE reason IS NOT NULL")
 def unresolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.unresolved(corpus.linked_notes(spark, sf_dir))
 
 
-@query("""SELECT 100 + n_nationkey AS note_id, 2 AS line, 'markdown_link' AS kind, '../regions/' || replace(r_name, ' ', '%20') || '.md' AS target FROM nation JOIN region ON n_regionkey = r_regionkey
-UNION ALL SELECT 1000000 + s_suppkey, 2, 'wikilink', n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 1000000 + s_suppkey, 3, 'wikilink', 'Missing ' || s_suppkey FROM supplier WHERE s_suppkey % 7 = 0
-UNION ALL SELECT 1000000000 + c_custkey, 2, 'wikilink', n_name FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 1000000000 + c_custkey, 2, 'tag', 'segment/' || c_mktsegment FROM customer""")
+@query(f"WITH {_LINKS} SELECT note_id, path, line, kind, target, reason, count(*) OVER () AS total FROM lk JOIN g USING (note_id) WHERE reason IS NOT NULL ORDER BY path, line LIMIT 10")
+def doctor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first unresolved links and the number of all."""
+    return graph.doctor(corpus.linked_notes(spark, sf_dir), 10)
+
+
+@query(f"""WITH {_EDGES} SELECT (SELECT count(*) FROM g) AS notes, (SELECT count(*) FROM g WHERE domain <> 'region') AS sections, (SELECT count(*) FROM e) AS verified_edges, CAST(0 AS BIGINT) AS candidate_edges,
+(SELECT count(*) FROM tg) AS note_tags, (SELECT count(*) FROM lk WHERE reason IS NOT NULL) AS unresolved_links""")
+def graph_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = corpus.linked_notes(spark, sf_dir)
+    return graph.statistics(notes, sections.sections(notes))
+
+
+@query(f"WITH {_LINKS} SELECT note_id, line, kind, target FROM lk")
 def parse_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.links(corpus.linked_notes(spark, sf_dir)).select("note_id", "line", "kind", "target")
 
 
-@query(f"WITH {_EDGES} SELECT other, 'nations/' || n_name || '.md' AS other_path, direction, count(*) OVER () AS total FROM b JOIN nation ON other = 100 + n_nationkey WHERE me = {NOTE}")
+@query("""WITH v(t) AS (VALUES ('Two%20B'), ('a/../b.md'), ('../../x.md'), ('k/../../c/Up'), ('/root/./a//b.MD#part'), ('..'), ('.'), ('a/..'), ('bad%zz/..x'))
+SELECT t, CASE t WHEN 'Two%20B' THEN 'two b' WHEN 'a/../b.md' THEN 'b' WHEN '../../x.md' THEN '../../x' WHEN 'k/../../c/Up' THEN '../c/up' WHEN '/root/./a//b.MD#part' THEN 'root/a/b' WHEN '..' THEN '..' WHEN 'bad%zz/..x' THEN 'bad%zz/..x' ELSE '.' END AS key FROM v""")
+def path_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths as links have them and their look-up keys."""
+    rows = [(t,) for t in ("Two%20B", "a/../b.md", "../../x.md", "k/../../c/Up", "/root/./a//b.MD#part", "..", ".", "a/..", "bad%zz/..x")]
+    return spark.createDataFrame(rows, "t string").select("t", path_key(F.col("t")).alias("key"))
+
+
+def _connections_sql(note: int, limit: int, tags: bool) -> str:
+    fill = f"""UNION ALL SELECT 1 AS part, t.tag, t.n, y.path AS p, x.note_id, 'supporting', 'co_tag', false, round(1 / log2(n + 1), 6) FROM tg x JOIN tg o ON x.tag = o.tag AND o.note_id = {note} AND x.note_id <> {note}
+      JOIN (SELECT tag, count(*) AS n FROM tg GROUP BY tag) t ON t.tag = x.tag JOIN g y ON y.note_id = x.note_id WHERE n <= 100""" if tags else ""
+    return f"""WITH {_EDGES}, i AS (SELECT 0 AS part, CASE WHEN source_id = {note} THEN lpad(CAST(source_id AS VARCHAR), 20, '0') || lpad(CAST(target_id AS VARCHAR), 20, '0') ELSE lpad(CAST(source_id AS VARCHAR), 20, '0') || lpad(CAST(target_id AS VARCHAR), 20, '0') END || kind AS tag, 0 AS n, '' AS p,
+      CASE WHEN source_id = {note} THEN target_id ELSE source_id END AS other, CASE WHEN source_id = {note} THEN 'outgoing' ELSE 'incoming' END AS direction, kind, true AS verified, 1.0 AS score FROM e WHERE source_id = {note} OR target_id = {note} {fill}),
+    k AS (SELECT row_number() OVER (ORDER BY part, n, tag, p) AS place, *, count(*) OVER () AS total FROM i)
+    SELECT place, other, path AS other_path, direction, kind, verified, CAST(score AS DOUBLE) AS score, total FROM k JOIN g ON other = g.note_id WHERE place <= {limit}"""
+
+
+@query(_connections_sql(NATION, 20, False))
 def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a hub: the first of its edges and the number of all."""
     notes = corpus.linked_notes(spark, sf_dir)
-    return graph.connections(graph.edges(notes), notes, NOTE, 20)
+    return graph.connections(graph.all_edges(graph.edges(notes)), notes, NATION, 20)
+
+
+@query(_connections_sql(CLUB_MEMBER, 15, True))
+def connections_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a note of few edges: filled with notes of a common tag; the note is looked up by its name."""
+    notes = corpus.linked_notes(spark, sf_dir)
+    own = graph.resolve_note(notes, "Customer#000000010")
+    return graph.connections(graph.all_edges(graph.edges(notes)), notes, own, 15, graph.note_tags(notes))
 
 
 @query("""WITH t AS (SELECT p_partkey, lower(p_brand) AS tag, count(*) OVER (PARTITION BY p_brand) AS note_count FROM part)
@@ -228,7 +293,7 @@ def co_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.co_tags(tags, 1)
 
 
-@query("SELECT 'segment/' || lower(c_mktsegment) AS tag, count(*) AS notes FROM customer GROUP BY ALL")
+@query(f"WITH {_EDGES} SELECT tag, count(*) AS notes FROM tg GROUP BY tag")
 def tag_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.note_tags(corpus.linked_notes(spark, sf_dir)).groupBy("tag").agg(F.count("*").alias("notes"))
 
@@ -238,11 +303,22 @@ def verified_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(graph.edges(corpus.linked_notes(spark, sf_dir)))
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, k AS (SELECT me, other FROM b QUALIFY row_number() OVER (PARTITION BY me ORDER BY other) <= 1000),
-w(note_id, hops) AS (SELECT CAST({NATION} AS BIGINT), 0 UNION SELECT other, hops + 1 FROM w JOIN k ON note_id = me WHERE hops < 3) SELECT note_id, min(hops) AS hops FROM w GROUP BY note_id""")
+_WALK = f"""{_EDGES}, nb AS (SELECT DISTINCT me, other FROM b), k AS (SELECT me, other FROM nb QUALIFY row_number() OVER (PARTITION BY me ORDER BY other) <= 1000),
+w(note_id, hops) AS (SELECT CAST({NATION} AS BIGINT), 0 UNION SELECT other, hops + 1 FROM w JOIN k ON note_id = me WHERE hops < 6), far AS (SELECT note_id, min(hops) AS hops FROM w GROUP BY note_id)"""
+
+
+@query(f"WITH RECURSIVE {_WALK} SELECT note_id, hops FROM far")
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hops from a nation to what three hops reach."""
-    return graph.reached(graph.edges(corpus.linked_notes(spark, sf_dir)), NATION, 3).select("note_id", "hops")
+    """Hops from a nation to what six hops reach."""
+    return graph.reached(graph.edges(corpus.linked_notes(spark, sf_dir)), NATION).select("note_id", "hops")
+
+
+@query(f"""WITH RECURSIVE {_WALK}, via AS (SELECT f.note_id, f.hops, min(me) AS via FROM far f JOIN k ON other = f.note_id JOIN far p ON p.note_id = me AND p.hops = f.hops - 1 GROUP BY ALL),
+back(step, from_id, to_id) AS (SELECT hops, via, note_id FROM via WHERE note_id = {OTHER_NATION} UNION ALL SELECT v.hops, v.via, v.note_id FROM back JOIN via v ON v.note_id = from_id)
+SELECT step, from_id, to_id, max(kind) AS kind, true AS verified, 1.0 AS score FROM back JOIN e ON (source_id = from_id AND target_id = to_id) OR (source_id = to_id AND target_id = from_id) GROUP BY ALL""")
+def path_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps from one nation to another."""
+    return graph.path_between(graph.all_edges(graph.edges(corpus.linked_notes(spark, sf_dir))), NATION, OTHER_NATION)
 
 
 @query(f"""WITH {_EDGES}, p AS (SELECT DISTINCT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM e), m AS (SELECT p.a, p.b, count(DISTINCT x.other) AS n FROM p JOIN b x ON x.me = p.a JOIN b y ON y.me = p.b AND x.other = y.other GROUP BY ALL)
@@ -251,12 +327,13 @@ def mutual_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.mutual_neighbours(graph.edges(corpus.linked_notes(spark, sf_dir)))
 
 
-@query(f"WITH {_NAMES} SELECT domain, count(*) AS notes, sha256(string_agg(path || ':' || sha256(text), chr(10) ORDER BY path || ':' || sha256(text))) AS digest FROM g GROUP BY domain")
+@query(f"""WITH {_NAMES}, x AS (SELECT domain, sha256(path || ':' || sha256(text)) AS x FROM g), r AS (SELECT domain, substr(x, 1, 4) AS range, count(*) AS n, sha256(string_agg(x, chr(10) ORDER BY x)) AS d FROM x GROUP BY ALL)
+SELECT domain, CAST(sum(n) AS BIGINT) AS notes, sha256(string_agg(d, chr(10) ORDER BY range)) AS digest FROM r GROUP BY domain""")
 def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.content_digest(corpus.linked_notes(spark, sf_dir))
 
 
-@query(f"WITH {_EDGES}, {_NAMES}, d AS (SELECT me, count(*) AS degree FROM b GROUP BY me) SELECT note_id, path, domain, coalesce(degree, 0) AS degree, sha256(text) AS content_hash FROM g LEFT JOIN d ON note_id = me")
+@query(f"WITH {_EDGES}, d AS (SELECT me, count(*) AS degree FROM b GROUP BY me) SELECT note_id, path, domain, coalesce(degree, 0) AS degree, sha256(text) AS content_hash FROM g LEFT JOIN d ON note_id = me")
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = corpus.linked_notes(spark, sf_dir)
     return notes.join(graph.degrees(graph.edges(notes)), "note_id", "left").select("note_id", "path", "domain", F.coalesce("degree", F.lit(0)).alias("degree"), F.sha2("text", 256).alias("content_hash"))
@@ -276,9 +353,8 @@ def degree_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.percentile(graph.degrees(graph.edges(corpus.linked_notes(spark, sf_dir))), "degree", 0.9)
 
 
-@query("""SELECT 100 + n_nationkey AS note_id, 0 AS ordinal, n_name AS heading, 2 AS line_start, 2 AS line_end, 'Part of [its region](../regions/' || replace(r_name, ' ', '%20') || '.md)' AS text FROM nation JOIN region ON n_regionkey = r_regionkey
-UNION ALL SELECT 1000000 + s_suppkey, 0, s_name, 2, CASE WHEN s_suppkey % 7 = 0 THEN 3 ELSE 2 END, 'Based in [[' || n_name || '|home]]' || CASE WHEN s_suppkey % 7 = 0 THEN chr(10) || 'Once of [[Missing ' || s_suppkey || ']]' ELSE '' END FROM supplier JOIN nation ON s_nationkey = n_nationkey
-UNION ALL SELECT 1000000000 + c_custkey, 0, c_name, 2, 2, 'See [[' || n_name || ']] #segment/' || c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+@query(f"""WITH {_NAMES}, t AS (SELECT note_id, title AS heading, substr(text, strpos(text, chr(10)) + 1) AS text FROM g WHERE domain <> 'region')
+SELECT note_id, 0 AS ordinal, heading, 2 AS line_start, 2 + length(text) - length(replace(text, chr(10), '')) AS line_end, text FROM t""")
 def note_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections with their lines; the regions' headings have no text below and so no section."""
     return sections.sections(corpus.linked_notes(spark, sf_dir))
@@ -289,23 +365,27 @@ def heading_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.headings(corpus.linked_notes(spark, sf_dir))
 
 
-@query(f"WITH {_EDGES} SELECT source_id AS note_id, line, kind, 0 AS ordinal FROM e UNION ALL SELECT 1000000 + s_suppkey, 3, 'wikilink', 0 FROM supplier WHERE s_suppkey % 7 = 0 UNION ALL SELECT 1000000000 + c_custkey, 2, 'tag', 0 FROM customer")
+@query(f"WITH {_LINKS} SELECT note_id, line, kind, 0 AS ordinal FROM lk")
 def covering_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The section that each link and tag stands in."""
     notes = corpus.linked_notes(spark, sf_dir)
     return sections.covering(graph.links(notes).select("note_id", "line", "kind"), sections.sections(notes))
 
 
-@query(f"""WITH {_EDGES}, {_NAMES}, d AS (SELECT me, count(*) AS degree FROM b GROUP BY me)
+@query(f"""WITH {_EDGES}, d AS (SELECT me, count(*) AS degree FROM b GROUP BY me)
 SELECT note_id, path, domain, coalesce(degree, 0) AS degree, CASE WHEN domain = 'region' THEN 0 ELSE 1 END AS section_count, sha256(text) AS content_hash, CASE WHEN domain <> 'region' THEN substr(text, strpos(text, chr(10)) + 1) END AS summary FROM g LEFT JOIN d ON note_id = me""")
 def export_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = corpus.linked_notes(spark, sf_dir)
     return export.nodes(notes, graph.edges(notes), sections.sections(notes), True)
 
 
-@query(f"""WITH {_EDGES} SELECT source_id, target_id, 0 AS mutual, 0 AS mutual_total, 0 AS shared_tags FROM e""")
+@query(f"""WITH {_EDGES}, p AS (SELECT DISTINCT source_id, target_id FROM e), nb AS (SELECT DISTINCT me, other FROM b),
+m AS (SELECT source_id, target_id, count(*) AS n FROM p JOIN nb x ON x.me = source_id JOIN nb y ON y.me = target_id AND x.other = y.other GROUP BY ALL),
+t AS (SELECT source_id, target_id, count(*) AS n FROM p JOIN tg x ON x.note_id = source_id JOIN tg y ON y.note_id = target_id AND x.tag = y.tag GROUP BY ALL)
+SELECT p.source_id, p.target_id, CAST(least(coalesce(m.n, 0), 12) AS INT) AS mutual, coalesce(m.n, 0) AS mutual_total, CAST(least(coalesce(t.n, 0), 12) AS INT) AS shared_tags
+FROM p LEFT JOIN m USING (source_id, target_id) LEFT JOIN t USING (source_id, target_id)""")
 def export_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much each edge's ends share: nothing in this tree of foreign keys."""
+    """How many notes and tags each edge's ends share; as many as are listed, and all."""
     notes = corpus.linked_notes(spark, sf_dir)
     out = export.edge_context(graph.edges(notes), graph.note_tags(notes))
     return out.select("source_id", "target_id", F.size("mutual").alias("mutual"), "mutual_total", F.size("shared_tags").alias("shared_tags"))

@@ -28,20 +28,41 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linked_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions, nations, suppliers and customers as Markdown notes that link along foreign keys: customers and suppliers by
-    name, nations by path; every seventh supplier also links a name that isn't there. note_id, path, title, domain, text."""
+    """Regions, nations, suppliers and customers as Markdown notes that link along foreign keys: note_id, path, title, domain,
+    text. Customers and suppliers link nations by name, nations their region by path from the top; every tenth customer also
+    links its region by an escaped name. Every fifth supplier names its nation in a Markdown link without a folder, every
+    seventh links a name that isn't there, and every fifth nation goes up out of the folder. Customers have their segment as a tag,
+    every tenth a club besides; every second nation one of the segments."""
     region, nation, supplier, customer = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier", "customer"))
-    r = region.select(F.col("r_regionkey").cast("long").alias("note_id"), F.concat(F.lit("regions/"), "r_name", F.lit(".md")).alias("path"), F.col("r_name").alias("title"), F.lit("region").alias("domain"), F.concat(F.lit("# "), "r_name").alias("text"))
-    n = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)  # regions are five, by definition
-    n = n.select((100 + F.col("n_nationkey")).cast("long").alias("note_id"), F.concat(F.lit("nations/"), "n_name", F.lit(".md")).alias("path"), F.col("n_name").alias("title"), F.lit("nation").alias("domain"), F.concat(F.lit("# "), "n_name", F.lit("\nPart of [its region](../regions/"), F.regexp_replace("r_name", " ", "%20"), F.lit(".md)")).alias("text"))
-    s = supplier.join(F.broadcast(nation), supplier.s_nationkey == nation.n_nationkey)
-    missing = F.when(F.col("s_suppkey") % 7 == 0, F.concat(F.lit("\nOnce of [[Missing "), F.col("s_suppkey").cast("string"), F.lit("]]"))).otherwise("")
-    s = s.select((1_000_000 + F.col("s_suppkey")).alias("note_id"), F.concat(F.lit("suppliers/"), "s_name", F.lit(".md")).alias("path"), F.col("s_name").alias("title"), F.lit("supplier").alias("domain"), F.concat(F.lit("# "), "s_name", F.lit("\nBased in [["), "n_name", F.lit("|home]]"), missing).alias("text"))
-    c = customer.join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey)
-    c = c.select((1_000_000_000 + F.col("c_custkey")).alias("note_id"), F.concat(F.lit("customers/"), "c_name", F.lit(".md")).alias("path"), F.col("c_name").alias("title"), F.lit("customer").alias("domain"), F.concat(F.lit("# "), "c_name", F.lit("\nSee [["), "n_name", F.lit("]] #segment/"), F.col("c_mktsegment")).alias("text"))
+
+    def when(condition, *text):
+        return F.when(condition, F.concat(*[F.lit(t) if isinstance(t, str) else t for t in text])).otherwise("")
+
+    def escaped(name: str):
+        return F.regexp_replace(name, " ", "%20")
+
+    def note(df: DataFrame, first: int, key: str, name: str, domain: str, *text) -> DataFrame:
+        body = F.concat(F.lit("# "), F.col(name), *[F.lit(t) if isinstance(t, str) else t for t in text])
+        return df.select((first + F.col(key)).cast("long").alias("note_id"), F.concat(F.lit(f"{domain}s/"), name, F.lit(".md")).alias("path"), F.col(name).alias("title"), F.lit(domain).alias("domain"), body.alias("text"))
+
+    at = F.broadcast(nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey))  # 25 nations, by definition
+    up = when(F.col("n_nationkey") % 5 == 0, "\nAlso [up](../regions/", escaped("r_name"), ".md)")
+    r = note(region, 0, "r_regionkey", "r_name", "region")
+    n = note(at, 100, "n_nationkey", "n_name", "nation", "\nPart of [its region](regions/", escaped("r_name"), ".md)", when(F.col("n_nationkey") % 2 == 0, " #segment/BUILDING"), up)
+    missing = when(F.col("s_suppkey") % 7 == 0, "\nOnce of [[Missing ", F.col("s_suppkey").cast("string"), "]]")
+    s = note(supplier.join(at, F.col("s_nationkey") == F.col("n_nationkey")), 1_000_000, "s_suppkey", "s_name", "supplier", "\nBased in [[", F.col("n_name"), "|home]]", missing, when(F.col("s_suppkey") % 5 == 0, "\nBy name [it](", escaped("n_name"), ".md)"))
+    more = when(F.col("c_custkey") % 10 == 0, "\nIn [[", escaped("r_name"), "]] #club/c", (F.col("c_custkey") % 7).cast("string"))
+    c = note(customer.join(at, F.col("c_nationkey") == F.col("n_nationkey")), 1_000_000_000, "c_custkey", "c_name", "customer", "\nSee [[", F.col("n_name"), "]] #segment/", F.col("c_mktsegment"), more)
     return r.unionByName(n).unionByName(s).unionByName(c)
 
 
+def document_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authored edges among the documents: each whose id three divides links the one of half its id. source_id, target_id, kind."""
+    ids = table(spark, sf_dir, "documents").select("doc_id").distinct()
+    halves = ids.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("source_id"), F.floor(F.col("doc_id") / 2).alias("target_id")).filter("source_id <> target_id")
+    return halves.join(ids.withColumnRenamed("doc_id", "target_id"), "target_id", "left_semi").select("source_id", "target_id", F.lit("wikilink").alias("kind"))
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two snapshots (path, content_hash) of the documents: by id, one in ten is new, changed, gone and renamed."""
     docs = table(spark, sf_dir, "documents").withColumn("k", F.col("doc_id") % 10)

@@ -50,14 +50,41 @@ def notes(spark, items):
 
 
 def test_links(spark):
-    n = notes(spark, [("A.md", "[[b]] and [[B]]\r\n[[nowhere]]\r[x](../out.md)"), ("s/B.md", "[a](../A.md) [[Dup]]"), ("t/Dup.md", ""), ("u/Dup.md", "[[Dup]]")])
-    assert {(r.source_id, r.target_id, r.kind, r.line) for r in graph.edges(n).collect()} == {(0, 1, "wikilink", 1), (1, 0, "markdown_link", 1)}
-    assert {(r.note_id, r.line, r.reason) for r in graph.unresolved(n).collect()} == {(0, 2, "not_found"), (0, 3, "path_not_found"), (1, 1, "ambiguous"), (3, 1, "ambiguous")}
+    n = notes(spark, [("A.md", "[[b]] and [[B]]\r\n[[nowhere]]\r[x](../out.md)"), ("s/B.md", "[a](../A.md) [n](A.md) [[Dup]] [[Two%20B]] [[k/../t/Dup]]"), ("t/Dup.md", "[[./Dup]] [u](x/../../s/B)"), ("u/Dup.md", "[[Dup]] [p](u/Dup.md)"), ("u/u/Dup.md", ""), ("u/Two B.md", "[q](u/Dup.md)")])
+    assert {(r.source_id, r.target_id, r.kind, r.line) for r in graph.edges(n).collect()} == {(0, 1, "wikilink", 1), (1, 0, "markdown_link", 1), (1, 5, "wikilink", 1), (1, 2, "wikilink", 1)}
+    found = {(r.note_id, r.line, r.target, r.reason) for r in graph.unresolved(n).collect()}
+    outside, several = "path_outside_vault", "ambiguous_path"
+    assert found == {(0, 2, "nowhere", "not_found"), (0, 3, "../out.md", outside), (1, 1, "../A.md", outside), (1, 1, "Dup", "ambiguous"), (2, 1, "x/../../s/B", outside), (3, 1, "Dup", "ambiguous"), (3, 1, "u/Dup.md", several), (5, 1, "u/Dup.md", several)}
+
+
+def test_packet(spark):
+    """The passage at the budget's end is cut to an ellipsis and counts as long as it then is."""
+    texts = ["alpha alpha alpha " + "x" * 82, "alpha alpha " + "y" * 70 + "        z", "alpha " + "w" * 100]
+    n = notes(spark, [(f"{i}.md", t) for i, t in enumerate(texts)]).withColumns({"relative_path": F.col("path"), "status": F.lit(None).cast("string")})
+    s = n.select(F.col("note_id").alias("section_id"), "note_id", "text")
+    found = search.packet(s, n, "alpha", 3, 185).orderBy("rank").collect()
+    assert [(r.truncated, r.passage) for r in found] == [(False, texts[0]), (True, "alpha alpha " + "y" * 70 + "…")]
+    assert search.packet(s, n, "the", 3, 185).count() == 0 and search.search(s, n, "", 3).count() == 0
+    assert [r.passage for r in search.packet(s, n, "alpha", 3, 10).collect()] == ["alpha alp…"]
+
+
+def test_look_ups(spark):
+    n = notes(spark, [("a/One.md", "[[Two]]"), ("b/Two.md", "[[Three]]"), ("c/Three.md", ""), ("d/three.md", ""), ("e/Alone.md", "")])
+    assert graph.resolve_note(n, "A/one.md") == 0 and graph.resolve_note(n, "two") == 1
+    for missing in ("x/One.md", "Four", "Three"):
+        with pytest.raises(ValueError):
+            graph.resolve_note(n, missing)
+    edges = graph.all_edges(graph.edges(n), spark.createDataFrame([(1, 2, 0.5)], "l long, r long, score double"))
+    steps = sorted((r.step, r.from_id, r.to_id, r.kind, r.verified) for r in graph.path_between(edges, 0, 2).collect())
+    assert steps == [(1, 0, 1, "wikilink", True), (2, 1, 2, "candidate", False)]
+    assert graph.path_between(edges, 0, 4).count() == 0 and graph.path_between(edges, 0, 2, 1).count() == 0
+    first = graph.incident(edges, spark.createDataFrame([(1,)], "note_id long"), 1).collect()
+    assert [(r.source_id, r.is_verified, r.total, r.truncated) for r in first] == [(0, True, 2, True)]
 
 
 def test_search_refuses(spark):
     with pytest.raises(ValueError):
-        search.search(None, None, "the", 5)
+        search.search(None, None, "alpha", 0)
 
 
 def test_changes(spark):
