@@ -9,10 +9,10 @@ from corkboard.functions.text import STOPWORDS, excerpt, path_key, sanitised
 from corkboard.operators import changes, discovery, export, graph, search, sections, trails
 from corkboard.sources import corpus
 
-QUERY, LIMIT, BUDGET, AS_OF = "tion ering onon erth ondethe inre thing", 10, 8000, "2026-01-01"
+QUERY, LIMIT, BUDGET, AS_OF = "tion ering onon erth ondethe inre thing", 10, 40000, "2026-01-01"
 THRESHOLD = 0.16
 NOTE = 1_000_000_001  # a customer
-NATION, OTHER_NATION = 103, 117
+NATION, OTHER_NATION = 103, 118
 CLUB_MEMBER = 1_000_000_010
 
 _QUERIES: dict = {}
