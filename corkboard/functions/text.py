@@ -19,6 +19,8 @@ WIKILINK = r"(?<!!)\[\[([^\]|#]+)(?:#[^\]|]+)?(?:\|[^\]]+)?\]\]"
 MARKDOWN_LINK = r"(?<!!)\[[^\]]+\]\(([^)]+)\)"
 TAG = r"(?<![\w/#])#([A-Za-z][A-Za-z0-9_/-]*)"
 INLINE_CODE = r"(`+)(.*?)\1"
+UNSAFE = r"[\x00-\x08\x0B-\x1F\x7F-\x9F\u200B-\u200F\u2028-\u202E\u2066-\u2069\uFEFF]"
+PASSAGE = 500
 
 
 def raw_tokens(text: Column) -> Column:
@@ -101,9 +103,27 @@ def excerpt(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.regexp_replace(F.substring(text, 1, most - 1), r"\s+$", ""), F.lit("…"))).otherwise(text)
 
 
+def passage(text: Column) -> Column:
+    """The first PASSAGE characters without spaces at their end, and an ellipsis besides where cut."""
+    return F.concat(F.regexp_replace(F.substring(text, 1, PASSAGE), r"\s+$", ""), F.when(F.length(text) > PASSAGE, "…").otherwise(""))
+
+
 def sanitised(text: Column) -> Column:
     """Line ends as line feeds; no control, zero-width or direction characters but tab and line feed."""
-    return F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x9F\\u200B-\\u200F\\u2028-\\u202E\\u2066-\\u2069\\uFEFF]", "")
+    return F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), UNSAFE, "")
+
+
+def collapsed(text: Column) -> Column:
+    """Runs of white space as one space, none at the ends."""
+    return F.trim(F.regexp_replace(sanitised(text), r"\s+", " "))
+
+
+def json_length(text: Column) -> Column:
+    """Characters of the text as a JSON string in ASCII, quotes included."""
+    short = F.regexp_count(text, F.lit(r"[\"\\\n\r\t\x08\x0C]"))
+    escaped = F.regexp_count(text, F.lit(r"[^ -~\n\r\t\x08\x0C\x{10000}-\x{10FFFF}]"))
+    pairs = F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    return 2 + F.length(text) + short + 5 * escaped + 11 * pairs
 
 
 def fence(text: Column) -> Column:

@@ -41,6 +41,54 @@ def broken_citations(sections: DataFrame, current: DataFrame) -> DataFrame:
     return met.select("note_id", "line_start", "line_end", reason.alias("reason")).filter("reason IS NOT NULL")
 
 
+def assessed(changes: DataFrame, index: DataFrame) -> DataFrame:
+    """changes (path, change, old_hash, new_hash) with relation, index_hash and diverged: NEW and MODIFIED for what was added or
+    modified and the index (path, content_hash) lacks or has otherwise, index_current for what it has as it is now, DELETED for
+    what was removed and it has, never_indexed for what it lacks. A modified path diverged if the index doesn't have what was
+    there before."""
+    met = changes.join(index.select("path", F.col("content_hash").alias("index_hash")), "path", "left")
+    lacks, gone = F.col("index_hash").isNull(), F.col("change") == "removed"
+    relation = F.when(gone, F.when(lacks, "never_indexed").otherwise("DELETED")).when(lacks, "NEW").when(F.col("new_hash") == F.col("index_hash"), "index_current").otherwise("MODIFIED")
+    diverged = (relation == "MODIFIED") & ~F.col("old_hash").eqNullSafe(F.col("index_hash"))
+    return met.select("path", "change", relation.alias("relation"), "old_hash", "new_hash", "index_hash", diverged.alias("diverged"))
+
+
+def duplicates(changes: DataFrame, index: DataFrame, most: int = 12) -> DataFrame:
+    """(path, content_hash, duplicate_of, of_total, in_batch, batch_total) of added and modified paths whose bytes another indexed
+    path, or another one of the batch, has: the first `most` other paths, and the number of all. Paths are listed once a content,
+    so that many copies don't make pairs."""
+    new = changes.filter("change <> 'removed'").select("path", F.col("new_hash").alias("content_hash"))
+    out = new
+    for name, held in (("of", index.select("path", "content_hash")), ("batch", new)):
+        total = held.groupBy("content_hash").agg(F.count("*").alias(f"{name}_n"))
+        first = held.withColumn("k", F.row_number().over(Window.partitionBy("content_hash").orderBy("path"))).filter(F.col("k") <= most + 1)
+        listed = first.groupBy("content_hash").agg(F.sort_array(F.collect_list("path")).alias(f"{name}_paths"))
+        out = out.join(total, "content_hash", "left").join(listed, "content_hash", "left")
+    own = index.select("path", "content_hash", F.lit(1).alias("own"))
+    out = out.join(own, ["path", "content_hash"], "left")
+    others = {name: F.slice(F.filter(F.coalesce(f"{name}_paths", F.array().cast("array<string>")), lambda p: p != F.col("path")), 1, most) for name in ("of", "batch")}
+    totals = {"of_total": F.coalesce("of_n", F.lit(0)) - F.coalesce("own", F.lit(0)), "batch_total": F.col("batch_n") - 1}
+    return out.withColumns(totals).filter("of_total > 0 OR batch_total > 0").select("path", "content_hash", others["of"].alias("duplicate_of"), "of_total", others["batch"].alias("in_batch"), "batch_total")
+
+
+def manifest_digest(entries: DataFrame) -> DataFrame:
+    """(source, entries, digest) of checkpoints (source, path, content_hash, size, mtime_ns): every field is bound. Of two levels,
+    as graph.content_digest."""
+    line = F.concat_ws("\t", "path", "content_hash", F.col("size").cast("string"), F.col("mtime_ns").cast("string"))
+    return digest_of(entries.select("source", F.sha2(line, 256).alias("x")), "source", "entries")
+
+
+def digest_of(each: DataFrame, by: str, count: str) -> DataFrame:
+    """(by, count, digest) of rows (by, x): of the digests, in order, of 65536 ranges of x, so that no task holds all of a group."""
+    ranges = each.groupBy(by, F.substring("x", 1, 4).alias("range")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("x")), "\n"), 256).alias("d"))
+    return ranges.groupBy(by).agg(F.sum("n").alias(count), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("range", "d"))), lambda r: r.d), "\n"), 256).alias("digest"))
+
+
+def drifted_manifest(before: DataFrame, after: DataFrame, edited: DataFrame) -> DataFrame:
+    """(path, change) of what differs between two manifests (path, content_hash) though it isn't among the edited paths."""
+    return diff(before, after).join(edited.select("path").distinct(), "path", "left_anti").select("path", "change")
+
+
 def proposals(changes: DataFrame, renamed: DataFrame) -> DataFrame:
     """(path, action, proposal_id): link_fix for a removed path with one candidate, dangling_review for others removed,
     citation_review for modified ones. The id is of path and action."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corkboard.functions.storage import small, stored
 from corkboard.functions.text import inline_tags, link_target, markdown_links, name_key, path_key, wikilinks
+from corkboard.operators.changes import digest_of
 
 TAG_FANOUT = 100
 NEIGHBOURS = 1000
@@ -95,17 +96,31 @@ def all_edges(verified: DataFrame, candidates: DataFrame | None = None) -> DataF
     return out.unionByName(candidates.select(F.col("l").alias("source_id"), F.col("r").alias("target_id"), F.lit("candidate").alias("kind"), F.lit(False).alias("is_verified"), "score"))
 
 
+def touching(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The edges with an end among seeds (note_id; few), each once."""
+    marks = F.broadcast(seeds.select("note_id").distinct())
+    out = edges.join(marks.withColumnRenamed("note_id", "source_id"), "source_id", "left_semi")
+    into = edges.join(marks.withColumnRenamed("note_id", "target_id"), "target_id", "left_semi").join(marks.withColumnRenamed("note_id", "source_id"), "source_id", "left_anti")
+    return out.unionByName(into)
+
+
 def incident(edges: DataFrame, seeds: DataFrame, limit: int = 200) -> DataFrame:
     """Edges (of all_edges) at any of seeds (note_id; few), verified first, then by score and ids, with the number of all and
     whether the limit cut them."""
-    marks = F.broadcast(seeds.select("note_id").distinct())
-    at = [edges.join(marks.withColumnRenamed("note_id", end), end, "left_semi") for end in ("source_id", "target_id")]
-    found = stored(at[0].unionByName(at[1].join(marks.withColumnRenamed("note_id", "source_id"), "source_id", "left_anti").select(*at[0].columns)), "incident")
+    found = stored(touching(edges, seeds), "incident")
     total = found.count()
     top = found.orderBy(F.desc("is_verified"), F.desc("score"), "source_id", "target_id", "kind").limit(limit)
     return top.withColumn("total", F.lit(total)).withColumn("truncated", F.lit(total > limit))
 
 
+def matching(notes: DataFrame, text: str, domain: str | None = None) -> DataFrame:
+    """Notes (title, path, domain, tags: array) whose title, path, domain or tags have the text, in any case, and that are of
+    the domain, if one is given."""
+    label = F.lower(F.concat_ws(" ", "title", "path", "domain", F.array_join("tags", " ")))
+    met = notes.filter(F.contains(label, F.lit(text.strip().lower())))
+    return met if domain is None else met.filter(F.col("domain") == domain)
+
+
 def note_tags(notes: DataFrame) -> DataFrame:
     """(note_id, tag), lower-cased, each once."""
     return links(notes).filter("kind = 'tag'").select("note_id", F.lower("target").alias("tag")).distinct()
@@ -215,8 +230,7 @@ def content_digest(notes: DataFrame) -> DataFrame:
     """One digest of all notes by group, of two levels: of the digests, in order, of 65536 ranges of the sorted digests of
     paths and contents. So no task holds all of a group."""
     each = notes.select("domain", F.sha2(F.concat("path", F.lit(":"), F.sha2("text", 256)), 256).alias("x"))
-    ranges = each.groupBy("domain", F.substring("x", 1, 4).alias("range")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("x")), "\n"), 256).alias("d"))
-    return ranges.groupBy("domain").agg(F.sum("n").alias("notes"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("range", "d"))), lambda r: r.d), "\n"), 256).alias("digest"))
+    return digest_of(each, "domain", "notes")
 
 
 def bridges(edges: DataFrame, notes: DataFrame) -> DataFrame:

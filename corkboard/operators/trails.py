@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corkboard.functions.text import raw_tokens
-from corkboard.operators.graph import both_ways
+from corkboard.functions.storage import stored
+from corkboard.operators.contract import citation_place
+from corkboard.operators.graph import both_ways, bridges, degrees, percentile
 
-# The days that notes may lie apart, and that a note must have drifted.
-PARALLEL_DAYS, DRIFT_DAYS = 14, 90
+# The days that notes may lie apart, that a note must have drifted or slept, and the least evidence.
+PARALLEL_DAYS, DRIFT_DAYS, DORMANT_DAYS, EVIDENCE_FLOOR = 14, 90, 180, 0.25
+PARTS = ["novelty", "distance", "evidence", "centrality", "structure", "age"]
 
 
 def evidence_score(terms: Column, passages: Column, tags: Column, mutual: Column) -> Column:
@@ -50,28 +52,133 @@ def linked_within(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return met.join(last.withColumnRenamed("to", "r"), ["r", "at"], "left_semi").select("l", "r").distinct()
 
 
-def kinds(candidates: DataFrame, notes: DataFrame, edges: DataFrame, crossings: DataFrame) -> DataFrame:
-    """(l, r, kind) of each kind that a candidate (l, r, terms, shared_tags, mutual) is of: parallel_invention,
-    unwritten_link, distant_neighbors, reinforced. Notes are (note_id, title, path, tags, domain, created_at); crossings
-    (a, b, n) tell how many links join two domains, a before b."""
+def evidenced(ranked: DataFrame, passages: DataFrame, notes: DataFrame, edges: DataFrame, most: int = 12) -> DataFrame:
+    """ranked (l, r, terms) with shared_tags, mutual (the first `most` notes linked to both), passages (whether both sides have
+    one) and cited (whether each side's citation is of its own note). passages are those of discovery.best_passages."""
+    near = both_ways(edges).select("me", "other").distinct()
+    both = ranked.select("l", "r").join(near.withColumnRenamed("me", "l"), "l").join(near.withColumnRenamed("me", "r"), ["r", "other"], "left_semi")
+    few = both.withColumn("k", F.row_number().over(Window.partitionBy("l", "r").orderBy("other"))).filter(F.col("k") <= most)
+    mutual = few.groupBy("l", "r").agg(F.sort_array(F.collect_list("other")).alias("mutual"))
+    own = passages.join(notes.select("note_id", "path"), "note_id").withColumn("own", F.coalesce(citation_place(F.col("citation"))["path"] == F.col("path"), F.lit(False)))
+    told = own.groupBy("l", "r").agg((F.count_if(F.col("passage") != "") == 2).alias("passages"), (F.count_if("own") == 2).alias("cited"))
+    out = ranked.join(mutual, ["l", "r"], "left").join(told, ["l", "r"], "left")
+    for end in "lr":
+        out = out.join(notes.select(F.col("note_id").alias(end), F.transform("tags", F.lower).alias(f"{end}_tags")), end)
+    no = F.lit(False)
+    return out.select("l", "r", "terms", F.array_intersect("l_tags", "r_tags").alias("shared_tags"), F.coalesce("mutual", F.array().cast("array<bigint>")).alias("mutual"), F.coalesce("passages", no).alias("passages"), F.coalesce("cited", no).alias("cited"))
+
+
+def label_tokens(text: Column) -> Column:
+    """Lower-case runs of letters and digits of two characters at least, each once."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 1))
+
+
+def domain(of: Column) -> Column:
+    return F.coalesce(F.when(of != "", of), F.lit("Unclassified"))
+
+
+def crossings(edges: DataFrame, notes: DataFrame) -> DataFrame:
+    """(a, b, n): how many authored links join notes of two domains, a before b."""
+    ends = edges.select("source_id", "target_id")
+    for end in ("source", "target"):
+        ends = ends.join(notes.select(F.col("note_id").alias(f"{end}_id"), domain(F.col("domain")).alias(end)), f"{end}_id", "left").withColumn(end, F.coalesce(end, F.lit("Unclassified")))
+    return ends.filter("source <> target").groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.count("*").alias("n"))
+
+
+def facts(candidates: DataFrame, notes: DataFrame, edges: DataFrame, crossed: DataFrame) -> DataFrame:
+    """candidates (l, r, terms, shared_tags, mutual and others) with what kinds and scores follow from: both domains and dates,
+    apart (no three links join them), far (of two domains), rare (which one link at most joins), surprise (terms that
+    neither label has), count (of the conditions of a surprise that hold)."""
     side = notes.select(
-        "note_id", F.coalesce(F.when(F.col("domain") != "", F.col("domain")), F.lit("Unclassified")).alias("domain"), F.col("created_at").cast("date").alias("created"),
-        F.array_distinct(raw_tokens(F.concat_ws(" ", "title", "path", F.array_join("tags", " "), "domain"))).alias("label"),
+        "note_id", domain(F.col("domain")).alias("domain"), F.col("created_at").cast("date").alias("created"), F.col("modified_at").cast("date").alias("modified"),
+        label_tokens(F.concat_ws(" ", "title", "path", F.array_join("tags", " "), "domain")).alias("label"),
     )
-    met = candidates.select("l", "r", F.array_distinct(F.transform("terms", F.lower)).alias("terms"), "shared_tags", "mutual")
+    met = candidates.withColumn("terms", F.array_distinct(F.transform("terms", F.lower)))
     for end in ("l", "r"):
         met = met.join(side.select(*[F.col(c).alias(end if c == "note_id" else f"{end}_{c}") for c in side.columns]), end)
     met = met.join(linked_within(candidates, edges).withColumn("linked", F.lit(True)), ["l", "r"], "left")
-    a, b = F.least("l_domain", "r_domain"), F.greatest("l_domain", "r_domain")
-    met = met.withColumn("a", a).withColumn("b", b).join(crossings.select("a", "b", F.col("n").alias("crossed")), ["a", "b"], "left")
-    far, apart = F.col("l_domain") != F.col("r_domain"), F.col("linked").isNull()
-    rare = far & (F.coalesce("crossed", F.lit(0)) <= 1)
-    surprising = F.size(F.array_except("terms", F.array_union("l_label", "r_label"))) >= 2
-    count = sum((c.cast("int") for c in (apart, rare, surprising, apart & (F.size("terms") >= 3))), F.lit(0))
+    met = met.withColumns({"a": F.least("l_domain", "r_domain"), "b": F.greatest("l_domain", "r_domain")}).join(crossed.select("a", "b", F.col("n").alias("crossed")), ["a", "b"], "left")
+    met = met.withColumns({"far": F.col("l_domain") != F.col("r_domain"), "apart": F.col("linked").isNull(), "surprise": F.array_except("terms", F.array_union("l_label", "r_label"))})
+    met = met.withColumn("rare", F.col("far") & (F.coalesce("crossed", F.lit(0)) <= 1))
+    holds = (F.col("apart"), F.col("rare"), F.size("surprise") >= 2, F.col("apart") & (F.size("terms") >= 3))
+    return met.withColumn("count", sum((c.cast("int") for c in holds), F.lit(0))).drop("a", "b", "linked", "crossed", "l_label", "r_label")
+
+
+def kinds_of(told: DataFrame) -> Column:
+    """The kinds of a row of facts."""
     signals = sum((c.cast("int") for c in (F.size("terms") >= 2, F.size("shared_tags") > 0, F.size("mutual") > 0)), F.lit(0))
-    days = F.abs(F.date_diff("l_created", "r_created"))
-    told = {"parallel_invention": far & F.coalesce(days <= PARALLEL_DAYS, F.lit(False)) & surprising & (count >= 2), "unwritten_link": apart, "distant_neighbors": rare, "reinforced": (signals >= 2) & (count >= 2)}
-    return met.select("l", "r", F.explode(F.array_compact(F.array(*[F.when(rule, name) for name, rule in told.items()]))).alias("kind"))
+    near = F.coalesce(F.abs(F.date_diff("l_created", "r_created")) <= PARALLEL_DAYS, F.lit(False))
+    rules = {"parallel_invention": F.col("far") & near & (F.size("surprise") >= 2) & (F.col("count") >= 2), "unwritten_link": F.col("apart"), "distant_neighbors": F.col("rare"), "reinforced": (signals >= 2) & (F.col("count") >= 2)}
+    return F.array_compact(F.array(*[F.when(rule, name) for name, rule in rules.items()]))
+
+
+def kinds(candidates: DataFrame, notes: DataFrame, edges: DataFrame, crossed: DataFrame) -> DataFrame:
+    """(l, r, kind) of each kind that a candidate (l, r, terms, shared_tags, mutual) is of: parallel_invention,
+    unwritten_link, distant_neighbors, reinforced. Notes are (note_id, title, path, tags, domain, created_at, modified_at)."""
+    told = facts(candidates, notes, edges, crossed)
+    return told.select("l", "r", F.explode(kinds_of(told)).alias("kind"))
+
+
+def total(penalty: Column | float = 0.0) -> Column:
+    """The score of a row of PARTS; age counts beside the floored total."""
+    weighted = trail_score(*[F.col(c) for c in ("novelty", "distance", "evidence", "centrality", "structure")], F.lit(penalty) if isinstance(penalty, float) else penalty)
+    return F.greatest(F.lit(0.0), weighted + F.col("age"))
+
+
+def central(notes: DataFrame, edges: DataFrame) -> tuple[DataFrame, float, float]:
+    """((note_id, degree) of all notes, the degrees' 90th and 95th percentile)."""
+    held = notes.select("note_id").join(degrees(edges), "note_id", "left").select("note_id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
+    held = stored(held, "degrees")
+    p90, p95 = ((percentile(held, "degree", share).first()["value"] or 0) for share in (0.9, 0.95))
+    return held, p90, p95
+
+
+def _centrality(degree: Column, p90: float) -> Column:
+    return F.least(degree / float(p90), F.lit(1.0)) if p90 else F.lit(0.0)
+
+
+def scored(candidates: DataFrame, notes: DataFrame, edges: DataFrame, as_of: str) -> DataFrame:
+    """(l, r, kind, PARTS, score, surprise) of candidates (l, r, terms, shared_tags, mutual, passages, cited) of two surprising
+    terms at least, of evidence at the floor or above, and cited on both sides. No feedback is taken off."""
+    held, p90, _ = central(notes, edges)
+    told = facts(candidates, notes, edges, crossings(edges, notes))
+    told = told.withColumn("evidence", evidence_score(F.size("terms").cast("double"), F.when(F.col("passages"), 1.0).otherwise(0.0), F.when(F.size("shared_tags") > 0, 1.0).otherwise(0.0), F.size("mutual").cast("double")))
+    told = told.filter((F.size("surprise") >= 2) & (F.col("evidence") >= EVIDENCE_FLOOR) & F.col("cited"))
+    for end in "lr":
+        told = told.join(held.select(F.col("note_id").alias(end), F.col("degree").alias(f"{end}_degree")), end)
+    older = F.greatest(F.lit(0), *[F.coalesce(F.date_diff(F.lit(as_of).cast("date"), f"{end}_modified"), F.lit(0)) for end in "lr"])
+    parts = {
+        "novelty": F.when(F.col("apart"), 1.0).otherwise(0.0), "distance": F.when(~F.col("far"), 0.0).when(F.col("rare"), 1.0).otherwise(0.6),
+        "centrality": _centrality(F.greatest("l_degree", "r_degree"), p90), "structure": F.lit(0.0), "age": 0.15 * F.least(older / 365, F.lit(1.0)),
+    }
+    told = told.withColumns(parts)
+    return told.withColumn("kind", F.explode(kinds_of(told))).select("l", "r", "kind", *PARTS, total().alias("score"), "surprise")
+
+
+def structural(notes: DataFrame, edges: DataFrame, candidates: DataFrame, as_of: str | None, hashes_changed: int = 0) -> DataFrame:
+    """(note_id, kind, PARTS, score) of single notes: bridge, island, dormant (only where as_of is known) and drift. The last
+    counts for more when an export before, whose claims hold, tells of changed contents."""
+    held, p90, _ = central(notes, edges)
+    ends = candidates.select(F.col("l").alias("note_id")).unionByName(candidates.select(F.col("r").alias("note_id")))
+    counted = ends.groupBy("note_id").agg(F.count("*").alias("candidates"))
+    over = bridges(edges, notes).select("note_id", F.lit(True).alias("bridge"))
+    n = notes.select("note_id", F.col("created_at").cast("date").alias("created"), F.col("modified_at").cast("date").alias("modified")).join(held, "note_id").join(counted, "note_id", "left").join(over, "note_id", "left")
+    n = n.withColumn("candidates", F.coalesce("candidates", F.lit(0))).withColumn("centrality", _centrality(F.col("degree"), p90))
+    slept = F.greatest(F.lit(0), F.date_diff(F.lit(as_of).cast("date"), "modified"))
+    span = F.date_diff("modified", "created")
+
+    def year(days: Column) -> Column:
+        return F.least(days / 365, F.lit(1.0))
+
+    one = F.lit(1.0)
+    rules = {
+        "bridge": (F.col("bridge"), 0.0, 1.0, one), "island": ((F.col("degree") <= 1) & (F.col("candidates") >= 2), 0.2, 0.0, one),
+        "dormant": ((slept >= DORMANT_DAYS) & (F.col("candidates") >= 1), 0.0, 0.0, F.least(one, 0.4 + year(slept))),
+        "drift": ((span >= DRIFT_DAYS) & (F.col("candidates") >= 1), 0.0, 0.0, F.least(one, 0.5 + (0.2 if hashes_changed > 0 else 0.0) + year(span) * 0.3)),
+    }
+    each = [F.when(rule, F.struct(F.lit(kind).alias("kind"), F.lit(novelty).alias("novelty"), F.lit(distance).alias("distance"), structure.alias("structure"))) for kind, (rule, novelty, distance, structure) in rules.items()]
+    met = n.select("note_id", "centrality", F.inline(F.array_compact(F.array(*each)))).withColumns({"evidence": F.lit(0.0), "age": F.lit(0.0)})
+    return met.select("note_id", "kind", *PARTS, total().alias("score"))
 
 
 def drift(notes: DataFrame, candidates: DataFrame, least_days: int = DRIFT_DAYS) -> DataFrame:

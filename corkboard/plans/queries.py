@@ -94,7 +94,8 @@ def context_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cited.select("rank", "section_id", "score", "relative_path", "truncated", "characters", F.sha2("passage", 256).alias("passage_sha256"), "citation")
 
 
-_DOC_LINKS = "dl AS (SELECT doc_id AS source_id, doc_id // 2 AS target_id, 'wikilink' AS kind FROM documents WHERE doc_id % 3 = 0 AND doc_id // 2 <> doc_id AND doc_id // 2 IN (SELECT doc_id FROM documents))"
+_DOC_LINKS = """dl AS (SELECT doc_id AS source_id, doc_id // 2 AS target_id, 'wikilink' AS kind FROM documents WHERE doc_id % 3 = 0 AND doc_id // 2 <> doc_id AND doc_id // 2 IN (SELECT doc_id FROM documents)
+UNION ALL SELECT doc_id, doc_id // 3, 'markdown_link' FROM documents WHERE doc_id % 9 = 0 AND doc_id // 3 <> doc_id AND doc_id // 3 IN (SELECT doc_id FROM documents))"""
 
 
 @query(f"""WITH RECURSIVE {_PACKET}, {_DOC_LINKS}, near AS (SELECT * FROM dl WHERE source_id IN (SELECT note_id FROM packet) OR target_id IN (SELECT note_id FROM packet))
@@ -143,13 +144,14 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- discovery ------------------------------------------------------------------------------------------------------
 
-_VECTORS = f"""{_NOTES}, {_terms_sql("notes")}, n AS (SELECT count(*) AS n FROM notes),
+#: After notes and terms.
+_VECTOR_STEPS = """n AS (SELECT count(*) AS n FROM notes),
 counts AS (SELECT note_id, term, sum(term_count) AS c FROM terms GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
 top AS (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY c DESC, term) AS k FROM counts QUALIFY k <= 80),
 w AS (SELECT note_id, t.term, (ln(c) + 1) * (ln((n + 1) / (df + 1)) + 1) AS w FROM top t JOIN df ON t.term = df.term, n WHERE df BETWEEN 2 AND greatest(4, ceil(n / 5.0))),
 v AS (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY note_id)) AS norm FROM w)"""
-_CANDIDATES = f"""{_VECTORS},
+_CANDIDATE_STEPS = f"""{_VECTOR_STEPS},
 post AS (SELECT term, note_id, row_number() OVER (PARTITION BY term ORDER BY note_id) - 1 AS pos, count(*) OVER (PARTITION BY term) AS sz FROM v),
 off AS (SELECT term, note_id, (pos + o) % sz AS at FROM (SELECT *, unnest(range(1, least(12, sz - 1) + 1)) AS o FROM post WHERE sz > 1)),
 pairs AS (SELECT DISTINCT least(a.note_id, b.note_id) AS l, greatest(a.note_id, b.note_id) AS r FROM off a JOIN post b ON a.term = b.term AND a.at = b.pos WHERE a.note_id <> b.note_id),
@@ -159,6 +161,11 @@ sides AS (SELECT l AS me, r AS other, * FROM scored UNION ALL SELECT r AS me, l
 cand AS (SELECT DISTINCT l, r, shared, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY me ORDER BY round(score, 9) DESC, other DESC) AS k FROM sides) WHERE k <= 8)"""
 
 
+_CANDIDATES = f"{_NOTES}, {_terms_sql('notes')}, {_CANDIDATE_STEPS}"
+_RANKED = """e AS (SELECT l, r, x.term, round(-x.w * y.w, 9) AS p FROM cand JOIN v x ON l = x.note_id JOIN v y ON r = y.note_id AND x.term = y.term),
+k AS (SELECT *, row_number() OVER (PARTITION BY l, r ORDER BY p, term) AS k FROM e)"""
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     sections, notes = _sections(spark, sf_dir)
     return discovery.vectors(search.terms(sections), notes.count()), notes
@@ -169,8 +176,7 @@ def discovery_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.candidates(_vectors(spark, sf_dir)[0], THRESHOLD)
 
 
-@query(f"""WITH {_CANDIDATES}, e AS (SELECT l, r, x.term, round(-x.w * y.w, 9) AS p FROM cand JOIN v x ON l = x.note_id JOIN v y ON r = y.note_id AND x.term = y.term),
-k AS (SELECT *, row_number() OVER (PARTITION BY l, r ORDER BY p, term) AS k FROM e) SELECT l, r, string_agg(term, ' ' ORDER BY k) AS terms FROM k WHERE k <= 8 GROUP BY l, r""")
+@query(f"WITH {_CANDIDATES}, {_RANKED} SELECT l, r, string_agg(term, ' ' ORDER BY k) AS terms FROM k WHERE k <= 8 GROUP BY l, r")
 def candidate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, _ = _vectors(spark, sf_dir)
     return discovery.shared_evidence(discovery.candidates(v, THRESHOLD), v)
@@ -498,18 +504,16 @@ def export_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("unchanged", F.lit(total) - F.col("added") - F.col("changed"))
 
 
-@query(f"WITH {_EDGES} SELECT source_id, target_id, kind FROM e WHERE source_id NOT BETWEEN 1000000 AND 1999999 AND target_id <> {NATION} AND source_id <> {NATION}")
-def exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of which neither end is excluded, by glob or by path."""
-    notes = corpus.linked_notes(spark, sf_dir)
-    out = notes.filter(F.col("path").rlike("^suppliers/.*$") | (F.col("note_id") == NATION)).select("note_id")
-    e = graph.edges(notes).join(out.select(F.col("note_id").alias("source_id")), "source_id", "left_anti").join(out.select(F.col("note_id").alias("target_id")), "target_id", "left_anti")
-    return e.select("source_id", "target_id", "kind")
+def _all() -> None:
+    """Registers the queries of the other modules."""
+    from corkboard.plans import contract_queries, trail_queries  # noqa: F401
 
 
 def queries() -> dict:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)

@@ -57,10 +57,18 @@ def linked_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Authored edges among the documents: each whose id three divides links the one of half its id. source_id, target_id, kind."""
+    """Authored edges among the documents: each whose id three divides links the one of half its id, by a wikilink, and each
+    whose id nine divides that of a third. source_id, target_id, kind."""
     ids = table(spark, sf_dir, "documents").select("doc_id").distinct()
-    halves = ids.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("source_id"), F.floor(F.col("doc_id") / 2).alias("target_id")).filter("source_id <> target_id")
-    return halves.join(ids.withColumnRenamed("doc_id", "target_id"), "target_id", "left_semi").select("source_id", "target_id", F.lit("wikilink").alias("kind"))
+    out = [ids.filter(F.col("doc_id") % m == 0).select(F.col("doc_id").alias("source_id"), F.floor(F.col("doc_id") / d).alias("target_id"), F.lit(kind).alias("kind")) for m, d, kind in ((3, 2, "wikilink"), (9, 3, "markdown_link"))]
+    return out[0].unionByName(out[1]).filter("source_id <> target_id").join(ids.withColumnRenamed("doc_id", "target_id"), "target_id", "left_semi").select("source_id", "target_id", "kind")
+
+
+def trail_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as notes of a graph document: note_id, title, path, tags (the source), domain, created_at, modified_at."""
+    n = notes(spark, sf_dir)
+    made = F.date_sub("updated_at", (F.col("note_id") * 7 % 200).cast("int"))
+    return n.select("note_id", "title", F.col("relative_path").alias("path"), F.array(F.element_at(F.split("relative_path", "/"), 1)).alias("tags"), "domain", made.alias("created_at"), F.col("updated_at").alias("modified_at"))
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
