@@ -22,7 +22,7 @@ SPECIAL_STARTS = "!&*>|{"
 
 PARSED = (
     "title string, frontmatter map<string,array<string>>, valid boolean, error string, body_start int, content_hash string, text string, "
-    "headings array<struct<line:int,level:int,text:string>>, sections array<struct<heading:string,line_start:int,line_end:int,text:string>>, problem string"
+    "headings array<struct<line:int,level:int,text:string,source_text:string>>, sections array<struct<heading:string,line_start:int,line_end:int,text:string>>, problem string"
 )
 
 _QUOTED = re.compile(r"""'[^']*(?:'|$)|"(?:\\.|[^"\\])*(?:"|\\?$)""", re.DOTALL)
@@ -169,7 +169,7 @@ def _read(path: str, content: bytes | None) -> dict:
     title = next((v for v in values.get("title", []) if v), None) or (heads[0][2] if heads else stem)
     return known | {
         "title": title, "frontmatter": values, "valid": valid, "error": error, "body_start": body, "text": text,
-        "headings": [{"line": at + 1, "level": level, "text": t} for at, level, t in heads],
+        "headings": [{"line": at + 1, "level": level, "text": t, "source_text": lines[at].strip()} for at, level, t in heads],
         "sections": [dict(zip(("heading", "line_start", "line_end", "text"), s)) for s in sections(lines, body, heads)],
     }
 
@@ -185,3 +185,41 @@ def _batch(path: pd.Series, content: pd.Series) -> pd.DataFrame:
 def parsed(path: Column, content: Column) -> Column:
     """All of a note that follows from its bytes; `problem` names why it can't be read. Null bytes give nulls."""
     return F.pandas_udf(_batch, PARSED)(path, content)
+
+
+#: A line of frontmatter or a fence, without which a text is all body.
+BODY = "text string, tags array<string>, tag_line int, aliases array<string>"
+NOT_ALL_BODY = r"^---|(?:^|\n|\r)\s*(?:`{3}|~{3})"
+
+
+def _of_keys(values: dict[str, list], *keys: str) -> list[str]:
+    return next((found for key in keys if (found := flat(values.get(key)))), [])
+
+
+def _body(text: str | None, with_frontmatter: bool) -> dict:
+    if text is None:
+        return {}
+    lines = LINE_END.split(text)
+    values, start = frontmatter(lines)[:2] if with_frontmatter else ({}, 0)
+    tags = _of_keys(values, "tags", "tag")
+    tag_line = next((i + 1 for i in range(1, start) if lines[i].strip().casefold().startswith(("tags:", "tag:"))), None)
+    out, inside = [""] * len(lines), None
+    for at in range(start, len(lines)):
+        if mark := FENCE.match(lines[at]):
+            inside = mark[1][0] if inside is None else None if inside == mark[1][0] else inside
+        elif inside is None:
+            out[at] = lines[at]
+    return {"text": "\n".join(out), "tags": tags if tag_line else [], "tag_line": tag_line, "aliases": _of_keys(values, "aliases", "alias")}
+
+
+def body(text: Column, with_frontmatter: bool = True) -> Column:
+    """(text, tags, tag_line, aliases): the text with blank lines where frontmatter and fenced lines are, and what the frontmatter
+    has of tags, where, and of aliases. Only texts that have either go to Python."""
+
+    def batch(texts: pd.Series) -> pd.DataFrame:
+        rows = [_body(t, with_frontmatter) for t in texts]
+        return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in ("text", "tags", "tag_line", "aliases")})
+
+    read = F.pandas_udf(batch, BODY)(F.when(text.rlike(NOT_ALL_BODY if with_frontmatter else NOT_ALL_BODY.partition("|")[2]), text))
+    none = F.array().cast("array<string>")
+    return F.struct(F.coalesce(read["text"], text).alias("text"), F.coalesce(read["tags"], none).alias("tags"), read["tag_line"].alias("tag_line"), F.coalesce(read["aliases"], none).alias("aliases"))

@@ -28,15 +28,13 @@ def raw_tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: F.replace(F.lower(t), F.lit("’"), F.lit("'")))
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case tokens in order, without stop words, short ones, numbers, ids and hexadecimal runs."""
-    found = raw_tokens(text)
+#: Numbers, runs with four digits at least, and hexadecimal runs of eight at least, hyphens and underscores aside.
+NO_TOKEN = r"^[0-9]+$|(?:[0-9][^0-9]*){4}|^[-_]*(?:[0-9a-f][-_]*){8,}$"
 
-    def kept(t: Column) -> Column:
-        compact = F.regexp_replace(t, "[-_]", "")
-        return (F.length(t) > 2) & ~t.isin(STOPWORDS) & ~t.rlike("^[0-9]+$") & (F.length(F.regexp_replace(compact, "[^0-9]", "")) < 4) & ~compact.rlike("^[0-9a-f]{8,}$")
 
-    return F.filter(found, kept)
+def tokens(text: Column) -> Column:
+    """Lower-case tokens in order, without stop words, short ones, numbers, ids and hexadecimal runs."""
+    return F.filter(raw_tokens(text), lambda t: (F.length(t) > 2) & ~t.isin(STOPWORDS) & ~t.rlike(NO_TOKEN))
 
 
 def name_key(value: Column) -> Column:
@@ -65,7 +63,8 @@ def normal_path(value: Column) -> Column:
         return F.when((p == "") | (p == "."), s).when(p == "..", up).otherwise(F.concat(s, F.array(p)))
 
     parts = F.aggregate(F.split(value, "/"), F.array().cast("array<string>"), step)
-    return F.when((F.size(parts) == 0) & ~root, ".").otherwise(F.array_join(parts, "/"))
+    plain = (value != "") & ~value.rlike(r"(^|/)\.{0,2}(/|$)")  # without a part to take away
+    return F.when(plain, value).otherwise(F.when((F.size(parts) == 0) & ~root, ".").otherwise(F.array_join(parts, "/")))
 
 
 def path_key(value: Column) -> Column:
@@ -82,11 +81,16 @@ def wikilinks(line: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.regexp_replace(line, INLINE_CODE, " "), F.lit(WIKILINK), F.lit(1)), lambda t: F.trim(t))
 
 
+def link_destination(raw: Column) -> Column:
+    """What is between a Markdown link's parentheses, without its title and angle brackets."""
+    return F.regexp_replace(F.regexp_replace(F.trim(raw), r"\s+[\"'].*$", ""), r"^<|>$", "")
+
+
 def markdown_links(line: Column) -> Column:
     """Targets of links to notes: no scheme, and no suffix but .md."""
     raw = F.regexp_extract_all(F.regexp_replace(line, INLINE_CODE, " "), F.lit(MARKDOWN_LINK), F.lit(1))
-    bare = F.transform(raw, lambda t: F.regexp_replace(F.regexp_replace(F.trim(t), r"\s+[\"'].*$", ""), r"^<|>$", ""))
-    return F.filter(bare, lambda t: ~t.contains("://") & (~F.regexp_replace(t, "#.*$", "").rlike(r"\.[A-Za-z0-9]+$") | F.regexp_replace(t, "#.*$", "").rlike(r"(?i)\.md$")))
+    bare = F.transform(raw, link_destination)
+    return F.filter(bare, lambda t: ~t.contains("://") & (F.regexp_replace(t, "#.*$", "") != "") & (~F.regexp_replace(t, "#.*$", "").rlike(r"\.[A-Za-z0-9]+$") | F.regexp_replace(t, "#.*$", "").rlike(r"(?i)\.md$")))
 
 
 def inline_tags(line: Column) -> Column:

@@ -15,10 +15,10 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def renames(changes: DataFrame) -> DataFrame:
     """(old_path, new_path, candidates): a removed path whose hash no other removed one has, with each added path of it."""
-    removed = changes.filter("change = 'removed'").withColumn("n", F.count("*").over(Window.partitionBy("old_hash"))).filter("n = 1")
+    only = changes.filter("change = 'removed'").groupBy(F.col("old_hash").alias("h")).agg(F.count("*").alias("n"), F.min("path").alias("old_path")).filter("n = 1").drop("n")
     added = changes.filter("change = 'added'").select(F.col("path").alias("new_path"), F.col("new_hash").alias("h"))
-    met = removed.join(added, F.col("old_hash") == F.col("h")).select(F.col("path").alias("old_path"), "new_path")
-    return met.withColumn("candidates", F.count("*").over(Window.partitionBy("old_path")))
+    counted = added.groupBy("h").agg(F.count("*").alias("candidates"))  # summed before it moves, however many copies there are
+    return added.join(only.join(counted, "h"), "h").select("old_path", "new_path", "candidates")
 
 
 def copies(snapshot: DataFrame) -> DataFrame:
@@ -34,10 +34,10 @@ def touched(edges: DataFrame, changed: DataFrame) -> DataFrame:
 
 def broken_citations(sections: DataFrame, current: DataFrame) -> DataFrame:
     """Sections (note_id, line_start, line_end, text) whose lines in the current notes (note_id, text) are others now:
-    note_deleted where there is no note, range_mismatch where the lines differ."""
+    note_deleted where there is no note, unreadable where it has no text, range_mismatch where the lines differ."""
     met = sections.join(current.select("note_id", F.split("text", "\r\n|\r|\n").alias("now"), F.lit(True).alias("there")), "note_id", "left")
     now = F.array_join(F.slice("now", F.col("line_start").cast("int"), (F.col("line_end") - F.col("line_start") + 1).cast("int")), "\n")
-    reason = F.when(F.col("there").isNull(), "note_deleted").when(now != F.col("text"), "range_mismatch")
+    reason = F.when(F.col("there").isNull(), "note_deleted").when(F.col("now").isNull(), "unreadable").when(now != F.col("text"), "range_mismatch")
     return met.select("note_id", "line_start", "line_end", reason.alias("reason")).filter("reason IS NOT NULL")
 
 
@@ -56,7 +56,7 @@ def assessed(changes: DataFrame, index: DataFrame) -> DataFrame:
 def duplicates(changes: DataFrame, index: DataFrame, most: int = 12) -> DataFrame:
     """(path, content_hash, duplicate_of, of_total, in_batch, batch_total) of added and modified paths whose bytes another indexed
     path, or another one of the batch, has: the first `most` other paths, and the number of all. Paths are listed once a content,
-    so that many copies don't make pairs."""
+    so that many copies don't make pairs; duplicate_members lists all of them."""
     new = changes.filter("change <> 'removed'").select("path", F.col("new_hash").alias("content_hash"))
     out = new
     for name, held in (("of", index.select("path", "content_hash")), ("batch", new)):
@@ -71,6 +71,15 @@ def duplicates(changes: DataFrame, index: DataFrame, most: int = 12) -> DataFram
     return out.withColumns(totals).filter("of_total > 0 OR batch_total > 0").select("path", "content_hash", others["of"].alias("duplicate_of"), "of_total", others["batch"].alias("in_batch"), "batch_total")
 
 
+def duplicate_members(changes: DataFrame, index: DataFrame) -> DataFrame:
+    """(content_hash, path, changed) of every path whose bytes an added or modified path has and another path too, in the index or
+    in the batch: a row a path, so that all copies are told without pairs."""
+    new = changes.filter("change <> 'removed'").select(F.col("new_hash").alias("content_hash"), "path", F.lit(True).alias("changed"))
+    every = new.unionByName(index.select("content_hash", "path", F.lit(False).alias("changed"))).groupBy("content_hash", "path").agg(F.max("changed").alias("changed"))
+    shared = every.groupBy("content_hash").agg(F.count("*").alias("n"), F.max("changed").alias("any")).filter("n > 1 AND any").select("content_hash")
+    return every.join(shared, "content_hash", "left_semi")
+
+
 def manifest_digest(entries: DataFrame) -> DataFrame:
     """(source, entries, digest) of checkpoints (source, path, content_hash, size, mtime_ns): every field is bound. Of two levels,
     as graph.content_digest."""
@@ -89,15 +98,6 @@ def drifted_manifest(before: DataFrame, after: DataFrame, edited: DataFrame) ->
     return diff(before, after).join(edited.select("path").distinct(), "path", "left_anti").select("path", "change")
 
 
-def proposals(changes: DataFrame, renamed: DataFrame) -> DataFrame:
-    """(path, action, proposal_id): link_fix for a removed path with one candidate, dangling_review for others removed,
-    citation_review for modified ones. The id is of path and action."""
-    one = renamed.filter("candidates = 1").select(F.col("old_path").alias("path"), F.lit(True).alias("renamed"))
-    met = changes.filter("change <> 'added'").join(one, "path", "left")
-    action = F.when(F.col("change") == "modified", "citation_review").when(F.col("renamed"), "link_fix").otherwise("dangling_review")
-    return met.select("path", action.alias("action")).withColumn("proposal_id", F.concat(F.lit("prp-"), F.substring(F.sha2(F.concat_ws("\u0000", "action", "path"), 256), 1, 16)))
-
-
 def conflicts(edits: DataFrame) -> DataFrame:
     """(source, path, proposals) of files that more than one proposal edits."""
     return edits.groupBy("source", "path").agg(F.sort_array(F.collect_set("proposal_id")).alias("p")).filter(F.size("p") > 1).select("source", "path", F.array_join("p", " ").alias("proposals"))

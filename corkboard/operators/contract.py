@@ -9,9 +9,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corkboard.functions.markdown import body
 from corkboard.functions.storage import stored
 from corkboard.functions.text import UNSAFE, json_length, sanitised
-from corkboard.operators.graph import touching
+from corkboard.operators.graph import edge_order, links_of, resolve, touching
 
 # Bounds of what is listed, and the classes of changes with those that only add.
 EDGES, ENTRIES, CHARACTERS = 200, 1_000, 200_000
@@ -55,6 +56,38 @@ def shared_terms_hold(claims: DataFrame, terms: DataFrame) -> DataFrame:
     return claims.join(met, ["source_id", "target_id", "terms"], "left").withColumn("holds", F.coalesce((F.col("met") == wanted) & (wanted > 0), F.lit(False))).drop("met")
 
 
+def authored_links_hold(claims: DataFrame, sections: DataFrame, headings: DataFrame, notes: DataFrame, names: DataFrame, paths: DataFrame) -> DataFrame:
+    """claims of edges (source_id, target_id, kind, is_verified, score, line, source_text, target_text) with `reason`, null where an
+    index's own text bears the claim out. self_link, unknown_kind and score are of what no build writes; no_link, where the claimed
+    line, as a section of the source (sections: note_id, line_start, line_end, text) or else a heading (headings: note_id, line,
+    source_text) has it, isn't the text that is quoted or has no such link; other_target where it resolves to another note, to none
+    or to several. Candidates' scores must be in (0, 1]; their links aren't derived.
+
+    Only sources that claims name are parsed again, each section as a whole, so that fences count; what is found is resolved once
+    by the build's own rules (notes: note_id, path; names and paths of graph), and met by equality with what is claimed."""
+    claimed = claims.select(F.col("source_id").alias("note_id")).distinct()
+    at = claims.select(F.col("source_id").alias("note_id"), "line").distinct()
+    own = sections.join(claimed, "note_id", "left_semi").select("note_id", "line_start", "line_end", "text")
+    # of several sections that cover a line one is taken, as a build makes none that overlap
+    first = at.join(own.select("note_id", "line_start", "line_end"), "note_id").filter(F.col("line").between(F.col("line_start"), F.col("line_end")))
+    first = stored(first.groupBy("note_id", "line").agg(F.min(F.struct("line_start", "line_end")).alias("s")).select("note_id", "line", "s.*"), "covering")
+    told = own.join(first.select("note_id", "line_start", "line_end").distinct(), ["note_id", "line_start", "line_end"], "left_semi")
+    found = told.withColumn("b", body(F.col("text"), False)).select("note_id", "line_start", F.inline(links_of(F.col("b.text"), F.col("line_start"))))
+    found = found.join(first.select("note_id", "line", "line_start"), ["note_id", "line", "line_start"], "left_semi").select("note_id", "line", "kind", "target", "source_text")
+    bare = headings.join(at, ["note_id", "line"], "left_semi").join(first, ["note_id", "line"], "left_anti")
+    of_headings = bare.select("note_id", F.inline(links_of(F.col("source_text"), F.col("line")))).select("note_id", "line", "kind", "target", "source_text")
+    every = found.unionByName(of_headings).filter("kind <> 'tag'").distinct().join(notes.select("note_id", "path"), "note_id")
+    links = resolve(every, names, paths).groupBy(F.col("note_id").alias("source_id"), "line", "kind", F.col("target").alias("target_text"), "source_text").agg(F.max("target_id").alias("means"))
+    met = claims.join(links.withColumn("there", F.lit(True)), ["source_id", "line", "kind", "target_text", "source_text"], "left")
+    score, verified = F.col("score"), F.col("is_verified")
+    rules = {
+        "self_link": F.col("source_id") == F.col("target_id"), "unknown_kind": F.when(verified, ~F.col("kind").isin("wikilink", "markdown_link")).otherwise(F.col("kind") != "candidate"),
+        "score": F.coalesce(F.isnan(score) | F.when(verified, score != 1.0).otherwise((score <= 0.0) | (score > 1.0)), F.lit(True)),
+        "no_link": verified & F.col("there").isNull(), "other_target": verified & ~F.coalesce(F.col("means") == F.col("target_id"), F.lit(False)),
+    }
+    return met.withColumn("reason", F.coalesce(*[F.when(F.coalesce(rule, F.lit(True)), name) for name, rule in rules.items()])).select(*claims.columns, "reason")
+
+
 def _folded(values) -> list[str]:
     for v in values:
         if not v or re.search(UNSAFE, v):
@@ -76,7 +109,7 @@ def excluded(notes: DataFrame, note_tags: DataFrame, paths=(), globs=(), tags=()
 
 
 def allowed_edges(edges: DataFrame, seeds: DataFrame, out: DataFrame, candidates: bool = True, limit: int = EDGES) -> DataFrame:
-    """The first `limit` edges (of graph.all_edges) at seeds that touch no note of `out`, verified first, then by score and ids;
+    """The first `limit` edges (of graph.all_edges) at seeds that touch no note of `out`, by graph.edge_order;
     each with the numbers of edges that `out` suppressed and of its notes met, both of all edges at the seeds."""
     met = touching(edges if candidates else edges.filter("is_verified"), seeds)
     for end in ("source", "target"):
@@ -84,7 +117,7 @@ def allowed_edges(edges: DataFrame, seeds: DataFrame, out: DataFrame, candidates
     met = stored(met.withColumns({f"{end}_out": F.coalesce(f"{end}_out", F.lit(False)) for end in ("source", "target")}), "marked-edges")
     suppressed = met.filter("source_out OR target_out").count()
     dropped = met.select(F.explode(F.array_compact(F.array(F.when(F.col("source_out"), F.col("source_id")), F.when(F.col("target_out"), F.col("target_id")))))).distinct().count()
-    top = met.filter("NOT source_out AND NOT target_out").orderBy(F.desc("is_verified"), F.desc("score"), "source_id", "target_id", "kind").limit(limit)
+    top = met.filter("NOT source_out AND NOT target_out").orderBy(*edge_order()).limit(limit)
     return top.select("source_id", "target_id", "kind", "is_verified", "score", F.lit(suppressed).cast("long").alias("suppressed"), F.lit(dropped).cast("long").alias("dropped"))
 
 

@@ -2,54 +2,97 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corkboard.functions.markdown import body
 from corkboard.functions.storage import small, stored
 from corkboard.functions.text import inline_tags, link_target, markdown_links, name_key, path_key, wikilinks
 from corkboard.operators.changes import digest_of
 
 TAG_FANOUT = 100
 NEIGHBOURS = 1000
+LINE_END = "\r\n|\r|\n"
 
 
-def lines(notes: DataFrame) -> DataFrame:
-    """(note_id, path, line, text) of each physical line; CRLF, CR and LF end lines, nothing else does."""
-    return notes.select("note_id", "path", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
+def bodies(notes: DataFrame) -> DataFrame:
+    """notes (note_id, path, title, text) with b: what functions.markdown.body tells of each text; null texts are empty."""
+    return notes.select("note_id", "path", "title", F.coalesce("text", F.lit("")).alias("text")).withColumn("b", body(F.col("text")))
+
+
+def links_of(text: Column, first: Column) -> Column:
+    """Structs (line, place, kind, target, source_text) of a text whose first line has the number `first`; place counts within a
+    line, wiki links before Markdown links before tags."""
+
+    def marked(found: Column, kind: str) -> Column:
+        return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("target")))
+
+    def of_line(t: Column, i: Column) -> Column:
+        each = F.concat(marked(wikilinks(t), "wikilink"), marked(markdown_links(t), "markdown_link"), marked(inline_tags(t), "tag"))
+        told = F.transform(each, lambda x, k: F.struct((i + first).alias("line"), k.alias("place"), x.kind.alias("kind"), x.target.alias("target"), F.regexp_replace(t, r"^\s+|\s+$", "").alias("source_text")))
+        return F.when(t.rlike(r"\[\[|\]\(|#"), told)
+
+    return F.flatten(F.array_compact(F.transform(F.split(text, LINE_END), of_line)))
 
 
 def links(notes: DataFrame) -> DataFrame:
-    """(note_id, path, line, kind, target) of wiki links, Markdown links and tags, in no order."""
-    each = lines(notes).withColumn("found", F.concat(F.transform(wikilinks(F.col("text")), lambda t: F.struct(F.lit("wikilink").alias("kind"), t.alias("target"))), F.transform(markdown_links(F.col("text")), lambda t: F.struct(F.lit("markdown_link").alias("kind"), t.alias("target"))), F.transform(inline_tags(F.col("text")), lambda t: F.struct(F.lit("tag").alias("kind"), t.alias("target")))))
-    return each.select("note_id", "path", "line", F.inline("found"))
-
-
-def resolved(notes: DataFrame) -> DataFrame:
-    """Each link to a note with target_id or a reason: not_found, ambiguous, path_not_found, ambiguous_path,
-    path_outside_vault. A target with a slash, or that begins with a dot, is a path, whatever the kind of the link: it is
-    looked up from the top and from the linking note's folder, unless from the top it leads outside. Others are names, which
-    must be one note's."""
-    names = notes.select("note_id", F.explode(F.array_distinct(F.array(name_key(F.col("title")), name_key(F.col("path"))))).alias("key"))
-    names = names.groupBy("key").agg(F.count_distinct("note_id").alias("n"), F.min("note_id").alias("id"))
-    paths = notes.groupBy(path_key(F.col("path")).alias("key")).agg(F.min("note_id").alias("id"))
-    found = links(notes).filter("kind <> 'tag'").withColumn("bare", link_target(F.col("target")))
+    """(note_id, path, line, place, kind, target, source_text) of wiki links, Markdown links and tags outside frontmatter and
+    fences, and of the frontmatter's tags, in no order. CRLF, CR and LF end lines, nothing else does."""
+    told = bodies(notes)
+    own = F.transform("b.tags", lambda t, k: F.struct(F.col("b.tag_line").alias("line"), k.alias("place"), F.lit("tag").alias("kind"), t.alias("target"), F.lit(None).cast("string").alias("source_text")))
+    return told.select("note_id", "path", F.inline(F.concat(links_of(F.col("b.text"), F.lit(1)), own)))
+
+
+def names(notes: DataFrame) -> DataFrame:
+    """(key, n, id): look-up keys of titles, file names and aliases, with the number of notes that have each, and one of them.
+    Names without a letter from a to z or a digit have no key and name nothing."""
+    told = bodies(notes)
+    keys = F.concat(F.array(name_key(F.col("title")), name_key(F.col("path"))), F.transform("b.aliases", name_key))
+    each = told.select("note_id", F.explode(F.array_distinct(keys)).alias("key")).filter("key <> ''")
+    return each.groupBy("key").agg(F.count_distinct("note_id").alias("n"), F.min("note_id").alias("id"))
+
+
+def paths(notes: DataFrame) -> DataFrame:
+    """(key, id): look-up keys of paths; of paths of one key, the last note's."""
+    return notes.groupBy(path_key(F.col("path")).alias("key")).agg(F.max("note_id").alias("id"))
+
+
+def resolve(found: DataFrame, names: DataFrame, paths: DataFrame) -> DataFrame:
+    """Links (note_id, path, kind, target and others) with target_id or a reason: not_found, ambiguous, path_not_found,
+    ambiguous_path, path_outside_vault. A target with a slash, or that begins with a dot, is a path, whatever the kind of the
+    link: it is looked up from the top and from the linking note's folder, unless from the top it leads outside. Others are
+    names, which must be one note's."""
+    columns = found.columns
+    found = found.withColumn("bare", link_target(F.col("target")))
     found = found.withColumn("is_path", F.col("bare").contains("/") | F.col("bare").startswith("."))
     folder = F.regexp_extract("path", "^(.*/)[^/]*$", 1)
     near = F.when(F.col("bare").startswith("/"), F.col("bare")).otherwise(F.concat(folder, "bare"))
-    found = found.withColumn("name", F.when(~F.col("is_path"), name_key(F.col("bare")))).withColumn("top", F.when(F.col("is_path"), path_key(F.col("bare"))))
+    found = found.withColumn("name", F.when(~F.col("is_path"), F.nullif(name_key(F.col("bare")), F.lit("")))).withColumn("top", F.when(F.col("is_path"), path_key(F.col("bare"))))
     found = found.withColumn("outside", (F.col("top") == "..") | F.col("top").startswith("../")).withColumn("near", F.when(F.col("is_path") & ~F.col("outside"), path_key(near)))
     found = found.join(names.select(F.col("key").alias("name"), "n", F.col("id").alias("by_name")), "name", "left")
     found = found.join(paths.select(F.col("key").alias("near"), F.col("id").alias("by_near")), "near", "left").join(paths.select(F.col("key").alias("top"), F.col("id").alias("by_top")), "top", "left")
     two = F.col("by_near").isNotNull() & F.col("by_top").isNotNull() & (F.col("by_near") != F.col("by_top"))
     by_path = F.coalesce("by_near", "by_top")
     reason = F.when(~F.col("is_path"), F.when(F.col("n").isNull(), "not_found").when(F.col("n") > 1, "ambiguous")).otherwise(F.when(F.col("outside"), "path_outside_vault").when(two, "ambiguous_path").when(by_path.isNull(), "path_not_found"))
-    return found.withColumn("reason", reason).withColumn("target_id", F.when(F.col("reason").isNull(), F.when(F.col("is_path"), by_path).otherwise(F.col("by_name")))).select("note_id", "path", "line", "kind", "target", "target_id", "reason")
+    return found.withColumn("reason", reason).withColumn("target_id", F.when(F.col("reason").isNull(), F.when(F.col("is_path"), by_path).otherwise(F.col("by_name")))).select(*columns, "target_id", "reason")
+
+
+def resolved(notes: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """resolve of the links to notes among `found`, or of notes."""
+    found = links(notes) if found is None else found
+    return resolve(found.filter("kind <> 'tag'"), names(notes), paths(notes))
+
+
+def edges_of(resolved: DataFrame) -> DataFrame:
+    """(source_id, target_id, kind, line, place, target_text, source_text): verified edges, the first of each kind between two
+    notes; none to itself."""
+    ok = resolved.filter("target_id IS NOT NULL AND target_id <> note_id")
+    first = F.min(F.struct("line", "place", F.col("target").alias("target_text"), "source_text")).alias("first")
+    return ok.groupBy(F.col("note_id").alias("source_id"), "target_id", "kind").agg(first).select("source_id", "target_id", "kind", "first.*")
 
 
 def edges(notes: DataFrame) -> DataFrame:
-    """(source_id, target_id, kind, line): verified edges, the first of each kind between two notes; none to itself."""
-    ok = resolved(notes).filter("target_id IS NOT NULL AND target_id <> note_id")
-    return ok.groupBy(F.col("note_id").alias("source_id"), "target_id", "kind").agg(F.min("line").alias("line"))
+    return edges_of(resolved(notes))
 
 
 def unresolved(notes: DataFrame) -> DataFrame:
@@ -73,27 +116,37 @@ def statistics(notes: DataFrame, sections: DataFrame, candidates: DataFrame | No
     return notes.sparkSession.createDataFrame([tuple(row)], ", ".join(f"{name} long" for name in counts))
 
 
-def resolve_note(notes: DataFrame, value: str) -> int:
-    """The id of the note of this path, in any case, or, if it has no slash, of this name. ValueError if none or several."""
+def resolve_note(notes: DataFrame, value: str, names: DataFrame | None = None) -> int:
+    """The id of the note of this path, in any case, or, if it has no slash, of this name. ValueError if none or several. names are
+    those of the notes where they are stored."""
     path = value.replace("\\", "/")
     direct = notes.filter(F.lower("path") == path.lower()).select("note_id").limit(2).collect()
     if len(direct) == 1:
         return direct[0][0]
     if "/" in path:
         raise ValueError(f"no note has the path {value}")
-    key = name_key(F.lit(value))
-    named = notes.filter((name_key(F.col("title")) == key) | (name_key(F.col("path")) == key)).select("note_id").distinct().limit(2).collect()
-    if len(named) != 1:
+    held = names if names is not None else globals()["names"](notes)
+    named = held.filter(F.col("key") == name_key(F.lit(value))).collect()
+    if not named or named[0]["n"] > 1:
         raise ValueError(f"{'several notes have' if named else 'no note has'} the name {value}")
-    return named[0][0]
+    return named[0]["id"]
+
+
+def edge_order() -> list[Column]:
+    """Verified edges first, then by score, then as a build inserts them: by note, line and place in the line, candidates by
+    their notes."""
+    return [F.desc("is_verified"), F.desc("score"), F.col("source_id"), F.col("line"), F.col("place"), F.col("target_id")]
 
 
 def all_edges(verified: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
-    """(source_id, target_id, kind, is_verified, score): authored edges, and candidates (l, r, score) beside them."""
-    out = verified.select("source_id", "target_id", "kind", F.lit(True).alias("is_verified"), F.lit(1.0).alias("score"))
+    """(source_id, target_id, kind, is_verified, score, line, place): authored edges (line and place 0 where they tell none), and
+    candidates (l, r, score) beside them."""
+    zero = F.lit(0).cast("int")
+    where = [F.col(c).cast("int").alias(c) if c in verified.columns else zero.alias(c) for c in ("line", "place")]
+    out = verified.select("source_id", "target_id", "kind", F.lit(True).alias("is_verified"), F.lit(1.0).alias("score"), *where)
     if candidates is None:
         return out
-    return out.unionByName(candidates.select(F.col("l").alias("source_id"), F.col("r").alias("target_id"), F.lit("candidate").alias("kind"), F.lit(False).alias("is_verified"), "score"))
+    return out.unionByName(candidates.select(F.col("l").alias("source_id"), F.col("r").alias("target_id"), F.lit("candidate").alias("kind"), F.lit(False).alias("is_verified"), "score", zero.alias("line"), zero.alias("place")))
 
 
 def touching(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -104,13 +157,17 @@ def touching(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return out.unionByName(into)
 
 
-def incident(edges: DataFrame, seeds: DataFrame, limit: int = 200) -> DataFrame:
-    """Edges (of all_edges) at any of seeds (note_id; few), verified first, then by score and ids, with the number of all and
-    whether the limit cut them."""
+def incident(edges: DataFrame, seeds: DataFrame, limit: int = 200, notes: DataFrame | None = None) -> DataFrame:
+    """The first `limit` edges (of all_edges, by edge_order) at any of seeds (note_id; few), with the number of all and whether the
+    limit cut them; with notes (note_id, path, title), both ends' paths and titles beside."""
     found = stored(touching(edges, seeds), "incident")
     total = found.count()
-    top = found.orderBy(F.desc("is_verified"), F.desc("score"), "source_id", "target_id", "kind").limit(limit)
-    return top.withColumn("total", F.lit(total)).withColumn("truncated", F.lit(total > limit))
+    top = found.orderBy(*edge_order()).limit(limit).withColumn("total", F.lit(total)).withColumn("truncated", F.lit(total > limit))
+    if notes is not None:
+        top = stored(top, "incident-first")  # limit rows, looked up among the notes
+        for end in ("source", "target"):
+            top = notes.select(F.col("note_id").alias(f"{end}_id"), F.col("path").alias(f"{end}_path"), F.col("title").alias(f"{end}_title")).join(F.broadcast(top), f"{end}_id")
+    return top
 
 
 def matching(notes: DataFrame, text: str, domain: str | None = None) -> DataFrame:
@@ -121,9 +178,13 @@ def matching(notes: DataFrame, text: str, domain: str | None = None) -> DataFram
     return met if domain is None else met.filter(F.col("domain") == domain)
 
 
+def tags_of(links: DataFrame) -> DataFrame:
+    """(note_id, tag) of links, lower-cased, each once."""
+    return links.filter("kind = 'tag'").select("note_id", F.lower(F.regexp_replace("target", "^#+", "")).alias("tag")).distinct()
+
+
 def note_tags(notes: DataFrame) -> DataFrame:
-    """(note_id, tag), lower-cased, each once."""
-    return links(notes).filter("kind = 'tag'").select("note_id", F.lower("target").alias("tag")).distinct()
+    return tags_of(links(notes))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -137,22 +198,24 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def co_tags(tags: DataFrame, note_id: int, fanout: int = TAG_FANOUT) -> DataFrame:
-    """(tag, other, note_count, score) of notes that share a tag with one; tags on more than `fanout` notes tell nothing."""
-    sized = tags.withColumn("note_count", F.count("*").over(Window.partitionBy("tag"))).filter(F.col("note_count") <= fanout)
-    own = sized.filter(F.col("note_id") == note_id).select("tag")
-    return sized.filter(F.col("note_id") != note_id).join(own, "tag").select("tag", F.col("note_id").alias("other"), "note_count", F.round(1 / F.log2(F.col("note_count") + 1.0), 6).alias("score"))
+    """(tag, other, note_count, score) of notes that share a tag with one; tags on more than `fanout` notes tell nothing. Only the
+    note's own tags are counted, with partial sums, and at most `fanout` notes of each are listed."""
+    own = tags.filter(F.col("note_id") == note_id).select("tag").distinct()
+    sized = tags.join(F.broadcast(own), "tag").groupBy("tag").agg(F.count("*").alias("note_count")).filter(F.col("note_count") <= fanout)
+    met = tags.filter(F.col("note_id") != note_id).join(F.broadcast(sized), "tag")  # as many rows as the note has tags
+    return met.select("tag", F.col("note_id").alias("other"), "note_count", F.round(1 / F.log2(F.col("note_count") + 1.0), 6).alias("score"))
 
 
 def connections(edges: DataFrame, notes: DataFrame, note_id: int, limit: int, tags: DataFrame | None = None) -> DataFrame:
-    """(place, other, other_path, direction, kind, verified, score, total) of a note: its edges (of all_edges), verified
-    first, then by score and ids; where these are fewer than limit and tags are given, then notes of a common tag, by the
-    tag's number of notes, the tag and the path."""
+    """(place, other, other_path, direction, kind, verified, score, total) of a note: its edges (of all_edges) by edge_order;
+    where these are fewer than limit and tags are given, then notes of a common tag, by the tag's number of notes, the tag and
+    the path."""
     if limit < 1:
         raise ValueError("a positive limit is needed")
     spark = notes.sparkSession
     met = incident(edges, spark.createDataFrame([(note_id,)], "note_id long"), limit)
     out = F.col("source_id") == note_id
-    order = Window.orderBy(F.desc("is_verified"), F.desc("score"), "source_id", "target_id", "kind")  # limit rows
+    order = Window.orderBy(*edge_order())  # limit rows
     items = met.select(F.row_number().over(order).alias("place"), F.when(out, F.col("target_id")).otherwise(F.col("source_id")).alias("other"), F.when(out, "outgoing").otherwise("incoming").alias("direction"), "kind", F.col("is_verified").alias("verified"), "score", "total")
     items = stored(items, "connections")
     n = items.count()
@@ -168,16 +231,30 @@ def connections(edges: DataFrame, notes: DataFrame, note_id: int, limit: int, ta
     return paths.join(F.broadcast(items.withColumn("total", F.lit(total))), "other").select("place", "other", "other_path", "direction", "kind", "verified", "score", "total")
 
 
-def reached(edges: DataFrame, source: int, most_hops: int = 6, target: int | None = None) -> DataFrame:
-    """(note_id, hops, via): breadth-first over edges both ways, `via` the smallest previous note; NEIGHBOURS of each note
-    at most go on, by id. The neighbours, and each hop's frontier and what was seen, are written, so that a hop is one join
+def ranked_ends(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((me, other, rank) of each note's first NEIGHBOURS edges (of all_edges) by edge_order, the first to each other note;
+    (me) of notes that have more). Edges beyond them are dropped where they are read, before a hub's meet."""
+    both = edges.withColumn("ends", F.explode(F.array(*[F.struct(F.col(a).alias("me"), F.col(b).alias("other")) for a, b in (("source_id", "target_id"), ("target_id", "source_id"))])))
+    both = both.select("ends.*", *edges.columns)
+    first = both.withColumn("rank", F.row_number().over(Window.partitionBy("me").orderBy(*edge_order()))).filter(F.col("rank") <= NEIGHBOURS)
+    many = both.groupBy("me").agg(F.count("*").alias("n")).filter(F.col("n") > NEIGHBOURS).select("me")
+    return stored(first.groupBy("me", "other").agg(F.min("rank").alias("rank")), "neighbours"), many
+
+
+def reached(edges: DataFrame, source: int, most_hops: int = 6, target: int | None = None, ends: DataFrame | None = None) -> DataFrame:
+    """(note_id, hops, via, way): breadth-first over edges both ways, as a queue would that lists each note's first NEIGHBOURS
+    edges (ends, of ranked_ends) in order. way has the rank of each step's edge, so that notes of as many hops are met in the
+    order of their ways; via is the note before. Each hop's frontier and what was seen are written, so that a hop is one join
     however many came before; it ends when a hop meets nothing new, or the target."""
-    near = both_ways(edges).select("me", "other").distinct()
-    near = stored(near.withColumn("k", F.row_number().over(Window.partitionBy("me").orderBy("other"))).filter(F.col("k") <= NEIGHBOURS).drop("k"), "neighbours")
-    seen = front = stored(edges.sparkSession.createDataFrame([(source, 0, None)], "note_id long, hops int, via long"), "frontier")
+    if ends is None:
+        told = edges if "kind" in edges.columns else edges.withColumn("kind", F.lit("link"))
+        ends = ranked_ends(told if "is_verified" in edges.columns else all_edges(told))[0]
+    near = ends
+    seen = front = stored(edges.sparkSession.createDataFrame([(source, 0, None, [])], "note_id long, hops int, via long, way array<int>"), "frontier")
     for hop in range(1, most_hops + 1):
-        new = near.join(small(front.select(F.col("note_id").alias("me")), 16), "me").groupBy("other").agg(F.min("me").alias("via"))
-        front = stored(new.select(F.col("other").alias("note_id"), F.lit(hop).alias("hops"), "via").join(seen.select("note_id"), "note_id", "left_anti"), "frontier")
+        met = near.join(small(front.select(F.col("note_id").alias("me"), "way"), 32 + 8 * hop), "me").select("other", "me", F.concat("way", F.array("rank")).alias("way"))
+        new = met.groupBy("other").agg(F.min(F.struct("way", "me")).alias("first"))
+        front = stored(new.select(F.col("other").alias("note_id"), F.lit(hop).alias("hops"), F.col("first.me").alias("via"), F.col("first.way").alias("way")).join(seen.select("note_id"), "note_id", "left_anti"), "frontier")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -187,23 +264,34 @@ def reached(edges: DataFrame, source: int, most_hops: int = 6, target: int | Non
 
 
 def path_between(edges: DataFrame, source: int, target: int, most_hops: int = 6) -> DataFrame:
-    """(step, from_id, to_id, kind, verified, score) of a shortest path over edges (of all_edges), of equal ones that of
-    the smallest previous notes; no row if there is none of at most most_hops."""
+    """(step, from_id, to_id, kind, verified, score, found, search_truncated): the path that a breadth-first search by edge_order
+    meets first, a row a step; one row without a step where there is none of at most most_hops, or source and target are one.
+    search_truncated tells whether a note that was looked at before the end has more than NEIGHBOURS edges."""
     if most_hops < 1:
         raise ValueError("a positive number of hops is needed")
-    seen, steps, at = stored(reached(edges, source, most_hops, target), "seen"), [], target
+    spark = edges.sparkSession
+    ends, many = ranked_ends(edges)
+    seen, steps, at = stored(reached(edges, source, most_hops, target if target != source else None, ends), "seen"), [], target
+    last = None
     while at != source:  # a row a hop
         row = seen.filter(F.col("note_id") == at).first()
         if row is None:
+            steps = []
             break
-        steps.append((row["hops"], row["via"], at))
+        last = last or row
+        steps.append((row["hops"], row["via"], at, row["way"][-1]))
         at = row["via"]
-    told = F.broadcast(edges.sparkSession.createDataFrame(steps if at == source else [], "step int, from_id long, to_id long"))
-    best = F.max_by(F.struct("kind", "is_verified", "score"), F.struct("is_verified", "score", "kind"))
-    both = edges.select(F.col("source_id").alias("from_id"), F.col("target_id").alias("to_id"), "kind", "is_verified", "score")
-    both = both.unionByName(both.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "kind", "is_verified", "score"))
-    found = both.join(told, ["from_id", "to_id"]).groupBy("step", "from_id", "to_id").agg(best.alias("e"))
-    return found.select("step", "from_id", "to_id", "e.kind", F.col("e.is_verified").alias("verified"), "e.score")
+    looked = seen.filter(F.col("hops") < most_hops)
+    if last is not None and steps:  # the note from which the target was met, and all before it
+        way = F.lit(last["way"][:-1]).cast("array<int>")
+        looked = seen.filter((F.col("hops") < last["hops"] - 1) | ((F.col("hops") == last["hops"] - 1) & (F.col("way") <= way)))
+    truncated = not looked.join(many.withColumnRenamed("me", "note_id"), "note_id", "left_semi").isEmpty()
+    told = F.broadcast(spark.createDataFrame(steps, "step int, from_id long, to_id long, rank int"))
+    both = edges.withColumn("e", F.explode(F.array(*[F.struct(F.col(a).alias("from_id"), F.col(b).alias("to_id")) for a, b in (("source_id", "target_id"), ("target_id", "source_id"))]))).select("e.*", *edges.columns)
+    first = F.min_by(F.struct("kind", "is_verified", "score"), F.struct(~F.col("is_verified"), -F.col("score"), "source_id", "line", "place", "target_id"))
+    found = both.join(told, ["from_id", "to_id"]).groupBy("step", "from_id", "to_id").agg(first.alias("e"))
+    rows = found.select("step", "from_id", "to_id", "e.kind", F.col("e.is_verified").alias("verified"), "e.score", F.lit(True).alias("found"), F.lit(truncated).alias("search_truncated"))
+    return rows if steps else spark.createDataFrame([(None, None, None, None, None, None, False, truncated)], rows.schema)
 
 
 def mutual_pairs(edges: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corkboard.functions.storage import stored
 from corkboard.functions.text import STOPWORDS, TOKEN, citation, idf, raw_tokens, tf, tokens
 
 
@@ -23,53 +24,83 @@ def query_terms(query: str) -> dict[str, int]:
 
 
 def terms(sections: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """(section_id, note_id, term, term_count) of sections (section_id, note_id, text); `only`, terms by
-    query_terms, keeps these before anything is exploded and spares the other rules, which they meet."""
-    found = tokens(F.col("text")) if only is None else F.filter(raw_tokens(F.col("text")), lambda t: t.isin(only))
+    """(section_id, note_id, term, term_count) of sections (section_id, note_id, text, and a heading, which counts as text before
+    it); `only`, terms by query_terms, keeps these before anything is exploded and spares the other rules, which they meet."""
+    text = F.concat_ws(" ", "heading", "text") if "heading" in sections.columns else F.col("text")
+    found = tokens(text) if only is None else F.filter(raw_tokens(text), lambda t: t.isin(only))
     return sections.select("section_id", "note_id", F.explode(found).alias("term")).groupBy("section_id", "note_id", "term").agg(F.count("*").alias("term_count"))
 
 
-def document_frequency(sections: DataFrame) -> DataFrame:
+def frequency(postings: DataFrame) -> DataFrame:
     """(term, df, n): notes that have the term, and its occurrences."""
-    return terms(sections).groupBy("term").agg(F.count_distinct("note_id").alias("df"), F.sum("term_count").alias("n"))
+    return postings.groupBy("term").agg(F.count_distinct("note_id").alias("df"), F.sum("term_count").alias("n"))
+
+
+def document_frequency(sections: DataFrame) -> DataFrame:
+    return frequency(terms(sections))
+
+
+class Tables:
+    """Sections and notes that no index holds: each search tokenises the texts. operators.index.Index answers the same from what
+    it has stored."""
+
+    def __init__(self, sections: DataFrame, notes: DataFrame):
+        self._sections, self._notes = sections, notes
+
+    def n_notes(self) -> int:
+        return self._notes.count()
 
+    def postings(self, of: list[str] | None = None) -> DataFrame:
+        return terms(self._sections, of)
 
-def search(sections: DataFrame, notes: DataFrame, query: str, limit: int) -> DataFrame:
+    def sections(self, ids: list[int]) -> DataFrame:
+        return self._sections.filter(F.col("section_id").isin(ids))
+
+    def notes(self, ids: list[int]) -> DataFrame:
+        return self._notes.filter(F.col("note_id").isin(ids))
+
+
+def search(held: Tables, query: str, limit: int) -> DataFrame:
     """The sections of highest score: sum of tf * idf * times in the query over postings, of which the most frequent
     max(2000, 400 * limit) count. Ties go to what comes first among these. Canonical notes' scores are raised by a tenth
-    after the choice. A query without terms finds nothing. Columns: rank, section_id, note_id, score, matched_terms and the notes' and sections' own."""
+    after the choice. A query without terms finds nothing. Columns: rank, section_id, note_id, score, matched_terms and the notes' and sections' own.
+
+    What is held (Tables, or an index) is asked for the query's postings, and then for the `limit` sections and their notes by id."""
     wanted = query_terms(query)
     if limit < 1:
         raise ValueError("a positive limit is needed")
-    n = notes.count()
-    found = terms(sections, sorted(wanted)) if wanted else terms(sections.limit(0), [""])
+    found = held.postings(sorted(wanted) or [""])
     df = found.groupBy("term").agg(F.count_distinct("note_id").alias("df"))
     order = [F.desc("term_count"), F.col("section_id"), F.col("term")]
     cap = max(2000, 400 * limit)
     top = found.orderBy(*order).limit(cap).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # cap rows
     times = F.create_map(*[F.lit(x) for pair in sorted(wanted.items()) or [("", 0)] for x in pair])
+    n = held.n_notes() if wanted else 0
     each = top.join(F.broadcast(df), "term").withColumn("s", tf(F.col("term_count")) * idf(F.lit(n), F.col("df")) * times[F.col("term")])  # as many df rows as query terms
     ranked = each.groupBy("section_id", "note_id").agg(F.sum("s").alias("raw"), F.min("place").alias("place"), F.sort_array(F.collect_set("term")).alias("matched"))
-    best = ranked.orderBy(F.round("raw", 9).desc(), "place").limit(limit)
-    best = best.withColumn("rank", F.row_number().over(Window.orderBy(F.round("raw", 9).desc(), "place")))
+    best = ranked.orderBy(F.round("raw", 9).desc(), "place").limit(limit).select("section_id", "note_id", "raw", "place", "matched").collect() if wanted else []
+    rows = [(k, r["section_id"], r["note_id"], r["raw"], r["matched"]) for k, r in enumerate(best, 1)]  # limit rows
+    best = F.broadcast(found.sparkSession.createDataFrame(rows, "rank int, section_id long, note_id long, raw double, matched array<string>"))
+    sections, notes = held.sections([r[1] for r in rows]), held.notes([r[2] for r in rows])
     own = [c for c in sections.columns if c not in ("section_id", "note_id")]
-    met = sections.select("section_id", *own).join(F.broadcast(best), "section_id")  # limit rows
-    met = notes.select("note_id", "relative_path", "status", "domain").join(F.broadcast(met), "note_id")
+    met = sections.select("section_id", *own).join(best, "section_id")
+    about = [c for c in ("relative_path", "title", "status", "domain") if c in notes.columns and c not in own]
+    met = notes.select("note_id", *about).join(F.broadcast(met), "note_id")
     boost = F.when(F.lower("status") == "canonical", 1.10).otherwise(1.0)
-    return met.select("rank", "section_id", "note_id", F.round(F.col("raw") * boost, 6).alias("score"), F.array_join("matched", " ").alias("matched_terms"), "relative_path", "status", "domain", *own)
+    return met.select("rank", "section_id", "note_id", F.round(F.col("raw") * boost, 6).alias("score"), F.array_join("matched", " ").alias("matched_terms"), *about, *own)
 
 
 def cited(hits: DataFrame) -> DataFrame:
     return hits.withColumn("citation", citation(F.col("relative_path"), F.col("line_start"), F.col("line_end")))
 
 
-def packet(sections: DataFrame, notes: DataFrame, query: str, limit: int, most_characters: int) -> DataFrame:
+def packet(held: Tables, query: str, limit: int, most_characters: int) -> DataFrame:
     """Search hits, twice the limit looked at, in order while a budget of characters lasts: the first always, others
     while 80 characters at least are left. A passage longer than what is left is cut to end in an ellipsis, and counts as long as
     it then is. Of 2 * limit rows."""
     if most_characters < 1:
         raise ValueError("a positive budget is needed")
-    hits = search(sections, notes, query, 2 * limit)
+    hits = stored(search(held, query, 2 * limit), "hits")  # read twice
     listed = hits.agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("hits"))
 
     def step(s, h):
@@ -86,15 +117,21 @@ def packet(sections: DataFrame, notes: DataFrame, query: str, limit: int, most_c
     return hits.join(F.broadcast(kept), "rank").select("rank", "section_id", "note_id", "score", "relative_path", "truncated", F.length("passage").cast("long").alias("characters"), "passage")
 
 
-def resurface(sections: DataFrame, notes: DataFrame, degrees: DataFrame, query: str, limit: int, as_of: str, least_days: int = 30) -> DataFrame:
-    """Notes long not touched: best hit of each, of max(8 * limit, 40), old enough, by relevance, age and few links."""
-    hits = search(sections, notes.drop("updated_at"), query, max(8 * limit, 40))
-    one = Window.partitionBy("note_id").orderBy("rank")
-    best = hits.withColumn("k", F.row_number().over(one)).filter("k = 1").join(notes.select("note_id", "updated_at"), "note_id")
-    age = F.greatest(F.lit(0), F.date_diff(F.lit(as_of).cast("date"), F.col("updated_at")))
-    best = best.withColumn("age_days", F.coalesce(age, F.lit(0))).withColumn("most", F.max("score").over(Window.partitionBy()))
-    best = best.join(degrees, "note_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).filter(F.col("age_days") >= least_days)
-    score = 0.65 * F.col("score") / F.col("most") + 0.25 * F.least(F.lit(1.0), F.col("age_days") / 730) + 0.10 / (1 + F.col("degree"))
-    return best.select("note_id", "relative_path", F.col("age_days").cast("long").alias("age_days"), F.round(score, 6).alias("resurface_score")).orderBy(F.desc("resurface_score"), "note_id").limit(limit)
+def age_days(as_of: Column | str, since: Column) -> Column:
+    """Days from a time to another one, whole and broken, by microseconds; null where a time is."""
+    return (F.unix_micros(F.lit(as_of).cast("timestamp") if isinstance(as_of, str) else as_of) - F.unix_micros(since.cast("timestamp"))) / 86_400_000_000.0
 
 
+def resurface(held: Tables, degrees: DataFrame, query: str, limit: int, as_of: str, least_days: int = 30) -> DataFrame:
+    """Notes long not touched: best hit of each, of max(8 * limit, 40), old enough, by relevance, age and few links."""
+    hits = search(held, query, max(8 * limit, 40))
+    one = Window.partitionBy("note_id").orderBy("rank")
+    best = stored(hits.withColumn("k", F.row_number().over(one)).filter("k = 1"), "best-hits")
+    ids = [r["note_id"] for r in best.select("note_id").collect()]  # max(8 * limit, 40) at most
+    best = best.select("note_id", "relative_path", "score").join(held.notes(ids).select("note_id", "updated_at"), "note_id")
+    age = F.greatest(F.lit(0.0), age_days(as_of, F.col("updated_at")))
+    best = best.withColumn("age", F.coalesce(age, F.lit(0.0))).withColumn("most", F.max("score").over(Window.partitionBy()))
+    known = degrees.filter(F.col("note_id").isin(ids))
+    best = best.join(known, "note_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).filter(F.col("age") >= least_days)
+    score = 0.65 * F.col("score") / F.col("most") + 0.25 * F.least(F.lit(1.0), F.col("age") / 730) + 0.10 / (1 + F.col("degree"))
+    return best.select("note_id", "relative_path", F.round("age", 1).alias("age_days"), F.col("degree").cast("long").alias("verified_degree"), F.round(score, 6).alias("resurface_score")).orderBy(F.desc("resurface_score"), "note_id").limit(limit)

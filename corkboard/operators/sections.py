@@ -26,5 +26,5 @@ def headings(notes: DataFrame) -> DataFrame:
 def covering(places: DataFrame, sections: DataFrame) -> DataFrame:
     """places (note_id, line and others) with the ordinal of the section that covers the line, null where none does. The join
     is on the note, so a line meets its own note's sections only."""
-    held = sections.select("note_id", "ordinal", "line_start", "line_end")
-    return places.join(held, (places.note_id == held.note_id) & places.line.between(held.line_start, held.line_end), "left").drop(held.note_id).drop("line_start", "line_end")
+    held = sections.select(F.col("note_id").alias("_note"), "ordinal", "line_start", "line_end")
+    return places.join(held, (F.col("note_id") == F.col("_note")) & F.col("line").between(F.col("line_start"), F.col("line_end")), "left").drop("_note", "line_start", "line_end")

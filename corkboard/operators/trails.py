@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corkboard.functions.storage import stored
 from corkboard.operators.contract import citation_place
 from corkboard.operators.graph import both_ways, bridges, degrees, percentile
+from corkboard.operators.search import age_days
 
 # The days that notes may lie apart, that a note must have drifted or slept, and the least evidence.
 PARALLEL_DAYS, DRIFT_DAYS, DORMANT_DAYS, EVIDENCE_FLOOR = 14, 90, 180, 0.25
@@ -33,30 +34,50 @@ def islands(edges_degrees: DataFrame, candidates: DataFrame, notes: DataFrame) -
 def dormant(notes: DataFrame, candidates: DataFrame, as_of: str, least_days: int = 180) -> DataFrame:
     """Notes untouched for `least_days` at as_of, with a candidate; and how long, as a share of a year."""
     ends = candidates.select(F.col("l").alias("note_id")).unionByName(candidates.select(F.col("r").alias("note_id"))).distinct()
-    days = F.date_diff(F.lit(as_of).cast("date"), F.col("updated_at")).cast("long")
+    days = age_days(as_of, F.col("updated_at"))
     old = notes.select("note_id", days.alias("days")).filter(F.col("days") >= least_days).join(ends, "note_id", "left_semi")
     return old.withColumn("age_bonus", F.round(0.15 * F.least(F.col("days") / 365, F.lit(1.0)), 6))
 
 
+def _met(pairs: DataFrame, near: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(l, r, other): for each pair, the notes next to both. Those next to the end that has fewer are looked up at the other, so
+    that a hub's neighbours aren't paired with all that it is paired with."""
+    ends = pairs.select("l", "r").distinct()
+    for end in "lr":
+        ends = ends.join(sizes.select(F.col("me").alias(end), F.col("n").alias(f"n{end}")), end)
+    few = F.col("nl") <= F.col("nr")
+    each = ends.select("l", "r", F.when(few, F.col("l")).otherwise(F.col("r")).alias("me"), F.when(few, F.col("r")).otherwise(F.col("l")).alias("far")).join(near, "me")
+    return each.select("l", "r", "far", "other").join(near.select(F.col("me").alias("far"), "other"), ["far", "other"], "left_semi").select("l", "r", "other")
+
+
 def linked_within(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Distinct pairs (l, r) that at most three links join, either way. One side goes two steps and the other one, so that no
-    three-step neighbourhood is made; a step joins distinct rows only."""
-    near = both_ways(edges).select("me", "other").distinct()
-    starts = pairs.select(F.col("l").alias("at"), F.col("l").alias("from")).distinct()
-    ball = starts
-    for _ in range(2):
-        ball = ball.unionByName(ball.join(near, ball.at == near.me).select(F.col("other").alias("at"), "from")).distinct()
-    ends = pairs.select(F.col("r").alias("to")).distinct()
-    last = ends.join(near, F.col("to") == F.col("me")).select("to", F.col("other").alias("at")).unionByName(ends.select("to", F.col("to").alias("at")))
-    met = pairs.select("l", "r").distinct().join(ball.withColumnRenamed("from", "l"), "l")
-    return met.join(last.withColumnRenamed("to", "r"), ["r", "at"], "left_semi").select("l", "r").distinct()
+    """Distinct pairs (l, r) that at most three links join, either way.
+
+    Of a pair, first the two notes themselves and their neighbours in common; what is left is linked by three links if some
+    neighbour of one end is linked with the other end's neighbour. There the neighbours of the end that has fewer go on as (other,
+    far end), each such pair once however many pairs lead to it, and these are met in the same way: by the end that has fewer
+    neighbours. So the work follows the pairs and their ends of lower degree; a hub's two-step ball is never made."""
+    near = stored(both_ways(edges).select("me", "other").distinct(), "neighbours")
+    sizes = stored(near.groupBy("me").agg(F.count("*").alias("n")), "degrees")
+    pairs = stored(pairs.select("l", "r").distinct(), "pairs")
+    one = pairs.join(near.select(F.col("me").alias("l"), F.col("other").alias("r")), ["l", "r"], "left_semi").unionByName(pairs.filter("l = r"))
+    two = _met(pairs, near, sizes).select("l", "r")
+    close = stored(one.unionByName(two).distinct(), "linked")
+    rest = pairs.join(close, ["l", "r"], "left_anti")
+    for end in "lr":
+        rest = rest.join(sizes.select(F.col("me").alias(end), F.col("n").alias(f"n{end}")), end)
+    few = F.col("nl") <= F.col("nr")
+    steps = rest.select("l", "r", F.when(few, F.col("l")).otherwise(F.col("r")).alias("me"), F.when(few, F.col("r")).otherwise(F.col("l")).alias("far")).join(near, "me").select("l", "r", "other", "far")
+    steps = stored(steps.select("l", "r", F.least("other", "far").alias("a"), F.greatest("other", "far").alias("b")), "steps")
+    reached = _met(steps.select(F.col("a").alias("l"), F.col("b").alias("r")), near, sizes).select(F.col("l").alias("a"), F.col("r").alias("b")).distinct()
+    return close.unionByName(steps.join(reached, ["a", "b"], "left_semi").select("l", "r")).distinct()
 
 
 def evidenced(ranked: DataFrame, passages: DataFrame, notes: DataFrame, edges: DataFrame, most: int = 12) -> DataFrame:
     """ranked (l, r, terms) with shared_tags, mutual (the first `most` notes linked to both), passages (whether both sides have
     one) and cited (whether each side's citation is of its own note). passages are those of discovery.best_passages."""
     near = both_ways(edges).select("me", "other").distinct()
-    both = ranked.select("l", "r").join(near.withColumnRenamed("me", "l"), "l").join(near.withColumnRenamed("me", "r"), ["r", "other"], "left_semi")
+    both = _met(ranked, near, near.groupBy("me").agg(F.count("*").alias("n")))
     few = both.withColumn("k", F.row_number().over(Window.partitionBy("l", "r").orderBy("other"))).filter(F.col("k") <= most)
     mutual = few.groupBy("l", "r").agg(F.sort_array(F.collect_list("other")).alias("mutual"))
     own = passages.join(notes.select("note_id", "path"), "note_id").withColumn("own", F.coalesce(citation_place(F.col("citation"))["path"] == F.col("path"), F.lit(False)))
@@ -90,7 +111,7 @@ def facts(candidates: DataFrame, notes: DataFrame, edges: DataFrame, crossed: Da
     apart (no three links join them), far (of two domains), rare (which one link at most joins), surprise (terms that
     neither label has), count (of the conditions of a surprise that hold)."""
     side = notes.select(
-        "note_id", domain(F.col("domain")).alias("domain"), F.col("created_at").cast("date").alias("created"), F.col("modified_at").cast("date").alias("modified"),
+        "note_id", domain(F.col("domain")).alias("domain"), F.col("created_at").cast("timestamp").alias("created"), F.col("modified_at").cast("timestamp").alias("modified"),
         label_tokens(F.concat_ws(" ", "title", "path", F.array_join("tags", " "), "domain")).alias("label"),
     )
     met = candidates.withColumn("terms", F.array_distinct(F.transform("terms", F.lower)))
@@ -107,7 +128,7 @@ def facts(candidates: DataFrame, notes: DataFrame, edges: DataFrame, crossed: Da
 def kinds_of(told: DataFrame) -> Column:
     """The kinds of a row of facts."""
     signals = sum((c.cast("int") for c in (F.size("terms") >= 2, F.size("shared_tags") > 0, F.size("mutual") > 0)), F.lit(0))
-    near = F.coalesce(F.abs(F.date_diff("l_created", "r_created")) <= PARALLEL_DAYS, F.lit(False))
+    near = F.coalesce(F.abs(age_days(F.col("l_created"), F.col("r_created"))) <= PARALLEL_DAYS, F.lit(False))
     rules = {"parallel_invention": F.col("far") & near & (F.size("surprise") >= 2) & (F.col("count") >= 2), "unwritten_link": F.col("apart"), "distant_neighbors": F.col("rare"), "reinforced": (signals >= 2) & (F.col("count") >= 2)}
     return F.array_compact(F.array(*[F.when(rule, name) for name, rule in rules.items()]))
 
@@ -146,7 +167,7 @@ def scored(candidates: DataFrame, notes: DataFrame, edges: DataFrame, as_of: str
     told = told.filter((F.size("surprise") >= 2) & (F.col("evidence") >= EVIDENCE_FLOOR) & F.col("cited"))
     for end in "lr":
         told = told.join(held.select(F.col("note_id").alias(end), F.col("degree").alias(f"{end}_degree")), end)
-    older = F.greatest(F.lit(0), *[F.coalesce(F.date_diff(F.lit(as_of).cast("date"), f"{end}_modified"), F.lit(0)) for end in "lr"])
+    older = F.greatest(F.lit(0.0), *[F.coalesce(age_days(as_of, F.col(f"{end}_modified")), F.lit(0.0)) for end in "lr"])
     parts = {
         "novelty": F.when(F.col("apart"), 1.0).otherwise(0.0), "distance": F.when(~F.col("far"), 0.0).when(F.col("rare"), 1.0).otherwise(0.6),
         "centrality": _centrality(F.greatest("l_degree", "r_degree"), p90), "structure": F.lit(0.0), "age": 0.15 * F.least(older / 365, F.lit(1.0)),
@@ -162,10 +183,10 @@ def structural(notes: DataFrame, edges: DataFrame, candidates: DataFrame, as_of:
     ends = candidates.select(F.col("l").alias("note_id")).unionByName(candidates.select(F.col("r").alias("note_id")))
     counted = ends.groupBy("note_id").agg(F.count("*").alias("candidates"))
     over = bridges(edges, notes).select("note_id", F.lit(True).alias("bridge"))
-    n = notes.select("note_id", F.col("created_at").cast("date").alias("created"), F.col("modified_at").cast("date").alias("modified")).join(held, "note_id").join(counted, "note_id", "left").join(over, "note_id", "left")
+    n = notes.select("note_id", F.col("created_at").cast("timestamp").alias("created"), F.col("modified_at").cast("timestamp").alias("modified")).join(held, "note_id").join(counted, "note_id", "left").join(over, "note_id", "left")
     n = n.withColumn("candidates", F.coalesce("candidates", F.lit(0))).withColumn("centrality", _centrality(F.col("degree"), p90))
-    slept = F.greatest(F.lit(0), F.date_diff(F.lit(as_of).cast("date"), "modified"))
-    span = F.date_diff("modified", "created")
+    slept = F.greatest(F.lit(0.0), age_days(as_of, F.col("modified")))
+    span = age_days(F.col("modified"), F.col("created"))
 
     def year(days: Column) -> Column:
         return F.least(days / 365, F.lit(1.0))
@@ -184,5 +205,5 @@ def structural(notes: DataFrame, edges: DataFrame, candidates: DataFrame, as_of:
 def drift(notes: DataFrame, candidates: DataFrame, least_days: int = DRIFT_DAYS) -> DataFrame:
     """(note_id, days) of notes (created_at, modified_at) changed `least_days` after they were made, with a candidate."""
     ends = candidates.select(F.col("l").alias("note_id")).unionByName(candidates.select(F.col("r").alias("note_id")))
-    days = F.date_diff(F.col("modified_at").cast("date"), F.col("created_at").cast("date"))
+    days = age_days(F.col("modified_at"), F.col("created_at"))
     return notes.select("note_id", days.alias("days")).filter(F.col("days") >= least_days).join(ends, "note_id", "left_semi")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corkboard.operators import changes, contract, graph, search, sections
-from corkboard.plans.queries import _DIFF, _EDGES, _NAMES, _NOTES, _changes, _sections, _terms_sql, query
+from corkboard.plans.queries import _DIFF, _EDGES, _NAMES, _NOTES, _changes, _terms_sql, query
 from corkboard.sources import corpus
 
 PATHS, GLOBS, TAGS = ["nations/Japan.md"], ["suppliers/*1.md", "customers/*[0-2]5.MD"], ["#Club/c3"]
@@ -17,10 +17,10 @@ sd AS (SELECT n_nationkey + 100 AS note_id FROM nation WHERE n_nationkey % 4 = 0
 
 def _excluded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(all edges, every fourth nation, tags, excluded notes) of the linked notes."""
-    notes = corpus.linked_notes(spark, sf_dir)
-    tags = graph.note_tags(notes)
+    held = corpus.linked_index(spark, sf_dir)
+    notes, tags = held.notes(), held.tags()
     seeds = notes.filter("domain = 'nation' AND note_id % 4 = 0").select("note_id")
-    return graph.all_edges(graph.edges(notes)), seeds, tags, contract.excluded(notes, tags, PATHS, GLOBS, TAGS)
+    return graph.all_edges(held.edges()), seeds, tags, contract.excluded(notes, tags, PATHS, GLOBS, TAGS)
 
 
 @query(f"WITH {_EXCLUDED} SELECT * FROM xo")
@@ -31,7 +31,7 @@ def exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_EXCLUDED}, m AS (SELECT *, source_id IN (SELECT note_id FROM xo) AS so, target_id IN (SELECT note_id FROM xo) AS t_o FROM t),
 d AS (SELECT source_id AS n FROM m WHERE so UNION SELECT target_id FROM m WHERE t_o)
-SELECT source_id, target_id, kind, true AS is_verified, CAST(1.0 AS DOUBLE) AS score, (SELECT count(*) FROM m WHERE so OR t_o) AS suppressed, (SELECT count(*) FROM d) AS dropped FROM m WHERE NOT so AND NOT t_o ORDER BY source_id, target_id, kind LIMIT 200""")
+SELECT source_id, target_id, kind, true AS is_verified, CAST(1.0 AS DOUBLE) AS score, (SELECT count(*) FROM m WHERE so OR t_o) AS suppressed, (SELECT count(*) FROM d) AS dropped FROM m WHERE NOT so AND NOT t_o ORDER BY source_id, line, place, target_id LIMIT 200""")
 def allowed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first edges at some nations that touch nothing excluded, and how many do."""
     edges, seeds, _, out = _excluded(spark, sf_dir)
@@ -54,8 +54,8 @@ def matching_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.matching(notes.join(tags, "note_id", "left"), " Club/C", "customer").select("note_id")
 
 
-@query(f"""WITH {_NAMES}, t AS (SELECT note_id, path, 2 AS a, 2 + length(text) - length(replace(text, chr(10), '')) - 1 AS b FROM g WHERE domain <> 'region')
-SELECT note_id, CASE note_id % 4 WHEN 0 THEN path || ':2-' || b WHEN 1 THEN path || ':2-' || (b + 1) WHEN 2 THEN '../' || path || ':2-' || b ELSE path || ':3-2' END AS citation, note_id % 4 < 2 AS valid, note_id % 4 = 0 AS found FROM t""")
+@query(f"""WITH {_NAMES}, t AS (SELECT note_id, path, o + 2 AS a, 2 + length(text) - length(replace(text, chr(10), '')) - 1 AS b FROM g WHERE domain <> 'region')
+SELECT note_id, CASE note_id % 4 WHEN 0 THEN path || ':' || a || '-' || b WHEN 1 THEN path || ':' || a || '-' || (b + 1) WHEN 2 THEN '../' || path || ':' || a || '-' || b ELSE path || ':3-2' END AS citation, note_id % 4 < 2 AS valid, note_id % 4 = 0 AS found FROM t""")
 def citation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations of sections as they are, of other lines, of paths that go up, and of lines that can't be."""
     notes = corpus.linked_notes(spark, sf_dir)
@@ -73,8 +73,8 @@ def shared_terms_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the next document has a document's two most frequent terms, as a claim would say."""
     from pyspark.sql import Window
 
-    own, notes = _sections(spark, sf_dir)
-    terms = search.terms(own)
+    held = corpus.document_index(spark, sf_dir)
+    terms, notes = held.terms(), held.notes()
     top = terms.withColumn("k", F.row_number().over(Window.partitionBy("note_id").orderBy(F.desc("term_count"), "term"))).filter("k <= 2")
     claims = top.groupBy(F.col("note_id").alias("source_id")).agg(F.sort_array(F.collect_list("term")).alias("terms")).withColumn("target_id", F.col("source_id") + 1)
     claims = claims.join(notes.select(F.col("note_id").alias("target_id")), "target_id", "left_semi")

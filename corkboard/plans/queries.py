@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corkboard.functions.storage import ship
 from corkboard.functions.text import STOPWORDS, excerpt, path_key, sanitised
-from corkboard.operators import changes, discovery, export, graph, search, sections, trails
+from corkboard.operators import changes, discovery, export, graph, index, search, sections, trails
 from corkboard.sources import corpus
 
 QUERY, LIMIT, BUDGET, AS_OF = "tion ering onon erth ondethe inre thing", 10, 40000, "2026-01-01"
+SHELF = "rack-cd onon tion"
 THRESHOLD = 0.16
 NOTE = 1_000_000_001  # a customer
 NATION, OTHER_NATION = 103, 118
@@ -21,7 +25,12 @@ _SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def register(f):
-        _QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        _QUERIES[f.__name__] = run
         if sql is not None:
             _SQL[f.__name__] = sql
         return f
@@ -35,21 +44,25 @@ _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
 
 def _terms_sql(source: str) -> str:
-    """terms(section_id, note_id, term, term_count) of sections(section_id, note_id, text)."""
+    """terms(section_id, note_id, term, term_count) of sections(section_id, note_id, heading, text)."""
     return f"""
-raw AS (SELECT section_id, note_id, replace(lower(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9][A-Za-z0-9_''’-]+'))), '’', '''') AS t FROM {source}),
+raw AS (SELECT section_id, note_id, replace(lower(unnest(regexp_extract_all(concat_ws(' ', heading, text), '[A-Za-z0-9][A-Za-z0-9_''’-]+'))), '’', '''') AS t FROM {source}),
 terms AS (SELECT section_id, note_id, t AS term, count(*) AS term_count FROM raw WHERE length(t) > 2 AND t NOT IN ({_STOP}) AND NOT regexp_full_match(t, '[0-9]+')
   AND length(regexp_replace(t, '[^0-9]', '', 'g')) < 4 AND NOT regexp_full_match(regexp_replace(t, '[-_]', '', 'g'), '[0-9a-f]{{8,}}') GROUP BY ALL)"""
 
 
 _NOTES = """notes AS (SELECT d.doc_id AS note_id, d.doc_id AS section_id, source || '/doc_' || d.doc_id || '.md' AS relative_path,
-  CASE quality WHEN 1 THEN 'canonical' WHEN 0 THEN 'draft' END AS status, lang AS domain, text, DATE '2020-01-01' + CAST(d.doc_id % 1500 AS INT) AS updated_at
+  'Document ' || d.doc_id AS title, 'Shelf rack-' || translate(CAST(d.doc_id % 100 AS VARCHAR), '0123456789', 'bcdfghjklm') AS heading,
+  CASE quality WHEN 1 THEN 'canonical' WHEN 0 THEN 'draft' END AS status, lang AS domain, text, make_timestamp((1577836800 + d.doc_id % 1500 * 86400 + d.doc_id * 7919 % 86400) * 1000000) AS updated_at
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
-_WANTED = search.query_terms(QUERY)
 
 
-def _search_sql(limit: int) -> str:
-    wanted = ", ".join(f"('{t}', {n})" for t, n in sorted(_WANTED.items()))
+def _age_sql(since: str) -> str:
+    return f"(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us({since})) / 86400000000.0"
+
+
+def _search_sql(limit: int, text: str = QUERY) -> str:
+    wanted = ", ".join(f"('{t}', {n})" for t, n in sorted(search.query_terms(text).items()))
     return f"""{_NOTES}, {_terms_sql("notes")},
 q(term, times) AS (VALUES {wanted}),
 found AS (SELECT t.*, times, row_number() OVER (ORDER BY term_count DESC, section_id, t.term) AS place FROM terms t JOIN q ON t.term = q.term),
@@ -58,24 +71,25 @@ n AS (SELECT count(*) AS n FROM notes),
 ranked AS (SELECT section_id, sum((ln(term_count) + 1) * (ln((n + 1) / (df + 1)) + 1) * times) AS raw, min(place) AS place, string_agg(f.term, ' ' ORDER BY f.term) AS matched_terms
   FROM found f JOIN df ON f.term = df.term, n WHERE place <= {max(2000, 400 * limit)} GROUP BY section_id),
 top AS (SELECT *, row_number() OVER (ORDER BY round(raw, 9) DESC, place) AS rank FROM ranked QUALIFY rank <= {limit}),
-hits AS (SELECT rank, t.section_id, note_id, round(raw * CASE WHEN status = 'canonical' THEN 1.1 ELSE 1.0 END, 6) AS score, matched_terms, relative_path, status, domain, text, updated_at
+hits AS (SELECT rank, t.section_id, note_id, round(raw * CASE WHEN status = 'canonical' THEN 1.1 ELSE 1.0 END, 6) AS score, matched_terms, relative_path, status, domain, heading, text, updated_at
   FROM top t JOIN notes USING (section_id))"""
 
 
-def _sections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    notes = corpus.notes(spark, sf_dir)
-    return notes.select(F.col("note_id").alias("section_id"), "note_id", "text"), notes
-
-
 # ---- retrieval ------------------------------------------------------------------------------------------------------
 
 
 @query(f"WITH {_search_sql(LIMIT)} SELECT rank, note_id, score, matched_terms, relative_path || ':1-1' AS citation FROM hits")
 def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top sections for a query, with citations."""
-    hits = search.search(*_sections(spark, sf_dir), QUERY, LIMIT)
-    cited = search.cited(hits.withColumn("line_start", F.lit(1)).withColumn("line_end", F.lit(1)))
-    return cited.select("rank", "note_id", "score", "matched_terms", "citation")
+    hits = search.cited(search.search(corpus.document_index(spark, sf_dir), QUERY, LIMIT))
+    return hits.select("rank", "note_id", "score", "matched_terms", "citation")
+
+
+@query(f"WITH {_search_sql(40, SHELF)} SELECT rank, note_id, score, matched_terms, heading FROM hits")
+def search_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query for a word that only headings have, and others."""
+    hits = search.search(corpus.document_index(spark, sf_dir), SHELF, 40)
+    return hits.select("rank", "note_id", "score", "matched_terms", "heading")
 
 
 _PACKET = f"""{_search_sql(2 * LIMIT)}, first AS (SELECT rank, text FROM hits),
@@ -89,38 +103,40 @@ packet AS (SELECT h.rank, section_id, note_id, score, relative_path, truncated,
 @query(f"WITH RECURSIVE {_PACKET} SELECT rank, section_id, score, relative_path, truncated, characters, sha256(passage) AS passage_sha256, relative_path || ':1-1' AS citation FROM packet")
 def context_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cited passages within a budget; the one at its end is cut."""
-    packet = search.packet(*_sections(spark, sf_dir), QUERY, LIMIT, BUDGET)
+    packet = search.packet(corpus.document_index(spark, sf_dir), QUERY, LIMIT, BUDGET)
     cited = search.cited(packet.withColumn("line_start", F.lit(1)).withColumn("line_end", F.lit(1)))
     return cited.select("rank", "section_id", "score", "relative_path", "truncated", "characters", F.sha2("passage", 256).alias("passage_sha256"), "citation")
 
 
-_DOC_LINKS = """dl AS (SELECT doc_id AS source_id, doc_id // 2 AS target_id, 'wikilink' AS kind FROM documents WHERE doc_id % 3 = 0 AND doc_id // 2 <> doc_id AND doc_id // 2 IN (SELECT doc_id FROM documents)
-UNION ALL SELECT doc_id, doc_id // 3, 'markdown_link' FROM documents WHERE doc_id % 9 = 0 AND doc_id // 3 <> doc_id AND doc_id // 3 IN (SELECT doc_id FROM documents))"""
+_DOC_LINKS = """dl AS (SELECT doc_id AS source_id, doc_id // 2 AS target_id, 'wikilink' AS kind, 2 AS line FROM documents WHERE doc_id % 3 = 0 AND doc_id // 2 <> doc_id AND doc_id // 2 IN (SELECT doc_id FROM documents)
+UNION ALL SELECT doc_id, doc_id // 3, 'markdown_link', 1 FROM documents WHERE doc_id % 9 = 0 AND doc_id // 3 <> doc_id AND doc_id // 3 IN (SELECT doc_id FROM documents))"""
 
 
 @query(f"""WITH RECURSIVE {_PACKET}, {_DOC_LINKS}, near AS (SELECT * FROM dl WHERE source_id IN (SELECT note_id FROM packet) OR target_id IN (SELECT note_id FROM packet))
-SELECT source_id, target_id, kind, true AS is_verified, 1.0 AS score, count(*) OVER () AS total, count(*) OVER () > 200 AS truncated FROM near ORDER BY source_id, target_id LIMIT 200""")
+SELECT source_id, target_id, kind, line, a.relative_path AS source_path, a.title AS source_title, b.relative_path AS target_path, b.title AS target_title, true AS is_verified, 1.0 AS score, count(*) OVER () AS total, count(*) OVER () > 200 AS truncated
+FROM near JOIN notes a ON a.note_id = source_id JOIN notes b ON b.note_id = target_id ORDER BY source_id, line LIMIT 200""")
 def packet_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edges at a packet's notes, with the number of all."""
-    packet = search.packet(*_sections(spark, sf_dir), QUERY, LIMIT, BUDGET)
-    return graph.incident(graph.all_edges(corpus.document_links(spark, sf_dir)), packet)
+    """The edges at a packet's notes, with both notes and the number of all."""
+    held = corpus.document_index(spark, sf_dir)
+    packet = search.packet(held, QUERY, LIMIT, BUDGET)
+    return graph.incident(graph.all_edges(corpus.document_links(spark, sf_dir)), packet, notes=held.notes()).drop("place")
 
 
 @query(f"""WITH {_search_sql(8 * LIMIT)}, {_DOC_LINKS}, ends AS (SELECT source_id AS me FROM dl UNION ALL SELECT target_id FROM dl), deg AS (SELECT me, count(*) AS degree FROM ends GROUP BY me),
-a AS (SELECT note_id, relative_path, score, coalesce(degree, 0) AS degree, greatest(0, date_diff('day', updated_at, DATE '{AS_OF}')) AS age_days, max(score) OVER () AS most FROM hits LEFT JOIN deg ON me = note_id),
-s AS (SELECT note_id, relative_path, age_days, round(0.65 * score / most + 0.25 * least(1.0, age_days / 730) + 0.10 / (1 + degree), 6) AS resurface_score FROM a WHERE age_days >= 30)
+a AS (SELECT note_id, relative_path, score, coalesce(degree, 0) AS degree, greatest(0, {_age_sql('updated_at')}) AS age, max(score) OVER () AS most FROM hits LEFT JOIN deg ON me = note_id),
+s AS (SELECT note_id, relative_path, round(age, 1) AS age_days, degree AS verified_degree, round(0.65 * score / most + 0.25 * least(1.0, age / 730) + 0.10 / (1 + degree), 6) AS resurface_score FROM a WHERE age >= 30)
 SELECT * FROM s ORDER BY resurface_score DESC, note_id LIMIT {LIMIT}""")
 def resurface(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dormant notes that answer a query; those of few links first."""
-    return search.resurface(*_sections(spark, sf_dir), graph.degrees(corpus.document_links(spark, sf_dir)), QUERY, LIMIT, AS_OF)
+    return search.resurface(corpus.document_index(spark, sf_dir), graph.degrees(corpus.document_links(spark, sf_dir)), QUERY, LIMIT, AS_OF)
 
 
 @query(f"WITH {_NOTES}, {_terms_sql('notes')} SELECT term, count(DISTINCT note_id) AS df, CAST(sum(term_count) AS BIGINT) AS n FROM terms GROUP BY term")
 def doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.document_frequency(_sections(spark, sf_dir)[0])
+    return search.frequency(corpus.document_index(spark, sf_dir).postings())
 
 
-@query(f"""WITH s AS (SELECT conv_id * 1000 + turn AS section_id, conv_id AS note_id, text FROM conversations), {_terms_sql("s")}
+@query(f"""WITH s AS (SELECT conv_id * 1000 + turn AS section_id, conv_id AS note_id, role AS heading, text FROM conversations), {_terms_sql("s")}
 SELECT note_id, count(DISTINCT section_id) AS sections, count(DISTINCT term) AS terms, CAST(sum(term_count) AS BIGINT) AS occurrences FROM terms GROUP BY note_id""")
 def conversation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes of many sections: conversations and their turns."""
@@ -131,9 +147,9 @@ def conversation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_NOTES}, {_terms_sql("notes")} SELECT (SELECT count(*) FROM notes) AS notes, (SELECT count(*) FROM terms) AS postings, (SELECT count(DISTINCT term) FROM terms) AS terms,
 (SELECT CAST(sum(term_count) AS BIGINT) FROM terms) AS occurrences""")
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sections, notes = _sections(spark, sf_dir)
-    t = search.terms(sections).agg(F.count("*").alias("postings"), F.count_distinct("term").alias("terms"), F.sum("term_count").alias("occurrences"))
-    return t.select(F.lit(notes.count()).alias("notes"), "postings", "terms", "occurrences")
+    held = corpus.document_index(spark, sf_dir)
+    t = held.postings().agg(F.count("*").alias("postings"), F.count_distinct("term").alias("terms"), F.sum("term_count").alias("occurrences"))
+    return t.select(F.lit(held.n_notes()).alias("notes"), "postings", "terms", "occurrences")
 
 
 @query("SELECT source || '/doc_' || doc_id || '.md' AS path, CASE WHEN length(t) > 280 THEN regexp_replace(substr(t, 1, 279), '\\s+$', '') || '…' ELSE t END AS summary FROM (SELECT *, regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x{9F}\\x{200B}-\\x{200F}\\x{2028}-\\x{202E}\\x{2066}-\\x{2069}\\x{FEFF}]', '', 'g') AS t FROM documents)")
@@ -167,8 +183,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY l, r ORDER BY p, term) AS k FROM
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    sections, notes = _sections(spark, sf_dir)
-    return discovery.vectors(search.terms(sections), notes.count()), notes
+    held = corpus.document_index(spark, sf_dir)
+    return discovery.vectors(held.terms(), held.n_notes()), held.notes()
 
 
 @query(f"WITH {_CANDIDATES} SELECT * FROM cand")
@@ -185,8 +201,8 @@ def candidate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_NOTES}, {_terms_sql("notes")}, d AS (SELECT term, count(DISTINCT note_id) AS df FROM terms GROUP BY term), m AS (SELECT greatest(4, ceil(count(*) / 5.0)) AS most FROM notes)
 SELECT count(*) AS total_terms, count(*) FILTER (df BETWEEN 2 AND most) AS usable_terms, count(*) FILTER (df < 2) AS too_rare, count(*) FILTER (df > most) AS too_common FROM d, m""")
 def discovery_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sections, notes = _sections(spark, sf_dir)
-    return discovery.diagnostics(search.terms(sections), notes.count())
+    held = corpus.document_index(spark, sf_dir)
+    return discovery.diagnostics(held.postings(), held.n_notes())
 
 
 @query(f"""WITH {_CANDIDATES}, {_DOC_LINKS}, e AS (SELECT l AS note_id FROM cand UNION ALL SELECT r FROM cand), c AS (SELECT note_id, count(*) AS candidates FROM e GROUP BY note_id HAVING count(*) >= 2),
@@ -197,43 +213,52 @@ def island_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trails.islands(graph.degrees(corpus.document_links(spark, sf_dir)), discovery.candidates(v, THRESHOLD), notes)
 
 
-@query(f"""WITH {_CANDIDATES}, d AS (SELECT note_id, date_diff('day', updated_at, DATE '{AS_OF}') AS days FROM notes)
-SELECT note_id, days, round(0.15 * least(days / 365, 1.0), 6) AS age_bonus FROM d WHERE days >= 180 AND note_id IN (SELECT l FROM cand UNION SELECT r FROM cand)""")
+@query(f"""WITH {_CANDIDATES}, d AS (SELECT note_id, {_age_sql('updated_at')} AS days FROM notes)
+SELECT note_id, round(days, 6) AS days, round(0.15 * least(days / 365, 1.0), 6) AS age_bonus FROM d WHERE days >= 180 AND note_id IN (SELECT l FROM cand UNION SELECT r FROM cand)""")
 def dormant_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, notes = _vectors(spark, sf_dir)
-    return trails.dormant(notes, discovery.candidates(v, THRESHOLD), AS_OF)
+    return trails.dormant(notes, discovery.candidates(v, THRESHOLD), AS_OF).withColumn("days", F.round("days", 6))
 
 
 # ---- graph ----------------------------------------------------------------------------------------------------------
 
 _NAMES = """placed AS (SELECT *, replace(n_name, ' ', '%20') AS n_link, replace(r_name, ' ', '%20') AS r_link FROM nation JOIN region ON n_regionkey = r_regionkey),
-g AS (SELECT CAST(r_regionkey AS BIGINT) AS note_id, 'regions/' || r_name || '.md' AS path, r_name AS title, 'region' AS domain, '# ' || r_name AS text FROM region
+gb AS (SELECT CAST(r_regionkey AS BIGINT) AS note_id, 'regions/' || r_name || '.md' AS path, r_name AS title, 'region' AS domain, '# ' || r_name AS body, CASE WHEN r_regionkey = 2 THEN '---' || chr(10) || 'aliases: [日本, Far East]' || chr(10) || '---' || chr(10) ELSE '' END AS front FROM region
 UNION ALL SELECT 100 + n_nationkey, 'nations/' || n_name || '.md', n_name, 'nation', '# ' || n_name || chr(10) || 'Part of [its region](regions/' || r_link || '.md)' || CASE WHEN n_nationkey % 2 = 0 THEN ' #segment/BUILDING' ELSE '' END
-  || CASE WHEN n_nationkey % 5 = 0 THEN chr(10) || 'Also [up](../regions/' || r_link || '.md)' ELSE '' END FROM placed
+  || CASE WHEN n_nationkey % 5 = 0 THEN chr(10) || 'Also [up](../regions/' || r_link || '.md)' ELSE '' END, '' FROM placed
 UNION ALL SELECT 1000000 + s_suppkey, 'suppliers/' || s_name || '.md', s_name, 'supplier', '# ' || s_name || chr(10) || 'Based in [[' || n_name || '|home]]' || CASE WHEN s_suppkey % 7 = 0 THEN chr(10) || 'Once of [[Missing ' || s_suppkey || ']]' ELSE '' END
-  || CASE WHEN s_suppkey % 5 = 0 THEN chr(10) || 'By name [it](' || n_link || '.md)' ELSE '' END FROM supplier JOIN placed ON s_nationkey = n_nationkey
+  || CASE WHEN s_suppkey % 5 = 0 THEN chr(10) || 'By name [it](' || n_link || '.md)' ELSE '' END || CASE WHEN s_suppkey % 6 = 1 THEN chr(10) || 'See [[中文]]' ELSE '' END
+  || CASE WHEN s_suppkey % 4 = 0 THEN chr(10) || '```' || chr(10) || '[[Nowhere]] #hidden' || chr(10) || '```' ELSE '' END,
+  CASE WHEN s_suppkey % 3 = 0 THEN '---' || chr(10) || 'tags: [partner, ''Key Account'']' || chr(10) || 'aliases: Firm ' || s_suppkey || chr(10) || '---' || chr(10) ELSE '' END FROM supplier JOIN placed ON s_nationkey = n_nationkey
 UNION ALL SELECT 1000000000 + c_custkey, 'customers/' || c_name || '.md', c_name, 'customer', '# ' || c_name || chr(10) || 'See [[' || n_name || ']] #segment/' || c_mktsegment
-  || CASE WHEN c_custkey % 10 = 0 THEN chr(10) || 'In [[' || r_link || ']] #club/c' || c_custkey % 7 ELSE '' END FROM customer JOIN placed ON c_nationkey = n_nationkey)"""
-#: What each link is by the rules: names and paths from the top resolve, a path that goes up out of the top doesn't.
-_LINKS = f"""{_NAMES}, lk AS (SELECT 100 + n_nationkey AS note_id, 2 AS line, 'markdown_link' AS kind, 'regions/' || r_link || '.md' AS target, CAST(n_regionkey AS BIGINT) AS target_id, NULL AS reason FROM placed
-UNION ALL SELECT 100 + n_nationkey, 3, 'markdown_link', '../regions/' || r_link || '.md', NULL, 'path_outside_vault' FROM placed WHERE n_nationkey % 5 = 0
-UNION ALL SELECT 100 + n_nationkey, 2, 'tag', 'segment/BUILDING', NULL, NULL FROM placed WHERE n_nationkey % 2 = 0
-UNION ALL SELECT 1000000 + s_suppkey, 2, 'wikilink', n_name, 100 + n_nationkey, NULL FROM supplier JOIN placed ON s_nationkey = n_nationkey
-UNION ALL SELECT 1000000 + s_suppkey, 3, 'wikilink', 'Missing ' || s_suppkey, NULL, 'not_found' FROM supplier WHERE s_suppkey % 7 = 0
-UNION ALL SELECT 1000000 + s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN 4 ELSE 3 END, 'markdown_link', n_link || '.md', 100 + n_nationkey, NULL FROM supplier JOIN placed ON s_nationkey = n_nationkey WHERE s_suppkey % 5 = 0
-UNION ALL SELECT 1000000000 + c_custkey, 2, 'wikilink', n_name, 100 + n_nationkey, NULL FROM customer JOIN placed ON c_nationkey = n_nationkey
-UNION ALL SELECT 1000000000 + c_custkey, 2, 'tag', 'segment/' || c_mktsegment, NULL, NULL FROM customer
-UNION ALL SELECT 1000000000 + c_custkey, 3, 'wikilink', r_link, n_regionkey, NULL FROM customer JOIN placed ON c_nationkey = n_nationkey WHERE c_custkey % 10 = 0
-UNION ALL SELECT 1000000000 + c_custkey, 3, 'tag', 'club/c' || c_custkey % 7, NULL, NULL FROM customer WHERE c_custkey % 10 = 0)"""
-_EDGES = f"""{_LINKS}, e AS (SELECT note_id AS source_id, target_id, kind, min(line) AS line FROM lk WHERE target_id IS NOT NULL GROUP BY ALL),
+  || CASE WHEN c_custkey % 10 = 0 THEN chr(10) || 'In [[' || r_link || ']] #club/c' || c_custkey % 7 ELSE '' END || CASE WHEN c_custkey % 20 = 0 THEN chr(10) || 'Through [[Firm ' || 3 * (1 + c_custkey % 3) || ']]' ELSE '' END, '' FROM customer JOIN placed ON c_nationkey = n_nationkey),
+g AS (SELECT note_id, path, title, domain, front || body AS text, body, length(front) - length(replace(front, chr(10), '')) AS o FROM gb)"""
+#: What each link is by the rules: names and paths from the top resolve, a path that goes up out of the top doesn't, nor does a
+#: name without Latin letters; in fences there are none.
+_LINKS = f"""{_NAMES}, su AS (SELECT *, 1000000 + s_suppkey AS note_id, CASE WHEN s_suppkey % 3 = 0 THEN 4 ELSE 0 END AS o, CAST(s_suppkey % 7 = 0 AS INT) AS m7, CAST(s_suppkey % 5 = 0 AS INT) AS m5 FROM supplier JOIN placed ON s_nationkey = n_nationkey),
+cu AS (SELECT *, 1000000000 + c_custkey AS note_id FROM customer JOIN placed ON c_nationkey = n_nationkey),
+lk AS (SELECT 100 + n_nationkey AS note_id, 2 AS line, 0 AS place, 'markdown_link' AS kind, 'regions/' || r_link || '.md' AS target, CAST(n_regionkey AS BIGINT) AS target_id, NULL AS reason FROM placed
+UNION ALL SELECT 100 + n_nationkey, 3, 0, 'markdown_link', '../regions/' || r_link || '.md', NULL, 'path_outside_vault' FROM placed WHERE n_nationkey % 5 = 0
+UNION ALL SELECT 100 + n_nationkey, 2, 1, 'tag', 'segment/BUILDING', NULL, NULL FROM placed WHERE n_nationkey % 2 = 0
+UNION ALL SELECT note_id, 2, 0, 'tag', 'partner', NULL, NULL FROM su WHERE o > 0 UNION ALL SELECT note_id, 2, 1, 'tag', 'Key Account', NULL, NULL FROM su WHERE o > 0
+UNION ALL SELECT note_id, o + 2, 0, 'wikilink', n_name, 100 + n_nationkey, NULL FROM su
+UNION ALL SELECT note_id, o + 3, 0, 'wikilink', 'Missing ' || s_suppkey, NULL, 'not_found' FROM su WHERE m7 = 1
+UNION ALL SELECT note_id, o + 3 + m7, 0, 'markdown_link', n_link || '.md', 100 + n_nationkey, NULL FROM su WHERE m5 = 1
+UNION ALL SELECT note_id, o + 3 + m7 + m5, 0, 'wikilink', '中文', NULL, 'not_found' FROM su WHERE s_suppkey % 6 = 1
+UNION ALL SELECT note_id, 2, 0, 'wikilink', n_name, 100 + n_nationkey, NULL FROM cu
+UNION ALL SELECT note_id, 2, 1, 'tag', 'segment/' || c_mktsegment, NULL, NULL FROM cu
+UNION ALL SELECT note_id, 3, 0, 'wikilink', r_link, n_regionkey, NULL FROM cu WHERE c_custkey % 10 = 0
+UNION ALL SELECT note_id, 3, 1, 'tag', 'club/c' || c_custkey % 7, NULL, NULL FROM cu WHERE c_custkey % 10 = 0
+UNION ALL SELECT note_id, 4, 0, 'wikilink', 'Firm ' || 3 * (1 + c_custkey % 3), 1000000 + 3 * (1 + c_custkey % 3), NULL FROM cu WHERE c_custkey % 20 = 0)"""
+_EDGES = f"""{_LINKS}, e AS (SELECT note_id AS source_id, target_id, kind, min(line) AS line, arg_min(place, line) AS place, arg_min(target, line) AS target_text FROM lk WHERE target_id IS NOT NULL GROUP BY note_id, target_id, kind),
 b AS (SELECT source_id AS me, target_id AS other, 'out' AS direction FROM e UNION ALL SELECT target_id, source_id, 'in' FROM e),
 tg AS (SELECT DISTINCT note_id, lower(target) AS tag FROM lk WHERE kind = 'tag')"""
 
 
-@query(f"WITH {_EDGES} SELECT * FROM e")
+@query(f"WITH {_EDGES} SELECT source_id, target_id, kind, line, place FROM e")
 def resolve_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed from Markdown and resolved; the SQL takes the foreign keys they were written from."""
-    return graph.edges(corpus.linked_notes(spark, sf_dir))
+    return graph.edges(corpus.linked_notes(spark, sf_dir)).drop("target_text", "source_text")
 
 
 @query(f"WITH {_LINKS} SELECT note_id, path, line, kind, target, reason FROM lk JOIN g USING (note_id) WHERE reason IS NOT NULL")
@@ -247,11 +272,14 @@ def doctor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.doctor(corpus.linked_notes(spark, sf_dir), 10)
 
 
-@query(f"""WITH {_EDGES} SELECT (SELECT count(*) FROM g) AS notes, (SELECT count(*) FROM g WHERE domain <> 'region') AS sections, (SELECT count(*) FROM e) AS verified_edges, CAST(0 AS BIGINT) AS candidate_edges,
+_LINKED_TERMS = f"{_EDGES}, sections AS (SELECT note_id AS section_id, note_id, title AS heading, substr(body, strpos(body, chr(10)) + 1) AS text FROM g WHERE domain <> 'region'), notes AS (SELECT note_id FROM g), {_terms_sql('sections')}"
+
+
+@query(f"""WITH {_LINKED_TERMS}, {_CANDIDATE_STEPS} SELECT (SELECT count(*) FROM g) AS notes, (SELECT count(*) FROM sections) AS sections, (SELECT count(*) FROM e) AS verified_edges, (SELECT count(*) FROM cand) AS candidate_edges,
 (SELECT count(*) FROM tg) AS note_tags, (SELECT count(*) FROM lk WHERE reason IS NOT NULL) AS unresolved_links""")
 def graph_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notes = corpus.linked_notes(spark, sf_dir)
-    return graph.statistics(notes, sections.sections(notes))
+    """As an index tells it that was told to discover candidates."""
+    return corpus.linked_index(spark, sf_dir).discover(THRESHOLD).statistics().drop("version", "indexed_at")
 
 
 @query(f"WITH {_LINKS} SELECT note_id, line, kind, target FROM lk")
@@ -259,18 +287,18 @@ def parse_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.links(corpus.linked_notes(spark, sf_dir)).select("note_id", "line", "kind", "target")
 
 
-@query("""WITH v(t) AS (VALUES ('Two%20B'), ('a/../b.md'), ('../../x.md'), ('k/../../c/Up'), ('/root/./a//b.MD#part'), ('..'), ('.'), ('a/..'), ('bad%zz/..x'))
-SELECT t, CASE t WHEN 'Two%20B' THEN 'two b' WHEN 'a/../b.md' THEN 'b' WHEN '../../x.md' THEN '../../x' WHEN 'k/../../c/Up' THEN '../c/up' WHEN '/root/./a//b.MD#part' THEN 'root/a/b' WHEN '..' THEN '..' WHEN 'bad%zz/..x' THEN 'bad%zz/..x' ELSE '.' END AS key FROM v""")
+@query(f"""WITH {_LINKS}, t AS (SELECT DISTINCT target AS t FROM lk WHERE kind <> 'tag')
+SELECT t, CASE WHEN t = '中文' THEN t ELSE lower(replace(regexp_replace(t, '[.]md$', ''), '%20', ' ')) END AS key FROM t""")
 def path_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths as links have them and their look-up keys."""
-    rows = [(t,) for t in ("Two%20B", "a/../b.md", "../../x.md", "k/../../c/Up", "/root/./a//b.MD#part", "..", ".", "a/..", "bad%zz/..x")]
-    return spark.createDataFrame(rows, "t string").select("t", path_key(F.col("t")).alias("key"))
+    """What links name, and the keys by which it is looked up as a path."""
+    found = corpus.linked_index(spark, sf_dir).live("links").filter("kind <> 'tag'")
+    return found.select(F.col("target").alias("t")).distinct().withColumn("key", path_key(F.col("t")))
 
 
 def _connections_sql(note: int, limit: int, tags: bool) -> str:
     fill = f"""UNION ALL SELECT 1 AS part, t.tag, t.n, y.path AS p, x.note_id, 'supporting', 'co_tag', false, round(1 / log2(n + 1), 6) FROM tg x JOIN tg o ON x.tag = o.tag AND o.note_id = {note} AND x.note_id <> {note}
       JOIN (SELECT tag, count(*) AS n FROM tg GROUP BY tag) t ON t.tag = x.tag JOIN g y ON y.note_id = x.note_id WHERE n <= 100""" if tags else ""
-    return f"""WITH {_EDGES}, i AS (SELECT 0 AS part, CASE WHEN source_id = {note} THEN lpad(CAST(source_id AS VARCHAR), 20, '0') || lpad(CAST(target_id AS VARCHAR), 20, '0') ELSE lpad(CAST(source_id AS VARCHAR), 20, '0') || lpad(CAST(target_id AS VARCHAR), 20, '0') END || kind AS tag, 0 AS n, '' AS p,
+    return f"""WITH {_EDGES}, i AS (SELECT 0 AS part, lpad(CAST(source_id AS VARCHAR), 20, '0') || lpad(CAST(line AS VARCHAR), 9, '0') || lpad(CAST(place AS VARCHAR), 9, '0') || lpad(CAST(target_id AS VARCHAR), 20, '0') AS tag, 0 AS n, '' AS p,
       CASE WHEN source_id = {note} THEN target_id ELSE source_id END AS other, CASE WHEN source_id = {note} THEN 'outgoing' ELSE 'incoming' END AS direction, kind, true AS verified, 1.0 AS score FROM e WHERE source_id = {note} OR target_id = {note} {fill}),
     k AS (SELECT row_number() OVER (ORDER BY part, n, tag, p) AS place, *, count(*) OVER () AS total FROM i)
     SELECT place, other, path AS other_path, direction, kind, verified, CAST(score AS DOUBLE) AS score, total FROM k JOIN g ON other = g.note_id WHERE place <= {limit}"""
@@ -279,16 +307,16 @@ def _connections_sql(note: int, limit: int, tags: bool) -> str:
 @query(_connections_sql(NATION, 20, False))
 def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a hub: the first of its edges and the number of all."""
-    notes = corpus.linked_notes(spark, sf_dir)
-    return graph.connections(graph.all_edges(graph.edges(notes)), notes, NATION, 20)
+    held = corpus.linked_index(spark, sf_dir)
+    return graph.connections(graph.all_edges(held.edges()), held.notes(), NATION, 20)
 
 
 @query(_connections_sql(CLUB_MEMBER, 15, True))
 def connections_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a note of few edges: filled with notes of a common tag; the note is looked up by its name."""
-    notes = corpus.linked_notes(spark, sf_dir)
-    own = graph.resolve_note(notes, "Customer#000000010")
-    return graph.connections(graph.all_edges(graph.edges(notes)), notes, own, 15, graph.note_tags(notes))
+    held = corpus.linked_index(spark, sf_dir)
+    own = graph.resolve_note(held.notes(), "Customer#000000010", held.names())
+    return graph.connections(graph.all_edges(held.edges()), held.notes(), own, 15, held.tags())
 
 
 @query("""WITH t AS (SELECT p_partkey, lower(p_brand) AS tag, count(*) OVER (PARTITION BY p_brand) AS note_count FROM part)
@@ -301,36 +329,47 @@ def co_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_EDGES} SELECT tag, count(*) AS notes FROM tg GROUP BY tag")
 def tag_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.note_tags(corpus.linked_notes(spark, sf_dir)).groupBy("tag").agg(F.count("*").alias("notes"))
+    return corpus.linked_index(spark, sf_dir).tags().groupBy("tag").agg(F.count("*").alias("notes"))
 
 
 @query(f"WITH {_EDGES} SELECT me AS note_id, count(*) AS degree FROM b GROUP BY me")
 def verified_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.degrees(graph.edges(corpus.linked_notes(spark, sf_dir)))
+    return graph.degrees(corpus.linked_index(spark, sf_dir).edges())
 
 
-_WALK = f"""{_EDGES}, nb AS (SELECT DISTINCT me, other FROM b), k AS (SELECT me, other FROM nb QUALIFY row_number() OVER (PARTITION BY me ORDER BY other) <= 1000),
+_WALK = f"""{_EDGES}, ends AS (SELECT source_id AS me, target_id AS other, * FROM e UNION ALL SELECT target_id, source_id, * FROM e),
+rk AS (SELECT me, other, kind, row_number() OVER (PARTITION BY me ORDER BY source_id, line, place, target_id) AS rank, count(*) OVER (PARTITION BY me) AS size FROM ends),
+k AS (SELECT me, other, min(rank) AS rank, arg_min(kind, rank) AS kind FROM rk WHERE rank <= 1000 GROUP BY me, other),
 w(note_id, hops) AS (SELECT CAST({NATION} AS BIGINT), 0 UNION SELECT other, hops + 1 FROM w JOIN k ON note_id = me WHERE hops < 6), far AS (SELECT note_id, min(hops) AS hops FROM w GROUP BY note_id)"""
 
 
 @query(f"WITH RECURSIVE {_WALK} SELECT note_id, hops FROM far")
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hops from a nation to what six hops reach."""
-    return graph.reached(graph.edges(corpus.linked_notes(spark, sf_dir)), NATION).select("note_id", "hops")
+    return graph.reached(graph.all_edges(corpus.linked_index(spark, sf_dir).edges()), NATION).select("note_id", "hops")
+
 
+#: Of the shortest ways, as lists of the ranks of edges, the first one; a hub that was looked at before it was met cuts the search.
+_PATH = f"""{_WALK}, goal AS (SELECT hops FROM far WHERE note_id = {OTHER_NATION}),
+on_way(note_id, hops) AS (SELECT CAST({OTHER_NATION} AS BIGINT), (SELECT hops FROM goal) UNION SELECT k.me, o.hops - 1 FROM on_way o JOIN k ON k.other = o.note_id JOIN far f ON f.note_id = k.me AND f.hops = o.hops - 1),
+ways(note_id, hops, way, kinds, nodes) AS (SELECT CAST({NATION} AS BIGINT), 0, CAST([] AS BIGINT[]), CAST([] AS VARCHAR[]), [CAST({NATION} AS BIGINT)]
+  UNION ALL SELECT k.other, w.hops + 1, list_append(w.way, k.rank), list_append(w.kinds, k.kind), list_append(w.nodes, k.other) FROM ways w JOIN k ON k.me = w.note_id JOIN on_way o ON o.note_id = k.other AND o.hops = w.hops + 1),
+best AS (SELECT * FROM ways WHERE note_id = {OTHER_NATION} ORDER BY way LIMIT 1),
+firsts(note_id, hops, way) AS (SELECT CAST({NATION} AS BIGINT), 0, CAST([] AS BIGINT[]) UNION ALL SELECT * FROM (SELECT k.other AS note_id, w.hops + 1 AS hops, min(list_append(w.way, k.rank)) AS way FROM firsts w JOIN k ON k.me = w.note_id JOIN far f ON f.note_id = k.other AND f.hops = w.hops + 1 WHERE w.hops < (SELECT hops - 1 FROM goal) GROUP BY ALL)),
+looked AS (SELECT f.note_id FROM firsts f, best b WHERE f.hops < b.hops - 1 OR (f.hops = b.hops - 1 AND f.way <= b.way[1:b.hops - 1]))"""
 
-@query(f"""WITH RECURSIVE {_WALK}, via AS (SELECT f.note_id, f.hops, min(me) AS via FROM far f JOIN k ON other = f.note_id JOIN far p ON p.note_id = me AND p.hops = f.hops - 1 GROUP BY ALL),
-back(step, from_id, to_id) AS (SELECT hops, via, note_id FROM via WHERE note_id = {OTHER_NATION} UNION ALL SELECT v.hops, v.via, v.note_id FROM back JOIN via v ON v.note_id = from_id)
-SELECT step, from_id, to_id, max(kind) AS kind, true AS verified, 1.0 AS score FROM back JOIN e ON (source_id = from_id AND target_id = to_id) OR (source_id = to_id AND target_id = from_id) GROUP BY ALL""")
+
+@query(f"""WITH RECURSIVE {_PATH} SELECT CAST(i AS INT) AS step, nodes[i] AS from_id, nodes[i + 1] AS to_id, kinds[i] AS kind, true AS verified, 1.0 AS score, true AS found, EXISTS (SELECT * FROM looked JOIN rk ON me = note_id WHERE size > 1000) AS search_truncated
+FROM best, range(1, (SELECT hops + 1 FROM best)) t(i)""")
 def path_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The steps from one nation to another."""
-    return graph.path_between(graph.all_edges(graph.edges(corpus.linked_notes(spark, sf_dir))), NATION, OTHER_NATION)
+    return graph.path_between(graph.all_edges(corpus.linked_index(spark, sf_dir).edges()), NATION, OTHER_NATION)
 
 
 @query(f"""WITH {_EDGES}, p AS (SELECT DISTINCT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM e), m AS (SELECT p.a, p.b, count(DISTINCT x.other) AS n FROM p JOIN b x ON x.me = p.a JOIN b y ON y.me = p.b AND x.other = y.other GROUP BY ALL)
 SELECT p.a, p.b, coalesce(n, 0) AS n FROM p LEFT JOIN m ON p.a = m.a AND p.b = m.b""")
 def mutual_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.mutual_neighbours(graph.edges(corpus.linked_notes(spark, sf_dir)))
+    return graph.mutual_neighbours(corpus.linked_index(spark, sf_dir).edges())
 
 
 @query(f"""WITH {_NAMES}, x AS (SELECT domain, sha256(path || ':' || sha256(text)) AS x FROM g), r AS (SELECT domain, substr(x, 1, 4) AS range, count(*) AS n, sha256(string_agg(x, chr(10) ORDER BY x)) AS d FROM x GROUP BY ALL)
@@ -341,8 +380,8 @@ def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_EDGES}, d AS (SELECT me, count(*) AS degree FROM b GROUP BY me) SELECT note_id, path, domain, coalesce(degree, 0) AS degree, sha256(text) AS content_hash FROM g LEFT JOIN d ON note_id = me")
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notes = corpus.linked_notes(spark, sf_dir)
-    return notes.join(graph.degrees(graph.edges(notes)), "note_id", "left").select("note_id", "path", "domain", F.coalesce("degree", F.lit(0)).alias("degree"), F.sha2("text", 256).alias("content_hash"))
+    held = corpus.linked_index(spark, sf_dir)
+    return held.notes().join(graph.degrees(held.edges()), "note_id", "left").select("note_id", "path", "domain", F.coalesce("degree", F.lit(0)).alias("degree"), "content_hash")
 
 
 @query("""SELECT l_orderkey AS note_id, count(DISTINCT s_nationkey) AS domains, count(DISTINCT l_suppkey) AS links FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
@@ -356,22 +395,22 @@ def bridge_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_EDGES}, d AS (SELECT count(*) AS degree FROM b GROUP BY me), s AS (SELECT degree, row_number() OVER (ORDER BY degree) - 1 AS i, count(*) OVER () AS n FROM d) SELECT degree AS value FROM s WHERE i = floor((n - 1) * 0.9)")
 def degree_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.percentile(graph.degrees(graph.edges(corpus.linked_notes(spark, sf_dir))), "degree", 0.9)
+    return graph.percentile(graph.degrees(corpus.linked_index(spark, sf_dir).edges()), "degree", 0.9)
 
 
-@query(f"""WITH {_NAMES}, t AS (SELECT note_id, title AS heading, substr(text, strpos(text, chr(10)) + 1) AS text FROM g WHERE domain <> 'region')
-SELECT note_id, 0 AS ordinal, heading, 2 AS line_start, 2 + length(text) - length(replace(text, chr(10), '')) AS line_end, text FROM t""")
+@query(f"""WITH {_NAMES}, t AS (SELECT note_id, title AS heading, o, substr(body, strpos(body, chr(10)) + 1) AS text FROM g WHERE domain <> 'region')
+SELECT note_id, 0 AS ordinal, heading, o + 2 AS line_start, o + 2 + length(text) - length(replace(text, chr(10), '')) AS line_end, text FROM t""")
 def note_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections with their lines; the regions' headings have no text below and so no section."""
     return sections.sections(corpus.linked_notes(spark, sf_dir))
 
 
-@query(f"WITH {_NAMES} SELECT note_id, 1 AS line, 1 AS level, split_part(substr(text, 3), chr(10), 1) AS text FROM g")
+@query(f"WITH {_NAMES} SELECT note_id, o + 1 AS line, 1 AS level, title AS text, '# ' || title AS source_text FROM g")
 def heading_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.headings(corpus.linked_notes(spark, sf_dir))
 
 
-@query(f"WITH {_LINKS} SELECT note_id, line, kind, 0 AS ordinal FROM lk")
+@query(f"WITH {_LINKS} SELECT note_id, line, kind, CASE WHEN line > g.o + 1 THEN 0 END AS ordinal FROM lk JOIN g USING (note_id)")
 def covering_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The section that each link and tag stands in."""
     notes = corpus.linked_notes(spark, sf_dir)
@@ -379,7 +418,7 @@ def covering_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_EDGES}, d AS (SELECT me, count(*) AS degree FROM b GROUP BY me)
-SELECT note_id, path, domain, coalesce(degree, 0) AS degree, CASE WHEN domain = 'region' THEN 0 ELSE 1 END AS section_count, sha256(text) AS content_hash, CASE WHEN domain <> 'region' THEN substr(text, strpos(text, chr(10)) + 1) END AS summary FROM g LEFT JOIN d ON note_id = me""")
+SELECT note_id, path, domain, coalesce(degree, 0) AS degree, CASE WHEN domain = 'region' THEN 0 ELSE 1 END AS section_count, sha256(text) AS content_hash, CASE WHEN domain <> 'region' THEN substr(body, strpos(body, chr(10)) + 1) END AS summary FROM g LEFT JOIN d ON note_id = me""")
 def export_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = corpus.linked_notes(spark, sf_dir)
     return export.nodes(notes, graph.edges(notes), sections.sections(notes), True)
@@ -456,16 +495,6 @@ def report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _changes(spark, sf_dir).groupBy("change").agg(F.count("*").alias("n"))
 
 
-_PROPOSALS = f"""{_DIFF}, a AS (SELECT c.path, CASE WHEN change = 'modified' THEN 'citation_review' WHEN old_path IS NOT NULL THEN 'link_fix' ELSE 'dangling_review' END AS action FROM c LEFT JOIN m ON old_path = c.path AND candidates = 1 WHERE change <> 'added'),
-q AS (SELECT *, 'prp-' || substr(sha256(action || chr(0) || path), 1, 16) AS proposal_id FROM a)"""
-
-
-@query(f"WITH {_PROPOSALS} SELECT * FROM q")
-def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _changes(spark, sf_dir)
-    return changes.proposals(c, changes.renames(c))
-
-
 @query("SELECT 'vault' AS source, l_partkey || '.md' AS path, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ' ' ORDER BY CAST(l_suppkey AS VARCHAR)) AS proposals FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 1")
 def proposal_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as proposals that edit a part's file."""
@@ -482,8 +511,8 @@ def latest_state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_EDGES} SELECT me AS note_id, direction, other FROM b WHERE me BETWEEN 100 AND 199 AND me % 3 = 0")
 def references_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at nations whose id three divides, as if these had changed."""
-    notes = corpus.linked_notes(spark, sf_dir)
-    return changes.touched(graph.edges(notes), notes.filter("domain = 'nation' AND note_id % 3 = 0"))
+    notes, edges = corpus.linked_notes(spark, sf_dir), corpus.linked_index(spark, sf_dir).edges()
+    return changes.touched(edges, notes.filter("domain = 'nation' AND note_id % 3 = 0"))
 
 
 @query("SELECT doc_id AS note_id, 1 AS line_start, 1 AS line_end, CASE WHEN doc_id % 10 = 1 THEN 'note_deleted' ELSE 'range_mismatch' END AS reason FROM documents WHERE doc_id % 10 IN (1, 5)")
@@ -506,7 +535,7 @@ def export_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _all() -> None:
     """Registers the queries of the other modules."""
-    from corkboard.plans import contract_queries, trail_queries  # noqa: F401
+    from corkboard.plans import change_queries, contract_queries, trail_queries  # noqa: F401
 
 
 def queries() -> dict:

@@ -19,3 +19,20 @@ def test_kinds_and_drift(spark):
     assert {(r.note_id, r.days) for r in trails.drift(notes, pairs).collect()} == {(0, 91), (4, 91)}
     both = spark.createDataFrame([(0, 2), (0, 1), (3, 1)], "source_id long, target_id long")
     assert [r.note_id for r in graph.bridges(both, notes).collect()] == [0]
+
+
+def test_days_are_counted_whole_and_broken(spark):
+    """Fourteen days and a microsecond are beyond fourteen days, whatever the dates."""
+    made = ["2024-01-01 00:00:00", "2024-01-14 23:00:00", "2024-01-15 00:00:00", "2024-01-15 00:00:00.000001"]
+    notes = spark.createDataFrame([(i, f"Note{i}", f"n{i}.md", [], "x" if i == 0 else f"y{i}", t, "2024-04-01") for i, t in enumerate(made)], NOTES)
+    pairs = spark.createDataFrame([(0, i, ["aa", "bb", "cc"], [], []) for i in (1, 2, 3)], "l long, r long, terms array<string>, shared_tags array<string>, mutual array<long>")
+    edges = spark.createDataFrame([], "source_id long, target_id long")
+    found = trails.kinds(pairs, notes, edges, spark.createDataFrame([], "a string, b string, n long")).filter("kind = 'parallel_invention'")
+    assert sorted(r.r for r in found.collect()) == [1, 2]
+
+
+def test_star(spark):
+    """Leaves of a hub are two links apart; no work is done for all pairs of them."""
+    hub = spark.range(1, 100_001).selectExpr("CAST(0 AS BIGINT) AS source_id", "id AS target_id").unionByName(spark.createDataFrame([(200_000, 200_001), (200_001, 5)], "source_id long, target_id long"))
+    pairs = spark.createDataFrame([(1, 2), (7, 99_999), (0, 3), (1, 200_001), (1, 200_000), (5, 200_000), (300_000, 1), (4, 4)], "l long, r long")
+    assert {(r.l, r.r) for r in trails.linked_within(pairs, hub).collect()} == {(1, 2), (7, 99_999), (0, 3), (1, 200_001), (5, 200_000), (4, 4)}
