@@ -130,8 +130,8 @@ def decode(rows: DataFrame, file: str, pattern: str) -> DataFrame:
     return kept.mapInArrow(decoded, StructType([*kept.schema.fields]).add("decoded", BinaryType()))
 
 
-def round_trip(docs: DataFrame, file: str, pattern: str, with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256), and ids if asked, of each row: encoded, decoded again, told by
+def round_trip(docs: DataFrame, file: str, pattern: str, with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), and ids and the columns of `keep` if asked, of each row: encoded, decoded again, told by
     digests. Null text counts as empty: no ids, digests of nothing. Each document's own ids are decoded, by the model's
     pieces. Rows come in the order that they have in their partition."""
 
@@ -150,10 +150,12 @@ def round_trip(docs: DataFrame, file: str, pattern: str, with_ids: bool = False)
                 columns = {"doc_id": rows.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(told, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
                 if with_ids:
                     columns["ids"] = _id_lists(encoded)
+                columns |= {c: rows.column(c) for c in keep}
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInArrow(digested, schema + (", ids array<int>" if with_ids else ""))
+    schema += (", ids array<int>" if with_ids else "") + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select("doc_id", "text", *keep).mapInArrow(digested, schema)
 
 
 def _id_lists(encoded: list[bytes]) -> pa.Array:

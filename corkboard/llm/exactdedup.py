@@ -27,10 +27,14 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
 
 
+def _digest(normal: Column) -> Column:
+    return F.sha2(F.encode(normal, "UTF-8"), 256)
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, sha (hex), size (bytes of the normalised text), n_chars) of each row; null text counts as empty."""
     n = normalised(F.col("text"))
-    return docs.select("doc_id", F.sha2(F.encode(n, "UTF-8"), 256).alias("sha"), F.octet_length(n).alias("size"), F.length(F.coalesce("text", F.lit(""))).alias("n_chars"))
+    return docs.select("doc_id", _digest(n).alias("sha"), F.octet_length(n).alias("size"), F.length(F.coalesce("text", F.lit(""))).alias("n_chars"))
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -181,7 +185,7 @@ def check_bytes(maybe: DataFrame, old: Snapshot, docs: DataFrame) -> None:
     pairs = stored(ids.filter("a IS NOT NULL AND b IS NOT NULL").select("sha", "a", "b"), "dedup-pairs")
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "dedup-compared")
     n = normalised(F.col("text"))
-    texts = docs.select("doc_id", "text").join(small(wanted), "doc_id", "left_semi").select("doc_id", n.alias("bytes"), F.sha2(F.encode(n, "UTF-8"), 256).alias("sha"))
+    texts = docs.select("doc_id", "text").join(small(wanted), "doc_id", "left_semi").select("doc_id", n.alias("bytes"), _digest(n).alias("sha"))
     several = pairs.select("sha", F.explode(F.array("a", "b")).alias("doc_id")).join(texts, ["sha", "doc_id"])
     apart = several.groupBy("sha").agg(F.min("bytes").alias("x"), F.max("bytes").alias("y")).filter("x <> y").limit(1).collect()
     if apart:

@@ -69,7 +69,7 @@ def _weights(totals: DataFrame, passes: float | None, entropy: float | None, rep
     return row.select("exponent", "total", "largest", norm(F.col("exponent")).alias("norm"))
 
 
-def plan(slim: DataFrame, passes: float | None, entropy: float | None, repeats: float | None, seed: int) -> DataFrame:
+def plan(slim: DataFrame, passes: float | None, entropy: float | None, repeats: float | None, seed: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """For each source of slim (source, tokens, h): tokens, weight, wanted tokens, whole epochs, and where its last epoch
     ends (order of a block, order of a document in it); as many rows as sources."""
     totals = stored(slim.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")), "mix-sources")
@@ -81,7 +81,7 @@ def plan(slim: DataFrame, passes: float | None, entropy: float | None, repeats:
     often = F.col("want") / F.greatest("tokens", F.lit(1))
     wanted = wanted.withColumn("epochs", F.when(F.col("tokens") == 0, F.lit(0)).otherwise(F.floor(often + 1e-9)).cast("long"))
     wanted = wanted.withColumn("rest", F.greatest(F.lit(0.0), F.col("want") - F.col("epochs") * F.col("tokens")))
-    bits = F.ceil(F.log2(F.greatest(F.col("tokens") / BLOCK_TOKENS, F.lit(1.0))))
+    bits = F.ceil(F.log2(F.greatest(F.col("tokens") / block_tokens, F.lit(1.0))))
     wanted = wanted.withColumn("bits", F.least(F.lit(MOST_BLOCK_BITS), bits).cast("int"))
     sources = stored(wanted.select("source", "tokens", "rows", "exponent", "weight", "want", "epochs", "rest", "bits"), "mix-plan")
     near = small(sources).select(F.col("source").alias("_source"), "rest", "bits", "epochs")
@@ -123,7 +123,7 @@ def permuted(seed: int, source: Column, epoch: Column, block: Column, bits: Colu
     return x
 
 
-def mix(docs: DataFrame, passes: float | None = None, entropy: float | None = None, repeats: float | None = None, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, passes: float | None = None, entropy: float | None = None, repeats: float | None = None, seed: int = 1, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """docs, each row as often as the mix takes it, with the columns mix_epoch (0, 1, 2 ...), mix_block (its block's place in
     that epoch's permutation of its source's blocks), mix_order (by which an epoch of a source is in order: by block, then
     by place in the block), mix_tokens and mix_weight added; columns of these names are replaced.
@@ -131,14 +131,15 @@ def mix(docs: DataFrame, passes: float | None = None, entropy: float | None = No
     passes: the budget of tokens, as a multiple of all documents' tokens; None for the least budget at which every document
     of the largest source, and so of every one, is taken at least once. A budget that no weights can spend within `repeats`
     passes of a source is a ValueError; where the entropy and the limit of repeats can't both be met, the limit is. Null
-    sources are a source of their own. Rows without tokens go with each whole epoch, and a source without any is taken once.
+    sources are a source of their own. Blocks have about block_tokens, or more where a source would have more than
+    2**MOST_BLOCK_BITS of them; their order is another one in each epoch, that of the documents in a block is the same. Rows without tokens go with each whole epoch, and a source without any is taken once.
     Equal rows are taken or left together. An empty table gives none."""
     if repeats is not None and repeats < (1 if passes is None else passes):
         raise ValueError("the budget takes some source more often than the limit of repeats allows, whatever the weights")
     own = [c for c in docs.columns if c not in ("mix_epoch", "mix_block", "mix_order", "mix_tokens", "mix_weight")]
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("kept"), "source", words(F.col("text")).alias("tokens"), _order(seed).alias("h"))
     slim = stored(marked.select("source", "tokens", "h"), "mix-rows")
-    cuts = small(plan(slim, passes, entropy, repeats, seed))
+    cuts = small(plan(slim, passes, entropy, repeats, seed, block_tokens))
     cuts = cuts.select(F.col("source").alias("_source"), "weight", "epochs", "bits", F.col("tokens").alias("total"), "end_block", "end_h", "rest")
     found = marked.join(cuts, F.col("source").eqNullSafe(F.col("_source")))
 

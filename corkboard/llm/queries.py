@@ -13,9 +13,10 @@ from corkboard.llm.common import documents, id_remainder, shared_path, ship
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many tokens as there are, weights of at least 0.95 of the greatest entropy, no source more than four times."""
-    mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"), passes=1.0, entropy=0.95, repeats=4.0)
-    return mixed.select("doc_id", "source", "mix_epoch", "mix_order", "mix_tokens", "mix_weight")
+    """Twice as many tokens as there are, weights of 0.9995 of the greatest entropy, no source more than four times, in blocks of
+    about 512 tokens. Null sources are one, null texts have no tokens; an empty table gives none."""
+    mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"), passes=2.0, entropy=0.9995, repeats=4.0, block_tokens=512)
+    return mixed.select("doc_id", "source", "mix_epoch", "mix_block", "mix_order", "mix_tokens", "mix_weight")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have the end id alone; rows of one doc_id follow one another. An empty table gives none."""
     path = shared_path(spark, "token-files")
     tokenstore.write(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), path)
     return tokenstore.summary(spark, path)
@@ -40,29 +42,36 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have no tokens; rows of one doc_id stay apart. An empty table gives none."""
     counts = tokencount.count(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts are linked with nothing, nor are rows without doc_id; rows that share one count as one document. An
+    empty table gives none."""
     return jaccard.join(documents(spark, sf_dir), width=4, percent=85)
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts are empty; rows of one doc_id follow one another by a hash of the text. An empty table gives none."""
     return imatch.compare(documents(spark, sf_dir))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null payloads are empty; rows of one page_id are records each. An empty table gives none."""
     path = shared_path(spark, "warc")
     warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return warc.pages(spark, path).drop("payload")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have no ids, and digests of nothing. An empty table gives none."""
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts, and those of white space, are one group; a null doc_id comes after others. An empty table gives none."""
     return exactdedup.dedup(documents(spark, sf_dir))
 
 
@@ -180,6 +189,7 @@ def _shipped(query):
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """corpus_pipeline.run: token ids of what its stages keep. An empty table gives none."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

@@ -57,12 +57,11 @@ def test_rows_stay(spark, odd, empty):
     assert {(r.doc_id, r.keep_id, r.group_size) for r in found["dedup"][0].collect()} == {(None, None, 1), (None, 8, 2), (8, 8, 2), (7, 9, 3), (9, 9, 3), (7, 7, 1)}
 
 
-def test_mix_blocks(spark, odd, monkeypatch):
-    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 8)
+def test_mix_blocks(spark, odd):
     kept = [c for c in odd.columns if c != "row"] + ["row"]
-    assert mixing.mix(odd.select(*kept), repeats=2.0).select(*kept).distinct().count() == 6
+    assert mixing.mix(odd.select(*kept), repeats=2.0, block_tokens=8).select(*kept).distinct().count() == 6
     docs = spark.createDataFrame([(i, "w " * (1 + i % 3), "ab"[i % 4 == 0]) for i in range(200)], "doc_id long, text string, source string")
-    mixed = mixing.mix(docs, passes=1.5).toPandas()
+    mixed = mixing.mix(docs, passes=1.5, block_tokens=8).toPandas()
     for _, part in mixed.groupby("source"):
         last = part.mix_epoch.max()
         full = part[part.mix_epoch == 0].sort_values("mix_order")
@@ -81,27 +80,54 @@ def test_mix_blocks(spark, odd, monkeypatch):
         mixing.mix(docs, passes=5.0, repeats=2.0)
 
 
-def test_token_files(spark):
-    """Row indexes and Bloom filters are in the files, and a filter on doc_id reads less than all rows."""
-    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("a few words of text").alias("text")).repartition(3)
-    path = shared_path(spark, "orc")
-    tokenstore.write(docs, HUB, path)
-    files = [f for f in spark.read.orc(path).inputFiles()]
-    f = pyarrow.orc.ORCFile(files[0].removeprefix("file://"))
-    assert f.nstripes >= 1 and f.row_index_stride == tokenstore.ROWS_AN_INDEX and f.compression.lower() == "zstd"
-    raw = open(files[0].removeprefix("file://"), "rb").read()
-    assert f.nrows > 2 * tokenstore.ROWS_AN_INDEX and len(raw) > 0
-    one = tokenstore.read(spark, path).filter("doc_id = 12345")
-    assert one.count() == 1 and "EqualTo(doc_id,12345)" in one._jdf.queryExecution().executedPlan().toString()
-    seen = spark.sparkContext.accumulator(0)
+def scanned(df):
+    """Rows that the scan of a frame without shuffles hands on, before any filter of Spark's."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
 
-    def counted(batches):
-        for b in batches:
-            seen.add(b.num_rows)
-            yield b
 
-    one.select("doc_id").mapInArrow(counted, "doc_id long").count()
-    assert seen.value == 1
+def test_token_files(spark):
+    """Row indexes prune row groups by their least and greatest id; Bloom filters deny an id between two that are there."""
+    docs = spark.range(0, 80_000, 2).select(F.col("id").alias("doc_id"), F.lit("a few words of text").alias("text")).repartition(3)
+    path, bare = shared_path(spark, "orc"), shared_path(spark, "orc-without")
+    tokenstore.write(docs, HUB, path)
+    tokenstore.encode(docs, HUB).write.options(**{"orc.row.index.stride": str(tokenstore.ROWS_AN_INDEX), "orc.compress": "ZSTD"}).orc(bare)
+    f = pyarrow.orc.ORCFile(spark.read.orc(path).inputFiles()[0].removeprefix("file://"))
+    assert f.row_index_stride == tokenstore.ROWS_AN_INDEX and f.compression.lower() == "zstd" and f.nrows > 2 * tokenstore.ROWS_AN_INDEX
+
+    def read(where, rule):
+        return scanned(spark.read.orc(where).filter(rule).select("doc_id"))
+
+    there, absent = "doc_id = 12346", "doc_id = 12345"
+    assert tokenstore.read(spark, path).filter(there).count() == 1 and tokenstore.read(spark, path).filter(absent).count() == 0
+    assert (read(path, there), read(path, absent), read(bare, absent)) == (1000, 0, 1000)  # one row group, none by the Bloom filter, one without it
+    spark.conf.set("spark.sql.orc.filterPushdown", "false")
+    try:
+        assert read(path, there) == 40_000
+    finally:
+        spark.conf.unset("spark.sql.orc.filterPushdown")
+
+
+def test_stripes_are_read_in_parallel(spark, monkeypatch):
+    """One file of several stripes is several tasks, and each row comes once."""
+    monkeypatch.setattr(tokenstore, "STRIPE_BYTES", 1 << 16)
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    path = shared_path(spark, "stripes")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        tokenstore.write(docs, HUB, path)
+        found = tokenstore.read(spark, path)
+        files = found.inputFiles()
+        assert len(files) == 1 and pyarrow.orc.ORCFile(files[0].removeprefix("file://")).nstripes > 3
+        own = found.select("doc_id", F.spark_partition_id().alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()
+        assert sum(r.n for r in own) == 60_000 and len(own) > 3 and found.select("doc_id").distinct().count() == 60_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
 def test_large_components(spark, monkeypatch):
@@ -194,13 +220,17 @@ def test_warc_odd(spark, monkeypatch):
     assert warc.pages(spark, none).count() == 0
 
 
-def test_bytes_are_compared(spark):
+def test_bytes_are_compared(spark, monkeypatch):
+    """Texts of one digest and one length, but other bytes, are refused, not merged."""
     docs = spark.createDataFrame([(i, f"text {i % 5}") for i in range(40)], "doc_id long, text string")
     groups = exactdedup.grouped(exactdedup.digests(docs))
-    old = exactdedup.snapshot(groups)
-    exactdedup.check_bytes(groups, old, docs)
-    wrong = groups.withColumn("best", F.struct(F.col("best.less").alias("less"), F.lit(False).alias("no_id"), ((F.col("best.doc_id") + 1) % 5).alias("doc_id")))
-    exactdedup.check_bytes(wrong, old, docs)  # a row of another digest isn't taken for one of this
+    exactdedup.check_bytes(groups, exactdedup.snapshot(groups), docs)
+    assert exactdedup.dedup(docs).filter("kept").count() == 5
+    many = spark.createDataFrame([(i, f"text {i:04d}") for i in range(600)], "doc_id long, text string")
+    assert exactdedup.dedup(many).filter("kept").count() == 600
+    monkeypatch.setattr(exactdedup, "_digest", lambda n: F.rpad(F.substring(F.sha2(F.encode(n, "UTF-8"), 256), 1, 1), 64, "0"))  # 16 digests
+    with pytest.raises(ValueError, match="differ"):
+        exactdedup.dedup(many)
 
 
 def test_pipeline_stages(spark, odd, empty, tmp_path):
@@ -213,3 +243,95 @@ def test_pipeline_stages(spark, odd, empty, tmp_path):
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect())[0][0] == 0
     encoded = corpus_pipeline.encode_stage(spark, odd, str(tmp_path)).collect()
     assert all(len(r.ids) == r.n_tokens for r in encoded) and len(encoded) == len(ROWS)
+
+
+def test_order_of_the_mix(spark, tmp_path):
+    """The last stage tells the mix's order though the files between are of unequal size, which Spark reads by size."""
+    docs = spark.createDataFrame([(i, " ".join(["w"] * (1 + i % 97 * 40 if i % 3 else 1)), "en", "abc"[min(i % 7, 2)], i) for i in range(600)], "doc_id long, text string, lang string, source string, n_chars long")
+    for k, v in {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.sql.files.openCostInBytes": "1"}.items():
+        spark.conf.set(k, v)
+    try:
+        corpus_pipeline.mix_stage(spark, docs, "").write.parquet(f"{tmp_path}/mix")
+        stage = spark.read.parquet(f"{tmp_path}/mix")
+        found = corpus_pipeline.encode_stage(spark, stage, "")
+        rows = found.select("doc_id", "mix_place").collect()
+        mixed = mixing.mix(docs, entropy=0.95, repeats=2.0).withColumn("spread", F.xxhash64("source", "mix_epoch", "mix_block"))
+        want = [r.doc_id for r in mixed.orderBy("mix_epoch", "spread", "source", "mix_order").collect()]
+    finally:
+        for k in ("spark.sql.adaptive.enabled", "spark.sql.files.openCostInBytes"):
+            spark.conf.unset(k)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(stage.inputFiles()) > 4 and len({r.mix_place for r in rows}) == len(rows) == len(want) > 600
+    assert [r.doc_id for r in rows] != want and [r.doc_id for r in sorted(rows, key=lambda r: r.mix_place)] == want
+
+
+def _xx(seed, *values):
+    """Spark's xxhash64 of whole numbers (those below 2**31 given as ints of 4 bytes where marked) and texts."""
+    h = 42
+    for v in (seed, *values):
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v)
+            h = xxhash.xxh64_intdigest(raw, h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _mixed_by_hand(rows, passes, entropy, repeats, block_tokens, seed=1):
+    """What a mix takes: (doc_id, source, epoch, place of the block) of each, in whole numbers and plain loops."""
+    tokens = {}
+    for _, text, source in rows:
+        tokens[source] = tokens.get(source, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", text))
+    total, least = sum(tokens.values()), min(tokens.values())
+
+    def weights(a):
+        p = {s: (t / total) ** a for s, t in tokens.items()}
+        return {s: x / sum(p.values()) for s, x in p.items()}
+
+    def bisect(ok, low, below):
+        lo, hi = low, 1.0
+        for _ in range(50):
+            m = (lo + hi) / 2
+            lo, hi = (m, hi) if ok(m) == below else (lo, m)
+        return lo if below else hi
+
+    exponent = bisect(lambda a: -sum(w * math.log(w) for w in weights(a).values()) >= entropy * math.log(len(tokens)), 0.0, True)
+    seldom = lambda a: min(weights(a).values()) * passes * total / least <= repeats
+    if not seldom(exponent):
+        exponent = bisect(seldom, exponent, False)
+    out = set()
+    for source, weight in weights(exponent).items():
+        want = weight * passes * total
+        epochs = math.floor(want / tokens[source] + 1e-9)
+        rest = max(0.0, want - epochs * tokens[source])
+        bits = math.ceil(math.log2(max(tokens[source] / block_tokens, 1.0)))
+        low, half = (1 << bits) - 1, (bits + 1) // 2 + (bits == 0)
+
+        def place(h, epoch):
+            x = ((h & ((1 << 64) - 1)) >> (64 - bits)) if bits else 0
+            for k in range(3):
+                draw = _xx((seed,), (k,), source, epoch)
+                x = (x * ((draw & low) | 1) + (((draw & ((1 << 64) - 1)) >> 20) & low)) & low
+                x ^= x >> half
+            return x
+
+        own = sorted((place(h, epochs), h, i, n) for i, h, n in ((i, _xx((seed,), i, t), len(t.split())) for i, t, s in rows if s == source))
+        for e in range(epochs):
+            out |= {(i, source, e, place(h, e)) for _, h, i, _ in own}
+        through = 0
+        for b, h, i, n in own:
+            through += n
+            if rest > 0.5 and through <= rest:
+                out.add((i, source, epochs, b))
+    return exponent, out
+
+
+def test_mix_by_hand(spark):
+    """Exponent, repeats, permutations and what the last, cut epoch takes."""
+    rows = [(i, "w " * (1 + i % 9), "abcd"[min(i % 16, 3)]) for i in range(1, 1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for passes, entropy, repeats in ((2.0, 0.9995, 9.0), (2.5, 0.99, 5.0), (0.4, 0.8, 1.0), (1.0, 0.6, 1.0)):
+        found = mixing.mix(docs, passes=passes, entropy=entropy, repeats=repeats, block_tokens=32).collect()
+        exponent, want = _mixed_by_hand(rows, passes, entropy, repeats, 32)
+        got = {(r.doc_id, r.source, r.mix_epoch, r.mix_block) for r in found}
+        assert len(got) == len(found) and got == want
+        if passes > 1:
+            assert exponent < 0.9 and max(e for _, _, e, _ in want) > 1
