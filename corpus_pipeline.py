@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corkboard.llm import bpe, exactdedup, jaccard, mixing, quality
@@ -40,8 +41,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once at least; documents of smaller sources again, twice at most, towards equal weights. Rows are in
-    the mix's order: epoch by epoch, sources' blocks of an epoch spread evenly among each other. Files are written and named
-    in this order. Null sources are one; rows without words go with each epoch. An empty table gives none."""
+    the mix's order: epoch by epoch, sources' blocks of an epoch spread evenly among each other. Files are written and numbered
+    in this order, which the next stage tells by their numbers. Null sources are one; rows without words go with each epoch. An empty table gives none."""
     ship(spark)
     mixed = mixing.mix(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", "source"), entropy=0.95, repeats=2.0)
     spread = F.xxhash64("source", "mix_epoch", "mix_block")  # a block's documents stay together
@@ -49,10 +50,24 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row, in the order of the mix, with their number, their digest, and the digest of the text that they
-    decode to. Null and empty texts have no ids. An empty table gives none."""
+    """Token ids of each row, with their number, their digest, the digest of the text that they decode to, the row's source, and
+    mix_place, by which rows are in the order of the mix. Spark reads files by size, not by name, so a row's place is told by its
+    file's number and its own number in that file, as the stage before wrote them; rows of no file are in the order they come in.
+    Null and empty texts have no ids. An empty table gives none."""
     ship(spark)
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
+    placed = docs.withColumn("mix_place", _place(docs))
+    return bpe.round_trip(placed, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, True, ("source", "mix_place"))
+
+
+def _place(docs: DataFrame) -> Column:
+    """File number, number of the file's piece, and row number in one whole number."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    name = F.col("_metadata.file_name")
+    part, piece = (F.coalesce(F.regexp_extract(name, pattern, 1).try_cast("long"), F.lit(0)) for pattern in (r"part-(\d+)", r"-c(\d+)\."))
+    return F.shiftleft(part, 42) + F.shiftleft(piece, 34) + F.col("_metadata.row_index")
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -66,6 +81,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages, one after the other, over all of documents: what the last one gives. Null ids, texts and sources, empty texts and
+    repeated rows are as each stage says. An empty table gives none."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
