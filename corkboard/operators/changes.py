@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corkboard.functions.storage import small, stored
+
 
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """(path, change, old_hash, new_hash) of what was added, removed or modified; equal hashes are no change."""
@@ -13,6 +15,36 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return met.select("path", change.alias("change"), "old_hash", "new_hash").filter("change IS NOT NULL")
 
 
+#: Bytes of a folder's path in a set that is broadcast, about.
+PATH_BYTES = 256
+
+
+def observed(before: DataFrame, seen: DataFrame, failed: DataFrame, left_out: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(changes as of diff, the snapshot after) of a scan that may have seen less than there is. before and seen are (path,
+    content_hash); a null hash means that a file was met but not read whole: what was known of it stays, and what wasn't known
+    isn't added. failed (path) are folders that couldn't be listed, the top being the empty path: what was known below them stays.
+    left_out (path) are files that the policy doesn't admit any more: they go without being told of as removed. So nothing is
+    told to be removed but what a scan would have met. Repeated paths of seen, failed and left_out count once.
+
+    A known path that wasn't met is looked up among the failed folders by each folder above it, not compared with all of them."""
+    met = seen.groupBy("path").agg(F.max("content_hash").alias("now")).withColumn("met", F.lit(True))
+    out = left_out.select("path").distinct().withColumn("out", F.lit(True))
+    every = before.select("path", F.col("content_hash").alias("was")).join(met, "path", "full_outer").join(out, "path", "left")
+    every = stored(every.withColumns({"met": F.coalesce("met", F.lit(False)), "out": F.coalesce("out", F.lit(False))}), "scanned")
+    missing = every.filter("NOT met AND NOT out").select("path")
+    parts = F.split("path", "/")
+    above = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")))
+    folders = small(stored(failed.select(F.col("path").alias("folder")).distinct(), "failed"), PATH_BYTES)
+    unseen = missing.select("path", F.explode(above).alias("folder")).join(folders, "folder", "left_semi").select("path").distinct().withColumn("unseen", F.lit(True))
+    told = every.join(unseen, "path", "left")
+    stays = (F.col("met") & F.col("now").isNull()) | F.coalesce("unseen", F.lit(False))
+    after = F.when(F.col("out"), None).when(stays, F.col("was")).otherwise(F.col("now"))
+    told = stored(told.select("path", "was", "out", after.alias("after")), "observed")
+    change = F.when(F.col("was").isNull(), "added").when(F.col("after").isNull(), "removed").when(F.col("was") != F.col("after"), "modified")
+    changed = told.filter("NOT out AND (was IS NOT NULL OR after IS NOT NULL)").select("path", change.alias("change"), F.col("was").alias("old_hash"), F.col("after").alias("new_hash")).filter("change IS NOT NULL")
+    return changed, told.filter("after IS NOT NULL").select("path", F.col("after").alias("content_hash"))
+
+
 def renames(changes: DataFrame) -> DataFrame:
     """(old_path, new_path, candidates): a removed path whose hash no other removed one has, with each added path of it."""
     only = changes.filter("change = 'removed'").groupBy(F.col("old_hash").alias("h")).agg(F.count("*").alias("n"), F.min("path").alias("old_path")).filter("n = 1").drop("n")

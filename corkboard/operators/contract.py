@@ -108,15 +108,24 @@ def excluded(notes: DataFrame, note_tags: DataFrame, paths=(), globs=(), tags=()
     return met.select("note_id", reason.alias("reason")).filter("reason IS NOT NULL")
 
 
-def allowed_edges(edges: DataFrame, seeds: DataFrame, out: DataFrame, candidates: bool = True, limit: int = EDGES) -> DataFrame:
-    """The first `limit` edges (of graph.all_edges) at seeds that touch no note of `out`, by graph.edge_order;
-    each with the numbers of edges that `out` suppressed and of its notes met, both of all edges at the seeds."""
+def marked_edges(edges: DataFrame, seeds: DataFrame, out: DataFrame, candidates: bool = True) -> DataFrame:
+    """The edges (of graph.all_edges) at seeds with source_out and target_out, whether an end is a note of `out`; stored."""
     met = touching(edges if candidates else edges.filter("is_verified"), seeds)
     for end in ("source", "target"):
         met = met.join(out.select(F.col("note_id").alias(f"{end}_id"), F.lit(True).alias(f"{end}_out")).distinct(), f"{end}_id", "left")
-    met = stored(met.withColumns({f"{end}_out": F.coalesce(f"{end}_out", F.lit(False)) for end in ("source", "target")}), "marked-edges")
-    suppressed = met.filter("source_out OR target_out").count()
-    dropped = met.select(F.explode(F.array_compact(F.array(F.when(F.col("source_out"), F.col("source_id")), F.when(F.col("target_out"), F.col("target_id")))))).distinct().count()
+    return stored(met.withColumns({f"{end}_out": F.coalesce(f"{end}_out", F.lit(False)) for end in ("source", "target")}), "marked-edges")
+
+
+def suppressed_ends(marked: DataFrame) -> DataFrame:
+    """(note_id) of the notes left out that marked edges meet, each once."""
+    return marked.select(F.explode(F.array_compact(F.array(*[F.when(F.col(f"{end}_out"), F.col(f"{end}_id")) for end in ("source", "target")]))).alias("note_id")).distinct()
+
+
+def allowed_edges(edges: DataFrame, seeds: DataFrame, out: DataFrame, candidates: bool = True, limit: int = EDGES) -> DataFrame:
+    """The first `limit` edges (of graph.all_edges) at seeds that touch no note of `out`, by graph.edge_order;
+    each with the numbers of edges that `out` suppressed and of its notes met, both of all edges at the seeds."""
+    met = marked_edges(edges, seeds, out, candidates)
+    suppressed, dropped = met.filter("source_out OR target_out").count(), suppressed_ends(met).count()
     top = met.filter("NOT source_out AND NOT target_out").orderBy(*edge_order()).limit(limit)
     return top.select("source_id", "target_id", "kind", "is_verified", "score", F.lit(suppressed).cast("long").alias("suppressed"), F.lit(dropped).cast("long").alias("dropped"))
 

@@ -60,34 +60,51 @@ class Tables:
         return self._notes.filter(F.col("note_id").isin(ids))
 
 
-def search(held: Tables, query: str, limit: int) -> DataFrame:
-    """The sections of highest score: sum of tf * idf * times in the query over postings, of which the most frequent
-    max(2000, 400 * limit) count. Ties go to what comes first among these. Canonical notes' scores are raised by a tenth
-    after the choice. A query without terms finds nothing. Columns: rank, section_id, note_id, score, matched_terms and the notes' and sections' own.
+class Ranking:
+    """A query over what is held (Tables, or an index): its terms' postings, stored, with what their scores need. They may be ranked
+    for one limit after another without being read again."""
+
+    def __init__(self, held: Tables, query: str):
+        self.held, self.wanted = held, query_terms(query)
+        self.found = stored(held.postings(sorted(self.wanted) or [""]), "query-postings")
+        self.df = stored(self.found.groupBy("term").agg(F.count_distinct("note_id").alias("df")), "query-terms")
+        self.n = held.n_notes() if self.wanted else 0
+
+    def best(self, limit: int) -> list:
+        """The rows (section_id, note_id, raw, place, matched) of highest score, `limit` at most, in order: sum of tf * idf * times in
+        the query over postings, of which the most frequent max(2000, 400 * limit) count. Ties go to what comes first among these."""
+        if limit < 1:
+            raise ValueError("a positive limit is needed")
+        if not self.wanted:
+            return []
+        order = [F.desc("term_count"), F.col("section_id"), F.col("term")]
+        cap = max(2000, 400 * limit)
+        top = self.found.orderBy(*order).limit(cap).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # cap rows
+        times = F.create_map(*[F.lit(x) for pair in sorted(self.wanted.items()) for x in pair])
+        each = top.join(F.broadcast(self.df), "term").withColumn("s", tf(F.col("term_count")) * idf(F.lit(self.n), F.col("df")) * times[F.col("term")])  # as many df rows as query terms
+        ranked = each.groupBy("section_id", "note_id").agg(F.sum("s").alias("raw"), F.min("place").alias("place"), F.sort_array(F.collect_set("term")).alias("matched"))
+        return ranked.orderBy(F.round("raw", 9).desc(), "place").limit(limit).select("section_id", "note_id", "raw", "place", "matched").collect()
+
+    def hits(self, best: list) -> DataFrame:
+        """Rows of `best` with rank, score (canonical notes' raised by a tenth), matched_terms and the notes' and sections' own columns,
+        which are looked up by id."""
+        rows = [(k, r["section_id"], r["note_id"], r["raw"], r["matched"]) for k, r in enumerate(best, 1)]
+        first = F.broadcast(self.found.sparkSession.createDataFrame(rows, "rank int, section_id long, note_id long, raw double, matched array<string>"))
+        sections, notes = self.held.sections([r[1] for r in rows]), self.held.notes([r[2] for r in rows])
+        own = [c for c in sections.columns if c not in ("section_id", "note_id")]
+        met = sections.select("section_id", *own).join(first, "section_id")
+        about = [c for c in ("path", "relative_path", "title", "status", "domain") if c in notes.columns and c not in own]
+        met = notes.select("note_id", *about).join(F.broadcast(met), "note_id")
+        boost = F.when(F.lower("status") == "canonical", 1.10).otherwise(1.0) if "status" in about else F.lit(1.0)
+        return met.select("rank", "section_id", "note_id", F.round(F.col("raw") * boost, 6).alias("score"), F.array_join("matched", " ").alias("matched_terms"), *about, *own)
+
 
-    What is held (Tables, or an index) is asked for the query's postings, and then for the `limit` sections and their notes by id."""
-    wanted = query_terms(query)
+def search(held: Tables, query: str, limit: int) -> DataFrame:
+    """The `limit` best hits of a Ranking. A query without terms finds nothing."""
     if limit < 1:
         raise ValueError("a positive limit is needed")
-    found = held.postings(sorted(wanted) or [""])
-    df = found.groupBy("term").agg(F.count_distinct("note_id").alias("df"))
-    order = [F.desc("term_count"), F.col("section_id"), F.col("term")]
-    cap = max(2000, 400 * limit)
-    top = found.orderBy(*order).limit(cap).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # cap rows
-    times = F.create_map(*[F.lit(x) for pair in sorted(wanted.items()) or [("", 0)] for x in pair])
-    n = held.n_notes() if wanted else 0
-    each = top.join(F.broadcast(df), "term").withColumn("s", tf(F.col("term_count")) * idf(F.lit(n), F.col("df")) * times[F.col("term")])  # as many df rows as query terms
-    ranked = each.groupBy("section_id", "note_id").agg(F.sum("s").alias("raw"), F.min("place").alias("place"), F.sort_array(F.collect_set("term")).alias("matched"))
-    best = ranked.orderBy(F.round("raw", 9).desc(), "place").limit(limit).select("section_id", "note_id", "raw", "place", "matched").collect() if wanted else []
-    rows = [(k, r["section_id"], r["note_id"], r["raw"], r["matched"]) for k, r in enumerate(best, 1)]  # limit rows
-    best = F.broadcast(found.sparkSession.createDataFrame(rows, "rank int, section_id long, note_id long, raw double, matched array<string>"))
-    sections, notes = held.sections([r[1] for r in rows]), held.notes([r[2] for r in rows])
-    own = [c for c in sections.columns if c not in ("section_id", "note_id")]
-    met = sections.select("section_id", *own).join(best, "section_id")
-    about = [c for c in ("relative_path", "title", "status", "domain") if c in notes.columns and c not in own]
-    met = notes.select("note_id", *about).join(F.broadcast(met), "note_id")
-    boost = F.when(F.lower("status") == "canonical", 1.10).otherwise(1.0)
-    return met.select("rank", "section_id", "note_id", F.round(F.col("raw") * boost, 6).alias("score"), F.array_join("matched", " ").alias("matched_terms"), *about, *own)
+    ranking = Ranking(held, query)
+    return ranking.hits(ranking.best(limit))
 
 
 def cited(hits: DataFrame) -> DataFrame:

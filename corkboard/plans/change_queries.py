@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corkboard.operators import changes, contract, graph, proposals, sections
+from corkboard.functions.storage import shared_path
+from corkboard.operators import changes, contract, gate, graph, index, proposals, sections
 from corkboard.plans.queries import _EDGES, query
-from corkboard.sources import corpus
+from corkboard.sources import corpus, registry
 
 #: The linked notes before and after: `cur` has every file that there is now; `ren` what is renamed, and the text that links get.
 _EDITED = f"""{_EDGES}, nt AS (SELECT 100 + n_nationkey AS id, n_nationkey AS k, 'nations/' || n_name || '.md' AS old_path, n_name, r_name FROM placed WHERE n_nationkey % 3 = 0),
@@ -126,3 +127,116 @@ def covered_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = F.sha2(F.concat("text", last.cast("string"), F.when(F.col("doc_id") % 11 == 0, "!").otherwise("")), 256)
     snapshot = docs.filter(((F.col("doc_id") + last) % 4 > 0) | (F.col("doc_id") % 17 == 0)).select("source", "path", F.when(F.col("doc_id") % 13 != 0, now).alias("content_hash"))
     return proposals.covered(batches, docs.filter("doc_id % 10 = 0").select("source", "path"), snapshot)
+
+
+# ---- scans that see less than there is -------------------------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT doc_id, source || '/' || doc_id % 7 || '/doc_' || doc_id || '.md' AS path, coalesce(text, '') AS text FROM documents),
+b AS (SELECT path, sha256(text) AS was FROM p WHERE doc_id % 10 <> 3),
+s AS (SELECT path, CASE WHEN doc_id % 19 > 0 THEN sha256(text || CASE WHEN doc_id % 10 = 5 THEN ' changed' ELSE '' END) END AS now FROM p WHERE doc_id % 10 <> 1 AND path NOT LIKE 'src3/%' AND path NOT LIKE 'src4/2/%'),
+m AS (SELECT p.path, was, now, s.path IS NOT NULL AS met, doc_id % 23 = 0 AS gone FROM p LEFT JOIN b ON b.path = p.path LEFT JOIN s ON s.path = p.path),
+a AS (SELECT *, CASE WHEN gone THEN NULL WHEN met AND now IS NULL OR NOT met AND (path LIKE 'src3/%' OR path LIKE 'src4/2/%') THEN was ELSE now END AS after FROM m)
+SELECT path, CASE WHEN was IS NULL THEN 'added' WHEN after IS NULL THEN 'removed' ELSE 'modified' END AS change, was AS old_hash, after AS new_hash FROM a WHERE NOT gone AND was IS DISTINCT FROM after""")
+def observed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of a scan in which two folders couldn't be listed, some files weren't read whole and some are no longer admitted."""
+    docs = corpus.table(spark, sf_dir, "documents")
+    key = F.col("doc_id")
+    named = docs.select("doc_id", F.concat("source", F.lit("/"), (key % 7).cast("string"), F.lit("/doc_"), key.cast("string"), F.lit(".md")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    before = named.filter(key % 10 != 3).select("path", F.sha2("text", 256).alias("content_hash"))
+    now = F.sha2(F.concat("text", F.when(key % 10 == 5, " changed").otherwise("")), 256)
+    seen = named.filter((key % 10 != 1) & ~F.col("path").startswith("src3/") & ~F.col("path").startswith("src4/2/")).select("path", F.when(key % 19 > 0, now).alias("content_hash"))
+    failed = spark.createDataFrame([("src3",), ("src4/2",), ("src4/20",)], "path string")
+    return changes.observed(before, seen, failed, named.filter(key % 23 == 0).select("path"))[0]
+
+
+# ---- gates ---------------------------------------------------------------------------------------------------------------
+
+
+def _parts(notes: DataFrame) -> dict[str, DataFrame]:
+    """Headings and sections of notes (path, text), by their place."""
+    read = sections.read(notes.select("path", "text"))
+    return {"heading": read.select("path", F.posexplode("p.headings").alias("ordinal", "h")).select("path", "ordinal", "h.*"), "section": read.select("path", F.posexplode("p.sections").alias("ordinal", "s")).select("path", "ordinal", "s.heading", "s.line_start", "s.line_end")}
+
+
+@query(f"""WITH {_EDGES}, x AS (SELECT path, domain, note_id FROM g WHERE (domain = 'customer' AND note_id % 100 = 0) OR (domain = 'supplier' AND note_id % 8 = 0))
+SELECT path, 'fix_unresolved_link' AS mutation_class, part, ordinal, reason FROM x, (VALUES ('heading', 0, 'changed', 'supplier'), ('section', 0, 'changed', 'supplier'), ('section', 1, 'added', 'supplier'), ('section', 0, 'changed', 'customer')) v(part, ordinal, reason, d) WHERE d = domain""")
+def structure_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits that shifted what they had to keep: a line put before suppliers' headings, a section made longer by what should have kept
+    its lines. Lines appended at a note's end are no violation."""
+    notes = corpus.linked_notes(spark, sf_dir)
+    key = F.col("note_id")
+    touched = notes.filter(((F.col("domain") == "customer") & (key % 50 == 0)) | ((F.col("domain") == "supplier") & (key % 8 == 0)))
+    edits = touched.select("path", F.when((F.col("domain") == "supplier") | (key % 100 == 0), "fix_unresolved_link").otherwise("append_at_eof").alias("mutation_class"))
+    after = corpus.edited_files(spark, sf_dir).select("path", F.col("content").cast("string").alias("text"))
+    return gate.structure(edits, _parts(notes), _parts(after.join(edits.select("path"), "path", "left_semi")))
+
+
+_AFTER = "NOT (domain = 'customer' AND (note_id - 1000000000) % 11 = 0)"
+_REFRESHED = f"""{_EDGES}, g2 AS (SELECT * FROM g WHERE {_AFTER}), e2 AS (SELECT e.* FROM e JOIN g2 ON note_id = source_id), t2 AS (SELECT tg.* FROM tg JOIN g2 USING (note_id)), u2 AS (SELECT lk.* FROM lk JOIN g2 USING (note_id) WHERE reason IS NOT NULL)"""
+
+
+def _refreshed(spark: SparkSession, sf_dir: str) -> tuple[index.Index, index.Index]:
+    """An index without some customers and with others' and all suppliers' old texts, and its next version: some customers are gone,
+    the others there and as they are."""
+    now = corpus.linked_notes(spark, sf_dir)
+    key = F.col("note_id") - 1_000_000_000
+    was = now.filter((F.col("domain") != "customer") | (key % 9 != 0)).withColumn("text", F.when(F.col("domain") == "supplier", F.concat(F.lit("# Old\n[[Nowhere]] #old "), "title")).when((F.col("domain") == "customer") & (key % 8 == 0), F.lit("old")).otherwise(F.col("text")))
+    after = now.filter((F.col("domain") != "customer") | (key % 11 != 0))
+
+    def parts(notes: DataFrame) -> DataFrame:
+        return sections.sections(notes).withColumn("section_id", F.col("note_id") * 16 + F.col("ordinal"))
+
+    first = index.build(spark, shared_path(spark, "index-versions"), was, parts(was))
+    return first, first.refresh(after, parts(after))
+
+
+@query(f"""WITH {_REFRESHED} SELECT 2 AS version, (SELECT count(*) FROM g2) AS notes, (SELECT count(*) FROM g2 WHERE domain <> 'region') AS sections, (SELECT count(*) FROM e2) AS verified_edges, CAST(0 AS BIGINT) AS candidate_edges,
+(SELECT count(*) FROM t2) AS note_tags, (SELECT count(*) FROM u2) AS unresolved_links""")
+def index_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index's counts after a refresh that read only what had changed."""
+    return _refreshed(spark, sf_dir)[1].statistics().drop("indexed_at")
+
+
+@query(f"""WITH {_REFRESHED}, c AS (SELECT count(*) AS n FROM customer WHERE c_custkey % 9 <> 0), s AS (SELECT count(*) AS n FROM supplier),
+old AS (SELECT (SELECT count(*) FROM g WHERE domain <> 'customer') + c.n AS notes, (SELECT count(*) FROM lk JOIN g USING (note_id) WHERE reason IS NOT NULL AND domain <> 'supplier') + s.n AS unresolved_links,
+  (SELECT count(*) FROM e JOIN g ON note_id = source_id WHERE domain NOT IN ('supplier', 'customer')) + (SELECT count(*) FROM e JOIN customer ON source_id = 1000000000 + c_custkey WHERE c_custkey % 9 <> 0 AND c_custkey % 8 <> 0 AND kind = 'wikilink' AND target_id < 1000000) AS edges,
+  (SELECT count(*) FROM customer WHERE c_custkey % 9 <> 0 AND c_custkey % 8 <> 0 AND c_custkey % 20 = 0) AS lost FROM c, s),
+d AS (SELECT 'notes' AS counter, (SELECT count(*) FROM g2) - notes AS delta FROM old UNION ALL SELECT 'unresolved_links', (SELECT count(*) FROM u2) - unresolved_links - lost FROM old UNION ALL SELECT 'verified_edges', (SELECT count(*) FROM e2) - edges FROM old),
+k AS (SELECT (SELECT count(*) FROM customer WHERE c_custkey % 9 = 0 AND c_custkey % 11 <> 0) AS made, (SELECT count(*) FROM customer WHERE c_custkey % 11 = 0 AND c_custkey % 9 <> 0) AS gone, (SELECT count(*) FROM supplier) AS fixed)
+SELECT counter, delta, CASE counter WHEN 'notes' THEN -gone WHEN 'unresolved_links' THEN -fixed ELSE 0 END AS low, CASE counter WHEN 'notes' THEN made WHEN 'verified_edges' THEN fixed ELSE 0 END AS high, delta BETWEEN CASE counter WHEN 'notes' THEN -gone WHEN 'unresolved_links' THEN -fixed ELSE 0 END AND CASE counter WHEN 'notes' THEN made WHEN 'verified_edges' THEN fixed ELSE 0 END AS within FROM d, k""")
+def receipt_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the index's counters moved, and how far edits of these classes may move them."""
+    first, then = _refreshed(spark, sf_dir)
+    customers = corpus.linked_notes(spark, sf_dir).filter("domain = 'customer'").withColumn("k", F.col("note_id") - 1_000_000_000)
+    made = F.when((F.col("k") % 9 == 0) & (F.col("k") % 11 != 0), "create_new_file").when((F.col("k") % 11 == 0) & (F.col("k") % 9 != 0), "move_to_trash")
+    edits = customers.select(made.alias("mutation_class")).filter("mutation_class IS NOT NULL").unionByName(corpus.table(spark, sf_dir, "supplier").select(F.lit("fix_unresolved_link").alias("mutation_class")))
+    return gate.receipts(edits, first.statistics(), then.statistics())
+
+
+# ---- registries of sources -------------------------------------------------------------------------------------------------
+
+_ENTRIES = """c AS (SELECT c_nationkey AS registry, c_custkey AS pos, CASE c_custkey % 17 WHEN 0 THEN NULL WHEN 1 THEN 'bad name' WHEN 2 THEN repeat('n', 129) || c_custkey WHEN 3 THEN 'Same' WHEN 4 THEN 'same' ELSE 'src-' || c_custkey END AS name,
+  CASE WHEN c_custkey % 13 = 0 THEN 'socket' WHEN c_custkey % 7 = 0 THEN 'file' ELSE 'folder' END AS type, CASE WHEN c_custkey % 19 = 0 THEN 'write' WHEN c_custkey % 5 = 0 THEN 'appliable' ELSE 'read_only' END AS mode,
+  CASE WHEN c_custkey % 23 = 0 THEN 'vault/here' WHEN c_custkey % 29 = 0 THEN 'https://there' WHEN c_custkey % 31 = 0 THEN '/vaults/' || c_mktsegment WHEN c_custkey % 3 = 0 THEN '/vaults/' || c_mktsegment || '/0' ELSE '/vaults/' || c_custkey % 40 || '/' || c_custkey END AS root,
+  CASE WHEN c_custkey % 37 = 0 THEN NULL WHEN c_custkey % 41 = 0 THEN 'link' WHEN c_custkey % 7 = 0 THEN 'file' ELSE 'folder' END AS found, c_custkey % 2 = 0 AS listed FROM customer),
+j AS (SELECT *, CASE WHEN name IS NULL THEN 'missing_key' WHEN contains(root, '://') THEN 'remote' WHEN name = 'bad name' THEN 'bad_name' WHEN length(name) > 128 THEN 'long_name' WHEN pos > min(pos) OVER (PARTITION BY registry, name) THEN 'duplicate_name'
+  WHEN pos > min(pos) OVER (PARTITION BY registry, lower(name)) THEN 'name_collision' WHEN type = 'socket' THEN 'unknown_type' WHEN mode = 'write' THEN 'unknown_mode' WHEN root[1] <> '/' THEN 'relative_root' WHEN found = 'link' THEN 'root_is_link' WHEN found IS NULL THEN 'root_missing'
+  WHEN type = 'file' AND found <> 'file' THEN 'root_not_file' WHEN type <> 'file' AND found <> 'folder' THEN 'root_not_folder' WHEN mode = 'appliable' AND NOT listed THEN 'no_allowlist' WHEN mode = 'appliable' AND type = 'file' THEN 'appliable_file' END AS reason FROM c),
+o AS (SELECT a.registry, a.pos, count(*) AS n_over FROM j a JOIN j b ON a.registry = b.registry AND a.pos <> b.pos AND (a.root = b.root OR starts_with(a.root, b.root || '/') OR starts_with(b.root, a.root || '/')) WHERE a.reason IS NULL AND b.reason IS NULL GROUP BY ALL)"""
+
+
+@query(f"WITH {_ENTRIES} SELECT j.registry, j.pos AS position, CASE WHEN n_over > 0 THEN 'overlapping_root' ELSE reason END AS reason, coalesce(n_over, 0) AS overlaps FROM j LEFT JOIN o ON o.registry = j.registry AND o.pos = j.pos")
+def refused_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as entries of their nation's registry: which are refused, and why."""
+    k = F.col("c_custkey")
+    m, text = k % 17, k.cast("string")
+    name = F.when(m == 0, None).when(m == 1, "bad name").when(m == 2, F.concat(F.repeat(F.lit("n"), F.lit(129)), text)).when(m == 3, "Same").when(m == 4, "same").otherwise(F.concat(F.lit("src-"), text))
+    home = F.concat(F.lit("/vaults/"), "c_mktsegment")
+    root = F.when(k % 23 == 0, "vault/here").when(k % 29 == 0, "https://there").when(k % 31 == 0, home).when(k % 3 == 0, F.concat(home, F.lit("/0"))).otherwise(F.concat(F.lit("/vaults/"), (k % 40).cast("string"), F.lit("/"), text))
+    entries = corpus.table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("registry"), k.alias("position"), name.alias("name"), F.when(k % 13 == 0, "socket").when(k % 7 == 0, "file").otherwise("folder").alias("type"),
+        F.when(k % 19 == 0, "write").when(k % 5 == 0, "appliable").otherwise("read_only").alias("mode"), root.alias("root"),
+        F.when(k % 37 == 0, None).when(k % 41 == 0, "link").when(k % 7 == 0, "file").otherwise("folder").alias("found"), F.when(k % 2 == 0, F.array(F.lit("a.md"))).otherwise(F.array().cast("array<string>")).alias("include_paths"),
+    )
+    return registry.judged(entries).select("registry", "position", "reason", "overlaps")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corkboard.operators import changes, contract, graph, search, sections
-from corkboard.plans.queries import _DIFF, _EDGES, _NAMES, _NOTES, _changes, _terms_sql, query
+from corkboard.operators import changes, contract, graph, search, sections, task
+from corkboard.plans.queries import _DIFF, _EDGES, _LINKED_TERMS, _NAMES, _NOTES, _changes, _terms_sql, query
 from corkboard.sources import corpus
 
-PATHS, GLOBS, TAGS = ["nations/Japan.md"], ["suppliers/*1.md", "customers/*[0-2]5.MD"], ["#Club/c3"]
-_EXCLUDED = f"""{_EDGES}, x AS (SELECT note_id, CASE WHEN lower(path) = 'nations/japan.md' THEN 'excluded_path' WHEN regexp_full_match(lower(path), 'suppliers/.*1[.]md|customers/.*[0-2]5[.]md') THEN 'excluded_glob'
+PATHS, GLOBS, TAGS = ["nations/Nation_4.md"], ["suppliers/*1.md", "customers/*[0-2]5.MD"], ["#Club/c3"]
+_EXCLUDED = f"""{_EDGES}, x AS (SELECT note_id, CASE WHEN lower(path) = 'nations/nation_4.md' THEN 'excluded_path' WHEN regexp_full_match(lower(path), 'suppliers/.*1[.]md|customers/.*[0-2]5[.]md') THEN 'excluded_glob'
   WHEN note_id IN (SELECT note_id FROM tg WHERE tag = 'club/c3') THEN 'excluded_tag' END AS reason FROM g), xo AS (SELECT * FROM x WHERE reason IS NOT NULL),
 sd AS (SELECT n_nationkey + 100 AS note_id FROM nation WHERE n_nationkey % 4 = 0), t AS (SELECT * FROM e WHERE source_id IN (SELECT note_id FROM sd) OR target_id IN (SELECT note_id FROM sd))"""
 
@@ -155,3 +155,60 @@ def drifted_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, after = corpus.snapshots(spark, sf_dir)
     edited = corpus.notes(spark, sf_dir).filter("note_id % 20 = 5").select(F.col("relative_path").alias("path"))
     return changes.drifted_manifest(before, after, edited)
+
+
+# ---- task contracts ------------------------------------------------------------------------------------------------------
+
+TASK = """{"task_id": "bases", "objective": "Where suppliers are based\u200b, and what is missing.",
+ "retrieval": {"query": "based missing home missing name", "limit": 6, "max_characters": 700},
+ "constraints": [{"note": "Nations/nation_3.md", "statement": "Only the third counts."}, {"text": "No guesses."}],
+ "prior_decisions": [{"note": "firm 9", "heading": "%s"}], "acceptance_criteria": ["Each is cited."],
+ "exclusions": {"paths": ["nations/Nation_4.md"], "globs": ["suppliers/*[0-6].md"], "tags": ["#Club/c3"], "directives": ["Leave out the fourth."]}}"""
+_WANTED = ", ".join(f"('{t}', {n})" for t, n in sorted(search.query_terms("based missing home missing name").items()))
+_OWN = {"objective": "Where suppliers are based, and what is missing.", "constraint": "Only the third counts.", "text": "No guesses.", "criterion": "Each is cited.", "directive": "Leave out the fourth."}
+_TASK = f"""{_LINKED_TERMS}, x AS (SELECT note_id FROM g WHERE lower(path) = 'nations/nation_4.md' OR regexp_full_match(lower(path), 'suppliers/.*[0-6][.]md') OR note_id IN (SELECT note_id FROM tg WHERE tag = 'club/c3')),
+q(term, times) AS (VALUES {_WANTED}), found AS (SELECT t.*, times, row_number() OVER (ORDER BY term_count DESC, section_id, t.term) AS nth FROM terms t JOIN q ON t.term = q.term),
+df AS (SELECT term, count(DISTINCT note_id) AS df FROM found GROUP BY term), n AS (SELECT count(*) AS n FROM g), steps(step) AS (VALUES (12), (24), (48), (96), (192), (200)),
+rk AS (SELECT step, section_id, sum((ln(term_count) + 1) * (ln((n + 1) / (df + 1)) + 1) * times) AS raw, min(nth) AS nth FROM found f JOIN df ON df.term = f.term, n, steps WHERE nth <= greatest(2000, 400 * step) GROUP BY step, section_id),
+hit AS (SELECT *, row_number() OVER (PARTITION BY step ORDER BY round(raw, 9) DESC, nth) AS r FROM rk QUALIFY r <= step),
+st AS (SELECT step, count(*) AS hits, count(*) FILTER (section_id NOT IN (SELECT note_id FROM x)) AS ok FROM hit GROUP BY step),
+lst AS (SELECT min(step) AS step FROM st WHERE ok >= 6 OR hits < step OR step >= 200),
+gone AS (SELECT DISTINCT section_id FROM hit WHERE step <= (SELECT step FROM lst) AND section_id IN (SELECT note_id FROM x)),
+kp AS (SELECT section_id AS note_id, row_number() OVER (ORDER BY r) AS k FROM hit WHERE step = (SELECT step FROM lst) AND section_id NOT IN (SELECT note_id FROM x) QUALIFY k <= 6),
+kt AS (SELECT k, kp.note_id, s.text FROM kp JOIN sections s ON s.note_id = kp.note_id),
+cp AS (SELECT s.note_id, path, CASE WHEN length(s.text) > 500 THEN regexp_replace(substr(s.text, 1, 499), '\\s+$', '') || '…' ELSE s.text END AS passage FROM sections s JOIN g USING (note_id) WHERE path = 'nations/NATION_3.md' OR s.note_id = 1000009),
+fx AS (SELECT 'objective' AS section, 0 AS place, CAST(NULL AS BIGINT) AS note_id, '{_OWN["objective"]}' AS text, 'authored_by_operator' AS evidence_class
+  UNION ALL SELECT 'constraint', 0, note_id, '{_OWN["constraint"]}', 'authored_by_operator' FROM cp WHERE note_id < 1000 UNION ALL SELECT 'constraint_passage', 0, note_id, passage, 'cited_passage' FROM cp WHERE note_id < 1000 UNION ALL SELECT 'constraint', 1, NULL, '{_OWN["text"]}', 'authored_by_operator'
+  UNION ALL SELECT 'prior_decision', 0, note_id, passage, 'cited_passage' FROM cp WHERE note_id = 1000009 UNION ALL SELECT 'prior_decision_passage', 0, note_id, passage, 'cited_passage' FROM cp WHERE note_id = 1000009
+  UNION ALL SELECT 'acceptance_criterion', 0, NULL, '{_OWN["criterion"]}', 'authored_by_operator' UNION ALL SELECT 'directive', 0, NULL, '{_OWN["directive"]}', 'authored_by_operator'),
+walk AS (SELECT CAST(1 AS BIGINT) AS k, (SELECT CAST(sum(length(text)) AS BIGINT) FROM fx) AS used, CAST(NULL AS VARCHAR) AS passage, false AS cut
+  UNION ALL SELECT w.k + 1, w.used + length(p.passage), p.passage, p.cut FROM walk w JOIN kt ON kt.k = w.k, LATERAL (SELECT length(kt.text) > 700 - w.used AS cut, CASE WHEN length(kt.text) > 700 - w.used THEN regexp_replace(substr(kt.text, 1, 700 - w.used - 1), '\\s+$', '') || '…' ELSE kt.text END AS passage) p
+  WHERE 700 - w.used > 0 AND (w.k = 1 OR 700 - w.used >= 80)),
+ctx AS (SELECT w.k - 1 AS place, kt.note_id, passage, cut FROM walk w JOIN kt ON kt.k = w.k - 1 WHERE passage IS NOT NULL),
+mk AS (SELECT *, source_id IN (SELECT note_id FROM x) AS so, target_id IN (SELECT note_id FROM x) AS t_o FROM e WHERE source_id IN (SELECT note_id FROM ctx) OR target_id IN (SELECT note_id FROM ctx)),
+cn AS (SELECT *, row_number() OVER (ORDER BY source_id, line, place, target_id) AS nth FROM mk WHERE NOT so AND NOT t_o QUALIFY nth <= 200),
+spent AS (SELECT max(used) AS used FROM walk), it AS (SELECT section, place, note_id, CAST(NULL AS BIGINT) AS other_id, text, length(text) AS characters, false AS truncated, evidence_class, false AS verified FROM fx
+  UNION ALL SELECT 'retrieved_context', place, note_id, NULL, passage, length(passage), cut, 'lexical_match', false FROM ctx UNION ALL SELECT 'connection', nth, source_id, target_id, kind, 0, false, 'authored_link', true FROM cn WHERE (SELECT used FROM spent) < 700)"""
+
+
+def _task(spark: SparkSession, sf_dir: str) -> task.Bundle:
+    """The task over the linked notes, its authored links borne out by the index's text."""
+    held = corpus.linked_index(spark, sf_dir)
+    name = held.notes([1_000_009]).first()["title"]
+    found = task.build(held, task.read_task(TASK % name.upper()), graph.all_edges(held.edges()))
+    task.check_edges(held, found, sections.headings(corpus.linked_notes(spark, sf_dir)))
+    return found
+
+
+@query(f"WITH RECURSIVE {_TASK} SELECT section, CAST(place AS INT) AS place, note_id, other_id, CAST(characters AS INT) AS characters, truncated, evidence_class, verified, sha256(text) AS text_sha256 FROM it")
+def task_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a task's contract has: the operator's texts, cited passages, hits and connections within one budget."""
+    return _task(spark, sf_dir).items.select("section", "place", "note_id", "other_id", "characters", "truncated", "evidence_class", "verified", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(f"""WITH RECURSIVE {_TASK}, nd AS (SELECT source_id AS n FROM mk WHERE so UNION SELECT target_id FROM mk WHERE t_o UNION SELECT section_id FROM gone)
+SELECT 700 AS character_budget, (SELECT CAST(sum(characters) AS BIGINT) FROM it) AS characters_used, (SELECT bool_or(cut) FROM ctx) OR (SELECT count(*) FROM ctx) < (SELECT count(*) FROM kp) OR (SELECT used FROM spent) >= 700 AS truncated, CAST((SELECT count(*) FROM gone) AS INT) AS suppressed_context,
+  CAST((SELECT count(*) FROM mk WHERE so OR t_o) AS INT) AS suppressed_connections, CAST((SELECT count(*) FROM nd) AS INT) AS suppressed_notes, 'task_scoped_bounded_passages' AS profile, true AS includes_passage_text, true AS includes_paths_titles_tags, false AS includes_candidate_edges""")
+def task_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's budget, what was left out, and what it discloses."""
+    return _task(spark, sf_dir).totals
