@@ -142,3 +142,43 @@ def idf(n: Column, df: Column) -> Column:
 
 def tf(count: Column) -> Column:
     return F.log(count.cast("double")) + 1
+
+
+# What a document's texts may not have, and the form of its timestamps and digests.
+CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
+IGNORABLE = r"[\u00AD\u034F\u061C\u115F\u1160\u17B4\u17B5\u180B-\u180F\u200B-\u200F\u202A-\u202E\u2060-\u206F\u3164\uFE00-\uFE0F\uFEFF\uFFA0\uFFF0-\uFFF8\x{1BCA0}-\x{1BCA3}\x{1D173}-\x{1D17A}\x{E0000}-\x{E0FFF}]"
+TIMESTAMP = r"^(\d{4})-(\d{2})-(\d{2})T(\d{2}):(\d{2}):(\d{2})(?:\.(\d{1,6}))?(Z|[+-]\d{2}:\d{2})\z"
+SHA256 = r"^[0-9a-f]{64}\z"
+
+
+def safe_text(text: Column) -> Column:
+    """At most 1000 characters without controls (tab and line ends stay) and characters that aren't shown."""
+    return F.substring(F.regexp_replace(F.regexp_replace(text, CONTROLS, ""), IGNORABLE, ""), 1, 1000)
+
+
+def safe_label(text: Column) -> Column:
+    return F.regexp_replace(safe_text(text), r"[\t\r\n\u2028\u2029]+", " ")
+
+
+def safe_identifier(text: Column) -> Column:
+    return F.regexp_replace(safe_text(text), r"[\t\r\n\u2028\u2029]+", "")
+
+
+def safe_hash(text: Column) -> Column:
+    """The SHA-256 digest in lower case; null for what is none."""
+    bare = F.lower(F.trim(text))
+    return F.when(bare.rlike(SHA256), bare)
+
+
+def utc_micros(text: Column) -> Column:
+    """Microseconds since 1970 of a timestamp with its offset from UTC; null for other forms, days and times that aren't, more digits
+    than microseconds have, and years outside 1000 to 9999, before and after the offset is taken off."""
+    part = [F.regexp_extract(text, TIMESTAMP, i) for i in range(9)]
+    year, month, day, hour, minute, second = (part[i].try_cast("int") for i in range(1, 7))
+    date = F.concat(part[1], F.lit("-"), part[2], F.lit("-"), part[3]).try_cast("date")
+    sign = F.when(part[8].startswith("-"), -1).otherwise(1)
+    off_hour, off_minute = (F.coalesce(F.substring(part[8], a, 2).try_cast("int"), F.lit(0)) for a in (2, 5))
+    ok = text.rlike(TIMESTAMP) & (year >= 1000) & (hour <= 23) & (minute <= 59) & (second <= 59) & (off_hour <= 23) & (off_minute <= 59)
+    seconds = F.date_diff(date, F.lit("1970-01-01").cast("date")).cast("long") * 86_400 + hour * 3_600 + minute * 60 + second - sign * (off_hour * 60 + off_minute) * 60
+    told = seconds * 1_000_000 + F.coalesce(F.rpad(part[7], 6, "0").try_cast("long"), F.lit(0))
+    return F.when(ok & told.between(-30_610_224_000_000_000, 253_402_300_799_999_999), told)  # the years 1000 to 9999

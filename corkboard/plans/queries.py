@@ -535,7 +535,7 @@ def export_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _all() -> None:
     """Registers the queries of the other modules."""
-    from corkboard.plans import change_queries, contract_queries, trail_queries  # noqa: F401
+    from corkboard.plans import change_queries, contract_queries, document_queries, trail_queries  # noqa: F401
 
 
 def queries() -> dict:
