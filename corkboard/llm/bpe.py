@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 
+from corkboard.llm.common import trim
 from corkboard.llm.pretokens import Cache, Splitter, byte_letters, packed
 
 #: Field numbers and kinds of the public sentencepiece_model.proto.
@@ -137,21 +138,25 @@ def round_trip(docs: DataFrame, file: str, pattern: str, with_ids: bool = False,
 
     def digested(batches):
         bpe = byte_bpe(file, pattern)
-        for batch in batches:
-            for first in range(0, batch.num_rows, 100):
-                rows = batch.slice(first, 100)
-                n, told, back = [], [], []
-                encoded = bpe.encode([t or "" for t in rows.column("text").to_pylist()])
-                for found in encoded:
-                    ids = np.frombuffer(found, "<u4").tolist()
-                    n.append(len(ids))
-                    told.append(hashlib.sha256(bpe.decimal(ids).encode()).hexdigest())
-                    back.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-                columns = {"doc_id": rows.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(told, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
-                if with_ids:
-                    columns["ids"] = _id_lists(encoded)
-                columns |= {c: rows.column(c) for c in keep}
-                yield pa.RecordBatch.from_pydict(columns)
+        try:
+            for batch in batches:
+                for first in range(0, batch.num_rows, 100):
+                    rows = batch.slice(first, 100)
+                    n, told, back = [], [], []
+                    encoded = bpe.encode([t or "" for t in rows.column("text").to_pylist()])
+                    for found in encoded:
+                        ids = np.frombuffer(found, "<u4").tolist()
+                        n.append(len(ids))
+                        told.append(hashlib.sha256(bpe.decimal(ids).encode()).hexdigest())
+                        back.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+                    columns = {"doc_id": rows.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(told, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
+                    if with_ids:
+                        columns["ids"] = _id_lists(encoded)
+                    columns |= {c: rows.column(c) for c in keep}
+                    yield pa.RecordBatch.from_pydict(columns)
+        finally:  # a worker's later tasks may be of other stages
+            bpe.cache.forget()
+            trim()
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += (", ids array<int>" if with_ids else "") + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)

@@ -108,6 +108,15 @@ def row_blocks(offsets: np.ndarray, most_bytes: int = 1 << 20):
         first = end
 
 
+def trim() -> None:
+    """Gives memory that a worker no longer holds back to the system, where the C library can: workers outlive their tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def ship(spark: SparkSession) -> None:
     """Lets Python workers that share this file system import the package; elsewhere it comes by --py-files."""
     import os

@@ -84,6 +84,9 @@ class Cache:
                 self.old, self.known, self.held = self.known, {}, 0
         return out
 
+    def forget(self) -> None:
+        self.known, self.old, self.held = {}, {}, 0
+
     def joined(self, split: list[list[str]]) -> list[bytes]:
         """For lists of pieces, each one's values joined."""
         flat = self.values(list(itertools.chain.from_iterable(split)))
