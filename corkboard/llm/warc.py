@@ -24,8 +24,8 @@ SEGMENT_BYTES = 48_000
 CHUNK_BYTES = 8_192
 #: Payloads of fewer bytes are never told by revisits.
 LEAST_REVISIT = 1_000
-#: Records in a file at most: a reader takes a file at a time.
-FILE_RECORDS = 5_000
+#: Bytes of records that are written as one text, and such texts in a file at most: a reader takes a file at a time, of about 32 MB.
+BUNDLE_BYTES, FILE_BUNDLES = 1 << 20, 32
 END = b"\r\n"
 DATE = "2020-01-01T00:00:00Z"
 
@@ -56,20 +56,21 @@ def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
 
 
 def record_id(page_id, row: int, digest: str, segment: int = 1) -> str:
-    """The same for a row of the pages whenever it is written, so that a repeated task writes the same archive."""
+    """Of a page and its payload; row is 0 but for rows that share both."""
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {row} {digest} {segment}')}>"
 
 
 def records(page_id, row: int, url: str, payload: bytes, size: int, digest: str, keeper: dict | None, revisit: bool) -> list[bytes]:
     """The records of one page: a response, in segments if long, or a revisit, which needs no payload, of the keeper's
-    (page_id, row) response. size: bytes of the payload."""
+    (page_id, alone) response; where the keeper isn't the only row of its id, no record id is told. size: bytes of the payload."""
     own = record_id(page_id, row, digest)
     line = "".join(c for c in url if c.isprintable())
     fields = [("WARC-Record-ID", own), ("WARC-Date", DATE), ("WARC-Target-URI", line), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-ID", "" if page_id is None else str(page_id)), ("X-Payload-Length", str(size))]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     kind = ("Content-Type", "application/http; msgtype=response")
     if revisit:
-        more = [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(keeper["page_id"], keeper["row"], digest)), ("X-Refers-To-Page-ID", str(keeper["page_id"])), kind]
+        of = [("WARC-Refers-To", record_id(keeper["page_id"], 0, digest))] if keeper["alone"] else []
+        more = [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *of, ("X-Refers-To-Page-ID", str(keeper["page_id"])), kind]
         return [record(more + fields, http)]
     parts = _cut(http + chunked(payload), SEGMENT_BYTES)
     if len(parts) == 1:
@@ -82,26 +83,41 @@ def records(page_id, row: int, url: str, payload: bytes, size: int, digest: str,
 
 
 def _lines(batches):
-    """Records as text without their last line end, which the sink adds."""
+    """Records, about BUNDLE_BYTES of them as one text, without the last line end, which the sink adds."""
     for batch in batches:
-        out = []
+        bundle, held = [], 0
         columns = [batch.column(c) for c in ("page_id", "row", "url", "html", "size", "digest", "keeper", "revisit")]
         for page_id, row, url, html, size, digest, keeper, revisit in zip(*columns, strict=True):
-            found = records(page_id.as_py(), row.as_py(), url.as_py() or "", (html.as_py() or "").encode(), size.as_py(), digest.as_py(), keeper.as_py(), revisit.as_py())
-            out += [r[: -len(END)].decode() for r in found]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+            for r in records(page_id.as_py(), row.as_py(), url.as_py() or "", (html.as_py() or "").encode(), size.as_py(), digest.as_py(), keeper.as_py(), revisit.as_py()):
+                bundle.append(r)
+                held += len(r)
+                if held >= BUNDLE_BYTES:
+                    yield _bundled(bundle)
+                    bundle, held = [], 0
+        if bundle:
+            yield _bundled(bundle)
+
+
+def _bundled(bundle: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b"".join(bundle)[: -len(END)].decode()], pa.string())], names=["value"])
 
 
 def write(pages: DataFrame, path: str) -> None:
     """Archives of pages (page_id, url, html) at path. Null html counts as empty. Of rows with equal payloads of at least
     LEAST_REVISIT bytes, those with the largest page_id are responses (equal rows all are), others revisit it; null ids
-    come last."""
-    keyed = pages.select("page_id", "url", "html", F.monotonically_increasing_id().alias("row")).withColumn("digest", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")))
-    groups = keyed.filter(F.octet_length("html") >= LEAST_REVISIT).groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("keeper"), F.count("*").alias("n"))
-    copied = stored(groups.filter("n > 1").select("digest", "keeper"), "warc-copied")
+    come last. A record's id follows from its page and payload, so a repeated task writes the same archive; only rows that share
+    both are told apart by where they are read."""
+    keyed = pages.select("page_id", "url", "html").withColumn("digest", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")))
+    ids = stored(keyed.groupBy("digest", "page_id").agg(F.count("*").alias("n"), F.max(F.coalesce(F.octet_length("html"), F.lit(0))).alias("size")), "warc-ids")
+    keepers = ids.filter(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.max(F.struct("page_id", (F.col("n") == 1).alias("alone"))).alias("keeper"), F.sum("n").alias("rows"))
+    copied = stored(keepers.filter("rows > 1").select("digest", "keeper"), "warc-copied")
+    equal = stored(ids.filter("n > 1").select("digest", F.col("page_id").alias("id"), F.lit(True).alias("equal")), "warc-equal")
     told = keyed.join(small(copied), "digest", "left").withColumn("revisit", F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper.page_id")))
-    rows = told.select("page_id", "row", "url", F.when(~F.col("revisit"), F.col("html")).alias("html"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"), "digest", "keeper", "revisit")
-    rows.mapInArrow(_lines, "value string").write.option("lineSep", "\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    same = (told["digest"] == equal["digest"]) & told["page_id"].eqNullSafe(equal["id"])
+    told = told.join(small(equal), same, "left").drop(equal["digest"], equal["id"])
+    row = F.when(F.col("equal"), F.monotonically_increasing_id() + 1).otherwise(F.lit(0)).cast("long")
+    rows = told.select("page_id", row.alias("row"), "url", F.when(~F.col("revisit"), F.col("html")).alias("html"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"), "digest", "keeper", "revisit")
+    rows.mapInArrow(_lines, "value string").write.option("lineSep", "\r\n").option("maxRecordsPerFile", FILE_BUNDLES).text(path)
 
 
 # ---- reading -------------------------------------------------------------------------------------------------------
@@ -189,18 +205,19 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reassembled(rows: DataFrame) -> DataFrame:
-    """Records of one segment as they are, others as one each: continuations grouped by origin, in order of their numbers,
-    each number once. The column whole tells whether 1 to the last are there and the total length is right."""
+    """Records with blocks in place of block: those of one segment as they are, others as one each: continuations grouped by origin,
+    in order of their numbers, each number once. The column whole tells whether 1 to the last are there and the total length is
+    right. Blocks are joined where a payload is read, so that a page is copied once, not once a segment."""
     segment, one = F.col("segment").cast("int"), F.col("segment").isNull()
-    single = rows.filter(one).withColumn("whole", F.lit(True))
+    single = rows.filter(one).withColumns({"whole": F.lit(True), "blocks": F.array("block")}).drop("block")
     parts = rows.filter(~one).withColumn("key", F.coalesce("origin", "record_id")).withColumn("n", segment)
     head = [c for c in rows.columns if c not in ("block", "segment", "total", "origin")]
     groups = parts.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("n", "block"))).alias("parts"), F.max(F.col("total").cast("long")).alias("sum"), *[F.max(F.when(F.col("n") == 1, F.col(c))).alias(c) for c in head])
     numbers = F.transform("parts", lambda p: p.n)
-    joined = groups.withColumn("block", F.aggregate("parts", F.lit(b""), lambda s, p: F.concat(s, p.block)))
-    whole = (numbers == F.sequence(F.lit(1), F.greatest(F.size("parts"), F.lit(1)))) & (F.octet_length("block") == F.col("sum"))
-    joined = joined.withColumn("whole", F.coalesce(whole, F.lit(False))).withColumn("segment", F.lit(None).cast("string")).withColumn("total", F.col("sum").cast("string")).withColumn("origin", F.lit(None).cast("string"))
-    return single.unionByName(joined.select(*rows.columns, "whole"))
+    size = F.aggregate("parts", F.lit(0).cast("long"), lambda s, p: s + F.octet_length(p.block))
+    whole = (numbers == F.sequence(F.lit(1), F.greatest(F.size("parts"), F.lit(1)))) & (size == F.col("sum"))
+    joined = groups.withColumns({"whole": F.coalesce(whole, F.lit(False)), "blocks": F.transform("parts", lambda p: p.block), "segment": F.lit(None).cast("string"), "total": F.col("sum").cast("string"), "origin": F.lit(None).cast("string")})
+    return single.unionByName(joined.select(*single.columns))
 
 
 def _payloads(batches):
@@ -208,8 +225,8 @@ def _payloads(batches):
     for batch in batches:
         for first in range(0, batch.num_rows, 200):
             rows = batch.slice(first, 200)
-            blocks = zip(rows.column("block"), rows.column("type").to_pylist(), rows.column("whole").to_pylist(), strict=True)
-            payloads = [payload_of(b.as_py()) if t == "response" and w else None for b, t, w in blocks]
+            blocks = zip(rows.column("blocks"), rows.column("type").to_pylist(), rows.column("whole").to_pylist(), strict=True)
+            payloads = [payload_of(b"".join(b.as_py())) if t == "response" and w else None for b, t, w in blocks]
             told = [None if d is None else d.removeprefix("sha1:") for d in rows.column("digest").to_pylist()]
             seen = [None if p is None else hashlib.sha1(p).hexdigest() for p in payloads]
             found = [pa.array(told, pa.string()), rows.column("refers_to"), pa.array([None if p is None else len(p) for p in payloads], pa.int64()), pa.array(seen, pa.string()), pa.array(payloads, pa.binary())]

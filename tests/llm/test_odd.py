@@ -220,6 +220,25 @@ def test_warc_odd(spark, monkeypatch):
     assert warc.pages(spark, none).count() == 0
 
 
+def test_warc_files_are_bounded(spark):
+    """Files follow the bytes of their records; every record has an id of its own, and each revisit refers to one that is there."""
+    big = "".join(chr(97 + i % 26) for i in range(30_000))
+    rows = [(i, f"http://h/{i}", f"{i % 1150} {big}") for i in range(1300)] + [(5000, "http://h/a", "x" * 2000), (5000, "http://h/a", "x" * 2000), (4000, "http://h/b", "x" * 2000), (None, "http://h/n", "x" * 2000)]
+    path = shared_path(spark, "warc-files")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("length").collect()
+    assert len(files) > 1 and max(f.length for f in files) < 34 << 20
+    read = warc.read(spark, path).drop("block")
+    ids = [r.record_id for r in read.collect()]
+    assert len(ids) == len(set(ids))
+    told = warc.pages(spark, path)
+    assert told.filter("NOT sound").count() == 0
+    assert told.filter("record_type = 'revisit'").count() == 152 and told.filter("page_id = 5000 AND record_type = 'response'").count() == 2
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()
+    refers = {f["warc-refers-to"] for r in raw for f, _ in warc.parse(bytes(r.content)) if "warc-refers-to" in f}
+    assert len(refers) == 150 and refers <= set(ids)
+
+
 def test_bytes_are_compared(spark, monkeypatch):
     """Texts of one digest and one length, but other bytes, are refused, not merged."""
     docs = spark.createDataFrame([(i, f"text {i % 5}") for i in range(40)], "doc_id long, text string")
