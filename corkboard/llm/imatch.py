@@ -27,8 +27,10 @@ LEAST_SHARE, MOST_SHARE = 0.001, 0.25
 SUBSETS = 16
 SCALES = 5
 HEX = 6
-#: Bytes of text in a task that looks up following documents, about.
+#: Bytes of text in a task that looks up following documents, about; and the most such tasks, beyond which they grow: their bounds
+#: come to the driver and go to every task.
 TASK_BYTES = 32 << 20
+MOST_TASKS = 1 << 15
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -154,13 +156,13 @@ def _with_next(docs: DataFrame, n: int, size: int) -> DataFrame:
     first); the row after a bucket's last is a copy (ghost) of the next bucket's first. All of a bucket lies in one
     partition and texts move once. Buckets have about TASK_BYTES of text each, and there are twice as many partitions."""
     rows = docs.select("doc_id", _text().alias("text"))
-    each = max(1, TASK_BYTES * n // max(size, 1))
+    each = max(1, TASK_BYTES * n // max(size, 1), n // MOST_TASKS)
     bounds = _bounds(rows, each)
     rows = rows.withColumn("place", _place()).withColumn("bucket", _bucket(bounds))
-    firsts = stored(rows.groupBy("bucket").agg(F.max("place").alias("place")), "imatch-firsts")  # two numbers a bucket
+    firsts = stored(rows.groupBy("bucket").agg(F.max("place").alias("place")), "imatch-firsts")  # two numbers a bucket, and MOST_TASKS buckets
     above = Window.orderBy("bucket")  # one narrow row a bucket
     heads = firsts.select("place", F.coalesce(F.lead("bucket").over(above), F.min("bucket").over(Window.partitionBy())).alias("bucket"))
-    texts = rows.select("place", "text").join(F.broadcast(heads) if n < 1 << 33 else heads, "place").groupBy("place", "bucket").agg(F.max("text").alias("text"))
+    texts = rows.select("place", "text").join(F.broadcast(heads), "place").groupBy("place", "bucket").agg(F.max("text").alias("text"))
     ghosts = texts.select(F.col("place.i").alias("doc_id"), "text", "place", "bucket")
     both = rows.withColumn("ghost", F.lit(False)).unionByName(ghosts.withColumn("ghost", F.lit(True))).repartition(2 * len(bounds) + 2, "bucket")
     down = Window.partitionBy("bucket").orderBy("ghost", F.col("place").desc(), F.col("text").desc())
