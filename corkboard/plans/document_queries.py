@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corkboard.operators import document
-from corkboard.plans.queries import _EDGES, query
-from corkboard.sources import corpus
+from corkboard.operators import document, graph
+from corkboard.plans.queries import _CANDIDATE_STEPS, _EDGES, _LINKED_TERMS, THRESHOLD, query
+from corkboard.sources import corpus, vault
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -62,3 +62,62 @@ def document_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.col("history")
     counts = ["node_content_hashes_changed", "node_content_hashes_unchanged", "nodes_added", "nodes_removed"]
     return _graph(spark, sf_dir)[2].select("document", *[h[c].alias(c) for c in counts], h["previous_content_hash"].isNotNull().alias("has_previous"))
+
+
+# ---- admission ------------------------------------------------------------------------------------------------------------
+
+POLICY = vault.Policy(exclude_globs=["suppliers/*7.MD"], deny_path_terms=["nation_1"], deny_frontmatter={"aliases": ["firm 6"]}, max_file_bytes=90)
+_ADMITTED = f"""{_EDGES}, f AS (SELECT g.path AS relative_path, title, domain, o, CASE WHEN note_id > 1000000000 AND note_id % 89 = 0 THEN 'unended' WHEN note_id > 1000000000 AND note_id % 97 = 0 THEN 'utf16' ELSE 'whole' END AS kind,
+  strlen(text) + CASE WHEN note_id > 1000000000 AND note_id % 89 = 0 THEN 4 WHEN note_id > 1000000000 AND note_id % 97 = 0 THEN 2 ELSE 0 END AS size, note_id FROM g),
+a AS (SELECT *, CASE WHEN size > 90 THEN 'file_too_large' WHEN relative_path LIKE 'suppliers/%7.md' THEN 'excluded_glob' WHEN contains(lower(relative_path), 'nation_1') THEN 'denied_path_term' WHEN kind = 'utf16' THEN 'unsupported_encoding' WHEN kind = 'unended' THEN 'unparseable_frontmatter'
+  WHEN domain = 'supplier' AND note_id = 1000006 THEN 'denied_frontmatter:aliases' END AS skip_reason FROM f)"""
+
+
+def _admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The linked notes as files; some customers' begin with a byte order mark of another encoding, or with frontmatter that doesn't end."""
+    key = F.col("note_id")
+    customer = F.col("domain") == "customer"
+    plain = F.encode("text", "UTF-8")
+    content = F.when(customer & (key % 89 == 0), F.concat(F.encode(F.lit("---\n"), "UTF-8"), plain)).when(customer & (key % 97 == 0), F.concat(F.unhex(F.lit("FFFE")), plain)).otherwise(plain)
+    files = corpus.linked_notes(spark, sf_dir).select(F.col("path").alias("relative_path"), content.alias("content"))
+    files = files.select("relative_path", F.octet_length("content").cast("long").alias("size"), F.lit(0).cast("long").alias("mtime_ns"), "content", F.lit(None).cast("string").alias("skip_reason"))
+    return vault.admitted(files, POLICY)
+
+
+@query(f"WITH {_ADMITTED} SELECT relative_path, skip_reason, CASE WHEN skip_reason IS NULL THEN title END AS title, CASE WHEN skip_reason IS NULL THEN CASE WHEN domain = 'region' THEN 0 ELSE 1 END END AS sections, CASE WHEN skip_reason IS NULL THEN o END AS body_start FROM a")
+def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files through a policy of paths, sizes and frontmatter: the first reason against each, and what was parsed of the others."""
+    found = _admitted(spark, sf_dir)
+    kept = F.col("skip_reason").isNull()
+    return found.select("relative_path", "skip_reason", F.when(kept, F.col("title")).alias("title"), F.when(kept, F.size("sections")).alias("sections"), F.when(kept, F.col("body_start")).alias("body_start"))
+
+
+@query(f"WITH {_ADMITTED} SELECT skip_reason, count(*) AS files FROM a WHERE skip_reason IS NOT NULL GROUP BY skip_reason")
+def admission_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many files were left out, by reason."""
+    return vault.skips(_admitted(spark, sf_dir))
+
+
+# ---- candidates beside authored edges ---------------------------------------------------------------------------------------
+
+_BOTH = f"""{_LINKED_TERMS}, {_CANDIDATE_STEPS}, al AS (SELECT source_id, target_id, kind, true AS is_verified, CAST(1.0 AS DOUBLE) AS score, line, place FROM e UNION ALL SELECT l, r, 'candidate', false, score, 0, 0 FROM cand),
+near AS (SELECT * FROM al WHERE source_id IN (SELECT note_id FROM g WHERE domain = 'supplier' AND note_id % 5 = 0) OR target_id IN (SELECT note_id FROM g WHERE domain = 'supplier' AND note_id % 5 = 0))"""
+
+
+@query(f"WITH {_BOTH} SELECT source_id, target_id, kind, is_verified, score, line, place, count(*) OVER () AS total, count(*) OVER () > 150 AS truncated FROM near ORDER BY is_verified DESC, score DESC, source_id, line, place, target_id LIMIT 150")
+def edges_with_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At every fifth supplier: authored edges first, then candidates by score."""
+    held = corpus.linked_index(spark, sf_dir).discover(THRESHOLD)
+    return graph.incident(graph.all_edges(held.edges(), held.candidates()), _seeds(held), 150)
+
+
+@query(f"WITH {_BOTH} SELECT source_id, target_id, kind, line, place, count(*) OVER () AS total FROM near WHERE is_verified")
+def verified_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without candidates, though the index has some."""
+    held = corpus.linked_index(spark, sf_dir).discover(THRESHOLD)
+    edges = graph.all_edges(held.edges(), held.candidates()).filter("is_verified")
+    return graph.incident(edges, _seeds(held), 1_000_000).select("source_id", "target_id", "kind", "line", "place", "total")
+
+
+def _seeds(held) -> DataFrame:
+    return held.notes().filter("domain = 'supplier' AND note_id % 5 = 0").select("note_id")

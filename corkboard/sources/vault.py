@@ -174,6 +174,23 @@ def files(spark: SparkSession, folder: str, policy: Policy | None = None) -> Dat
     return spark.read.format("markdown_folder").option("path", folder).option("maxFileBytes", (policy or Policy()).max_file_bytes).load()
 
 
+def anywhere(spark: SparkSession, folder: str, policy: Policy | None = None) -> DataFrame:
+    """As files, of a folder on any file system that Spark reads: listed and read by its tasks, many files each, however the folders
+    are nested. Contents of files beyond the policy's size aren't read; reserved folders are left out. Nothing is known here of
+    links, which such stores don't have, or follow."""
+    policy = policy or Policy()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    root = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[mM][dD]").load(folder)
+    relative = F.substr(F.col("path"), F.lit(len(root) + 2))
+    told = [relative.alias("relative_path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns")]
+    inside = ~F.arrays_overlap(F.split(F.lower(F.col("relative_path")), "/"), F.array(*map(F.lit, RESERVED)))
+    fits = F.col("length") <= policy.max_file_bytes
+    small = found.filter(fits).select(*told, "content")
+    large = found.filter(~fits).select(*told, F.lit(None).cast("binary").alias("content"))
+    return small.unionByName(large).filter(inside).withColumn("skip_reason", F.lit(None).cast("string"))
+
+
 def admitted(found: DataFrame, policy: Policy | None = None) -> DataFrame:
     """Each file with what was parsed of it and skip_reason, null where it is admitted. Only bytes of admitted paths are parsed."""
     policy = policy or Policy()

@@ -82,3 +82,17 @@ def test_folder(spark, tmp_path):
     assert rows["deep/er/down/B.MD"].title == "Own" and rows["a.md"].title == "Heading"
     assert [(s.relative_path, s.line_start, s.line_end) for s in vault.sections(read).orderBy("relative_path").collect()] == [("a.md", 3, 4), ("deep/er/down/B.MD", 5, 5)]
     assert {r.skip_reason: r.files for r in vault.skips(read).collect()}["hardlink"] == 2
+
+
+def test_anywhere(spark, tmp_path):
+    """The same rows as the folder source gives of ordinary files, whatever the file system; large contents stay unread."""
+    for name, text in {"A b.md": "# A", "x/y/z/C.MD": "c", "x/.git/no.md": "n", "x/big.md": "b" * 500, "other.txt": "t"}.items():
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+    policy = vault.Policy(max_file_bytes=100)
+    rows = {r.relative_path: r for r in vault.anywhere(spark, f"file://{tmp_path}", policy).collect()}
+    walked = {r.relative_path: r for r in vault.files(spark, str(tmp_path), policy).collect()}
+    assert set(rows) == set(walked) == {"A b.md", "x/y/z/C.MD", "x/big.md"}
+    assert all((r.size, r.content) == (walked[p].size, walked[p].content) and abs(r.mtime_ns - walked[p].mtime_ns) < 1_000_000_000 for p, r in rows.items())
+    assert {r.relative_path: r.skip_reason for r in vault.admitted(vault.anywhere(spark, str(tmp_path), policy), policy).collect()} == {"A b.md": None, "x/y/z/C.MD": None, "x/big.md": "file_too_large"}
