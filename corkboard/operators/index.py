@@ -10,8 +10,10 @@ failed has left is in no manifest.
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -187,22 +189,30 @@ def _with_digest(notes: DataFrame) -> DataFrame:
 def _generation(spark: SparkSession, root: str, notes: DataFrame, sections: DataFrame, buckets: int, dead: DataFrame | None) -> dict:
     """Writes the tables of some notes, and the ids that they take the place of."""
     found = {"id": uuid.uuid4().hex, "tables": {}, "dead": 0}
-    terms = stored(search.terms(sections), "index-terms")
     names = graph.bodies(notes).select("note_id", F.concat(F.array(name_key(F.col("title")), name_key(F.col("path"))), F.transform("b.aliases", name_key)).alias("keys"))
-    tables = {"notes": _with_digest(notes), "sections": sections, "links": graph.links(notes), "by_term": terms, "by_note": terms, "names": names}
-    for name, df in tables.items():
-        df = df if name in ("by_term", "by_note") else stored(df, f"index-{name}")
-        by, order, spread = TABLES[name]
-        laid = _laid_out(df, by, spread, buckets)
+    tables = {"terms": search.terms(sections), "links": graph.links(notes), "sections": sections, "notes": _with_digest(notes), "names": names}
+    tables = dict(zip(tables, _together([functools.partial(stored, df, f"index-{name}") for name, df in tables.items()])))
+    tables["by_term"] = tables["by_note"] = tables.pop("terms")
+
+    def write(name: str) -> None:
+        df, (by, order, spread) = tables[name], TABLES[name]
         table = f"corkboard_{found['id']}_{name}"
-        laid.write.format("parquet").bucketBy(buckets, by).sortBy(*order).option("path", f"{root}/generations/{found['id']}/{name}").saveAsTable(table)
-        found["tables"][name] = _ddl(df)
+        _laid_out(df, by, spread, buckets).write.format("parquet").bucketBy(buckets, by).sortBy(*order).option("path", f"{root}/generations/{found['id']}/{name}").saveAsTable(table)
+
+    _together([functools.partial(write, name) for name in tables])
+    found["tables"] = {name: _ddl(tables[name]) for name in TABLES}
     if dead is not None:
         found["dead"] = dead.count()
         dead.write.parquet(f"{root}/generations/{found['id']}/dead")
     return found
 
 
+def _together(jobs: list) -> list:
+    """The results of jobs that need nothing of one another, which Spark runs side by side: none of them fills a cluster for long."""
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]
+
+
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
@@ -210,7 +220,8 @@ def _ddl(df: DataFrame) -> str:
 def _laid_out(df: DataFrame, by: str, spread: str, buckets: int) -> DataFrame:
     """df (stored) with each bucket's rows in a partition of their own, in several where they are many."""
     bucket = F.pmod(F.hash(by), F.lit(buckets))  # as Spark numbers a table's buckets
-    sizes = dict(df.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect())  # a number a bucket
+    few = df.count() <= FILE_ROWS  # as the files' footers tell
+    sizes = {} if few else dict(df.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect())  # a number a bucket
     parts = [max(1, -(-sizes.get(b, 0) // FILE_ROWS)) for b in range(buckets)]
     first = [sum(parts[:b]) for b in range(buckets)]
     numbers = F.from_json(F.lit(json.dumps([{"f": f, "p": p} for f, p in zip(first, parts)])), "array<struct<f: int, p: int>>")
@@ -236,9 +247,9 @@ def _commit(spark: SparkSession, root: str, before: dict, generations: list[dict
     index.manifest["resolved"] = resolved
     for name, df in tables.items():
         resolved[name] = {"id": f"{name}-{uuid.uuid4().hex}", "schema": _ddl(df)}
-        df.write.parquet(f"{root}/resolved/{resolved[name]['id']}")
+    _together([functools.partial(df.write.parquet, f"{root}/resolved/{resolved[name]['id']}") for name, df in tables.items()])
     counted = {"notes": index.live("notes").count, "sections": index.sections().count, "verified_edges": index.edges().count, "note_tags": index.tags().count, "unresolved_links": index.unresolved().count}
-    held = before["statistics"] if candidates is not None else {n: f() for n, f in counted.items()}
+    held = before["statistics"] if candidates is not None else dict(zip(counted, _together(list(counted.values()))))
     index.manifest["statistics"] = {**held, "candidate_edges": 0 if candidates is None else index.candidates().count()}
     index.manifest["indexed_at"] = spark.range(1).select(F.date_format(F.to_utc_timestamp(F.now(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).first()[0]
     index.manifest["version"] = before["version"] + 1
