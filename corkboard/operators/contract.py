@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corkboard.functions.markdown import body
 from corkboard.functions.storage import stored
 from corkboard.functions.text import UNSAFE, json_length, sanitised
-from corkboard.operators.graph import edge_order, links_of, resolve, touching
+from corkboard.operators.graph import edge_order, links_of, placed, resolve, touching
 
 # Bounds of what is listed, and the classes of changes with those that only add.
 EDGES, ENTRIES, CHARACTERS = 200, 1_000, 200_000
@@ -110,7 +110,7 @@ def excluded(notes: DataFrame, note_tags: DataFrame, paths=(), globs=(), tags=()
 
 def marked_edges(edges: DataFrame, seeds: DataFrame, out: DataFrame, candidates: bool = True) -> DataFrame:
     """The edges (of graph.all_edges) at seeds with source_out and target_out, whether an end is a note of `out`; stored."""
-    met = touching(edges if candidates else edges.filter("is_verified"), seeds)
+    met = touching(placed(edges if candidates else edges.filter("is_verified")), seeds)
     for end in ("source", "target"):
         met = met.join(out.select(F.col("note_id").alias(f"{end}_id"), F.lit(True).alias(f"{end}_out")).distinct(), f"{end}_id", "left")
     return stored(met.withColumns({f"{end}_out": F.coalesce(f"{end}_out", F.lit(False)) for end in ("source", "target")}), "marked-edges")

@@ -138,6 +138,11 @@ def edge_order() -> list[Column]:
     return [F.desc("is_verified"), F.desc("score"), F.col("source_id"), F.col("line"), F.col("place"), F.col("target_id")]
 
 
+def placed(edges: DataFrame) -> DataFrame:
+    """edges with line and place, 0 where they tell none."""
+    return edges.withColumns({c: F.lit(0) for c in ("line", "place") if c not in edges.columns})
+
+
 def all_edges(verified: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """(source_id, target_id, kind, is_verified, score, line, place): authored edges (line and place 0 where they tell none), and
     candidates (l, r, score) beside them."""
@@ -160,7 +165,7 @@ def touching(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def incident(edges: DataFrame, seeds: DataFrame, limit: int = 200, notes: DataFrame | None = None) -> DataFrame:
     """The first `limit` edges (of all_edges, by edge_order) at any of seeds (note_id; few), with the number of all and whether the
     limit cut them; with notes (note_id, path, title), both ends' paths and titles beside."""
-    found = stored(touching(edges, seeds), "incident")
+    found = stored(touching(placed(edges), seeds), "incident")
     total = found.count()
     top = found.orderBy(*edge_order()).limit(limit).withColumn("total", F.lit(total)).withColumn("truncated", F.lit(total > limit))
     if notes is not None:
@@ -234,6 +239,7 @@ def connections(edges: DataFrame, notes: DataFrame, note_id: int, limit: int, ta
 def ranked_ends(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((me, other, rank) of each note's first NEIGHBOURS edges (of all_edges) by edge_order, the first to each other note;
     (me) of notes that have more). Edges beyond them are dropped where they are read, before a hub's meet."""
+    edges = placed(edges)
     both = edges.withColumn("ends", F.explode(F.array(*[F.struct(F.col(a).alias("me"), F.col(b).alias("other")) for a, b in (("source_id", "target_id"), ("target_id", "source_id"))])))
     both = both.select("ends.*", *edges.columns)
     first = both.withColumn("rank", F.row_number().over(Window.partitionBy("me").orderBy(*edge_order()))).filter(F.col("rank") <= NEIGHBOURS)
@@ -269,7 +275,7 @@ def path_between(edges: DataFrame, source: int, target: int, most_hops: int = 6)
     search_truncated tells whether a note that was looked at before the end has more than NEIGHBOURS edges."""
     if most_hops < 1:
         raise ValueError("a positive number of hops is needed")
-    spark = edges.sparkSession
+    spark, edges = edges.sparkSession, placed(edges)
     ends, many = ranked_ends(edges)
     seen, steps, at = stored(reached(edges, source, most_hops, target if target != source else None, ends), "seen"), [], target
     last = None

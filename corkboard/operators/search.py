@@ -136,7 +136,7 @@ def packet(held: Tables, query: str, limit: int, most_characters: int) -> DataFr
 
 def age_days(as_of: Column | str, since: Column) -> Column:
     """Days from a time to another one, whole and broken, by microseconds; null where a time is."""
-    return (F.unix_micros(F.lit(as_of).cast("timestamp") if isinstance(as_of, str) else as_of) - F.unix_micros(since.cast("timestamp"))) / 86_400_000_000.0
+    return (F.unix_micros((F.lit(as_of) if isinstance(as_of, str) else as_of).cast("timestamp")) - F.unix_micros(since.cast("timestamp"))) / 86_400_000_000.0
 
 
 def resurface(held: Tables, degrees: DataFrame, query: str, limit: int, as_of: str, least_days: int = 30) -> DataFrame:
@@ -151,4 +151,4 @@ def resurface(held: Tables, degrees: DataFrame, query: str, limit: int, as_of: s
     known = degrees.filter(F.col("note_id").isin(ids))
     best = best.join(known, "note_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).filter(F.col("age") >= least_days)
     score = 0.65 * F.col("score") / F.col("most") + 0.25 * F.least(F.lit(1.0), F.col("age") / 730) + 0.10 / (1 + F.col("degree"))
-    return best.select("note_id", "relative_path", F.round("age", 1).alias("age_days"), F.col("degree").cast("long").alias("verified_degree"), F.round(score, 6).alias("resurface_score")).orderBy(F.desc("resurface_score"), "note_id").limit(limit)
+    return best.select("note_id", "relative_path", F.col("age").alias("age_days"), F.col("degree").cast("long").alias("verified_degree"), F.round(score, 6).alias("resurface_score")).orderBy(F.desc("resurface_score"), "note_id").limit(limit)

@@ -124,7 +124,7 @@ def packet_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_search_sql(8 * LIMIT)}, {_DOC_LINKS}, ends AS (SELECT source_id AS me FROM dl UNION ALL SELECT target_id FROM dl), deg AS (SELECT me, count(*) AS degree FROM ends GROUP BY me),
 a AS (SELECT note_id, relative_path, score, coalesce(degree, 0) AS degree, greatest(0, {_age_sql('updated_at')}) AS age, max(score) OVER () AS most FROM hits LEFT JOIN deg ON me = note_id),
-s AS (SELECT note_id, relative_path, round(age, 1) AS age_days, degree AS verified_degree, round(0.65 * score / most + 0.25 * least(1.0, age / 730) + 0.10 / (1 + degree), 6) AS resurface_score FROM a WHERE age >= 30)
+s AS (SELECT note_id, relative_path, age AS age_days, degree AS verified_degree, round(0.65 * score / most + 0.25 * least(1.0, age / 730) + 0.10 / (1 + degree), 6) AS resurface_score FROM a WHERE age >= 30)
 SELECT * FROM s ORDER BY resurface_score DESC, note_id LIMIT {LIMIT}""")
 def resurface(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dormant notes that answer a query; those of few links first."""
@@ -214,10 +214,10 @@ def island_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_CANDIDATES}, d AS (SELECT note_id, {_age_sql('updated_at')} AS days FROM notes)
-SELECT note_id, round(days, 6) AS days, round(0.15 * least(days / 365, 1.0), 6) AS age_bonus FROM d WHERE days >= 180 AND note_id IN (SELECT l FROM cand UNION SELECT r FROM cand)""")
+SELECT note_id, days, round(0.15 * least(days / 365, 1.0), 6) AS age_bonus FROM d WHERE days >= 180 AND note_id IN (SELECT l FROM cand UNION SELECT r FROM cand)""")
 def dormant_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, notes = _vectors(spark, sf_dir)
-    return trails.dormant(notes, discovery.candidates(v, THRESHOLD), AS_OF).withColumn("days", F.round("days", 6))
+    return trails.dormant(notes, discovery.candidates(v, THRESHOLD), AS_OF)
 
 
 # ---- graph ----------------------------------------------------------------------------------------------------------
