@@ -32,8 +32,10 @@ def terms(sections: DataFrame, only: list[str] | None = None) -> DataFrame:
 
 
 def frequency(postings: DataFrame) -> DataFrame:
-    """(term, df, n): notes that have the term, and its occurrences."""
-    return postings.groupBy("term").agg(F.count_distinct("note_id").alias("df"), F.sum("term_count").alias("n"))
+    """(term, df, n): notes that have the term, and its occurrences. Summed by note first, so that a term that every note has moves as
+    one row a task."""
+    each = postings.groupBy("note_id", "term").agg(F.sum("term_count").alias("n"))
+    return each.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
 
 
 def document_frequency(sections: DataFrame) -> DataFrame:
