@@ -195,3 +195,26 @@ def test_strict_specifications(spec):
 def test_specification():
     told = task.read_task('{"objective": "o", "retrieval": {"query": "q"}, "constraints": [{"note": "n", "heading": null}], "exclusions": {"tags": ["t"]}}')
     assert (told.limit, told.max_characters, told.constraints, told.tags) == (8, 8000, (task.Ref(note="n"),), ("t",))
+
+
+def test_task_totals_without_hits(spark, tmp_path):
+    """As the SQL has it where the first 200 hits are all excluded: no hit is left, and so no answer whether one was cut."""
+    import glob
+    import os
+
+    import duckdb
+
+    from corkboard.plans import queries as engine
+
+    db = duckdb.connect()
+    for f in glob.glob("/root/testdata/sf0.001/*.parquet"):
+        name = os.path.basename(f)[:-8]
+        text = f"SELECT * FROM '{f}'"
+        if name == "supplier":  # those of seven's multiples rank first
+            text = f"SELECT * FROM '{f}' WHERE s_suppkey NOT IN (0, 7) UNION ALL SELECT k * 70, 'Supplier#' || lpad(CAST(k * 70 AS VARCHAR), 9, '0'), k % 25, 0.0 FROM range(1, 260) t(k)"
+        db.sql(f"COPY ({text}) TO '{tmp_path}/{name}.parquet'")
+        db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    want = db.sql(engine.oracle_sql()["task_totals"])
+    want = dict(zip(want.columns, want.fetchall()[0]))
+    got = engine.queries()["task_totals"](spark, str(tmp_path)).first().asDict()
+    assert want["truncated"] is None and want["suppressed_context"] == 200 and got == want
