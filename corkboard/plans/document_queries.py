@@ -46,13 +46,14 @@ k AS (SELECT nd.d, nd.n, coalesce(ed.n, 0) AS e, coalesce(dangling, 0) AS dangli
 @query(f"""WITH {_DOCUMENTS} SELECT d AS document, refusal, CASE WHEN refused THEN 0 ELSE n END AS n_nodes, CASE WHEN refused THEN 0 ELSE e - dangling END AS n_edges, CAST(NOT refused AND d % 5 = 0 AS BIGINT) AS duplicate_nodes, CASE WHEN refused THEN 0 ELSE dangling END AS dangling_edges,
 CAST(0 AS BIGINT) AS duplicate_edges, CASE WHEN refused THEN NULL WHEN d % 3 = 0 THEN 'graph_with_bounded_passage_text' ELSE 'graph_metadata' END AS export_profile, NOT refused AND d % 4 = 1 AS privacy_conflict, NOT refused AND d % 6 = 2 AS history_conflict, NOT refused AND d % 6 <> 2 AND d % 5 <> 0 AS usable FROM k""")
 def graph_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written as JSON, some of them tampered with, and read again: what each has, and which claims don't hold."""
-    written = document.documents(*_graph(spark, sf_dir))
+    """Documents written as JSON, some of them tampered with, and read again: what each has, and which claims don't hold. A nation's has
+    all its nodes and edges, beyond a viewer's limits too."""
+    written = document.documents(*_graph(spark, sf_dir), limited=False)
     d, text = F.col("document"), F.col("text")
     text = F.when(d % 4 == 1, F.regexp_replace(text, '"export_profile":"[a-z_]+"', '"export_profile":"empty_graph"')).otherwise(text)
     text = F.when(d % 6 == 2, F.regexp_replace(text, '"nodes_added":[0-9]+', '"nodes_added":777777')).otherwise(text)
     text = F.when(d % 7 == 3, F.replace(text, F.lit(document.VERSIONS[1]), F.lit("viewer.v9"))).when(d % 9 == 4, F.substring(text, 1, 100)).otherwise(text)
-    return document.read(written.select("document", text.alias("text"))).documents
+    return document.read(written.select("document", text.alias("text")), limited=False).documents
 
 
 @query(f"""WITH {_DOCUMENTS}, nw AS (SELECT own.note_id, d, sha256(g.text) AS now FROM own JOIN g USING (note_id)), w AS (SELECT *, note_id % 13 <> 0 AND d % 8 <> 0 AS there, CASE WHEN note_id % 17 = 0 THEN 'x' ELSE now END AS was FROM nw)

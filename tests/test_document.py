@@ -76,3 +76,17 @@ def test_limits(spark, monkeypatch):
     heads = spark.createDataFrame([("d",)], "document string").select("document", F.lit("t").alias("title"), F.lit("n").alias("generated_at"), F.lit(None).cast(document.HISTORY).alias("history"))
     with pytest.raises(ValueError, match="more than 2"):
         document.documents(nodes, edges, heads)
+    whole = {"big": big | {"nodes": [node("1"), node("2"), node("3")]}}
+    texts = spark.createDataFrame([(k, json.dumps(v)) for k, v in whole.items()], "document string, text string")
+    assert document.read(texts, limited=False).documents.first().n_nodes == 3
+
+
+def test_graph_documents_of_many_nodes(spark, monkeypatch):
+    """The query's documents hold all that a nation has, whatever a viewer's limits."""
+    from corkboard.plans import queries as engine
+
+    sf = "/root/testdata/sf0.001"
+    before = engine.queries()["graph_documents"](spark, sf).orderBy("document").collect()
+    monkeypatch.setattr(document, "NODES", 2)
+    monkeypatch.setattr(document, "EDGES", 2)
+    assert engine.queries()["graph_documents"](spark, sf).orderBy("document").collect() == before
