@@ -1,5 +1,7 @@
 """The stored index: versions, replaced notes, pruned buckets; and discovery over it."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +135,34 @@ def test_discovery_in_ranges(spark, monkeypatch):
     assert rows(discovery.candidates(vectors, 0.05, 3)) == found
     none = vectors.limit(0)
     assert discovery.candidates(none, 0.1).count() == 0
+
+
+def test_no_table_of_texts_or_pairs_moves(spark, monkeypatch):
+    """Frequencies and the terms of sections are had without a shuffle, and what a build has staged is gone after it."""
+    df = notes(spark, ITEMS)
+    staged = set()
+    monkeypatch.setattr(index, "stored", lambda d, name, put=index.stored: staged.add(out := put(d, name)) or out)
+    held = build(spark, shared_path(spark, "index"), df, sections(df))
+    gone = [t for t in staged if not {os.path.exists(f.removeprefix("file:")) for f in t.inputFiles()} - {False}]
+    assert len(gone) >= 4  # terms, links, notes, names
+
+    def plan(frame):
+        return frame._jdf.queryExecution().executedPlan().toString()
+
+    assert "Exchange" not in plan(search.packed(sections(df))) and rows(search.packed(sections(df)).select("section_id", "note_id", F.inline("terms"))) == rows(search.terms(sections(df)).select("section_id", "note_id", "term", "term_count"))
+    assert "Exchange" not in plan(search.frequency(held.postings())) and rows(search.frequency(held.postings())) == rows(search.frequency(held.terms()))
+
+
+def test_scoring_moves_no_vector_for_each_pair(spark, monkeypatch):
+    """A block of vectors after another gives the same candidates and evidence, and pairs meet vectors of one side alone."""
+    texts = [(i, f"Note{i}.md", " ".join(f"w{(i * k) % 61}x" for k in range(1, 9))) for i in range(200)]
+    df = notes(spark, texts)
+    vectors = discovery.vectors(search.terms(sections(df)), 200)
+    found = discovery.candidates(vectors, 0.05, 3)
+    told = rows(found), rows(discovery.ranked_terms(found, vectors))
+    monkeypatch.setattr(discovery, "BROADCAST_BYTES", 0)
+    joined = []
+    near = discovery._near
+    monkeypatch.setattr(discovery, "_near", lambda *a: joined.append(a[1:]) or near(*a))
+    found = discovery.candidates(vectors, 0.05, 3)
+    assert (rows(found), rows(discovery.ranked_terms(found, vectors))) == told and joined == [(0, 50), (50, 100), (100, 150), (150, 200)]
