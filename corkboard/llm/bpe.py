@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
 import hashlib
 import struct
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 
 from corkboard.llm.common import trim
-from corkboard.llm.pretokens import Cache, Splitter, byte_letters, packed
+from corkboard.llm.pretokens import CACHE_BYTES, Cache, Splitter, byte_letters, packed
 
 #: Field numbers and kinds of the public sentencepiece_model.proto.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -67,7 +68,7 @@ def read_ranks(file: str) -> dict[bytes, int]:
 class ByteBpe:
     """Encodes and decodes by pre-token. A pre-token that is itself a piece is that piece, whatever merges would give."""
 
-    def __init__(self, file: str, pattern: str):
+    def __init__(self, file: str, pattern: str, most: int = CACHE_BYTES):
         import sentencepiece
 
         self.ranks = read_ranks(file)
@@ -78,7 +79,7 @@ class ByteBpe:
         to_byte = {c: b for b, c in enumerate(letters)}
         self.piece_bytes = [bytes(map(to_byte.__getitem__, p)) for p in self.model.id_to_piece(list(range(len(self.ranks))))]
         self.names = list(map(str, range(len(self.ranks))))
-        self.cache = Cache(lambda pieces: packed(self._ids(pieces)))
+        self.cache = Cache(lambda pieces: packed(self._ids(pieces)), most)
 
     def _ids(self, pieces: list[str]) -> list[list[int]]:
         raw = [p.encode() for p in pieces]
@@ -99,8 +100,8 @@ class ByteBpe:
 
 
 @functools.lru_cache(maxsize=2)
-def byte_bpe(file: str, pattern: str) -> ByteBpe:
-    return ByteBpe(file, pattern)
+def byte_bpe(file: str, pattern: str, most: int = CACHE_BYTES) -> ByteBpe:
+    return ByteBpe(file, pattern, most)
 
 
 def encode(docs: DataFrame, file: str, pattern: str, text: str = "text") -> DataFrame:
@@ -131,13 +132,14 @@ def decode(rows: DataFrame, file: str, pattern: str) -> DataFrame:
     return kept.mapInArrow(decoded, StructType([*kept.schema.fields]).add("decoded", BinaryType()))
 
 
-def round_trip(docs: DataFrame, file: str, pattern: str, with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def round_trip(docs: DataFrame, file: str, pattern: str, with_ids: bool = False, keep: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), and ids and the columns of `keep` if asked, of each row: encoded, decoded again, told by
     digests. Null text counts as empty: no ids, digests of nothing. Each document's own ids are decoded, by the model's
-    pieces. Rows come in the order that they have in their partition."""
+    pieces. Rows come in the order that they have in their partition. With `most`, a task's cache takes that many bytes, and its
+    worker gives the model back too: for plans whose other stages need the memory."""
 
     def digested(batches):
-        bpe = byte_bpe(file, pattern)
+        bpe = byte_bpe(file, pattern) if most is None else byte_bpe(file, pattern, most)
         try:
             for batch in batches:
                 for first in range(0, batch.num_rows, 100):
@@ -156,6 +158,10 @@ def round_trip(docs: DataFrame, file: str, pattern: str, with_ids: bool = False,
                     yield pa.RecordBatch.from_pydict(columns)
         finally:  # a worker's later tasks may be of other stages
             bpe.cache.forget()
+            if most is not None:
+                byte_bpe.cache_clear()
+                del bpe
+                gc.collect()  # it is part of a cycle
             trim()
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import uuid
 
 import numpy as np
@@ -92,7 +93,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and each row's bounds in them (n + 1); null is empty."""
-    a = column.fill_null("").cast(pa.large_binary())
+    a = (column.fill_null("") if column.null_count else column).cast(pa.large_binary())
     offsets = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1]
     data = np.frombuffer(a.buffers()[2], np.uint8) if a.buffers()[2] is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
@@ -117,6 +118,31 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def trimmed(task):
+    """A function of batches, after which its worker gives back what it no longer holds."""
+
+    @functools.wraps(task)
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            trim()
+
+    return run
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Plans that run within give Python tasks Arrow batches of at most `rows` rows, which executors and workers both hold whole."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def ship(spark: SparkSession) -> None:
     """Lets Python workers that share this file system import the package; elsewhere it comes by --py-files."""
     import os

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corkboard.llm.common import row_blocks, scratch, small, stored, utf8
+from corkboard.llm.common import row_blocks, scratch, small, stored, trimmed, utf8
 from corkboard.llm.kernels import mix, shingles
 
 #: Sizes of a band, last to first.
@@ -142,6 +142,7 @@ def _segments(ufunc, values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def classes(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n_shingles, d1, d2) of each row: the size of its set and a digest, equal for equal sets."""
 
+    @trimmed
     def digested(batches):
         for batch in batches:
             for ids, flat, bounds in _blocks(batch, width):
@@ -171,6 +172,7 @@ def _often(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
 def _buckets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(key, id, often) for each part of each document's sketches."""
 
+    @trimmed
     def sketched(batches):
         for batch in batches:
             for ids, flat, bounds in _blocks(batch, width):
@@ -188,6 +190,7 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(id, set, sketches): sketches by band, in bits."""
     sketch = pa.struct([("band", pa.int32()), ("bytes", pa.binary())])
 
+    @trimmed
     def listed(batches):
         for batch in batches:
             for ids, flat, bounds in _blocks(batch, width):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from corkboard.llm.common import bounded_sample, row_blocks, utf8
+from corkboard.llm.common import bounded_sample, row_blocks, trimmed, utf8
 from corkboard.llm.kernels import byte_grams, words
 
 BITS = 18
@@ -78,6 +78,7 @@ def features(data: np.ndarray, offsets: np.ndarray, distinct: _Distinct):
         yield np.concatenate([_row_features(data[offsets[i] : offsets[i + 1]], distinct), extra[i]])
 
 
+@trimmed
 def _features_of(batches):
     distinct = _Distinct(SIZE)
     for batch in batches:
@@ -165,6 +166,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.ratio.astype(np.float32), model.bias, model.slope, model.offset))
     kept = docs.drop("score", "predicted")
 
+    @trimmed
     def scored(batches):
         weights, ratio, bias, slope, offset = shared.value
         squares = ratio**2

@@ -8,7 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corkboard.llm import bpe, exactdedup, jaccard, mixing, quality
-from corkboard.llm.common import documents, id_remainder, ship, small, stored
+from corkboard.llm.common import batches_of, documents, id_remainder, ship, small, stored
+
+#: Bytes of an encoding task's cache, about. Workers outlive their tasks, and other stages need the memory more.
+CACHE_BYTES = 64 << 20
+#: Rows of a batch of texts from which near duplicates' sketches are made.
+ROWS_A_BATCH = 1_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +40,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group of near duplicates: five words, 0.8 or more alike. Null and empty
     texts and rows without doc_id stay; rows that repeat a doc_id count as one document. An empty table gives none."""
     ship(spark)
-    found = jaccard.join(docs, width=5, percent=80)
+    with batches_of(spark, ROWS_A_BATCH):
+        found = jaccard.join(docs, width=5, percent=80)
     return _without(docs, found.filter("component_id <> doc_id").select("doc_id"))
 
 
@@ -56,7 +62,7 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts have no ids. An empty table gives none."""
     ship(spark)
     placed = docs.withColumn("mix_place", _place(docs))
-    return bpe.round_trip(placed, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, True, ("source", "mix_place"))
+    return bpe.round_trip(placed, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, True, ("source", "mix_place"), CACHE_BYTES)
 
 
 def _place(docs: DataFrame) -> Column:

@@ -6,6 +6,7 @@ import re
 import struct
 
 import public_tokenizers as P
+import pyarrow as pa
 import pyarrow.orc
 import pytest
 import regex
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corkboard.llm import bpe, exactdedup, imatch, jaccard, langid, mixing, quality, tokencount, tokenstore, warc
-from corkboard.llm.common import shared_path
+from corkboard.llm.common import shared_path, utf8
 
 HUB, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_multi_50k.tiktoken")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, ids string, row string, bucket string, kept string"
@@ -252,6 +253,29 @@ def test_bytes_are_compared(spark, monkeypatch):
         exactdedup.dedup(many)
 
 
+def test_pipeline_gives_memory_back(spark, odd, monkeypatch):
+    """Encoding leaves no model in its workers; near duplicates are sought in small batches, which other plans don't get."""
+    corpus_pipeline.encode_stage(spark, odd, "").collect()
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([bpe.byte_bpe.cache_info().currsize] * batch.num_rows, pa.int64())})
+
+    assert {r.n for r in spark.range(64).mapInArrow(held, "n long").collect()} == {0}
+    key, asked, join = "spark.sql.execution.arrow.maxRecordsPerBatch", [], jaccard.join
+    before = spark.conf.get(key)
+    monkeypatch.setattr(jaccard, "join", lambda *a, **b: asked.append(spark.conf.get(key)) or join(*a, **b))
+    corpus_pipeline.near_stage(spark, odd, "")
+    assert asked == ["1000"] and spark.conf.get(key) == before
+
+
+def test_texts_without_nulls_are_not_copied():
+    texts = pa.array(["one", "", "three"])
+    assert utf8(texts)[0].ctypes.data == texts.buffers()[2].address
+    data, offsets = utf8(pa.array(["one", None, "three"]).slice(1))
+    assert bytes(data) == b"three" and offsets.tolist() == [0, 0, 5]
+
+
 def test_pipeline_stages(spark, odd, empty, tmp_path):
     spark.createDataFrame([(7, 1), (8, 0), (9, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
