@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corkboard.llm.common import small, stored
+from corkboard.llm.common import small, stored, uncollected
 from corkboard.llm.pretokens import hub_tokenizer
 
 END = 0
@@ -34,7 +34,8 @@ def encode(docs: DataFrame, file: str, end: int = END) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, 100):
                 rows = batch.slice(first, 100)
-                found = [x + last for x in tokenizer.encode(rows.column("text").to_pylist())]
+                with uncollected():
+                    found = [x + last for x in tokenizer.encode(rows.column("text").to_pylist())]
                 sizes = np.array([len(x) // 4 for x in found], np.int64)
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
                 ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<u4").astype(np.int32)))

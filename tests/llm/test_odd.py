@@ -1,13 +1,16 @@
 """The training-data operators on odd rows (null and repeated ids, clashing columns, empty tables), their files' footers, and
 fingerprints recomputed by hand."""
 
+import gc
 import math
 import re
 import struct
+import types
 
 import public_tokenizers as P
 import pyarrow as pa
 import pyarrow.orc
+import pyspark.sql.types
 import pytest
 import regex
 import xxhash
@@ -276,6 +279,20 @@ def test_texts_without_nulls_are_not_copied():
     assert bytes(data) == b"three" and offsets.tolist() == [0, 0, 5]
 
 
+def test_token_files_look_for_no_cycles(monkeypatch):
+    """Encoding token files doesn't run the cycle collector, which is on again after it."""
+    task = []
+    frame = types.SimpleNamespace(mapInArrow=lambda f, schema: task.append(f), schema={"doc_id": pyspark.sql.types.StructField("doc_id", pyspark.sql.types.LongType())})
+    frame.select = frame.repartitionByRange = frame.sortWithinPartitions = lambda *columns: frame
+    on = []
+    monkeypatch.setattr(tokenstore, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(tokenstore, "hub_tokenizer", lambda file: types.SimpleNamespace(encode=lambda texts: on.append(gc.isenabled()) or [b""] * len(texts)))
+    monkeypatch.setattr(tokenstore, "F", types.SimpleNamespace(coalesce=lambda *c: types.SimpleNamespace(alias=str), lit=str))
+    tokenstore.encode(frame, HUB)
+    found = list(task[0]([pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2]), "text": pa.array(["a", ""])})]))
+    assert on == [False] and gc.isenabled() and found[0].column("before").to_pylist() == [0, 1]
+
+
 def test_pipeline_stages(spark, odd, empty, tmp_path):
     spark.createDataFrame([(7, 1), (8, 0), (9, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
