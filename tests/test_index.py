@@ -1,6 +1,9 @@
 """The stored index: versions, replaced notes, pruned buckets; and discovery over it."""
 
+import math
 import os
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,3 +169,31 @@ def test_scoring_moves_no_vector_for_each_pair(spark, monkeypatch):
     monkeypatch.setattr(discovery, "_near", lambda *a: joined.append(a[1:]) or near(*a))
     found = discovery.candidates(vectors, 0.05, 3)
     assert (rows(found), rows(discovery.ranked_terms(found, vectors))) == told and joined == [(0, 50), (50, 100), (100, 150), (150, 200)]
+
+
+def test_candidates_of_all_pairs(spark, monkeypatch):
+    """Each note's best are those of all others, however far apart they stand in the lists of their terms, and whatever the blocks."""
+    rng = random.Random(4)
+    words = {i: sorted(rng.sample(range(48), 6)) for i in range(240)}
+    df = notes(spark, [(i, f"Note{i}.md", " ".join(f"w{k}x" for k in w)) for i, w in words.items()])
+    vectors = discovery.vectors(search.terms(sections(df)), 240)
+    counts = Counter(k for w in words.values() for k in w)
+    weight = {k: math.log(241 / (n + 1)) + 1 for k, n in counts.items() if 2 <= n <= 48}
+    norm = {i: math.sqrt(sum(weight.get(k, 0) ** 2 for k in w)) for i, w in words.items()}
+    best, of = set(), {}
+    for i, mine in words.items():
+        for j, other in words.items():
+            both = [k for k in mine if k in other and k in weight]
+            of[i, j] = (round(sum(weight[k] ** 2 for k in both) / (norm[i] * norm[j]), 9), len(both))
+        near = [(of[i, j][0], j) for j in words if i != j and of[i, j][1] >= 2 and of[i, j][0] >= 0.4]
+        best |= {(min(i, j), max(i, j)) for _, j in sorted(near, reverse=True)[:3]}
+    want = [(l, r, of[l, r][1], pytest.approx(of[l, r][0], abs=1e-6)) for l, r in sorted(best)]
+
+    def found(**how):
+        return sorted((r.l, r.r, r.shared, r.score) for r in discovery.candidates(vectors, 0.4, 3, **how).collect())
+
+    assert found(whole=True) == want != found()
+    monkeypatch.setattr(discovery, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(discovery, "TASK_NOTES", 50)
+    assert found(whole=True) == want
+    assert discovery.candidates(vectors.limit(0), 0.4, whole=True).count() == 0 and discovery.candidates(vectors, 0.4, 0, whole=True).count() == 0
