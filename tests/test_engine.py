@@ -108,6 +108,16 @@ def test_packet(spark):
     assert [r.passage for r in search.packet(held, "alpha", 3, 10).collect()] == ["alpha alp…"]
 
 
+def test_packet_of_all_postings(spark):
+    """A section whose terms come late among all postings is scored by all of them."""
+    texts = ["alpha alpha"] * 2000 + ["alpha beta"]
+    n = notes(spark, [(f"{i}.md", t) for i, t in enumerate(texts)]).withColumns({"relative_path": F.col("path"), "status": F.lit(None).cast("string")})
+    held = search.Tables(n.select(F.col("note_id").alias("section_id"), "note_id", "text"), n)
+    assert [r.note_id for r in search.packet(held, "alpha beta", 1, 100, whole=True).collect()] == [2000]
+    assert [r.place for r in search.Ranking(held, "alpha").best(2, whole=True)] == [(-2, 0, "alpha"), (-2, 1, "alpha")]
+    assert [r.note_id for r in search.packet(held, "alpha beta", 1, 100).collect()] == [0]
+
+
 def test_look_ups(spark):
     n = notes(spark, [("a/One.md", "[[Two]]"), ("b/Two.md", "[[Three]]"), ("c/Three.md", ""), ("d/three.md", ""), ("e/Alone.md", "")])
     assert graph.resolve_note(n, "A/one.md") == 0 and graph.resolve_note(n, "two") == 1
