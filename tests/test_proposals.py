@@ -179,6 +179,20 @@ def test_task(spark):
             task.build(index, task.read_task(json.dumps(spec | wrong)), edges)
 
 
+def test_task_of_all_postings(spark):
+    """A hit whose terms come late among all postings is ranked by all of them."""
+    df = vault(spark, {f"n{i}.md": "alpha alpha" for i in range(2000)} | {"z.md": "alpha beta"})
+    own = sections.sections(df).withColumn("section_id", F.col("note_id") * 16 + F.col("ordinal"))
+    index = build(spark, shared_path(spark, "index"), df, own, buckets=2)
+    spec = task.read_task('{"objective": "o", "retrieval": {"query": "alpha beta", "limit": 1}, "exclusions": {"paths": ["n0.md"]}}')
+
+    def found(whole):
+        told = task.build(index, spec, graph.all_edges(index.edges()), whole=whole)
+        return [r.note_id for r in told.items.filter("section = 'retrieved_context'").collect()], told.totals.first().suppressed_context
+
+    assert found(True) == ([2000], 1) and found(False) == ([1], 1)
+
+
 @pytest.mark.parametrize(
     "spec",
     [
