@@ -1,6 +1,12 @@
 """Kinds of trails, by hand-made graphs."""
 
+import random
+
+import duckdb
+import pytest
+
 from corkboard.operators import graph, trails
+from corkboard.plans import queries as engine
 
 NOTES = "note_id long, title string, path string, tags array<string>, domain string, created_at string, modified_at string"
 
@@ -36,3 +42,25 @@ def test_star(spark):
     hub = spark.range(1, 100_001).selectExpr("CAST(0 AS BIGINT) AS source_id", "id AS target_id").unionByName(spark.createDataFrame([(200_000, 200_001), (200_001, 5)], "source_id long, target_id long"))
     pairs = spark.createDataFrame([(1, 2), (7, 99_999), (0, 3), (1, 200_001), (1, 200_000), (5, 200_000), (300_000, 1), (4, 4)], "l long, r long")
     assert {(r.l, r.r) for r in trails.linked_within(pairs, hub).collect()} == {(1, 2), (7, 99_999), (0, 3), (1, 200_001), (5, 200_000), (4, 4)}
+
+
+@pytest.fixture(scope="module")
+def crowded(tmp_path_factory):
+    """Documents that share frequent words alone, so that the best partners stand far apart in the words' lists; with a way to ask
+    DuckDB of them."""
+    path, db, rng = tmp_path_factory.mktemp("crowded"), duckdb.connect(), random.Random(4)
+    texts = ", ".join(f"({i}, '{' '.join(f'w{k}x' for k in rng.sample(range(48), 6))}', '{rng.choice(['en', 'de'])}', 'src{i % 3}', 30)" for i in range(240))
+    db.sql(f"CREATE TABLE documents AS SELECT CAST(doc_id AS BIGINT) AS doc_id, text, lang, source, n_chars FROM (VALUES {texts}) t(doc_id, text, lang, source, n_chars)")
+    db.sql("CREATE TABLE labels AS SELECT doc_id, doc_id % 2 AS quality, 0 AS toxic FROM documents WHERE doc_id % 3 = 0")
+    for t in ("documents", "labels"):
+        db.sql(f"COPY {t} TO '{path}/{t}.parquet'")
+    return str(path), lambda sql: set(db.sql(sql).fetchall())
+
+
+def test_scores_of_all_pairs(spark, crowded):
+    """Pairs that are far apart in their terms' lists are scored too."""
+    path, ask = crowded
+    got = {tuple(r) for r in engine.queries()["trail_scores"](spark, path).collect()}
+    want = ask(engine.oracle_sql()["trail_scores"])
+    assert {r[:3] for r in got} == {r[:3] for r in want} and sum(r[4] for r in got) == pytest.approx(sum(r[4] for r in want))
+    assert {r[:2] for r in got} - {r[:2] for r in ask(engine.oracle_sql()["discovery_candidates"])}
