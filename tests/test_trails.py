@@ -7,6 +7,7 @@ import pytest
 
 from corkboard.operators import graph, trails
 from corkboard.plans import queries as engine
+from corkboard.plans import trail_queries
 
 NOTES = "note_id long, title string, path string, tags array<string>, domain string, created_at string, modified_at string"
 
@@ -64,3 +65,13 @@ def test_scores_of_all_pairs(spark, crowded):
     want = ask(engine.oracle_sql()["trail_scores"])
     assert {r[:3] for r in got} == {r[:3] for r in want} and sum(r[4] for r in got) == pytest.approx(sum(r[4] for r in want))
     assert {r[:2] for r in got} - {r[:2] for r in ask(engine.oracle_sql()["discovery_candidates"])}
+
+
+def test_tour_of_all_pairs(spark, crowded, monkeypatch):
+    """A tour chooses among the candidates of all pairs."""
+    path, ask = crowded
+    met = []
+    monkeypatch.setattr(trail_queries.tour, "tour", lambda notes, edges, candidates, as_of: met.extend(candidates.select("l", "r").collect()) or ([], None))
+    engine.queries()["trail_tour"](spark, path).collect()
+    want = ask(f"WITH {engine._WHOLE_CANDIDATES} SELECT l, r FROM cand")
+    assert {tuple(r) for r in met} == want and want - {r[:2] for r in ask(engine.oracle_sql()["discovery_candidates"])}
